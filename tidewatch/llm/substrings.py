@@ -259,7 +259,7 @@ def _remove(buckets: int, length: int, gram: int, with_text: bool):
                 shared.append({"hashes": r["hashes"], "bucket": r["bucket"]})
             else:
                 counts = np.frombuffer(r["counts"], "<u4")
-                answers[r["bucket"]] = (np.concatenate(([0], np.cumsum(counts))), np.frombuffer(r["lengths"], "<u4").astype(np.int64), np.frombuffer(r["least"], "<i8"))
+                answers[r["bucket"]] = (np.concatenate(([0], np.cumsum(counts))).astype(np.int64), np.frombuffer(r["lengths"], "<u4").astype(np.int64), np.frombuffer(r["least"], "<i8"))
         ids, texts, where = _texts(left)
         marks: list[np.ndarray | None] = [None] * len(texts)
         if answers:
