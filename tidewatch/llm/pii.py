@@ -168,3 +168,10 @@ def redacted(docs: DataFrame) -> DataFrame:
         pieces = F.transform(F.sequence(F.lit(0), F.size(m)), _masked(k))
         df = df.withColumn("text", F.when(F.size(m) > 0, F.array_join(pieces, "")).otherwise(F.col("text")).cast(kind)).drop("__m", "__g")
     return df.select(*columns)
+
+
+def with_sizes(docs: DataFrame) -> DataFrame:
+    """docs with n_chars, where there is such a column, counted anew."""
+    if "n_chars" not in docs.columns:
+        return docs
+    return docs.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))

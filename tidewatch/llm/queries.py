@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, packing, pii, quality, similarity, substrings, tokens
+from . import decontaminate, languages, licenses, packing, pii, quality, similarity, substrings, tokens, toxicity
 from .common import read
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.scored(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.deduplicated(read(spark, sf_dir, "documents"))
 
@@ -30,6 +34,14 @@ def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(read(spark, sf_dir, "documents"))
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return languages.identified_pages(read(spark, sf_dir, "pages"), read(spark, sf_dir, "documents"))
+
+
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(read(spark, sf_dir, "documents"))
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")).drop("row_key")
 
@@ -38,10 +50,16 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(read(spark, sf_dir, "documents"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    every = (op2_suffix_dedup, op3_token_files, op4_ngram_jaccard, op5_quality_rules, op6_pii, op9_decontamination, op10_packing)
+    every = (op1_toxicity, op2_suffix_dedup, op3_token_files, op4_ngram_jaccard, op5_quality_rules, op6_pii, op7_language_id, op8_license_scan, op9_decontamination, op10_packing, pipeline)
     return {f.__name__: f for f in every}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op8_license_scan": licenses.sql()}
