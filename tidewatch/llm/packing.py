@@ -17,7 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import column_bytes, documents, written
+from .common import documents, written
 from .tokens import crc, default_tokenizer, encoder
 
 LENGTH = 1024
@@ -93,8 +93,10 @@ def _pack(path: str, length: int, open_windows: int):
         coder, part = encoder(path), TaskContext.get().partitionId()
         packer = Packer(part << 32, length, open_windows)
         for batch in batches:
-            for doc_id, data in zip(batch.column(0).to_pylist(), column_bytes(batch, "text"), strict=True):
-                packer.add(doc_id, coder.encode_document(data))
+            doc_ids = iter(batch.column(0).to_pylist())
+            for ids, sizes in coder.documents(batch.column(1)):
+                for own in np.split(ids, np.cumsum(sizes)[:-1]):
+                    packer.add(next(doc_ids), own)
                 if len(packer.out) >= 5000:
                     yield _batch(packer.out, part, False)
                     packer.out = []

@@ -14,22 +14,42 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import column_bytes, documents, shared_dir, written
+from .common import documents, shared_dir, written
 
 TOKENIZER = "byte_bpe_50k.json"
 END = 0
 LENGTH = 2048
 ROWS = 64
 #: Space-separated pieces whose ids an encoder keeps, at most.
-KEPT = 800_000
+KEPT = 600_000
 SHORT = 8
-#: A space before one of these isn't surely a token's first character.
-_ODD = frozenset(map(chr, (*range(0x21), *range(0x7F, 0xA1), 0x1680, 0x180E, *range(0x2000, 0x2010), *range(0x2028, 0x2030), *range(0x205F, 0x2065), 0x3000, 0xFEFF)))
+SHORT_TAILS = 10_000
+#: Pieces that are encoded in one call, and bytes of text whose pieces are collected.
+TOGETHER = 2048
+TEXT_BYTES = 8 << 20
+#: Marks that may follow a word; no apostrophe, which can begin a token with the letters after it.
+_MARKS = ".,;:!?*%$#&|"
+#: A byte-level vocabulary shows each byte as a character: printable ones as they are, the others from 256 on.
+_SPACE = "\u0120"
+_PLAIN = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+_SHOWN = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _PLAIN)}
+#: First bytes of control characters and of white space beyond ASCII, fixed values.
+_ODD = np.isin(np.arange(256), [*range(0x21), 0x7F, 0xC2, 0xE1, 0xE2, 0xE3, 0xEF])
+
+
+def _odd(pieces: pa.Array) -> np.ndarray:
+    """Whether the place before a piece may not be the begin of a token: it is empty or begins like white space."""
+    offsets = np.frombuffer(pieces.buffers()[1], np.int64)[pieces.offset : pieces.offset + len(pieces) + 1]
+    data = np.frombuffer(pieces.buffers()[2] or b"", np.uint8)
+    empty = offsets[1:] == offsets[:-1]
+    return empty | _ODD[np.append(data, 0)[np.where(empty, len(data), offsets[:-1])]]
+
 
 MANIFEST = "file_no long, tokens_path string, docs_path string, n_docs long, n_tokens long"
 
@@ -40,16 +60,12 @@ def default_tokenizer() -> str:
     return public_tokenizers.path(TOKENIZER)
 
 
-class _Odd(Exception):
-    pass
-
-
 class Encoder:
     """Ids of whole texts by the tokenizers library.
 
     The vocabulary's pre-tokenizer never joins what a space and a visible character separate, so a text's ids are those
-    of its space-separated pieces. Their ids are kept and each piece is encoded once. Texts with other spacing are encoded
-    whole.
+    of its space-separated pieces. The distinct pieces of many texts are encoded together, and their ids are kept. Texts
+    with other spacing are encoded whole.
     """
 
     def __init__(self, path: str) -> None:
@@ -58,51 +74,104 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        self.model = self.tokenizer.model
         self.dtype = np.dtype("<u2") if self.tokenizer.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
         self.sizes = np.zeros(self.tokenizer.get_vocab_size(), dtype=np.int64)
         for token, i in self.tokenizer.get_vocab().items():
             self.sizes[i] = len(token)  # a character stands for a byte
         self.kept: dict[str, bytes] = {}
+        self.tails: dict[str, bytes] = {}
 
-    def _whole(self, text: str) -> np.ndarray:
-        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype=self.dtype)
+    def _whole(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, dtype=self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _learn(self, pieces: list[str]) -> None:
-        """Encodes the pieces in one call; the lengths of the ids' byte strings say which ids are whose."""
-        ids = self._whole(" " + " ".join(pieces))
-        ends = np.searchsorted(np.cumsum(self.sizes[ids]), np.cumsum([len(p.encode()) + 1 for p in pieces]), "left") + 1
-        raw, ends = ids.tobytes(), (ends * self.dtype.itemsize).tolist()
-        self.kept.update(zip(pieces, map(raw.__getitem__, map(slice, [0, *ends[:-1]], ends)), strict=True))
-
-    def _pieces(self, pieces: list[str]) -> bytes:
+        """Encodes many pieces in one call; the lengths of the ids' byte strings say which ids are whose."""
+        if len(self.kept) + len(pieces) > KEPT:  # long pieces seldom come again
+            self.kept = {k: v for k, v in self.kept.items() if len(k) <= SHORT}
+            if len(self.kept) > KEPT // 2:
+                self.kept = {}
+        mixed = []
+        for p in pieces:
+            word = p.rstrip(_MARKS)
+            if not word.isalpha():
+                mixed.append(p)
+            elif word == p:
+                self.kept[p] = self._word(p)
+            else:  # letters and the marks after them are never in one token
+                self.kept[p] = (self.kept.get(word) or self._word(word)) + self._tail(p[len(word) :])
+        for i in range(0, len(mixed), TOGETHER):
+            own = mixed[i : i + TOGETHER]
+            raw = self._whole([" " + " ".join(own)])[0]
+            done = np.cumsum(self.sizes[np.frombuffer(raw, dtype=self.dtype)])
+            ends = np.searchsorted(done, np.cumsum([len(p.encode()) + 1 for p in own]), "left") + 1
+            ends = (ends * self.dtype.itemsize).tolist()
+            self.kept.update(zip(own, map(raw.__getitem__, map(slice, [0, *ends[:-1]], ends)), strict=True))
+
+    def _word(self, word: str) -> bytes:
+        """Ids of a space and letters: one token of the pre-tokenizer, so that the model alone can encode it."""
+        shown = word if word.isascii() else word.encode().decode("latin-1").translate(_SHOWN)
+        return np.array([t.id for t in self.model.tokenize(_SPACE + shown)], dtype=self.dtype).tobytes()
+
+    def _tail(self, marks: str) -> bytes:
+        if marks not in self.tails:
+            if len(self.tails) > SHORT_TAILS:
+                self.tails = {}
+            self.tails[marks] = self._whole([marks])[0]
+        return self.tails[marks]
+
+    def _pieces(self, pieces: list[str]) -> list[bytes]:
         found = list(map(self.kept.get, pieces))
         if None in found:
-            new = {p for p, ids in zip(pieces, found, strict=True) if ids is None}
-            if any(not p or p[0] in _ODD for p in new):
-                raise _Odd
-            if len(self.kept) + len(new) > KEPT:  # long pieces seldom come again
-                self.kept = {k: v for k, v in self.kept.items() if len(k) <= SHORT}
-                if len(self.kept) > KEPT // 2:
-                    self.kept = {}
-                new = set(pieces).difference(self.kept)
-            self._learn(list(new))
-            found = map(self.kept.__getitem__, pieces)
-        return b"".join(found)
+            self._learn([p for p, ids in zip(pieces, found, strict=True) if ids is None])
+            found = [self.kept[p] if ids is None else ids for p, ids in zip(pieces, found, strict=True)]
+        return found
+
+    def _some(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        split = pc.split_pattern(texts, " ")
+        offsets = split.offsets.to_numpy().astype(np.int64)
+        coded = split.flatten().dictionary_encode()
+        codes, pieces = coded.indices.to_numpy().astype(np.int64), coded.dictionary
+        heads, n, count = offsets[:-1], len(pieces), len(texts)
+        is_head = np.zeros(len(codes), dtype=bool)
+        is_head[heads] = True
+        in_odd = np.logical_or.reduceat(_odd(pieces)[codes] & ~is_head, heads)
+        inner = ~is_head & ~np.repeat(in_odd, np.diff(offsets))
+        used = np.zeros(n, dtype=bool)
+        used[codes[inner]] = True
+        ids = self._pieces(pieces.take(pa.array(np.flatnonzero(used))).to_pylist())
+        # After the pieces' codes: each text's head (an odd text as a whole), the end id, and nothing.
+        codes = np.where(inner, (np.cumsum(used) - 1)[codes], len(ids) + count + 1)
+        first = texts.take(pa.array(np.flatnonzero(in_odd))).to_pylist()
+        plain = split.flatten().take(pa.array(heads[~in_odd])).to_pylist()
+        whole = iter(self._whole(first)), iter(self._whole(plain))
+        codes[heads] = len(ids) + np.arange(count)
+        codes = np.insert(codes, offsets[1:], len(ids) + count)
+        ids += [next(whole[0] if o else whole[1]) for o in in_odd.tolist()]
+        ids += [np.array([END], dtype=self.dtype).tobytes(), b""]
+        sizes = np.array(list(map(len, ids)), dtype=np.int64) // self.dtype.itemsize
+        starts = np.cumsum(sizes) - sizes
+        size = sizes[codes]
+        ends = np.cumsum(size)
+        flat = np.frombuffer(b"".join(ids), dtype=self.dtype)
+        place = np.repeat(starts[codes] - (ends - size), size)
+        place += np.arange(len(place))
+        return flat[place], np.add.reduceat(size, heads + np.arange(count))
+
+    def documents(self, texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Ids of the texts (null: empty), an end id after each, and their numbers, a few megabytes of text at a time."""
+        texts = texts.cast(pa.large_string()).fill_null("")
+        ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False))
+        at = 0
+        while at < len(texts):
+            before = ends[at - 1] if at else 0
+            to = max(at + 1, int(np.searchsorted(ends, before + TEXT_BYTES, "right")))
+            yield self._some(texts.slice(at, to - at))
+            at = to
 
     def encode(self, text: str) -> np.ndarray:
-        """The text's ids."""
-        if not text:
-            return np.zeros(0, dtype=self.dtype)
-        head, *pieces = text.split(" ")
-        try:
-            raw = (self._whole(head).tobytes() if head else b"") + self._pieces(pieces)
-        except _Odd:
-            return self._whole(text)
-        return np.frombuffer(raw, dtype=self.dtype)
-
-    def encode_document(self, data: bytes) -> np.ndarray:
-        """Ids of a UTF-8 text, and the end id."""
-        return np.append(self.encode(data.decode("utf-8", "replace")), self.dtype.type(END))
+        """The ids of one text, without an end id."""
+        return self._some(pa.array([text], pa.large_string()))[0][:-1]
 
 
 _encoders: dict[str, Encoder] = {}
@@ -207,15 +276,16 @@ def _write(folder: str, path: str, length: int, rows: int):
         with system.open_output_stream(f"{base}/{name}.tokens") as a, system.open_output_stream(f"{base}/{name}.docs") as b:
             sequences, index = SequenceWriter(a, coder.dtype, length, rows), pa.ipc.new_stream(b, _DOCS)
             for batch in batches:
-                starts, sizes = [], []
-                for data in column_bytes(batch, "text"):
-                    ids = coder.encode_document(data)
-                    starts.append(sequences.total)
-                    sizes.append(len(ids))
+                if not batch.num_rows:
+                    continue
+                before, sizes = sequences.total, []
+                for ids, own in coder.documents(batch.column(1)):
+                    sizes.append(own)
                     sequences.add(ids)
+                sizes = np.concatenate(sizes)
                 n_docs += len(sizes)
-                if sizes:
-                    index.write_batch(pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(starts, pa.int64()), pa.array(sizes, pa.int64())], schema=_DOCS))
+                starts = before + np.cumsum(sizes) - sizes
+                index.write_batch(pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(starts, pa.int64()), pa.array(sizes, pa.int64())], schema=_DOCS))
             sequences.close()
             index.close()
         if n_docs:
