@@ -103,7 +103,7 @@ def _offer(buckets: int, length: int, gram: int):
 
 _OFFER = pa.schema([("bucket", pa.int64()), ("block", pa.int64()), ("low", pa.binary()), ("high", pa.binary()), ("twice", pa.binary())])
 _SHARED = pa.schema([("block", pa.int64()), ("bucket", pa.int64()), ("hashes", pa.binary())])
-_CONTEXTS = pa.schema([("bucket", pa.int64()), ("block", pa.int64()), ("sizes", pa.binary()), ("bytes", pa.binary()), ("least", pa.binary())])
+_CONTEXTS = pa.schema([("bucket", pa.int64()), ("block", pa.int64()), ("sizes", pa.binary()), ("bytes", pa.binary()), ("least", pa.binary()), ("marks", pa.binary())])
 _FOUND = pa.schema([("block", pa.int64()), ("bucket", pa.int64()), ("counts", pa.binary()), ("lengths", pa.binary()), ("least", pa.binary())])
 _RESULT = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("kept", pa.binary())])
 
@@ -139,7 +139,7 @@ def _share(key: tuple, table: pa.Table) -> pa.Table:
 
 
 def _contexts(texts: list[bytes], shared: dict[int, np.ndarray], buckets: int, length: int, gram: int):
-    """Each text's contexts as (bucket, start, stop) arrays, of its shared anchors alone."""
+    """Each text's contexts as (bucket, start, stop, hash) arrays, of its shared anchors alone."""
     for t in texts:
         h, first, last = anchors(np.frombuffer(t, np.uint8), length, gram)
         bucket = _bucket_of(h, buckets)
@@ -148,7 +148,7 @@ def _contexts(texts: list[bytes], shared: dict[int, np.ndarray], buckets: int, l
         mark = low | (bucket.astype(np.uint64) << np.uint64(40))
         at = np.minimum(np.searchsorted(known, mark), len(known) - 1) if len(known) else np.zeros(len(mark), dtype=np.int64)
         hit = known[at] == mark if len(known) else np.zeros(len(mark), dtype=bool)
-        yield bucket[hit], first[hit], last[hit] + length
+        yield bucket[hit], first[hit], last[hit] + length, h[hit]
 
 
 def _known(table: pa.Table) -> dict[int, np.ndarray]:
@@ -158,21 +158,23 @@ def _known(table: pa.Table) -> dict[int, np.ndarray]:
 
 
 def _distinct_contexts(ids: list[int], texts: list[bytes], shared: dict, buckets: int, length: int, gram: int):
-    """By bucket: the distinct contexts in order of their first place, and their smallest ids; where each one occurs."""
+    """By bucket: the distinct contexts in order of their first place, their smallest ids and hashes; where each one occurs."""
     by: dict[int, dict[bytes, int]] = {}
     least: dict[int, list[int]] = {}
+    marks: dict[int, list[int]] = {}
     places = []
-    for doc, t, (bucket, start, stop) in zip(ids, texts, _contexts(texts, shared, buckets, length, gram), strict=True):
+    for doc, t, (bucket, start, stop, hashes) in zip(ids, texts, _contexts(texts, shared, buckets, length, gram), strict=True):
         own = []
-        for b, s, e in zip(bucket.tolist(), start.tolist(), stop.tolist(), strict=True):
+        for b, s, e, h in zip(bucket.tolist(), start.tolist(), stop.tolist(), hashes.tolist(), strict=True):
             c, table = t[s:e], by.setdefault(b, {})
             i = table.setdefault(c, len(table))
             mins = least.setdefault(b, [])
             if i == len(mins):
                 mins.append(doc)  # documents come in ascending order
+                marks.setdefault(b, []).append(h & 0xFFFFFFFF)
             own.append((b, i, s))
         places.append(own)
-    return by, least, places
+    return by, least, marks, places
 
 
 def _send(buckets: int, length: int, gram: int):
@@ -182,8 +184,8 @@ def _send(buckets: int, length: int, gram: int):
         if not right.num_rows:
             return _CONTEXTS.empty_table()
         ids, texts, _ = _texts(left)
-        by, least, _ = _distinct_contexts(ids, texts, _known(right), buckets, length, gram)
-        rows = [{"bucket": b, "block": key[0].as_py(), "sizes": np.array([len(c) for c in table], "<u4").tobytes(), "bytes": b"".join(table), "least": np.array(least[b], "<i8").tobytes()} for b, table in by.items()]
+        by, least, marks, _ = _distinct_contexts(ids, texts, _known(right), buckets, length, gram)
+        rows = [{"bucket": b, "block": key[0].as_py(), "sizes": np.array([len(c) for c in table], "<u4").tobytes(), "bytes": b"".join(table), "least": np.array(least[b], "<i8").tobytes(), "marks": np.array(marks[b], "<u4").tobytes()} for b, table in by.items()]
         return pa.Table.from_pylist(rows, schema=_CONTEXTS)
 
     return of
@@ -208,25 +210,30 @@ def smallest(contexts: list[bytes], least: np.ndarray, length: int) -> list[np.n
 
 
 def _find(length: int):
-    """Step 4. Equal contexts of different blocks are folded before sorting."""
+    """Step 4. Equal contexts of different blocks are folded; those whose anchor has no other context need no sorting."""
 
     def of(key: tuple, table: pa.Table) -> pa.Table:
         rows = table.to_pylist()
         place: dict[bytes, int] = {}
         least: list[int] = []
+        marks: list[int] = []
         asked = []
         for r in rows:
             at, own = 0, []
-            for n, m in zip(np.frombuffer(r["sizes"], "<u4").tolist(), np.frombuffer(r["least"], "<i8").tolist(), strict=True):
+            for n, m, h in zip(*(np.frombuffer(r[c], k).tolist() for c, k in (("sizes", "<u4"), ("least", "<i8"), ("marks", "<u4"))), strict=True):
                 i = place.setdefault(r["bytes"][at : at + n], len(place))
                 if i == len(least):
                     least.append(m)
+                    marks.append(h)
                 elif m < least[i]:
                     least[i] = m
                 own.append(i)
                 at += n
             asked.append(own)
-        found = smallest(list(place), np.array(least, dtype=np.int64), length)
+        _, group, count = np.unique(np.array(marks), return_inverse=True, return_counts=True)
+        alone, mins = count[group] == 1, np.array(least, dtype=np.int64)
+        sorted_ones = iter(smallest([c for c, a in zip(place, alone.tolist(), strict=True) if not a], mins[~alone], length))
+        found = [np.full(len(c) - length + 1, m) if a else next(sorted_ones) for c, a, m in zip(place, alone.tolist(), least, strict=True)]
         coded = []
         for x in found:
             heads = np.flatnonzero(np.diff(x, prepend=-1 if x[0] != -1 else -2))
@@ -264,7 +271,7 @@ def _remove(buckets: int, length: int, gram: int, with_text: bool):
         marks: list[np.ndarray | None] = [None] * len(texts)
         if answers:
             known = _known(pa.Table.from_pylist(shared, schema=pa.schema([("hashes", pa.binary()), ("bucket", pa.int64())])))
-            _, _, places = _distinct_contexts(ids, texts, known, buckets, length, gram)
+            *_, places = _distinct_contexts(ids, texts, known, buckets, length, gram)
             for j, (doc, own) in enumerate(zip(ids, places, strict=True)):
                 starts = []
                 for b, i, s in own:
