@@ -4,9 +4,10 @@ The index: a set's shingle hashes in ascending order are cut at fixed places of
 linked sets can differ in, so that linked sets share a whole block at the same position. A list is kept for each (size
 class, position, block content); all other positions are skipped without a look.
 
-The answers: within a list, one set (the pivot) is compared with all others. Sets linked with the pivot have its answers,
-so pairs inside a component need no comparison; lists that still hold several components go on without the pivot, until
-every pair across components has been compared. Short lists compare all such pairs at once.
+The answers: within a list, each set is compared with the smallest one first. Sets that this links, directly or by other
+lists, share its component and need no comparison with each other, however long the list is. Only lists that still hold
+several components go on: parity bits of the hashes bound the difference of two sets from below, and pairs of different
+components that pass this bound are compared. Long lists are compared in chunks, so that no task holds all of one.
 """
 
 from __future__ import annotations
@@ -22,8 +23,8 @@ from pyspark.sql import functions as F
 from .common import column_bytes, documents, written
 from .components import components
 
-#: Lists of at most so many sets compare all pairs across components at once.
-SHORT_LIST = 32
+#: Sets of one list that a task holds on each side, at most (about).
+CHUNK = 4096
 _LOWER = bytes(b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
 _MUL = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
@@ -122,17 +123,74 @@ def _listed(arrays: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(arrays) if arrays else np.zeros(0, np.int64)))
 
 
-def _sets(width: int):
+def parity_bits(hashes: np.ndarray, percent: int) -> np.ndarray:
+    """For each place of a bit set, whether an odd number of hashes falls there: as 64-bit words, a power of two of them.
+
+    Sets whose bits differ in d places differ in d shingles at least. There are some four places for each shingle in which
+    linked sets may differ. Bits of twice the size fold to the smaller size by xor of their halves.
+    """
+    most = 2 * len(hashes) * (100 - percent) // (100 + percent)
+    words = 1 << max(3, int(np.ceil(np.log2(max(most, 1) / 16))))
+    place = hashes & np.uint64(64 * words - 1)
+    odd = np.bincount((place >> np.uint64(6)).astype(np.int64) * 64 + (place & np.uint64(63)).astype(np.int64), minlength=64 * words) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view("<u8")
+
+
+def _sets(width: int, percent: int):
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [shingle_set(x, width).view(np.int64) for x in column_bytes(batch, "text")]
-            yield pa.RecordBatch.from_arrays([batch.column(0), _listed(sets)], ["doc_id", "hashes"])
+            sets = [shingle_set(x, width) for x in column_bytes(batch, "text")]
+            bits = [parity_bits(h, percent).view(np.int64) for h in sets]
+            yield pa.RecordBatch.from_arrays([batch.column(0), _listed(bits), _listed([h.view(np.int64) for h in sets])], ["doc_id", "bits", "hashes"])
 
     return of
 
 
-def _sizes_fit(percent: int) -> Column:
-    return 100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")
+def _folded(bits: np.ndarray, words: int) -> np.ndarray:
+    while len(bits) > words:
+        bits = bits[: len(bits) // 2] ^ bits[len(bits) // 2 :]
+    return bits
+
+
+def _close(percent: int):
+    """Of the rows of each (key, i, j): pairs of different components whose sizes and bits don't rule out a link."""
+
+    def pairs(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        doc, n, component, side = (rows.column(c).to_numpy() for c in ("doc", "n", "component", "side"))
+        bits = [np.array(x, dtype=np.int64) for x in rows.column("bits").to_pylist()]
+        words = min(map(len, bits))
+        x = np.stack([_folded(b, words) for b in bits]).view(np.uint64)
+        crossed = bool(side.any())
+        a, b = [], []
+        for i in range(int((side == 0).sum())):
+            to = np.arange(int((side == 0).sum()), len(doc)) if crossed else np.arange(i + 1, len(doc))
+            to = to[(component[to] != component[i]) & (100 * np.minimum(n[to], n[i]) >= percent * np.maximum(n[to], n[i]))]
+            if len(to):
+                apart = np.bitwise_count(x[to] ^ x[i]).sum(1, dtype=np.int64)
+                to = to[apart * (100 + percent) <= (n[to].astype(np.int64) + n[i]) * (100 - percent)]
+                a.append(np.minimum(doc[to], doc[i]))
+                b.append(np.maximum(doc[to], doc[i]))
+        z = np.zeros(0, dtype=np.int64)
+        return (np.concatenate(a), np.concatenate(b)) if a else (z, z)
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest = None
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            rest = table if rest is None else pa.concat_tables([rest, table])
+            key, i, j = (rest.column(c).to_numpy() for c in ("key", "i", "j"))
+            cuts = np.flatnonzero((key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1
+            for s, e in zip([0, *cuts[:-1]], cuts, strict=False):
+                a, b = pairs(rest.slice(s, e - s))
+                if len(a):
+                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+            if len(cuts):
+                rest = rest.slice(cuts[-1])
+        if rest is not None and rest.num_rows:
+            a, b = pairs(rest)
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
+    return of
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -149,19 +207,14 @@ def _first_of(copies: DataFrame, df: DataFrame, column: str) -> DataFrame:
     return df.join(of, df[column] == of["__id"], "left").withColumn(column, F.coalesce("__first", column)).drop("__id", "__first")
 
 
-def _pairs(lists: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Pairs to compare next, and the lists that may go on: (key, doc, n, component) rows in, all of lists with several components.
-
-    Short lists pair all sets of different components; longer ones pair their first set with the others and lose it.
-    """
-    by = lists.groupBy("key").agg(F.count("*").alias("size"), F.min(F.struct("doc", "n", "component")).alias("p"))
-    on = lists.join(by, "key")
-    star = on.where((F.col("size") > SHORT_LIST) & (F.col("component") != F.col("p.component"))).select(F.col("p.doc").alias("a"), F.col("p.n").alias("na"), F.col("doc").alias("b"), F.col("n").alias("nb"))
-    short = on.where(F.col("size") <= SHORT_LIST)
-    each = short.groupBy("key").agg(F.collect_list(F.struct("doc", "n", "component")).alias("m"))
-    left = each.select("m", F.explode("m").alias("l")).select("l", F.explode("m").alias("r"))
-    full = left.where("l.doc < r.doc and l.component <> r.component").select(F.col("l.doc").alias("a"), F.col("l.n").alias("na"), F.col("r.doc").alias("b"), F.col("r.n").alias("nb"))
-    return star.unionByName(full), on.where((F.col("size") > SHORT_LIST) & (F.col("doc") != F.col("p.doc"))).select("key", "doc", "n")
+def _close_pairs(rest: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs to compare in lists of several components (rows: key, doc, n, component)."""
+    sizes = rest.groupBy("key").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks"))
+    own = F.pmod(F.xxhash64("doc"), F.col("chunks")).cast("int")
+    meet = lambda o: F.struct(F.least(own, o).alias("i"), F.greatest(own, o).alias("j"), (own > o).cast("int").alias("side"))
+    dealt = rest.join(sizes, "key").withColumn("m", F.explode(F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), meet)))
+    rows = dealt.join(sets.select(F.col("doc_id").alias("doc"), "bits"), "doc").select("key", "m.i", "m.j", "m.side", "doc", "n", "component", "bits")
+    return rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "side", "doc").mapInArrow(_close(percent), "a long, b long").distinct()
 
 
 def grouped(docs: DataFrame, width: int = 3, percent: int = 90) -> DataFrame:
@@ -185,21 +238,17 @@ def grouped(docs: DataFrame, width: int = 3, percent: int = 90) -> DataFrame:
 
     lists = _first_of(copies, _first_of(copies, listed.where("at > 0"), "doc"), "pivot").where("doc <> pivot")
     lists = written(lists.select("key", "pivot", "pn", "doc", "n").distinct())
-    members = lists.select("key", "doc", "n")
-    pairs = lists.select(F.col("pivot").alias("a"), F.col("pn").alias("na"), F.col("doc").alias("b"), F.col("n").alias("nb"))
     asked = lists.select(F.col("pivot").alias("doc_id")).unionByName(lists.select(F.col("doc").alias("doc_id"))).distinct()
-    sets = written(_chosen(rows, written(asked)).mapInArrow(_sets(width), "doc_id long, hashes array<long>"))
-    links = None
-    while True:
-        new = written(verified(pairs.where(_sizes_fit(percent)).select("a", "b").distinct(), sets, percent))
-        links = new if links is None else links.unionByName(new)
-        found = components(links)
-        placed = members.join(found.withColumnRenamed("node", "doc"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
-        mixed = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("key")
-        rest = written(placed.join(mixed, "key", "left_semi").select("key", "doc", "n", "component").distinct())
-        if rest.isEmpty():
-            break
-        pairs, members = _pairs(rest)
+    sets = written(_chosen(rows, written(asked)).mapInArrow(_sets(width, percent), "doc_id long, bits array<long>, hashes array<long>"))
+    fit = 100 * F.least("n", "pn") >= percent * F.greatest("n", "pn")
+    links = written(verified(lists.where(fit).select(F.col("pivot").alias("a"), F.col("doc").alias("b")).distinct(), sets, percent))
+    found = components(links)
+    placed = lists.join(found.withColumnRenamed("node", "doc"), "doc", "left").select("key", "doc", "n", F.coalesce("component", "doc").alias("component"))
+    mixed = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("key")
+    rest = written(placed.join(mixed, "key", "left_semi").distinct())
+    more = written(verified(_close_pairs(rest, sets, percent), sets, percent))
+    if not more.isEmpty():
+        found = components(links.unionByName(more))
     out = _first_of(copies, sizes.withColumn("component_id", F.col("doc_id")), "component_id")
     out = out.join(found.withColumnRenamed("node", "component_id"), "component_id", "left")
     out = out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.coalesce("component", "component_id")).alias("component_id"))
