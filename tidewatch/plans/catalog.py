@@ -1,4 +1,7 @@
-"""All registered queries of the surveillance library."""
+"""All registered queries of the surveillance library, with their SQL.
+
+Names begin with the operator's number in the survey. SQL is left out where it can't express the operator.
+"""
 
 from __future__ import annotations
 
@@ -6,16 +9,36 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-FLAGSHIP = "scan_count"
+Query = Callable[[SparkSession, str], DataFrame]
+
+FLAGSHIP = "t1_top_wallets"
+_queries: dict[str, Query] = {}
+_sql: dict[str, str] = {}
+
+
+def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
+    """Registers a query under a name."""
+
+    def register(f: Query) -> Query:
+        if name in _queries:
+            raise ValueError(f"two queries named {name}")
+        _queries[name] = f
+        if sql is not None:
+            _sql[name] = sql
+        return f
+
+    return register
 
 
-def _scan_count(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/events.parquet").groupBy("event_type").count().withColumnRenamed("count", "n")
+def _load() -> None:
+    from . import detection, grading, integrity, scalars, trading  # noqa: F401
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"scan_count": _scan_count}
+def queries() -> dict[str, Query]:
+    _load()
+    return dict(_queries)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"scan_count": "SELECT event_type, count(*) AS n FROM events GROUP BY event_type"}
+    _load()
+    return dict(_sql)
