@@ -19,7 +19,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import documents
@@ -306,16 +306,13 @@ def deduplicated(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, block_
     Null texts are empty; a document without an id neither removes nor loses bytes; rows with the same id don't remove
     from each other. Strings are judged on the input, not on what is left. An empty table gives no rows.
     """
-    seen = Observation()
     rows = documents(docs).withColumn("text", F.coalesce("text", F.lit("")))
     size = F.octet_length("text")
-    measured = rows.observe(seen, F.sum(size.cast("long")).alias("bytes"), F.count("*").alias("rows"))
-    copies = measured.groupBy(F.md5("text").alias("digest")).agg(F.count("*").alias("n"), F.min("doc_id").alias("least"))
-    most = copies.agg(F.max("n")).first()[0] or 0
-    total = seen.get
-    blocks = max(1, -(-(total["bytes"] or 0) // block_bytes))
+    copies = rows.groupBy(F.md5("text").alias("digest"), size.cast("long").alias("size")).agg(F.count("*").alias("n"))
+    most, n_rows, n_bytes = (x or 0 for x in copies.agg(F.max("n"), F.sum("n"), F.sum(F.col("n") * F.col("size"))).first())
+    blocks = max(1, -(-n_bytes // block_bytes))
     # At most as many digests as blocks have more copies than a block has rows on average.
-    limit = max(1000, total["rows"] // blocks)
+    limit = max(1000, n_rows // blocks)
     many = None
     if most > limit:
         many = rows.groupBy(F.md5("text").alias("digest")).agg(F.count("*").alias("n"), F.min("doc_id").alias("least")).where(F.col("n") > limit).select("digest", "least")
