@@ -218,3 +218,20 @@ def remove_documents(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW
     bad = contamination(docs, benchmark, window, share, block_bytes).where("contaminated").select("row_key").distinct()
     keyed = docs.withColumn("__row_key", F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string")))
     return keyed.join(bad, F.col("__row_key") == bad["row_key"], "left_anti").drop("__row_key")
+
+
+def sql(window: int = WINDOW, share: int = 20) -> str:
+    """The same in DuckDB's SQL over documents and benchmark."""
+    words = lambda t: f"regexp_extract_all(translate({t}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\\x{{80}}-\\x{{10FFFF}}]+')"
+    return f"""
+WITH d AS (SELECT doc_id, coalesce({words("text")}, []) AS w FROM documents),
+b AS (SELECT CAST(item_id AS VARCHAR) AS item_id, {words("text")} AS w FROM benchmark WHERE item_id IS NOT NULL),
+n AS (SELECT *, least({window}, len(w)) AS n FROM b WHERE len(w) > 0),
+win AS (SELECT DISTINCT item_id, n, list_slice(w, i, i + n - 1) AS g FROM (SELECT *, unnest(range(1, CAST(len(w) - n + 2 AS BIGINT))) AS i FROM n)),
+sizes AS (SELECT DISTINCT n FROM win),
+dw AS (SELECT doc_id, n, i, list_slice(w, i, i + n - 1) AS g FROM (SELECT doc_id, w, n, unnest(range(1, CAST(greatest(len(w) - n + 2, 1) AS BIGINT))) AS i FROM d, sizes)),
+hits AS (SELECT doc_id, i, n, item_id FROM dw JOIN win USING (n, g)),
+places AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM (SELECT DISTINCT doc_id, i, n FROM hits)) GROUP BY 1),
+items AS (SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS ids FROM (SELECT DISTINCT doc_id, item_id FROM hits) GROUP BY 1)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND {share} * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM d LEFT JOIN places USING (doc_id) LEFT JOIN items USING (doc_id)"""

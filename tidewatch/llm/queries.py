@@ -62,4 +62,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_license_scan": licenses.sql()}
+    return {"op4_ngram_jaccard": similarity.sql(3, 90), "op8_license_scan": licenses.sql(), "op9_decontamination": decontaminate.sql()}

@@ -268,3 +268,16 @@ def deduplicated(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFram
     gone = written(grouped(docs, width, percent).where("component_id < doc_id").select(F.col("doc_id").alias("__gone")).distinct())
     few = gone.count() <= SENT_IDS
     return docs.join(F.broadcast(gone) if few else gone, F.col("doc_id").cast("long") == F.col("__gone"), "left_anti")
+
+
+def sql(width: int = 3, percent: int = 90) -> str:
+    """The same as grouped in DuckDB's SQL over documents."""
+    return f"""
+WITH RECURSIVE d AS (SELECT doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+'), []) AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, list_slice(w, i, i + {width - 1}) AS g FROM (SELECT doc_id, w, unnest(range(1, CAST(greatest(len(w) - {width - 1}, 1) + 1 AS BIGINT))) AS i FROM d WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+c AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b FROM c JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * k >= {percent} * (x.n + y.n - k)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r AS (SELECT doc_id AS a, doc_id AS b FROM d UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id FROM (SELECT a AS doc_id, min(b) AS component_id FROM r GROUP BY 1) LEFT JOIN n USING (doc_id)"""
