@@ -136,12 +136,21 @@ def parity_bits(hashes: np.ndarray, percent: int) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8), bitorder="little").view("<u8")
 
 
-def _sets(width: int, percent: int):
+def _sets(width: int):
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [shingle_set(x, width).view(np.int64) for x in column_bytes(batch, "text")]
+            yield pa.RecordBatch.from_arrays([batch.column(0), _listed(sets)], ["doc_id", "hashes"])
+
+    return of
+
+
+def _bits(width: int, percent: int):
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [shingle_set(x, width) for x in column_bytes(batch, "text")]
             bits = [parity_bits(h, percent).view(np.int64) for h in sets]
-            yield pa.RecordBatch.from_arrays([batch.column(0), _listed(bits), _listed([h.view(np.int64) for h in sets])], ["doc_id", "bits", "hashes"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(list(map(len, sets)), pa.int64()), _listed(bits)], ["doc_id", "n", "bits"])
 
     return of
 
@@ -193,8 +202,29 @@ def _close(percent: int):
     return of
 
 
-def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _apart(x: Column, y: Column) -> Column:
+    """Places in which two bit sets differ, the larger one folded."""
+    k = F.least(F.size(x), F.size(y))
+
+    def folded(bits: Column) -> Column:
+        word = lambda i: F.aggregate(F.sequence(F.lit(0), F.floor(F.size(bits) / k).cast("int") - 1), F.lit(0).cast("long"), lambda a, j: a.bitwiseXOR(F.get(bits, i + j * k)))
+        return F.transform(F.sequence(F.lit(0), k - 1), word)
+
+    return F.aggregate(F.zip_with(folded(x), folded(y), lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda a, n: a + n)
+
+
+def _possible(pairs: DataFrame, bits: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose sizes and bits don't rule out a link."""
+    side = lambda c, n, x: bits.select(F.col("doc_id").alias(c), F.col("n").alias(n), F.col("bits").alias(x))
+    both = pairs.join(side("b", "nb", "y"), "b").join(side("a", "na", "x"), "a")
+    both = both.where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
+    return both.where(_apart(F.col("x"), F.col("y")) * (100 + percent) <= (F.col("na") + F.col("nb")) * (100 - percent)).select("a", "b")
+
+
+def verified(pairs: DataFrame, rows: DataFrame, width: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose sets are similar. A set goes to the other side of each of its pairs."""
+    ids = written(pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct())
+    sets = written(_chosen(rows, ids).mapInArrow(_sets(width), "doc_id long, hashes array<long>"))
     left = pairs.join(sets.select(F.col("doc_id").alias("b"), F.col("hashes").alias("y")), "b")
     both = left.join(sets.select(F.col("doc_id").alias("a"), F.col("hashes").alias("x")), "a")
     common = F.size(F.array_intersect("x", "y"))
@@ -207,13 +237,13 @@ def _first_of(copies: DataFrame, df: DataFrame, column: str) -> DataFrame:
     return df.join(of, df[column] == of["__id"], "left").withColumn(column, F.coalesce("__first", column)).drop("__id", "__first")
 
 
-def _close_pairs(rest: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _close_pairs(rest: DataFrame, bits: DataFrame, percent: int) -> DataFrame:
     """Pairs to compare in lists of several components (rows: key, doc, n, component)."""
     sizes = rest.groupBy("key").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks"))
     own = F.pmod(F.xxhash64("doc"), F.col("chunks")).cast("int")
     meet = lambda o: F.struct(F.least(own, o).alias("i"), F.greatest(own, o).alias("j"), (own > o).cast("int").alias("side"))
     dealt = rest.join(sizes, "key").withColumn("m", F.explode(F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), meet)))
-    rows = dealt.join(sets.select(F.col("doc_id").alias("doc"), "bits"), "doc").select("key", "m.i", "m.j", "m.side", "doc", "n", "component", "bits")
+    rows = dealt.join(bits.select(F.col("doc_id").alias("doc"), "bits"), "doc").select("key", "m.i", "m.j", "m.side", "doc", "n", "component", "bits")
     return rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "side", "doc").mapInArrow(_close(percent), "a long, b long").distinct()
 
 
@@ -239,14 +269,15 @@ def grouped(docs: DataFrame, width: int = 3, percent: int = 90) -> DataFrame:
     lists = _first_of(copies, _first_of(copies, listed.where("at > 0"), "doc"), "pivot").where("doc <> pivot")
     lists = written(lists.select("key", "pivot", "pn", "doc", "n").distinct())
     asked = lists.select(F.col("pivot").alias("doc_id")).unionByName(lists.select(F.col("doc").alias("doc_id"))).distinct()
-    sets = written(_chosen(rows, written(asked)).mapInArrow(_sets(width, percent), "doc_id long, bits array<long>, hashes array<long>"))
+    bits = written(_chosen(rows, written(asked)).mapInArrow(_bits(width, percent), "doc_id long, n long, bits array<long>"))
     fit = 100 * F.least("n", "pn") >= percent * F.greatest("n", "pn")
-    links = written(verified(lists.where(fit).select(F.col("pivot").alias("a"), F.col("doc").alias("b")).distinct(), sets, percent))
+    first = written(_possible(lists.where(fit).select(F.col("pivot").alias("a"), F.col("doc").alias("b")).distinct(), bits, percent))
+    links = written(verified(first, rows, width, percent))
     found = components(links)
     placed = lists.join(found.withColumnRenamed("node", "doc"), "doc", "left").select("key", "doc", "n", F.coalesce("component", "doc").alias("component"))
     mixed = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("key")
     rest = written(placed.join(mixed, "key", "left_semi").distinct())
-    more = written(verified(_close_pairs(rest, sets, percent), sets, percent))
+    more = written(verified(written(_close_pairs(rest, bits, percent)), rows, width, percent))
     if not more.isEmpty():
         found = components(links.unionByName(more))
     out = _first_of(copies, sizes.withColumn("component_id", F.col("doc_id")), "component_id")
