@@ -20,7 +20,7 @@ def _total(xs: Column) -> Column:
 def _by_wallet(items: Column) -> Column:
     """Largest sum of one wallet."""
     wallets = F.array_distinct(F.transform(items, lambda x: x["wallet"]))
-    return F.array_max(F.transform(wallets, lambda w: F.round(_total(F.transform(F.filter(items, lambda x: x["wallet"] == w), lambda x: x["notional"])), 6)))
+    return F.array_max(F.transform(wallets, lambda w: F.round(_total(F.transform(F.filter(items, lambda x: x["wallet"] == w), lambda x: x["notional"])), 9)))
 
 
 def _raw_features(trades: DataFrame, c: Detector) -> DataFrame:
@@ -36,12 +36,12 @@ def _raw_features(trades: DataFrame, c: Detector) -> DataFrame:
     now = w.rangeBetween(-c.window_s * second, Window.currentRow)
     past = w.rangeBetween(-2 * c.window_s * second, -c.window_s * second - 1)
     item = F.struct("wallet", "notional", "side", "outcome_side", "price", "first_seen", "ts")
-    rows = rows.withColumn("cur", F.filter(F.collect_list(item).over(now), lambda x: x["notional"].isNotNull())).withColumn("n_prev", F.count("notional").over(past)).withColumn("prev_notional", F.round(F.coalesce(F.sum("notional").over(past), F.lit(0.0)), 6))
+    rows = rows.withColumn("cur", F.filter(F.collect_list(item).over(now), lambda x: x["notional"].isNotNull())).withColumn("n_prev", F.count("notional").over(past)).withColumn("prev_notional", F.round(F.coalesce(F.sum("notional").over(past), F.lit(0.0)), 9))
     priced = F.when(F.col("price").isNotNull(), F.col("__t"))
     for name, frame in (("cur", now), ("prev", past)):
         rows = rows.withColumn(f"{name}_first", F.first("price", ignorenulls=True).over(frame)).withColumn(f"{name}_last", F.last("price", ignorenulls=True).over(frame)).withColumn(f"{name}_minutes", (F.max(priced).over(frame) - F.min(priced).over(frame)) / 60e6)
     # Amounts have few decimals: rounding sums makes them independent of the order of addition.
-    pick = lambda f: F.round(_total(F.transform(F.filter("cur", f), lambda x: x["notional"])), 6)
+    pick = lambda f: F.round(_total(F.transform(F.filter("cur", f), lambda x: x["notional"])), 9)
     start = F.col("ts") - F.make_interval(secs=F.lit(c.window_s))
     fresh = lambda x: x["wallet"].isNotNull() & (x["first_seen"] >= start)
     rows = rows.withColumn("total", pick(lambda x: F.lit(True))).where(F.col("notional").isNotNull() & (F.col("total") >= c.min_notional))

@@ -20,13 +20,13 @@ DAYS = Detector(window_s=86400, history_s=172800, cooldown_s=3 * 86400, fresh_wa
 _FEATURES = f"""{D.STREAM}, s AS (SELECT *, first_value(ts) OVER (PARTITION BY wallet ORDER BY seq) AS first_seen FROM stream),
 pairs AS (SELECT i.seq, i.market_id, i.ts, p.seq AS pseq, p.ts AS pts, p.wallet, p.side, p.outcome_side, p.notional, p.price, p.first_seen, p.ts >= i.ts - INTERVAL 1 DAY AS cur
  FROM s i JOIN s p ON p.market_id = i.market_id AND p.ts <= i.ts AND p.ts >= i.ts - INTERVAL 2 DAY),
-byw AS (SELECT seq, max(x) AS biggest FROM (SELECT seq, wallet, round(sum(notional), 6) AS x FROM pairs WHERE cur GROUP BY 1, 2) GROUP BY 1),
-c AS (SELECT seq, market_id, any_value(ts) AS ts, count(*) AS n_trades, round(sum(notional), 6) AS total,
- count(DISTINCT wallet) FILTER (first_seen >= ts - INTERVAL 1 DAY) AS fresh_count, round(coalesce(sum(notional) FILTER (first_seen >= ts - INTERVAL 1 DAY), 0), 6) AS fresh,
- abs(round(coalesce(sum(notional) FILTER (side = 'BUY'), 0), 6) - round(coalesce(sum(notional) FILTER (side = 'SELL'), 0), 6)) AS imb,
+byw AS (SELECT seq, max(x) AS biggest FROM (SELECT seq, wallet, round(sum(notional), 9) AS x FROM pairs WHERE cur GROUP BY 1, 2) GROUP BY 1),
+c AS (SELECT seq, market_id, any_value(ts) AS ts, count(*) AS n_trades, round(sum(notional), 9) AS total,
+ count(DISTINCT wallet) FILTER (first_seen >= ts - INTERVAL 1 DAY) AS fresh_count, round(coalesce(sum(notional) FILTER (first_seen >= ts - INTERVAL 1 DAY), 0), 9) AS fresh,
+ abs(round(coalesce(sum(notional) FILTER (side = 'BUY'), 0), 9) - round(coalesce(sum(notional) FILTER (side = 'SELL'), 0), 9)) AS imb,
  arg_max(price, pts) - arg_min(price, pts) AS dp, (epoch_us(max(pts)) - epoch_us(min(pts))) / 60e6 AS mins,
- round(coalesce(sum(notional) FILTER (outcome_side = 'YES'), 0), 6) AS yes, round(coalesce(sum(notional) FILTER (outcome_side = 'NO'), 0), 6) AS no FROM pairs WHERE cur GROUP BY 1, 2),
-q AS (SELECT seq, count(*) AS n_prev, round(sum(notional), 6) AS prev, arg_max(price, pts) - arg_min(price, pts) AS dp, (epoch_us(max(pts)) - epoch_us(min(pts))) / 60e6 AS mins FROM pairs WHERE NOT cur GROUP BY 1),
+ round(coalesce(sum(notional) FILTER (outcome_side = 'YES'), 0), 9) AS yes, round(coalesce(sum(notional) FILTER (outcome_side = 'NO'), 0), 9) AS no FROM pairs WHERE cur GROUP BY 1, 2),
+q AS (SELECT seq, count(*) AS n_prev, round(sum(notional), 9) AS prev, arg_max(price, pts) - arg_min(price, pts) AS dp, (epoch_us(max(pts)) - epoch_us(min(pts))) / 60e6 AS mins FROM pairs WHERE NOT cur GROUP BY 1),
 raw AS (SELECT c.seq, market_id, ts, CAST(n_trades AS INTEGER) AS n_trades, total AS notional, CAST(fresh_count AS INTEGER) AS fresh_count, fresh / total AS fresh_share, imb / total AS imbalance,
  biggest / total AS concentration, CASE WHEN c.mins <> 0 THEN c.dp / c.mins ELSE 0 END AS velocity,
  CASE WHEN c.mins <> 0 THEN c.dp / c.mins ELSE 0 END - coalesce(CASE WHEN q.mins <> 0 THEN q.dp / q.mins ELSE 0 END, 0) AS acceleration,

@@ -68,14 +68,14 @@ def stream(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("event_id").alias("seq"), F.get_json_object("props", "$.k").alias("market_id"), F.col("ts").cast("timestamp").alias("ts"),
         F.concat(F.lit("u"), F.col("user_id")).alias("wallet"), F.when(F.col("event_type").isin("purchase", "signup", "view"), "BUY").otherwise("SELL").alias("side"),
         F.when(F.col("event_type").isin("purchase", "error"), "YES").otherwise("NO").alias("outcome_side"),
-        (F.col("value") * 1.000123).alias("notional"), (F.col("value") / (F.col("value") + 10.0)).alias("price"))
+        (F.col("value") * 1.000123456789).alias("notional"), (F.col("value") / (F.col("value") + 10.0)).alias("price"))
 
 
 STREAM = """stream AS (
  SELECT event_id AS seq, json_extract_string(props, '$.k') AS market_id, ts, 'u' || user_id AS wallet,
   CASE WHEN event_type IN ('purchase', 'signup', 'view') THEN 'BUY' ELSE 'SELL' END AS side,
   CASE WHEN event_type IN ('purchase', 'error') THEN 'YES' ELSE 'NO' END AS outcome_side,
-  value * 1.000123 AS notional, value / (value + 10.0) AS price FROM events)"""
+  value * 1.000123456789 AS notional, value / (value + 10.0) AS price FROM events)"""
 
 
 def kind(spark: SparkSession, sf_dir: str, event_type: str) -> DataFrame:
