@@ -99,7 +99,7 @@ def category_key(category: Column, tags: Column) -> Column:
 def dedupe_key(tx_hash: Column, condition: Column, asset: Column, side: Column, price: Column, size: Column, time: Column) -> Column:
     """The transaction's hash in lower case, else a text of the trade's own fields."""
     text = lambda c: F.coalesce(c.cast("string"), F.lit(""))
-    number = lambda c: F.coalesce(F.format_string("%.12f", c), F.lit(""))
+    number = lambda c: F.when(c.isNotNull(), F.format_string("%.12f", c)).otherwise("")
     own = F.concat_ws("|", text(condition), text(asset), text(side), number(price), number(size), text(time))
     return F.coalesce(F.lower(blank_to_null(tx_hash)), own)
 

@@ -28,7 +28,7 @@ def two_sided(trades: DataFrame) -> DataFrame:
 
 def duplicate_identity(trades: DataFrame) -> DataFrame:
     """Identity of each trade: its transaction's hash, else its own fields; flags of what it rests on."""
-    number = lambda c: F.format_string("%.6f", F.col(c))
+    number = lambda c: F.when(F.col(c).isNotNull(), F.format_string("%.6f", F.col(c)))
     own = F.concat_ws("|", "condition_id", "asset_id", "outcome_side", number("price"), number("size"), F.date_format("ts", "yyyy-MM-dd HH:mm:ss"))
     return trades.select("trade_id", "source", "priority", "market_id", "notional", F.coalesce(F.lower(S.blank_to_null(F.col("tx_hash"))), own).alias("identity"), S.is_present(F.col("tx_hash")).alias("by_hash"))
 

@@ -31,7 +31,7 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def _load() -> None:
-    from . import detection, grading, integrity, scalars, trading  # noqa: F401
+    from . import detection, grading, integrity, reporting, scalars, trading  # noqa: F401
 
 
 def queries() -> dict[str, Query]:
