@@ -18,7 +18,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import column_bytes, column_list, documents
+from .common import column_bytes, column_list, documents, small_batches
 
 WINDOW = 13
 BLOCK_BYTES = 16 << 20
@@ -206,7 +206,7 @@ def _strip(index: Broadcast, share: int, spans: bool):
 def remove_spans(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, share: int = 20, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """docs (all columns) without contaminated documents and without hit passages in the others, one block after the other."""
     for index in indexes(benchmark, window, block_bytes):
-        docs = docs.mapInArrow(_strip(index, share, True), docs.schema)
+        docs = small_batches(docs).mapInArrow(_strip(index, share, True), docs.schema)
     return docs
 
 
@@ -214,7 +214,7 @@ def remove_documents(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW
     """docs (all columns) without contaminated documents; the others stay as they are."""
     found = indexes(benchmark, window, block_bytes)
     if len(found) == 1:
-        return docs.mapInArrow(_strip(found[0], share, False), docs.schema)
+        return small_batches(docs).mapInArrow(_strip(found[0], share, False), docs.schema)
     bad = contamination(docs, benchmark, window, share, block_bytes).where("contaminated").select("row_key").distinct()
     keyed = docs.withColumn("__row_key", F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string")))
     return keyed.join(bad, F.col("__row_key") == bad["row_key"], "left_anti").drop("__row_key")

@@ -16,7 +16,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import column_bytes, column_list, documents, written
+from .common import column_bytes, column_list, documents, small_batches, written
 
 #: Labelled documents of each language that the text model is fitted on, at most (those of smallest hash of doc_id).
 FIT_DOCS = 500
@@ -27,7 +27,7 @@ LEAN = 10.0
 #: Rows whose best language is less probable than this are rejected.
 LEAST = 0.5
 #: Words whose likelihoods a worker keeps, at most.
-_KEPT = 300_000
+_KEPT = 100_000
 
 _TABLE = bytes(b + 32 if 0x41 <= b <= 0x5A else b if 0x61 <= b <= 0x7A or b >= 0x80 else 0x20 for b in range(256))
 
@@ -147,7 +147,7 @@ def fused(rows: DataFrame, model: TextModel, lean: float = LEAN) -> DataFrame:
     fields = [F.col("row_id"), F.col("text"), *(F.coalesce(c, F.lit("")).alias(c) for c in ("declared", "suffix", "domain", "host"))]
     sent = rows.sparkSession.sparkContext.broadcast(model)
     kind = dict(rows.dtypes)["row_id"]
-    scored = written(rows.select(*fields).mapInArrow(_score(sent), f"row_id {kind}, declared string, suffix string, domain string, host string, evidence array<double>, n_words long"))
+    scored = written(small_batches(rows).select(*fields).mapInArrow(_score(sent), f"row_id {kind}, declared string, suffix string, domain string, host string, evidence array<double>, n_words long"))
     soft = scored.withColumn("q", _softmax(F.col("evidence")))
 
     totals = soft.where("n_words > 0").agg(_sums("q", k).alias("s"), F.count("*").alias("n")).first()

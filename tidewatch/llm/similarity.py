@@ -25,6 +25,8 @@ from .components import components
 
 #: Sets of one list that a task holds on each side, at most (about).
 CHUNK = 4096
+#: Words of parity bits that are compared at once, about.
+PLACES = 1 << 18
 _LOWER = bytes(b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
 _MUL = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
@@ -166,19 +168,27 @@ def _close(percent: int):
 
     def pairs(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
         doc, n, component, side = (rows.column(c).to_numpy() for c in ("doc", "n", "component", "side"))
-        bits = [np.array(x, dtype=np.int64) for x in rows.column("bits").to_pylist()]
-        words = min(map(len, bits))
-        x = np.stack([_folded(b, words) for b in bits]).view(np.uint64)
-        crossed = bool(side.any())
+        listed = rows.column("bits").combine_chunks()
+        offsets, flat = listed.offsets.to_numpy(), listed.values.to_numpy().view(np.uint64)
+        words = int(np.diff(offsets).min())
+        x = np.stack([_folded(flat[s:e], words) for s, e in zip(offsets[:-1], offsets[1:], strict=True)])
+        left = int((side == 0).sum())
+        crossed = left < len(doc)
+        right = np.arange(left, len(doc)) if crossed else np.arange(left)
+        step = max(1, PLACES // max(1, len(right) * words))  # rows of the left side at a time
         a, b = [], []
-        for i in range(int((side == 0).sum())):
-            to = np.arange(int((side == 0).sum()), len(doc)) if crossed else np.arange(i + 1, len(doc))
-            to = to[(component[to] != component[i]) & (100 * np.minimum(n[to], n[i]) >= percent * np.maximum(n[to], n[i]))]
-            if len(to):
-                apart = np.bitwise_count(x[to] ^ x[i]).sum(1, dtype=np.int64)
-                to = to[apart * (100 + percent) <= (n[to].astype(np.int64) + n[i]) * (100 - percent)]
-                a.append(np.minimum(doc[to], doc[i]))
-                b.append(np.maximum(doc[to], doc[i]))
+        for at in range(0, left, step):
+            i = np.arange(at, min(left, at + step))
+            n1, n2 = n[i, None].astype(np.int64), n[None, right].astype(np.int64)
+            may = (component[i, None] != component[None, right]) & (100 * np.minimum(n1, n2) >= percent * np.maximum(n1, n2))
+            if not crossed:
+                may &= i[:, None] < right[None, :]
+            p, q = np.nonzero(may)
+            apart = np.bitwise_count(x[i[p]] ^ x[right[q]]).sum(1, dtype=np.int64)
+            close = apart * (100 + percent) <= (n[i[p]].astype(np.int64) + n[right[q]]) * (100 - percent)
+            one, two = doc[i[p[close]]], doc[right[q[close]]]
+            a.append(np.minimum(one, two))
+            b.append(np.maximum(one, two))
         z = np.zeros(0, dtype=np.int64)
         return (np.concatenate(a), np.concatenate(b)) if a else (z, z)
 
@@ -275,7 +285,9 @@ def grouped(docs: DataFrame, width: int = 3, percent: int = 90) -> DataFrame:
     links = written(verified(first, rows, width, percent))
     found = components(links)
     placed = lists.join(found.withColumnRenamed("node", "doc"), "doc", "left").select("key", "doc", "n", F.coalesce("component", "doc").alias("component"))
-    mixed = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("key")
+    # Of lists with the same sets (told by two hashes and their number), one goes on.
+    whole = placed.select("key", "doc", "component").distinct().groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.bit_xor(F.xxhash64("doc")).alias("h"), F.bit_xor(F.xxhash64("doc", F.lit("again"))).alias("g"), F.count("*").alias("c"))
+    mixed = whole.where("low <> high").groupBy("h", "g", "c").agg(F.min("key").alias("key")).select("key")
     rest = written(placed.join(mixed, "key", "left_semi").distinct())
     more = written(verified(written(_close_pairs(rest, bits, percent)), rows, width, percent))
     if not more.isEmpty():

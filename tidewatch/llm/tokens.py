@@ -27,12 +27,12 @@ END = 0
 LENGTH = 2048
 ROWS = 64
 #: Space-separated pieces whose ids an encoder keeps, at most.
-KEPT = 600_000
+KEPT = 400_000
 SHORT = 8
 SHORT_TAILS = 10_000
 #: Pieces that are encoded in one call, and bytes of text whose pieces are collected.
 TOGETHER = 2048
-TEXT_BYTES = 8 << 20
+TEXT_BYTES = 4 << 20
 #: Marks that may follow a word; no apostrophe, which can begin a token with the letters after it.
 _MARKS = ".,;:!?*%$#&|"
 #: A byte-level vocabulary shows each byte as a character: printable ones as they are, the others from 256 on.

@@ -33,7 +33,7 @@ NEAREST = 16
 BLOCK = 64
 THRESHOLD = 0.7
 #: Words whose terms a worker keeps, at most.
-_KEPT = 300_000
+_KEPT = 100_000
 
 _TABLE = bytes(b + 32 if 0x41 <= b <= 0x5A else b if 0x61 <= b <= 0x7A or 0x30 <= b <= 0x39 or b >= 0x80 else 0x20 for b in range(256))
 
