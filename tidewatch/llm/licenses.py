@@ -59,29 +59,29 @@ def _spelled(text: Column) -> Column:
     return out
 
 
-def _plain(line: Column) -> Column:
-    """A line in canonical form; empty if it is a copyright line."""
-    out = F.trim(F.regexp_replace(line, "[^a-z0-9]+", " "))
-    return F.when(out.rlike("^(c )?copyright( |$)|^c [0-9]{4}( |$)"), F.lit("")).otherwise(out)
+_BREAK = "\u0001"
 
 
-def _joined(lines: Column) -> Column:
-    return F.array_join(F.filter(F.transform(lines, _plain), lambda x: x != ""), " ")
+def _forms(df: DataFrame) -> DataFrame:
+    """df with ``forms``: the distinct canonical forms of its text as a whole, of its paragraphs and of its lines.
 
-
-def units(text: Column) -> Column:
-    """The distinct canonical forms of the text, its paragraphs and its lines."""
-    spelled = _spelled(text)
-    paragraphs = F.transform(F.split(spelled, "\n[ \t\r]*\n"), lambda p: _joined(F.split(p, "\n")))
-    lines = F.transform(F.split(spelled, "\n"), _plain)
-    return F.filter(F.array_distinct(F.concat(F.array(_joined(F.split(spelled, "\n"))), paragraphs, lines)), lambda x: x != "")
+    Each line is made canonical once (copyright lines become empty); blank lines part the paragraphs.
+    """
+    lines = F.split(_spelled(F.col("text")), "\n")
+    plain = lambda x: F.when(F.trim(F.translate(x, "\t\r", "  ")) == "", F.lit(_BREAK)).otherwise(F.trim(F.regexp_replace(x, "[^a-z0-9]+", " ")))
+    owned = lambda x: F.when(x.startswith("copyright") | x.startswith("c "), F.when(x.rlike("^(c )?copyright( |$)|^c [0-9]{4}( |$)"), F.lit("")).otherwise(x)).otherwise(x)
+    tidy = lambda x: F.trim(F.regexp_replace(x, " +", " "))
+    out = df.withColumn("__lines", F.transform(F.transform(lines, plain), owned)).withColumn("__text", F.array_join("__lines", " "))
+    whole, parts = F.array(tidy(F.replace("__text", F.lit(_BREAK), F.lit(" ")))), F.transform(F.split("__text", _BREAK), tidy)
+    forms = F.filter(F.array_distinct(F.concat(whole, parts, "__lines")), lambda x: (x != "") & (x != _BREAK))
+    return out.withColumn("forms", forms).withColumn("paragraphs", parts).drop("__lines", "__text")
 
 
 def known(spark: SparkSession) -> DataFrame:
     """license_id and digest of each known text and of its longer paragraphs; a fixed table of a few dozen rows."""
-    texts = spark.createDataFrame(list(KNOWN), "license_id string, text string")
-    spelled = _spelled(F.col("text"))
-    parts = F.array_union(F.array(_joined(F.split(spelled, "\n"))), F.filter(F.transform(F.split(spelled, "\n[ \t\r]*\n"), lambda p: _joined(F.split(p, "\n"))), lambda x: F.length(x) >= LEAST))
+    texts = _forms(spark.createDataFrame(list(KNOWN), "license_id string, text string"))
+    long = F.array_join(F.filter("paragraphs", lambda x: x != ""), " ")
+    parts = F.array_union(F.array(long), F.filter("paragraphs", lambda x: F.length(x) >= LEAST))
     return texts.select("license_id", F.explode(parts).alias("form")).select("license_id", F.md5("form").alias("digest")).distinct()
 
 
@@ -90,7 +90,7 @@ def scan(docs: DataFrame) -> DataFrame:
 
     Texts without a licence (null and empty ones, too) give no row; rows of one id count together.
     """
-    rows = documents(docs).where("text is not null").select("doc_id", F.explode(units(F.col("text"))).alias("form"))
+    rows = _forms(documents(docs).where("text is not null")).select("doc_id", F.explode("forms").alias("form"))
     hits = rows.select("doc_id", F.md5("form").alias("digest")).join(F.broadcast(known(docs.sparkSession)), "digest")
     return hits.groupBy("doc_id", "license_id").agg(F.countDistinct("digest").alias("n_forms"))
 
