@@ -90,7 +90,7 @@ def scan(docs: DataFrame) -> DataFrame:
 
     Texts without a licence (null and empty ones, too) give no row; rows of one id count together.
     """
-    rows = _forms(documents(docs).where("text is not null")).select("doc_id", F.explode("forms").alias("form"))
+    rows = _forms(documents(docs).where("text is not null")).select("doc_id", F.explode_outer("forms").alias("form")).where("form is not null")
     hits = rows.select("doc_id", F.md5("form").alias("digest")).join(F.broadcast(known(docs.sparkSession)), "digest")
     return hits.groupBy("doc_id", "license_id").agg(F.countDistinct("digest").alias("n_forms"))
 
