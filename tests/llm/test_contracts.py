@@ -248,6 +248,30 @@ def test_pii_added_kinds_and_redaction(spark):
     assert not base_spans(out[1])
 
 
+def test_redaction_masks_what_is_found(spark):
+    far = "-" * 60
+    texts = [
+        f"ssn 123-45-6789 {far} code 123-45-6780",
+        f"ssn@x.org 123-45-6789, é 219-09-9999 {far} 219-09-9998",
+        "ssn " + "x" * 39 + " a.long.address@example.org 123-45-6789",
+        "password: 4012-8888-8888-1881, +1 (614) 555-8001",
+        "a@b.cd é 10.0.0.1 " * 700 + "end",
+        "nothing",
+    ]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    spans = {r.doc_id: [(x.start, x.end, x.kind) for x in r.spans] for r in pii.found(df).collect()}
+    out = {r.doc_id: r.text for r in pii.redacted(df).collect()}
+    for i, t in enumerate(texts):
+        made, to = "", 0
+        for start, end, kind in sorted(spans[i]):
+            made += f"{t[to:start]}[{kind.upper()}]" if start >= to else ""
+            to = max(to, end)
+        assert out[i] == made + t[to:]
+    assert out[0] == f"ssn [SSN] {far} code 123-45-6780"
+    assert out[1] == f"[EMAIL] [SSN], é 219-09-9999 {far} 219-09-9998"
+    assert "123-45-6789" in out[2] and out[3] == "[SECRET], [PHONE]"
+
+
 @pytest.mark.parametrize("block_bytes", [1 << 24, 3000])
 def test_contamination(docs, rows, bench, block_bytes):
     words = lambda x: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower(x or ""))

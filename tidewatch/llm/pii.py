@@ -107,13 +107,9 @@ def _spans(k: Kind) -> Column:
     return F.filter(spans, lambda x: x.isNotNull() if k.base else x.isNotNull() & (x["score"] >= LEAST))
 
 
-def found(docs: DataFrame) -> DataFrame:
-    """doc_id and ``spans`` (kind, start, end, score; in code points, by kind as listed, then start) of each document.
-
-    A null text is empty; equal rows get equal results. ``end`` is exclusive. Matches of one kind don't overlap, those of
-    different kinds may.
-    """
-    df = documents(docs).withColumn("text", F.coalesce("text", F.lit("")))
+def _with_spans(df: DataFrame) -> DataFrame:
+    """df (a column text without nulls; others of names that don't clash) with the confirmed spans of its texts."""
+    columns = df.columns
     for k in KINDS:
         df = df.withColumn(f"m_{k.name}", F.regexp_extract_all("text", F.lit(k.pattern), F.lit(0)))
     for k in KINDS:
@@ -124,7 +120,17 @@ def found(docs: DataFrame) -> DataFrame:
         df = df.withColumn(f"s_{k.name}", F.when(F.size(m) > 0, _starts(g, m)))
     for k in KINDS:
         df = df.withColumn(f"x_{k.name}", F.when(F.size(f"m_{k.name}") > 0, _spans(k)).otherwise(F.array().cast(_SPAN)))
-    return df.select("doc_id", F.concat(*(F.col(f"x_{k.name}") for k in KINDS)).alias("spans"))
+    return df.select(*columns, F.concat(*(F.col(f"x_{k.name}") for k in KINDS)).alias("spans"))
+
+
+def found(docs: DataFrame) -> DataFrame:
+    """doc_id and ``spans`` (kind, start, end, score; in code points, by kind as listed, then start) of each document.
+
+    A null text is empty; equal rows get equal results. ``end`` is exclusive. Matches of one kind don't overlap, those of
+    different kinds may.
+    """
+    df = documents(docs).withColumn("text", F.coalesce("text", F.lit("")))
+    return _with_spans(df).select("doc_id", "spans")
 
 
 def joined(spans: Column) -> Column:
@@ -142,32 +148,62 @@ def report(docs: DataFrame) -> DataFrame:
     return found(docs).select("doc_id", *map(count, base), F.sha2(joined(own), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
 
 
-def _masked(k: Kind) -> Callable[[Column], Column]:
-    """The text before match i, and the match or its mask."""
-    m, g = F.col("__m"), F.col("__g")
+def _let(x: Column, use: Callable[[Column], Column]) -> Column:
+    """use(x), with x computed once even where use refers to it within a lambda function."""
+    return F.get(F.transform(F.array(x), use), F.lit(0))
+
+
+def _masked(text: Column, spans: Column) -> Column:
+    """text with each span replaced by its kind in brackets; spans that overlap become one, of the kind that begins first."""
+    names = F.array(*(F.lit(k.name) for k in KINDS))
+    ordered = F.array_sort(F.transform(spans, lambda x: F.struct(x["start"].alias("start"), F.array_position(names, x["kind"]).alias("no"), x["end"].alias("end"), x["kind"].alias("kind"))))
+    block = lambda i: F.floor(i / _STEP).cast("int")
+    least = lambda a: F.coalesce(a, F.lit(0))
+
+    def covered(ends: Column, tops: Column) -> Column:
+        """How far the spans before each one reach, and all of them."""
+        one = lambda i: F.greatest(least(F.array_max(F.slice(tops, F.lit(1), block(i)))), least(F.array_max(F.slice(ends, block(i) * _STEP + 1, i % _STEP))))
+        return F.transform(F.sequence(F.lit(0), F.size(ends)), one)
+
+    def cut(whole: Column, base: Column, start: Column, end: Column) -> Column:
+        return F.substring(whole, start - base + 1, end - start)
 
-    def piece(i: Column) -> Column:
-        match = F.get(m, i)
-        sure = confirmed(k.name, match) if k.base or k.score >= LEAST else F.lit(False)
-        return F.concat(F.get(g, i), F.coalesce(F.when(sure, F.lit(f"[{k.name.upper()}]")).otherwise(match), F.lit("")))
+    def built(s: Column, to: Column) -> Column:
+        """The text in blocks of spans, so that many spans don't walk the whole text each."""
+        n = F.size(s)
 
-    return piece
+        def joined_block(b: Column) -> Column:
+            first, last = b * _STEP, F.least((b + 1) * _STEP, n)
+            base = F.get(to, first)
+
+            def piece(part: Column) -> Callable[[Column], Column]:
+                return lambda i: F.when(
+                    F.get(to, i) <= F.get(s, i)["start"],
+                    F.concat(cut(part, base, F.get(to, i), F.get(s, i)["start"]), F.lit("["), F.upper(F.get(s, i)["kind"]), F.lit("]")),
+                ).otherwise(F.lit(""))
+
+            return _let(cut(text, F.lit(0), base, F.get(to, last)), lambda part: F.array_join(F.transform(F.sequence(first, last - 1), piece(part)), ""))
+
+        blocks = F.transform(F.sequence(F.lit(0), block(n - 1)), joined_block)
+        return F.concat(F.array_join(blocks, ""), F.substring(text, F.get(to, n) + 1, F.length(text)))
+
+    def masked(s: Column) -> Column:
+        tops = lambda ends: F.transform(F.sequence(F.lit(0), block(F.size(ends) - 1)), lambda b: F.array_max(F.slice(ends, b * _STEP + 1, _STEP)))
+        to = lambda ends: _let(tops(ends), lambda t: covered(ends, t))
+        return _let(_let(F.transform(s, lambda x: x["end"]), to), lambda t: built(s, t))
+
+    return _let(ordered, masked)
 
 
 def redacted(docs: DataFrame) -> DataFrame:
-    """docs (all columns) with each confirmed match replaced by its kind in brackets, one kind after the other.
+    """docs (all columns) with the spans that ``found`` gives, scores with context included, replaced by their kinds in brackets.
 
     A null text stays null.
     """
     columns, kind = docs.columns, docs.schema["text"].dataType
-    df = docs
-    for k in KINDS:
-        m, g = F.col("__m"), F.col("__g")
-        df = df.withColumn("__m", F.regexp_extract_all(F.col("text").cast("string"), F.lit(k.pattern), F.lit(0)))
-        df = df.withColumn("__g", F.when(F.size(m) > 0, F.split("text", k.pattern, -1)))
-        pieces = F.transform(F.sequence(F.lit(0), F.size(m)), _masked(k))
-        df = df.withColumn("text", F.when(F.size(m) > 0, F.array_join(pieces, "")).otherwise(F.col("text")).cast(kind)).drop("__m", "__g")
-    return df.select(*columns)
+    df = docs.select(F.struct(*columns).alias("__row"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    text = F.when(F.size("spans") > 0, _masked(F.col("text"), F.col("spans")).cast(kind)).otherwise(F.col("__row")["text"])
+    return _with_spans(df).select(*(text.alias(c) if c == "text" else F.col("__row")[c].alias(c) for c in columns))
 
 
 def with_sizes(docs: DataFrame) -> DataFrame:
