@@ -337,6 +337,18 @@ def test_languages(spark, docs):
     assert kept.columns == docs.columns and {r.doc_id for r in docs.collect()} - {r.doc_id for r in kept.collect()} >= {1000, 1001, 1002}
 
 
+def test_all_languages_count(spark):
+    """Each language has words of its own; the rarest, beyond the 64th, is told as well."""
+    syllables = [f"{a}{b}{c}" for a in "bdgklmnprst" for b in "aeiou" for c in "vzxqj"]
+    own = lambda i: " ".join(syllables[(i * 3 + j) % 275] * 2 + syllables[(i * 3 + j) % 275] for j in range(3))
+    texts = [(10 * i + j, f"{own(i)} " * 8, f"l{i:02}", "s") for i in range(70) for j in range(1 if i == 69 else 2)]
+    df = spark.createDataFrame(texts, "doc_id long, text string, lang string, source string")
+    model = languages.fitted(df)
+    assert model.languages == [f"l{i:02}" for i in range(70)]
+    assert {r.row_id for r in languages.fused(languages.document_rows(df, F.col("doc_id")), model).where("lang = 'l69'").collect()} == {690}
+    assert languages.fitted(df, fit_docs=1).languages == model.languages
+
+
 def test_licenses(spark):
     mit = licenses.KNOWN[0][1]
     texts = ["Copyright (c) 2020 A. Nyone\n\n" + mit.replace("sublicense", "sub-license").upper(), "intro\nreleased under the MIT licence!\nend", "MIT", None, "Licensed under CC BY-NC 4.0."]

@@ -13,7 +13,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import column_bytes, column_list, documents, small_batches, written
@@ -26,6 +26,8 @@ FULL_WORDS = 30
 LEAN = 10.0
 #: Rows whose best language is less probable than this are rejected.
 LEAST = 0.5
+#: So many ids are sent to all executors; more are joined by a shuffle.
+SENT_ROWS = 1 << 21
 #: Words whose likelihoods a worker keeps, at most.
 _KEPT = 100_000
 
@@ -100,15 +102,12 @@ class TextModel:
 
 
 def fitted(docs: DataFrame, fit_docs: int = FIT_DOCS) -> TextModel:
-    """The text model from labelled documents (their column lang), at most fit_docs of each language."""
+    """The text model from labelled documents (their column lang), at most fit_docs of each language; all languages count."""
     labelled = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang")).where("doc_id is not null and lang is not null").distinct()
-    chosen = None
-    for (lang,) in labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(64).select("lang").collect():
-        own = labelled.where(F.col("lang") == lang).orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_docs)
-        chosen = own if chosen is None else chosen.unionByName(own)
-    if chosen is None:
-        return TextModel([])
-    texts = documents(docs).join(F.broadcast(chosen), "doc_id").select("lang", "text")
+    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
+    chosen = written(labelled.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= fit_docs).select("doc_id", "lang"))
+    few = chosen.count() <= SENT_ROWS
+    texts = documents(docs).join(F.broadcast(chosen) if few else chosen, "doc_id").select("lang", "text")
     counts = texts.mapInArrow(_count, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     return TextModel(sorted(tuple(r) for r in counts.collect()))
 
@@ -204,5 +203,5 @@ def accepted(docs: DataFrame) -> DataFrame:
     """docs (all columns) without rows that have no words or no probable language."""
     key = F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     gone = written(fused(document_rows(docs, key), fitted(docs)).where("lang is null").select("row_id").distinct())
-    few = gone.count() <= 1 << 21
+    few = gone.count() <= SENT_ROWS
     return docs.join(F.broadcast(gone) if few else gone, key == F.col("row_id"), "left_anti")
