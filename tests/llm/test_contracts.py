@@ -122,6 +122,19 @@ def test_token_files(spark, docs, rows, encoded, tmp_path):
     assert seen == every
 
 
+def test_literals_of_added_tokens(spark):
+    """The library's default settings: a literal of an added token is that token, and the texts after it shift."""
+    t = Tokenizer.from_file(tokens.default_tokenizer())
+    texts = ["plain text", "a <|endoftext|> b", "x<|endoftext|>", "<|endoftext|><|endoftext|> é", "a <|endoftext |> b <| endoftext", "after it"]
+    want = [[*t.encode(x, add_special_tokens=False).ids, 0] for x in texts]
+    assert want[1] == [64, 220, 50256, 275, 0]
+    assert [tokens.encoder(tokens.default_tokenizer()).encode(x).tolist() for x in texts] == [x[:-1] for x in want]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: (r.start, r.n_tokens, r.ids_crc32) for r in tokens.round_trip(df).collect()}
+    assert got == {i: (sum(map(len, want[:i])), len(x), crc(x)) for i, x in enumerate(want)}
+    assert sum(r.length for r in packing.packed(df).select(F.col("length")).collect()) == sum(map(len, want))
+
+
 def test_packing(docs, rows, encoded):
     got = packing.packed(docs, open_windows=4, merge=2).collect()
     pieces, sequences = {}, {}

@@ -73,7 +73,9 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.literals = sorted({t.content for t in self.tokenizer.get_added_tokens_decoder().values()})
+        if any(" " in x for x in self.literals):
+            raise ValueError("an added token contains a space, so that texts can't be encoded in pieces")
         self.model = self.tokenizer.model
         self.dtype = np.dtype("<u2") if self.tokenizer.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
         self.sizes = np.zeros(self.tokenizer.get_vocab_size(), dtype=np.int64)
@@ -136,6 +138,8 @@ class Encoder:
         is_head = np.zeros(len(codes), dtype=bool)
         is_head[heads] = True
         in_odd = np.logical_or.reduceat(_odd(pieces)[codes] & ~is_head, heads)
+        for x in self.literals:
+            in_odd |= pc.match_substring(texts, x).to_numpy(zero_copy_only=False)
         inner = ~is_head & ~np.repeat(in_odd, np.diff(offsets))
         used = np.zeros(n, dtype=bool)
         used[codes[inner]] = True
