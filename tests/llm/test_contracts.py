@@ -369,6 +369,20 @@ def test_licenses(spark):
     assert sorted((r.doc_id, r.license_id) for r in got.collect()) == [(0, "MIT"), (1, "MIT"), (4, "CC-BY-NC-4.0")]
 
 
+def test_entire_licenses(spark):
+    """Entire texts are found, those of like licences are told apart, and a table of one's own is read."""
+    full = dict(licenses.full_texts())
+    assert {"Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MPL-2.0", "CC0-1.0", "Unlicense"} <= set(full)
+    bsd = next(t for i, t in licenses.full_texts() if i == "BSD-3-Clause")
+    texts = [(f"Copyright 2001 A. Nyone\n\n{t}", i) for i, t in full.items()] + [("Copyright (c) 2020, B\n" + " ".join(bsd.split()).replace('"', "'").upper(), "BSD-3-Clause")]
+    df = spark.createDataFrame([(n, t) for n, (t, _) in enumerate(texts)], "doc_id long, text string")
+    got = sorted((r.doc_id, r.license_id) for r in licenses.scan(df).collect())
+    assert got == [(n, i) for n, (_, i) in enumerate(texts)]
+    own = spark.createDataFrame([("Own-1", "You may do as you like.\n\nNo warranty."), ("Own-2", None)], "license_id string, text string")
+    got = licenses.scan(spark.createDataFrame([(1, "you may do\nas you like.\n\nNO warranty"), (2, "no warranty")], "doc_id long, text string"), own)
+    assert [tuple(r) for r in got.collect()] == [(1, "Own-1", 1)]
+
+
 EMPTY = {
     "substrings": lambda d, b, l: substrings.deduplicated(d), "tokens": lambda d, b, l: tokens.round_trip(d), "similarity": lambda d, b, l: similarity.grouped(d), "quality": lambda d, b, l: quality.judged(d, l),
     "pii": lambda d, b, l: pii.report(d), "contamination": lambda d, b, l: decontaminate.contamination(d, b), "packing": lambda d, b, l: packing.packed(d), "toxicity": lambda d, b, l: toxicity.scored(d, l),

@@ -1,11 +1,15 @@
 """Licence scans by canonical digests.
 
 Texts are normalised (case, punctuation, copyright lines, equivalent spellings) and whole units (a text, each of its
-paragraphs, each of its lines) are looked up by digest in the table of known licences, by a hash join.
+paragraphs, each of its lines) are looked up by digest in the table of known licences, by a hash join. The table holds the
+short texts and notices of KNOWN, which may also be met by paragraph, and the entire texts that ``full_texts`` lists.
 """
 
 from __future__ import annotations
 
+from importlib import resources
+from itertools import product
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -52,6 +56,36 @@ KNOWN = (
 LEAST = 80
 
 
+#: Where the terms of a text end; what follows says how to apply them and is often left out.
+_END = "END OF TERMS AND CONDITIONS"
+
+
+def _bsd() -> list[tuple[str, str]]:
+    """The usual wordings of the BSD licences: with or without a title, a claim of all rights and numbers, for a holder or owner."""
+    text = (resources.files(__package__) / "license_texts" / "BSD-3-Clause.txt").read_text(encoding="utf-8")
+    text = text[text.index("Redistribution and use") :].replace("THE REGENTS AND", "THE COPYRIGHT HOLDERS AND").replace("the University", "the copyright holder")
+    third, rest = text.index("3. Neither"), text.index("THIS SOFTWARE")
+    bodies = (("BSD-3-Clause", "3", text), ("BSD-2-Clause", "2", text[:third] + "\n" + text[rest:]))
+    out = []
+    for (name, n, body), title, rights, numbers, who in product(bodies, ("", "BSD {}-Clause License", "The {}-Clause BSD License"), ("", "All rights reserved."), (True, False), ("HOLDER", "OWNER")):
+        body = body.replace("THE REGENTS OR", f"THE COPYRIGHT {who} OR")
+        for i in () if numbers else "123":
+            body = body.replace(f"\n{i}. ", "\n* ")
+        out.append((name, "\n\n".join(x for x in (title.format(n), rights, body) if x)))
+    return out
+
+
+def full_texts() -> list[tuple[str, str]]:
+    """license_id and text of the entire licences at hand (the files of license_texts), with and without their appendices."""
+    out = _bsd()
+    for file in sorted((resources.files(__package__) / "license_texts").iterdir(), key=lambda f: f.name):
+        if file.name.endswith(".txt"):
+            name, text = file.name.removesuffix(".txt"), file.read_text(encoding="utf-8")
+            terms = text[: text.index(_END)] if _END in text else text
+            out += [(name, text), (name, terms), (name, terms + _END)]
+    return out
+
+
 def _spelled(text: Column) -> Column:
     out = F.lower(text)
     for a, b in SPELLINGS:
@@ -77,26 +111,34 @@ def _forms(df: DataFrame) -> DataFrame:
     return out.withColumn("forms", forms).withColumn("paragraphs", parts).drop("__lines", "__text")
 
 
-def known(spark: SparkSession) -> DataFrame:
-    """license_id and digest of each known text and of its longer paragraphs; a fixed table of a few dozen rows."""
-    texts = _forms(spark.createDataFrame(list(KNOWN), "license_id string, text string"))
+def known(spark: SparkSession, texts: DataFrame | None = None) -> DataFrame:
+    """license_id and digest of each known text and of the longer paragraphs of those of KNOWN.
+
+    texts (license_id, text) are entire licences, ``full_texts`` by default. They count as a whole only: licences share
+    paragraphs, with others in the table and with some that aren't.
+    """
+    kind = "license_id string, text string"
     long = F.array_join(F.filter("paragraphs", lambda x: x != ""), " ")
     parts = F.array_union(F.array(long), F.filter("paragraphs", lambda x: F.length(x) >= LEAST))
-    return texts.select("license_id", F.explode(parts).alias("form")).select("license_id", F.md5("form").alias("digest")).distinct()
+    short = _forms(spark.createDataFrame(list(KNOWN), kind)).select("license_id", F.explode(parts).alias("form"))
+    texts = spark.createDataFrame(full_texts(), kind) if texts is None else texts
+    whole = _forms(texts.select("license_id", "text").where("text is not null")).select("license_id", long.alias("form")).where("form <> ''")
+    return short.unionByName(whole).select("license_id", F.md5("form").alias("digest")).distinct()
 
 
-def scan(docs: DataFrame) -> DataFrame:
+def scan(docs: DataFrame, texts: DataFrame | None = None) -> DataFrame:
     """doc_id, license_id and n_forms (distinct canonical units that match) for each licence found in a document.
 
-    Texts without a licence (null and empty ones, too) give no row; rows of one id count together.
+    texts is the table of entire licences, see ``known``. Texts without a licence (null and empty ones, too) give no row;
+    rows of one id count together.
     """
     rows = _forms(documents(docs).where("text is not null")).select("doc_id", F.explode_outer("forms").alias("form")).where("form is not null")
-    hits = rows.select("doc_id", F.md5("form").alias("digest")).join(F.broadcast(known(docs.sparkSession)), "digest")
+    hits = rows.select("doc_id", F.md5("form").alias("digest")).join(F.broadcast(known(docs.sparkSession, texts)), "digest")
     return hits.groupBy("doc_id", "license_id").agg(F.countDistinct("digest").alias("n_forms"))
 
 
 def sql() -> str:
-    """The same in DuckDB's SQL over documents."""
+    """The same in DuckDB's SQL over documents, for the texts of KNOWN."""
     spelled = "lower(text)"
     for a, b in SPELLINGS:
         spelled = f"replace({spelled}, '{a.replace(chr(39), chr(39) * 2)}', '{b}')"
