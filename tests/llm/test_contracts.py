@@ -339,6 +339,17 @@ def test_toxicity_held_out(spark):
     assert (ranks[got.toxic == 1].sum() - p * (p + 1) / 2) / (p * n) > 0.93
 
 
+@pytest.mark.parametrize("block_bytes", [1 << 24, 40])
+def test_contamination_by_items_without_id(spark, bench, block_bytes):
+    words = [f"word{i}" for i in range(40)]
+    items = spark.createDataFrame([(None, " ".join(words[:20])), (5, " ".join(words[20:])), (None, None)], bench.schema)
+    docs = spark.createDataFrame([(1, " ".join(words[:20])), (2, " ".join(words)), (3, "word1 word2")], "doc_id long, text string")
+    got = {r.doc_id: r for r in decontaminate.contamination(docs, items, block_bytes=block_bytes).collect()}
+    empty, five = (hashlib.sha256(x).hexdigest() for x in (b"", b"5"))
+    assert [(got[i].n_hit, got[i].n_items, got[i].items_sha256, got[i].contaminated) for i in (1, 2, 3)] == [(20, 0, empty, True), (40, 1, five, True), (0, 0, empty, False)]
+    assert [r.doc_id for r in decontaminate.remove_documents(docs, items, block_bytes=block_bytes).collect()] == [3]
+
+
 def test_languages(spark, docs):
     pages = spark.read.parquet(f"{SF}/pages.parquet")
     got = languages.identified_pages(pages, docs).collect()

@@ -55,11 +55,11 @@ def _chunks(window: int):
 
 
 class WindowIndex:
-    """Hash set of word windows, with the items of each."""
+    """Hash set of word windows, with the items of each (None: one without an id)."""
 
-    def __init__(self, chunks: list[tuple[str, bytes]], window: int) -> None:
+    def __init__(self, chunks: list[tuple[str | None, bytes]], window: int) -> None:
         self.vocabulary: dict[bytes, int] = {}
-        self.windows: dict[int, dict[tuple, set[str]]] = {}
+        self.windows: dict[int, dict[tuple, set[str | None]]] = {}
         for item, chunk in chunks:
             ids = [self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in chunk.split()]
             n = min(window, len(ids))
@@ -77,7 +77,7 @@ class WindowIndex:
         return h
 
     def hits(self, words: list[bytes]) -> tuple[list[int], list[int], set[str]]:
-        """Merged [start, end) word ranges of hit words, and the items."""
+        """Merged [start, end) word ranges of hit words, and the items that have an id."""
         if not self.windows:
             return [], [], set()
         ids = np.array(list(map(self.vocabulary.get, words, repeat(0))), dtype=np.uint64)
@@ -94,7 +94,7 @@ class WindowIndex:
                         spans.append((int(a + i), int(a + i + n)))
                         items |= found
         starts, ends = merge(spans)
-        return starts, ends, items
+        return starts, ends, items - {None}
 
 
 def merge(spans: list[tuple[int, int]]) -> tuple[list[int], list[int]]:
@@ -135,7 +135,7 @@ def _merged(starts: pd.Series, ends: pd.Series) -> pd.DataFrame:
 def indexes(benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> list[Broadcast]:
     """The broadcast window sets, one for each block of at most block_bytes (or of a single chunk)."""
     items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text"))
-    chunks = items.where("item_id is not null").mapInArrow(_chunks(window), "item_id string, chunk binary")
+    chunks = items.mapInArrow(_chunks(window), "item_id string, chunk binary")
     total = chunks.agg(F.sum(F.length("chunk")), F.max(F.length("chunk"))).first()
     blocks = max(1, -(-(total[0] or 0) // block_bytes))
     block = F.xxhash64("item_id", "chunk")
@@ -154,7 +154,8 @@ def indexes(benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK
 def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """doc_id, row_key, n_words, merged hit ranges (starts, ends; in words) and the sorted ids of the items hit, by row.
 
-    Null or empty texts have no words; items without words are no windows; repeated rows give repeated results.
+    Null or empty texts have no words; items without words are no windows, those without an id have windows but aren't
+    listed among the items; repeated rows give repeated results.
     """
     rows = documents(docs).withColumn("row_key", F.xxhash64("doc_id", "text"))
     parts = [rows.mapInArrow(_scan(index), SCAN) for index in indexes(benchmark, window, block_bytes)]
