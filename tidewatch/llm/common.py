@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterable
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -35,10 +36,12 @@ def documents(docs: DataFrame) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """A new folder that the driver and all executors can reach, below ``spark.checkpoint.dir``.
 
-    Without that setting (tests, one machine) it is a folder below the system's temporary one.
+    Without that setting a local session (tests, one machine) takes the system's temporary folder; on a cluster it fails.
     """
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not (spark.sparkContext.master or "").split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = "file://" + os.path.join(tempfile.gettempdir(), "tidewatch-shared")
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
 
@@ -47,7 +50,59 @@ def written(df: DataFrame, folder: str | None = None) -> DataFrame:
     """df as a table in the shared folder: cuts the lineage and survives lost executors."""
     folder = folder or shared_dir(df.sparkSession)
     df.write.parquet(folder)
-    return df.sparkSession.read.schema(df.schema).parquet(folder)
+    out = df.sparkSession.read.schema(df.schema).parquet(folder)
+    out.__dict__["folder"] = folder
+    return out
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Deletes tables that ``written`` made; nothing may read them any more."""
+    for df in tables:
+        spark, folder = df.sparkSession, df.__dict__["folder"]
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+#: A key with more rows than this is hot; with so many rows in all that over HOT_KEYS keys are, only those with more still.
+HOT_ROWS = 2000
+HOT_KEYS = 100_000
+
+
+def hot_keys(rows: DataFrame, key: str, most: int | None = None) -> DataFrame | None:
+    """The hot keys of rows with the number of parts (``__parts``) that their rows are dealt to; None if there are none.
+
+    At most HOT_KEYS keys, fit to be broadcast. Counts combine before they are shuffled.
+    """
+    limit = most or HOT_ROWS
+    counts = rows.groupBy(key).agg(F.count("*").alias("__n")).where(F.col("__n") > limit)
+    hot = written(counts)
+    while (n := hot.count()) > HOT_KEYS:
+        limit *= 2
+        hot = hot.where(F.col("__n") > limit)
+    return hot.select(key, F.ceil(F.col("__n") / limit).cast("int").alias("__parts")) if n else None
+
+
+def spread_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner", counted: DataFrame | None = None) -> DataFrame:
+    """left joined with right, which has a row for each key at most: rows of a hot key of left go to several tasks.
+
+    counted: a written table with the keys of left, where left is dearer to read.
+    """
+    hot = hot_keys(left if counted is None else counted, key)
+    if hot is None:
+        return left.join(right, key, how)
+    parts = F.coalesce("__parts", F.lit(1))
+    dealt = F.pmod(F.xxhash64(*left.columns), parts).cast("int")
+    a = left.join(F.broadcast(hot), key, "left").withColumn("__part", dealt).drop("__parts")
+    b = right.join(F.broadcast(hot), key, "left").withColumn("__part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("__parts")
+    return a.join(b, [key, "__part"], how).drop("__part")
+
+
+def released(values: Iterable) -> Iterable:
+    """Hands values on; at the end of the task, memory that Arrow keeps for later goes back to the system."""
+    try:
+        yield from values
+    finally:
+        pa.default_memory_pool().release_unused()
 
 
 def column_bytes(batch: pa.RecordBatch, name: str) -> list[bytes]:

@@ -5,36 +5,42 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import dropped, spread_join, written
 
 
 def _both(links: DataFrame) -> DataFrame:
     return links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
 
 
-def _star(links: DataFrame, large: bool) -> DataFrame:
+def _near_smallest(links: DataFrame, large: bool) -> DataFrame:
     """Each node's larger (or smaller) neighbours are linked to the smallest node around it instead."""
     near = _both(links) if large else links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     low = near.groupBy("a").agg(F.min("b").alias("low"))
     low = low.select("a", F.least("a", "low").alias("low"))
-    out = near.join(low, "a")
-    moved = out.where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("low").alias("b")) if large else out.select(F.col("b").alias("a"), F.col("low").alias("b"))
-    if not large:
-        moved = moved.unionByName(low.select("a", F.col("low").alias("b")))
+    # The centre of a large star is a hot key.
+    out = spread_join(near, low, "a")
+    if large:
+        moved = out.where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("low").alias("b"))
+    else:
+        moved = out.select(F.col("b").alias("a"), F.col("low").alias("b")).unionByName(low.select("a", F.col("low").alias("b")))
     return moved.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
 
 def components(links: DataFrame) -> DataFrame:
     """(node, component) for each node with a link; the component is the smallest node reachable.
 
-    links has columns a and b. Each round is written to the shared folder; rounds go as the logarithm of the longest path.
+    links has columns a and b. Each step is written to the shared folder; rounds go as the logarithm of the longest path.
     """
     now = written(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     state = None
     while True:
-        now = written(_star(_star(now, True), False))
+        large = written(_near_smallest(now, True))
+        small = written(_near_smallest(large, False))
+        dropped(now, large)
+        now = small
         got = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if tuple(got) == state:
             break
         state = tuple(got)
-    return now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
+    centres = now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
+    return now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(centres)

@@ -16,7 +16,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import column_bytes, column_list, documents, small_batches, written
+from .common import column_bytes, column_list, documents, released, small_batches, written
 
 #: Labelled documents of each language that the text model is fitted on, at most (those of smallest hash of doc_id).
 FIT_DOCS = 500
@@ -63,9 +63,12 @@ class TextModel:
         grams = max(len(table), 1)
         self.weights = {g: np.log((c + 0.1) / (sums + 0.1 * grams)) for g, c in table.items()}
         self.weights = {g: w - w.mean() for g, w in self.weights.items()}
+        self.forget()
+
+    def forget(self) -> None:
+        """Drops the words that are kept; done at the end of each task, as idle workers stay alive."""
         self.kept: dict[bytes, int] = {}
-        self.rows = np.zeros((0, len(at)))
-        self.new: list[np.ndarray] = []
+        self.rows = np.zeros((0, len(self.languages)))
 
     def _word(self, word: bytes) -> np.ndarray:
         out = np.zeros(len(self.languages))
@@ -114,6 +117,12 @@ def fitted(docs: DataFrame, fit_docs: int = FIT_DOCS) -> TextModel:
 
 def _score(model: Broadcast):
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from released(rows(batches))
+        finally:
+            model.value.forget()
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             got = [model.value.evidence(x) for x in column_bytes(batch, "text")]
             at = batch.schema.get_field_index("text")
@@ -195,13 +204,26 @@ def document_rows(docs: DataFrame, row_id: Column) -> DataFrame:
 
 
 def identified_pages(pages: DataFrame, docs: DataFrame) -> DataFrame:
-    """Language of each page; equal ids give a row each."""
+    """page_id, lang, confidence, declared, host and n_words of each page; equal rows give a row each.
+
+    Null urls and html are empty: no host, no words, no language (lang is null). Of languages with the same probability the
+    first in alphabetical order wins. Whole pages are read, however long. An empty table gives no rows; without a labelled
+    document all languages are null.
+    """
     return fused(page_rows(pages), fitted(docs)).withColumnRenamed("row_id", "page_id")
 
 
 def accepted(docs: DataFrame) -> DataFrame:
-    """docs (all columns) without rows that have no words or no probable language."""
+    """docs (all columns, of any names) without rows that have no words or no probable language.
+
+    Null and empty texts go. Rows that agree in doc_id and text share their fate. A null source is a host of its own, a
+    null lang no declaration. Where no row has a lang, languages can't be told apart, and all rows with words stay.
+    """
+    model = fitted(docs)
+    if not model.languages:
+        return docs.where(F.coalesce(F.col("text").cast("string").rlike(r"[A-Za-z\x{80}-\x{10FFFF}]"), F.lit(False)))
     key = F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    gone = written(fused(document_rows(docs, key), fitted(docs)).where("lang is null").select("row_id").distinct())
+    refused = fused(document_rows(docs, key), model).where("lang is null")
+    gone = written(refused.select(F.col("row_id").alias("__refused")).distinct())
     few = gone.count() <= SENT_ROWS
-    return docs.join(F.broadcast(gone) if few else gone, key == F.col("row_id"), "left_anti")
+    return docs.join(F.broadcast(gone) if few else gone, key == F.col("__refused"), "left_anti")

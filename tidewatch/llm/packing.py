@@ -17,8 +17,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, written
-from .tokens import crc, default_tokenizer, encoder
+from .common import documents, released, written
+from .tokens import Encoder, crc, default_tokenizer, encoder
 
 LENGTH = 1024
 OPEN = 32
@@ -90,7 +90,10 @@ def _batch(pieces: list[tuple], part: int, is_open: bool) -> pa.RecordBatch:
 
 def _pack(path: str, length: int, open_windows: int):
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder, part = encoder(path), TaskContext.get().partitionId()
+        with encoder(path) as coder:
+            yield from released(pieces(coder, TaskContext.get().partitionId(), batches))
+
+    def pieces(coder: Encoder, part: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packer = Packer(part << 32, length, open_windows)
         for batch in batches:
             doc_ids = iter(batch.column(0).to_pylist())

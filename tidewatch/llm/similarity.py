@@ -4,7 +4,11 @@ The index: a set's shingle hashes in ascending order are cut at fixed places of
 linked sets can differ in, so that linked sets share a whole block at the same position. A list is kept for each (size
 class, position, block content); all other positions are skipped without a look.
 
-The answers: within a list, each set is compared with the smallest one first. Sets that this links, directly or by other
+Lists are folded before they are shuffled: of the sets of one Arrow batch that share a block, only the smallest goes to the
+list; the others stand in it by way of that one (their local pivot). So a block that a third of all sets hold puts a row
+for each batch into one task, not a row for each set.
+
+The answers: within a list, each set is compared with the smallest one first (those of a batch with their local pivot). Sets that this links, directly or by other
 lists, share its component and need no comparison with each other, however long the list is. Only lists that still hold
 several components go on: parity bits of the hashes bound the difference of two sets from below, and pairs of different
 components that pass this bound are compared. Long lists are compared in chunks, so that no task holds all of one.
@@ -20,9 +24,11 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import column_bytes, documents, written
+from .common import column_bytes, documents, dropped, hot_keys, released, spread_join, written
 from .components import components
 
+#: Digests of texts that a task remembers, to tell copies, at most.
+SEEN = 50_000
 #: Sets of one list that a task holds on each side, at most (about).
 CHUNK = 4096
 #: Words of parity bits that are compared at once, about.
@@ -102,24 +108,64 @@ def _rows(width: int, percent: int):
         return known[size]
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from released(rows(batches))
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[bytes, int] = {}
+        none = np.zeros(0, np.uint64)
         for batch in batches:
-            sizes, keys = [], []
+            docs, sizes, keys = batch.column(0).fill_null(0).to_numpy(), [], []
             for data in column_bytes(batch, "text"):
                 digest = xxhash.xxh3_128_digest(data)
-                if digest in seen:  # a copy in this task adds nothing to the lists
+                if digest in seen:  # a copy adds nothing to the lists
                     sizes.append(seen[digest])
-                    keys.append(np.zeros(0, np.int64))
+                    keys.append(none)
                     continue
                 h = shingle_set(data, width)
+                if len(seen) >= SEEN:
+                    seen = {}
                 seen[digest] = len(h)
                 sizes.append(len(h))
-                keys.append(np.concatenate([block_keys(h, *c) for c in own(len(h))]).view(np.int64) if len(h) else np.zeros(0, np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int32()), _listed(keys)], ["doc_id", "n", "keys"])
+                keys.append(np.concatenate([block_keys(h, *c) for c in own(len(h))]) if len(h) else none)
+            yield from _folded_lists(docs, np.array(sizes, dtype=np.int32), keys)
 
     return of
 
 
+_KEYED = "doc_id long, n int, pivot long, pn int, keys array<long>"
+
+
+def _folded_lists(docs: np.ndarray, sizes: np.ndarray, keys: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+    """A row for each document with the keys that go to the lists (pivot null), and one for each of its local pivots."""
+    if not len(docs):
+        return
+    flat, of = np.concatenate(keys), np.repeat(np.arange(len(docs)), [len(k) for k in keys])
+    order = np.lexsort((docs[of], flat))
+    flat, of = flat[order], of[order]
+    head = np.ones(len(flat), dtype=bool)
+    head[1:] = flat[1:] != flat[:-1]
+    first = of[np.flatnonzero(head)][np.cumsum(head) - 1] if len(flat) else of
+    head |= docs[first] == docs[of]
+    out = []
+    for rows, local in ((head, False), (~head, True)):
+        k, o, p = flat[rows], of[rows], first[rows] if local else np.zeros(int(rows.sum()), dtype=np.int64)
+        by = np.lexsort((p, o))
+        k, o, p = k[by], o[by], p[by]
+        if local:
+            new = np.flatnonzero(np.append(True, (o[1:] != o[:-1]) | (p[1:] != p[:-1]))) if len(o) else o
+            own, pivots, ends = o[new], p[new], np.append(new[1:], len(o)) if len(o) else o
+            docs_of, n_of = pa.array(docs[pivots], pa.int64()), pa.array(sizes[pivots], pa.int32())
+        else:
+            own, ends = np.arange(len(docs)), np.cumsum(np.bincount(o, minlength=len(docs)))
+            docs_of, n_of = pa.nulls(len(docs), pa.int64()), pa.nulls(len(docs), pa.int32())
+        offsets = pa.array(np.append(0, ends).astype(np.int32))
+        lists = pa.ListArray.from_arrays(offsets, pa.array(k.view(np.int64)))
+        out.append([pa.array(docs[own], pa.int64()), pa.array(sizes[own], pa.int32()), docs_of, n_of, lists])
+    for arrays in out:
+        if len(arrays[0]):
+            yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "n", "pivot", "pn", "keys"])
+
+
 def _listed(arrays: list[np.ndarray]) -> pa.Array:
     offsets = np.concatenate(([0], np.cumsum([len(k) for k in arrays]))).astype(np.int32)
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(arrays) if arrays else np.zeros(0, np.int64)))
@@ -224,78 +270,132 @@ def _apart(x: Column, y: Column) -> Column:
 
 
 def _possible(pairs: DataFrame, bits: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sizes and bits don't rule out a link."""
+    """Of written pairs (a, b), those whose sizes and bits don't rule out a link."""
     side = lambda c, n, x: bits.select(F.col("doc_id").alias(c), F.col("n").alias(n), F.col("bits").alias(x))
-    both = pairs.join(side("b", "nb", "y"), "b").join(side("a", "na", "x"), "a")
+    both = spread_join(pairs.join(side("b", "nb", "y"), "b"), side("a", "na", "x"), "a", counted=pairs)
     both = both.where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
-    return both.where(_apart(F.col("x"), F.col("y")) * (100 + percent) <= (F.col("na") + F.col("nb")) * (100 - percent)).select("a", "b")
+    close = _apart(F.col("x"), F.col("y")) * (100 + percent) <= (F.col("na") + F.col("nb")) * (100 - percent)
+    return both.where(close).select("a", "b")
 
 
 def verified(pairs: DataFrame, rows: DataFrame, width: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets are similar. A set goes to the other side of each of its pairs."""
+    """Of written pairs (a, b), those whose sets are similar. A set goes to the other side of each of its pairs."""
     ids = written(pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct())
     sets = written(_chosen(rows, ids).mapInArrow(_sets(width), "doc_id long, hashes array<long>"))
     left = pairs.join(sets.select(F.col("doc_id").alias("b"), F.col("hashes").alias("y")), "b")
-    both = left.join(sets.select(F.col("doc_id").alias("a"), F.col("hashes").alias("x")), "a")
+    both = spread_join(left, sets.select(F.col("doc_id").alias("a"), F.col("hashes").alias("x")), "a", counted=pairs)
     common = F.size(F.array_intersect("x", "y"))
-    return both.where(100 * common >= percent * (F.size("x") + F.size("y") - common)).select("a", "b").distinct()
+    similar = 100 * common >= percent * (F.size("x") + F.size("y") - common)
+    out = written(both.where(similar).select("a", "b").distinct())
+    dropped(ids, sets)
+    return out
+
 
+def _first_of(copies: DataFrame, df: DataFrame, column: str, counted: DataFrame | None = None) -> DataFrame:
+    """df with the ids in column replaced by those of the smallest document of the same text.
 
-def _first_of(copies: DataFrame, df: DataFrame, column: str) -> DataFrame:
-    """df with the ids in column replaced by those of the smallest document of the same text."""
-    of = copies.select(F.col("doc_id").alias("__id"), F.col("first").alias("__first"))
-    return df.join(of, df[column] == of["__id"], "left").withColumn(column, F.coalesce("__first", column)).drop("__id", "__first")
+    counted: a written table with that column, where ids may be hot."""
+    of = copies.select(F.col("doc_id").alias(column), F.col("first").alias("__first"))
+    joined = df.join(of, column, "left") if counted is None else spread_join(df, of, column, "left", counted)
+    return joined.withColumn(column, F.coalesce("__first", column)).drop("__first")
+
+
+def _copies(rows: DataFrame) -> DataFrame:
+    """doc_id and ``first``, the smallest id of the same text, of each document that isn't that one.
+
+    Digests are counted and their smallest ids found before they are shuffled; documents of a hot digest find theirs by a
+    broadcast of at most HOT_KEYS digests.
+    """
+    texts = written(rows.where("text <> ''").select("doc_id", F.md5("text").alias("digest")))
+    found = texts.groupBy("digest").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1")
+    found = written(found.select("digest", "first"))
+    out = written(spread_join(texts, found, "digest").where("doc_id <> first").select("doc_id", "first").distinct())
+    dropped(texts, found)
+    return out
 
 
 def _close_pairs(rest: DataFrame, bits: DataFrame, percent: int) -> DataFrame:
-    """Pairs to compare in lists of several components (rows: key, doc, n, component)."""
-    sizes = rest.groupBy("key").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks"))
-    own = F.pmod(F.xxhash64("doc"), F.col("chunks")).cast("int")
+    """Pairs to compare in lists of several components (a written table: key, doc, n, component)."""
+    hot = hot_keys(rest, "key", CHUNK)
+    chunks = F.lit(1) if hot is None else F.coalesce("__parts", F.lit(1))
+    own = F.pmod(F.xxhash64("doc"), chunks).cast("int")
     meet = lambda o: F.struct(F.least(own, o).alias("i"), F.greatest(own, o).alias("j"), (own > o).cast("int").alias("side"))
-    dealt = rest.join(sizes, "key").withColumn("m", F.explode(F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), meet)))
-    rows = dealt.join(bits.select(F.col("doc_id").alias("doc"), "bits"), "doc").select("key", "m.i", "m.j", "m.side", "doc", "n", "component", "bits")
-    return rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "side", "doc").mapInArrow(_close(percent), "a long, b long").distinct()
+    dealt = rest if hot is None else rest.join(F.broadcast(hot), "key", "left")
+    dealt = dealt.withColumn("m", F.explode(F.transform(F.sequence(F.lit(0), chunks - 1), meet)))
+    rows = dealt.join(bits.select(F.col("doc_id").alias("doc"), "bits"), "doc")
+    rows = rows.select("key", "m.i", "m.j", "m.side", "doc", "n", "component", "bits").repartition("key", "i", "j")
+    return rows.sortWithinPartitions("key", "i", "j", "side", "doc").mapInArrow(_close(percent), "a long, b long").distinct()
+
+
+def _lists(rows: DataFrame, width: int, percent: int, copies: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Two written tables: doc_id and n_shingles of each row; and the lists, as (key, pivot, pn, doc, n, top, local).
+
+    top is the pivot before copies are replaced by the smallest document of their text."""
+    made = rows.mapInArrow(_rows(width, percent), _KEYED)
+    # One more row for each document tells its size. Its key meets no other: a chance match costs a comparison.
+    every = F.when(F.col("pivot").isNull(), F.concat(F.array(F.xxhash64("doc_id")), "keys")).otherwise(F.concat(F.array(F.lit(0).cast("long")), "keys"))
+    keyed = made.select("doc_id", "n", "pivot", "pn", F.posexplode(every).alias("at", "key")).where("at > 0 or pivot is null")
+    # Rows with a local pivot need no list and are dealt out by document.
+    salt = F.when(F.col("pivot").isNotNull(), F.xxhash64("doc_id")).otherwise(F.lit(0))
+    order = Window.partitionBy("key", "salt").orderBy("doc_id", "n").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    first = F.first(F.struct("doc_id", "n")).over(order)
+    listed = keyed.withColumn("salt", salt).withColumn("p", first).where("at = 0 or pivot is not null or doc_id <> p.doc_id")
+    listed = written(listed.select(
+        "at", "key", F.coalesce("pivot", "p.doc_id").alias("pivot"), F.coalesce("pivot", "p.doc_id").alias("top"),
+        F.coalesce("pn", "p.n").alias("pn"), F.col("doc_id").alias("doc"), "n", F.col("pivot").isNotNull().alias("local")))
+    sizes = written(listed.where("at = 0").select(F.col("doc").alias("doc_id"), F.col("n").cast("long").alias("n_shingles")))
+    own = listed.where("at > 0").drop("at")
+    lists = _first_of(copies, _first_of(copies, own, "doc"), "pivot", own).where("doc <> pivot")
+    lists = written(lists.select("key", "pivot", "pn", "doc", "n", "top", "local").distinct())
+    dropped(listed)
+    return sizes, lists
 
 
 def grouped(docs: DataFrame, width: int = 3, percent: int = 90) -> DataFrame:
     """doc_id, n_shingles and component_id of each row of docs.
 
     Documents link when 100 * shared shingles >= percent * all shingles of both; component_id is the smallest doc_id that
-    links reach. Texts without words (null, empty, white space) have no shingles and are linked with nothing. Rows of one
-    id share its links; rows without an id have none, and their component is null. An empty table gives no rows.
+    links reach. Texts without words (null, empty, white space) have no shingles and are linked with nothing. Whole texts
+    count, however long. Rows of one id share its links; rows without an id have none, and their component is null. An
+    empty table gives no rows.
     """
-    rows = documents(docs)
-    made = rows.where("doc_id is not null").mapInArrow(_rows(width, percent), "doc_id long, n int, keys array<long>")
-    # One more row for each document tells its size. Its key meets no other: a chance match costs a comparison.
-    keyed = made.select("doc_id", "n", F.posexplode(F.concat(F.array(F.xxhash64("doc_id")), "keys")).alias("at", "key"))
-    order = Window.partitionBy("key").orderBy("doc_id", "n").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    first = F.first(F.struct("doc_id", "n")).over(order)
-    listed = written(keyed.withColumn("p", first).where("at = 0 or doc_id <> p.doc_id").select("at", "key", F.col("p.doc_id").alias("pivot"), F.col("p.n").alias("pn"), F.col("doc_id").alias("doc"), "n"))
-    texts = rows.where("doc_id is not null and text <> ''").select("doc_id", F.md5("text").alias("digest"))
-    firsts = texts.groupBy("digest").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies")).where("copies > 1")
-    copies = written(texts.join(firsts, "digest").where("doc_id <> first").select("doc_id", "first").distinct())
-    sizes = listed.where("at = 0").select(F.col("doc").alias("doc_id"), F.col("n").cast("long").alias("n_shingles"))
-
-    lists = _first_of(copies, _first_of(copies, listed.where("at > 0"), "doc"), "pivot").where("doc <> pivot")
-    lists = written(lists.select("key", "pivot", "pn", "doc", "n").distinct())
+    every = documents(docs)
+    rows = every.where("doc_id is not null")
+    copies = _copies(rows)
+    sizes, lists = _lists(rows, width, percent, copies)
+
     asked = lists.select(F.col("pivot").alias("doc_id")).unionByName(lists.select(F.col("doc").alias("doc_id"))).distinct()
-    bits = written(_chosen(rows, written(asked)).mapInArrow(_bits(width, percent), "doc_id long, n long, bits array<long>"))
+    ids = written(asked)
+    bits = written(_chosen(rows, ids).mapInArrow(_bits(width, percent), "doc_id long, n long, bits array<long>"))
     fit = 100 * F.least("n", "pn") >= percent * F.greatest("n", "pn")
-    first = written(_possible(lists.where(fit).select(F.col("pivot").alias("a"), F.col("doc").alias("b")).distinct(), bits, percent))
-    links = written(verified(first, rows, width, percent))
-    found = components(links)
-    placed = lists.join(found.withColumnRenamed("node", "doc"), "doc", "left").select("key", "doc", "n", F.coalesce("component", "doc").alias("component"))
+    pairs = written(lists.where(fit).select(F.col("pivot").alias("a"), F.col("doc").alias("b")).distinct())
+    first = written(_possible(pairs, bits, percent))
+    links = verified(first, rows, width, percent)
+    found = written(components(links))
+    # Where a list has local pivots, its own pivot hasn't met the sets behind them, and is one of the sets to compare.
+    tops = lists.groupBy("key").agg(F.max("local").alias("local"), F.min("top").alias("doc")).where("local").select("key", "doc")
+    tops = _first_of(copies, tops, "doc")
+    tops = tops.join(bits.select(F.col("doc_id").alias("doc"), F.col("n").cast("int").alias("n")), "doc")
+    placed = lists.select("key", "doc", "n").unionByName(tops.select("key", "doc", "n"))
+    placed = placed.join(found.withColumnRenamed("node", "doc"), "doc", "left")
+    placed = written(placed.select("key", "doc", "n", F.coalesce("component", "doc").alias("component")).distinct())
     # Of lists with the same sets (told by two hashes and their number), one goes on.
-    whole = placed.select("key", "doc", "component").distinct().groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.bit_xor(F.xxhash64("doc")).alias("h"), F.bit_xor(F.xxhash64("doc", F.lit("again"))).alias("g"), F.count("*").alias("c"))
+    whole = placed.groupBy("key").agg(
+        F.min("component").alias("low"), F.max("component").alias("high"), F.bit_xor(F.xxhash64("doc")).alias("h"),
+        F.bit_xor(F.xxhash64("doc", F.lit("again"))).alias("g"), F.count("*").alias("c"))
     mixed = whole.where("low <> high").groupBy("h", "g", "c").agg(F.min("key").alias("key")).select("key")
-    rest = written(placed.join(mixed, "key", "left_semi").distinct())
-    more = written(verified(written(_close_pairs(rest, bits, percent)), rows, width, percent))
+    rest = written(spread_join(placed, mixed, "key"))
+    more = verified(written(_close_pairs(rest, bits, percent)), rows, width, percent)
     if not more.isEmpty():
-        found = components(links.unionByName(more))
-    out = _first_of(copies, sizes.withColumn("component_id", F.col("doc_id")), "component_id")
-    out = out.join(found.withColumnRenamed("node", "component_id"), "component_id", "left")
-    out = out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.coalesce("component", "component_id")).alias("component_id"))
-    return out.unionByName(rows.where("doc_id is null").mapInArrow(_rows(width, percent), "doc_id long, n int, keys array<long>").select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.lit(None).cast("long").alias("component_id")))
+        found = written(components(links.unionByName(more)))
+    dropped(ids, pairs, first, placed, rest, lists, bits)
+
+    out = written(_first_of(copies, sizes.withColumn("component_id", F.col("doc_id")), "component_id"))
+    out = spread_join(out, found.withColumnRenamed("node", "component_id"), "component_id", "left")
+    component = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.coalesce("component", "component_id"))
+    out = out.select("doc_id", "n_shingles", component.alias("component_id"))
+    lost, null = every.where("doc_id is null").mapInArrow(_rows(width, percent), _KEYED).where("pivot is null"), F.lit(None).cast("long")
+    return out.unionByName(lost.select(null.alias("doc_id"), F.col("n").cast("long").alias("n_shingles"), null.alias("component_id")))
 
 
 #: So many ids are sent to all executors; more are joined by a shuffle.
@@ -307,10 +407,26 @@ def _chosen(rows: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def deduplicated(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """docs (all columns) without those whose component has a smaller doc_id; rows without an id stay."""
-    gone = written(grouped(docs, width, percent).where("component_id < doc_id").select(F.col("doc_id").alias("__gone")).distinct())
+    """docs (all columns) with one row of each group: that of the smallest doc_id.
+
+    Of rows with the same id one stays (that of the smallest text); of rows without an id, one of each text. Texts without
+    words (null, empty) are in no group and stay. An empty table stays empty.
+    """
+    gone = grouped(docs, width, percent).where("component_id < doc_id")
+    gone = written(gone.select(F.col("doc_id").alias("__gone")).distinct())
     few = gone.count() <= SENT_IDS
-    return docs.join(F.broadcast(gone) if few else gone, F.col("doc_id").cast("long") == F.col("__gone"), "left_anti")
+    kept = docs.join(F.broadcast(gone) if few else gone, F.col("doc_id").cast("long") == F.col("__gone"), "left_anti")
+    # Repeated rows: found by their ids (or digests) alone, so that other rows aren't shuffled.
+    text = F.col("text").cast("string")
+    key = F.coalesce(F.col("doc_id").cast("long").cast("string"), F.concat(F.lit("text "), F.md5(text)))
+    again = written(kept.select(key.alias("__key")).where("__key is not null").groupBy("__key").count().where("count > 1").select("__key"))
+    if again.isEmpty():
+        return kept
+    marked = again.withColumn("__again", F.lit(True))
+    keyed = kept.withColumn("__key", key).join(F.broadcast(marked) if again.count() <= SENT_IDS else marked, "__key", "left")
+    row = F.struct(*(F.col(c) for c in docs.columns))
+    one = keyed.where("__again").groupBy("__key").agg(F.min_by(row, F.struct(text.isNull(), text)).alias("__row")).select("__row.*")
+    return keyed.where("__again is null").select(*docs.columns).unionByName(one)
 
 
 def sql(width: int = 3, percent: int = 90) -> str:

@@ -20,15 +20,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import documents, shared_dir, written
+from .common import documents, released, shared_dir, written
 
 TOKENIZER = "byte_bpe_50k.json"
 END = 0
 LENGTH = 2048
 ROWS = 64
-#: Space-separated pieces whose ids an encoder keeps, at most.
-KEPT = 400_000
-SHORT = 8
+#: Bytes of space-separated pieces and their ids that an encoder keeps during a task, about, and what an entry takes besides.
+KEPT_BYTES = 32 << 20
+ENTRY_BYTES = 150
 SHORT_TAILS = 10_000
 #: Pieces that are encoded in one call, and bytes of text whose pieces are collected.
 TOGETHER = 2048
@@ -81,7 +81,18 @@ class Encoder:
         self.sizes = np.zeros(self.tokenizer.get_vocab_size(), dtype=np.int64)
         for token, i in self.tokenizer.get_vocab().items():
             self.sizes[i] = len(token)  # a character stands for a byte
+        self.forget()
+
+    def __enter__(self) -> Encoder:
+        return self
+
+    def __exit__(self, *_: object) -> None:
+        self.forget()
+
+    def forget(self) -> None:
+        """Drops what is kept of texts; done at the end of each task, as idle workers stay alive."""
         self.kept: dict[str, bytes] = {}
+        self.kept_bytes = 0
         self.tails: dict[str, bytes] = {}
 
     def _whole(self, texts: list[str]) -> list[bytes]:
@@ -89,10 +100,9 @@ class Encoder:
 
     def _learn(self, pieces: list[str]) -> None:
         """Encodes many pieces in one call; the lengths of the ids' byte strings say which ids are whose."""
-        if len(self.kept) + len(pieces) > KEPT:  # long pieces seldom come again
-            self.kept = {k: v for k, v in self.kept.items() if len(k) <= SHORT}
-            if len(self.kept) > KEPT // 2:
-                self.kept = {}
+        if self.kept_bytes > KEPT_BYTES:
+            self.kept, self.kept_bytes = {}, 0
+        self.kept_bytes += sum(map(len, pieces)) + ENTRY_BYTES * len(pieces)
         mixed = []
         for p in pieces:
             word = p.rstrip(_MARKS)
@@ -273,6 +283,10 @@ _DOCS = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", p
 def _write(folder: str, path: str, length: int, rows: int):
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder, no = encoder(path), TaskContext.get().partitionId()
+        with coder:
+            yield from released(files(coder, no, batches))
+
+    def files(coder: Encoder, no: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         system, base = fs.FileSystem.from_uri(folder)
         system.create_dir(base, recursive=True)
         name = f"{no:08d}-{uuid.uuid4().hex}"

@@ -1,124 +1,141 @@
 """Toxicity by nearest labelled examples: exact TF-IDF cosine over block-max inverted indexes.
 
-Terms are whole words and word beginnings of 3 to 8 letters. The vocabulary holds those that labelled toxic documents have
-clearly more often than labelled clean ones; words of other kinds say nothing here and would only lengthen the vectors.
-The index keeps its examples in blocks with the largest weight of each term; a query visits blocks in order of their
-bounds and stops when no block can hold a nearer example, so that the nearest ones are exact. They vote with weights that
-fall with distance, and an isotonic curve, fitted on the examples' own leave-one-out votes, makes the votes probabilities.
+All words of the labelled examples are terms. A term's weight in a text is its damped frequency times its inverse document
+frequency, counted over all documents, times how much its presence tells the labels apart (a floor for words that tell
+nothing, so that no word is dropped). The index keeps postings by term and block of examples, with the largest weight of
+each term in each block; a query visits blocks in order of their bounds and stops when no block can hold a nearer example,
+so that the nearest ones are exact. They vote with weights that fall with distance, and an isotonic curve, fitted on the
+examples' own leave-one-out votes, makes the votes probabilities.
+
+Vectors, document frequencies and votes are made in tasks. The driver holds the examples' terms (as 64-bit hashes) and
+weights; their number is bounded by the two numbers of examples below.
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import column_bytes, column_list, documents, written
+from .common import column_bytes, documents, dropped, released, written
 
-#: Labelled examples of each label that vocabulary, index and curve are fitted on, at most (those of smallest hash of doc_id).
-TOXIC_EXAMPLES = 3000
-CLEAN_EXAMPLES = 6000
-#: Terms of the vocabulary, at most, and toxic examples that a term is in, at least.
-TERMS = 4096
-IN_EXAMPLES = 4
-#: Share of toxic ones among a term's examples, at least, both labels weighted to the same number.
-PURITY = 0.9
+#: Labelled examples of each label that index and curve are fitted on, at most (those of smallest hash of doc_id).
+TOXIC_EXAMPLES = 2000
+CLEAN_EXAMPLES = 4000
 NEAREST = 16
 BLOCK = 64
 THRESHOLD = 0.7
-#: Words whose terms a worker keeps, at most.
-_KEPT = 100_000
+#: Factor of the weight of words that tell nothing about the labels.
+FLOOR = 0.05
+#: Blocks that are visited at once, at first; their number doubles.
+AT_ONCE = 8
 
 _TABLE = bytes(b + 32 if 0x41 <= b <= 0x5A else b if 0x61 <= b <= 0x7A or 0x30 <= b <= 0x39 or b >= 0x80 else 0x20 for b in range(256))
 
 
-def words_of(data: bytes) -> list[bytes]:
-    return data.translate(_TABLE).split()
+def terms_of(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct terms of a text (hashes of its words in lower case, ascending) and how often each occurs."""
+    words = data.translate(_TABLE).split()
+    if not words:
+        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+    return np.unique(np.array(list(map(xxhash.xxh3_64_intdigest, words)), dtype=np.uint64).view(np.int64), return_counts=True)
 
 
-def terms_of(word: bytes) -> list[str]:
-    """The whole word (with an end mark) and its beginnings."""
-    w = word.decode("utf-8", "replace").lower()
-    return [w + "$", *(w[:n] for n in range(3, min(len(w), 8) + 1))]
+def _lists(arrays: list[np.ndarray]) -> pa.Array:
+    offsets = np.concatenate(([0], np.cumsum([len(x) for x in arrays]))).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([np.zeros(0, np.int64), *arrays])))
 
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    toxic: Counter = Counter()
-    clean: Counter = Counter()
+def _example_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for label, data in zip(column_list(batch, "toxic"), column_bytes(batch, "text"), strict=True):
-            (toxic if label else clean).update(set(chain.from_iterable(map(terms_of, set(words_of(data))))))
-    terms = list(toxic)  # others can't be of use
-    yield pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), pa.array([toxic[t] for t in terms], pa.int64()), pa.array([0] * len(terms), pa.int64())], ["term", "toxic", "clean"])
-    rest = [t for t in clean]
-    yield pa.RecordBatch.from_arrays([pa.array(rest, pa.string()), pa.array([0] * len(rest), pa.int64()), pa.array([clean[t] for t in rest], pa.int64())], ["term", "toxic", "clean"])
-
-
-class Vocabulary:
-    """Terms with their inverse document frequencies; maps texts to unit vectors."""
-
-    def __init__(self, terms: list[tuple[str, float]]) -> None:
-        self.at = {t: i for i, (t, _) in enumerate(terms)}
-        self.idf = np.array([w for _, w in terms])
-        self.kept: dict[bytes, tuple[int, ...]] = {}
-
-    def vector(self, data: bytes) -> tuple[np.ndarray, np.ndarray]:
-        """Terms and weights of length 1; both empty if the text has none of the terms."""
-        words = words_of(data)
-        found = list(map(self.kept.get, words))
-        if None in found:
-            if len(self.kept) > _KEPT:
-                self.kept = {}
-            for w in words:
-                if w not in self.kept:
-                    self.kept[w] = tuple(i for t in terms_of(w) if (i := self.at.get(t)) is not None)
-            found = map(self.kept.__getitem__, words)
-        counts = Counter(chain.from_iterable(filter(None, found)))
-        terms = np.array(sorted(counts), dtype=np.int64)
-        weights = (1 + np.log(np.array([counts[t] for t in terms.tolist()], dtype=float))) * self.idf[terms]
-        return terms, weights / np.linalg.norm(weights) if len(terms) else weights
+        got = [terms_of(x) for x in column_bytes(batch, "text")]
+        own = [batch.column(batch.schema.get_field_index(c)) for c in ("doc_id", "toxic")]
+        yield pa.RecordBatch.from_arrays([*own, _lists([g[0] for g in got]), _lists([g[1] for g in got])], ["doc_id", "toxic", "terms", "counts"])
+
+
+def _place(known: np.ndarray, terms: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which of terms are known, and their places among the sorted known ones."""
+    if not len(known):
+        return np.zeros(len(terms), dtype=bool), np.zeros(0, dtype=np.int64)
+    at = np.minimum(np.searchsorted(known, terms), len(known) - 1)
+    hit = known[at] == terms
+    return hit, at[hit]
+
+
+def _frequencies(known: Broadcast):
+    """Documents of the task that hold each of the known terms."""
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(len(known.value), dtype=np.int64)
+        for batch in batches:
+            for data in column_bytes(batch, "text"):
+                n[_place(known.value, terms_of(data)[0])[1]] += 1
+        some = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(known.value[some]), pa.array(n[some])], ["term", "n"])
+
+    return lambda batches: released(of(batches))
 
 
 class BlockMaxIndex:
     """Postings by term and block of examples, with each block's largest weight."""
 
     def __init__(self, vectors: list[tuple[np.ndarray, np.ndarray]], n_terms: int, block: int = BLOCK) -> None:
+        """vectors: terms (places) and weights of each example."""
         self.n, self.block = len(vectors), block
         self.blocks = -(-self.n // block)
-        self.top = np.zeros((n_terms, self.blocks), dtype=np.float64)
-        own: dict[tuple[int, int], list[tuple[int, float]]] = {}
-        for i, (terms, weights) in enumerate(vectors):
-            b = i // block
-            for t, w in zip(terms.tolist(), weights.tolist(), strict=True):
-                own.setdefault((t, b), []).append((i % block, w))
-                self.top[t, b] = max(self.top[t, b], w)
-        self.postings = {k: (np.array([p for p, _ in v]), np.array([w for _, w in v])) for k, v in own.items()}
-
-    def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """The k examples of largest positive cosine (of equal ones, the first) and the cosines; without is left out."""
+        none = np.zeros(0, dtype=np.int64)
+        term = np.concatenate([none, *(t for t, _ in vectors)])
+        example = np.repeat(np.arange(self.n), [len(t) for t, _ in vectors])
+        order = np.lexsort((example, term))
+        self.example = example[order].astype(np.int32)
+        self.weight = np.concatenate([none.astype(float), *(w for _, w in vectors)])[order]
+        term = term[order]
+        of = self.example // block
+        head = np.flatnonzero(np.append(True, (term[1:] != term[:-1]) | (of[1:] != of[:-1]))) if len(term) else none
+        #: An entry is a term in a block: its block, largest weight and postings.
+        self.of_block = of[head]
+        self.top = np.maximum.reduceat(self.weight, head) if len(head) else self.weight
+        self.start = np.append(head, len(term))
+        self.entries = np.searchsorted(term[head], np.arange(n_terms + 1))
+
+    @staticmethod
+    def _spread(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All numbers of the ranges, and the range of each."""
+        sizes = ends - starts
+        of = np.repeat(np.arange(len(sizes)), sizes)
+        return np.arange(len(of)) - np.repeat(np.cumsum(sizes) - sizes - starts, sizes), of
+
+    def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int, without: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """The k examples of largest positive cosine (of equal ones, the first) and the cosines; those without are left out."""
         ids, sims = np.zeros(0, dtype=np.int64), np.zeros(0)
         if not len(terms) or not self.n:
             return ids, sims
-        bounds = weights @ self.top[terms]
-        for b in np.argsort(-bounds, kind="stable").tolist():
-            if bounds[b] <= 0 or len(ids) == k and bounds[b] < sims[-1] - 1e-9:
+        entry, of = self._spread(self.entries[terms], self.entries[terms + 1])
+        weight, block = weights[of], self.of_block[entry]
+        bounds = np.bincount(block, weights=self.top[entry] * weight, minlength=self.blocks)
+        order = np.argsort(-bounds, kind="stable")
+        at, step = 0, AT_ONCE
+        while at < len(order):
+            bound = bounds[order[at]]
+            if bound <= 0 or len(ids) == k and bound < sims[-1] - 1e-9:
                 break
-            dots = np.zeros(min(self.block, self.n - b * self.block))
-            for t, w in zip(terms.tolist(), weights.tolist(), strict=True):
-                if (p := self.postings.get((t, b))) is not None:
-                    dots[p[0]] += w * p[1]
-            if 0 <= without - b * self.block < len(dots):
-                dots[without - b * self.block] = 0
-            some = np.flatnonzero(dots > 0)
-            ids, sims = np.concatenate([ids, some + b * self.block]), np.concatenate([sims, dots[some]])
+            chosen = np.zeros(self.blocks, dtype=bool)
+            chosen[order[at : at + step]] = True
+            own = np.flatnonzero(chosen[block])
+            posting, of = self._spread(self.start[entry[own]], self.start[entry[own] + 1])
+            dots = np.bincount(self.example[posting], weights=self.weight[posting] * weight[own][of], minlength=self.n)
+            if without is not None:
+                dots[without] = 0
+            some = np.flatnonzero(dots > (max(sims[-1] - 1e-9, 0) if len(ids) == k else 0))
+            ids, sims = np.concatenate([ids, some]), np.concatenate([sims, dots[some]])
             best = np.lexsort((ids, -np.round(sims, 12)))[:k]
             ids, sims = ids[best], sims[best]
+            at, step = at + step, 2 * step
         return ids, sims
 
 
@@ -138,74 +155,124 @@ def isotonic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, n
 class Model:
     """Examples, their index, and the curve from votes to probabilities."""
 
-    def __init__(self, vocabulary: Vocabulary, examples: list[tuple[int, int, bytes]], share: float, nearest: int = NEAREST) -> None:
-        """share: of toxic documents among all labelled ones; the examples hold more of them."""
-        self.vocabulary, self.k = vocabulary, nearest
-        vectors = [(i, y, *vocabulary.vector(data)) for i, y, data in examples]
-        toxic = max(sum(y for _, y, _ in examples), 1)
+    def __init__(self, known: np.ndarray, weights: np.ndarray, examples: list[tuple[int, int, np.ndarray, np.ndarray]], share: float, nearest: int = NEAREST) -> None:
+        """known: the terms in ascending order, with their weights. examples: id, label, terms and counts of each.
+
+        share: of toxic documents among all labelled ones; the examples hold more of them.
+        """
+        self.known, self.weights, self.k = known, weights, nearest
+        vectors = [(i, y, *self.vector(t, c)) for i, y, t, c in examples]
+        toxic = max(sum(y for _, y, *_ in examples), 1)
         clean = max(len(examples) - toxic, 1)
         self.by_label = np.array([(1 - share) / clean, share / toxic])
-        weight = np.array([self.by_label[y] for _, y, _, _ in vectors])
-        label = np.array([y for _, y, _, _ in vectors], dtype=np.int64)
-        bare = np.array([len(t) == 0 for _, _, t, _ in vectors], dtype=bool)
+        label = np.array([v[1] for v in vectors], dtype=np.int64)
+        weight, bare = self.by_label[label], np.array([len(v[2]) == 0 for v in vectors], dtype=bool)
         self.bare = float((weight * label)[bare].sum() / weight[bare].sum()) if bare.any() else 0.0
         held = [v for v in vectors if len(v[2])]
         held.sort(key=lambda v: (int(v[2][np.argmax(v[3])]), v[0]))  # near examples share blocks
         self.ids = np.array([v[0] for v in held], dtype=np.int64)
         self.labels = np.array([v[1] for v in held], dtype=np.int64)
-        self.index = BlockMaxIndex([(v[2], v[3]) for v in held], len(vocabulary.at))
-        votes = np.array([self.vote(t, w, without=i)[0] for i, (_, _, t, w) in enumerate(held)])
-        self.curve = isotonic(votes, self.labels.astype(float), self.by_label[self.labels]) if len(held) else (np.zeros(1), np.zeros(1))
-
-    def vote(self, terms: np.ndarray, weights: np.ndarray, without: int = -1) -> tuple[float, np.ndarray]:
-        ids, sims = self.index.nearest(terms, weights, self.k, without)
+        self.index = BlockMaxIndex([(v[2], v[3]) for v in held], len(known))
+        self.curve = (np.zeros(1), np.zeros(1))
+
+    def vector(self, terms: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places of the terms and weights of length 1; both empty if the text has no term of the examples."""
+        hit, at = _place(self.known, terms)
+        weights = (1 + np.log(counts[hit])) * self.weights[at]
+        return at, weights / np.linalg.norm(weights) if len(at) else weights
+
+    def vote(self, terms: np.ndarray, counts: np.ndarray, without: int | None = None) -> tuple[float, np.ndarray] | None:
+        """The vote of the nearest examples and these, nearest first; None for a text without a term. without: an id."""
+        at, weights = self.vector(terms, counts)
+        if not len(at):
+            return None
+        ids, sims = self.index.nearest(at, weights, self.k, None if without is None else np.flatnonzero(self.ids == without))
         w = self.by_label[self.labels[ids]] / (1.0 - sims + 0.05)
         return float((w * self.labels[ids]).sum() / w.sum()) if len(ids) else 0.0, ids
 
     def score(self, data: bytes) -> tuple[float, list[int]]:
         """Probability of label 1, and the examples that spoke for it (nearest first)."""
-        terms, weights = self.vocabulary.vector(data)
-        if not len(terms):
+        found = self.vote(*terms_of(data))
+        if found is None:
             return self.bare, []
-        vote, ids = self.vote(terms, weights)
-        return float(np.interp(vote, *self.curve)), self.ids[ids[self.labels[ids] == 1]].tolist()
+        return float(np.interp(found[0], *self.curve)), self.ids[found[1][self.labels[found[1]] == 1]].tolist()
 
 
 def held_out() -> F.Column:
     return F.crc32(F.col("doc_id").cast("string")) % 3 == 1
 
 
-def fitted(docs: DataFrame, labels: DataFrame) -> Model:
-    """The model from labelled rows that aren't held out."""
-    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic")).where(~held_out())
+def term_weights(n: int, frequency: np.ndarray, toxic: np.ndarray, clean: np.ndarray, n_toxic: int, n_clean: int) -> np.ndarray:
+    """Inverse document frequency among n documents, times FLOOR plus the size of the log ratio of the labels' rates."""
+    ratio = np.log((toxic + 0.5) / (n_toxic + 1)) - np.log((clean + 0.5) / (n_clean + 1))
+    return np.log1p(n / (1.0 + frequency)) * (FLOOR + np.abs(ratio))
+
+
+def _votes(model: Broadcast):
+    """Leave-one-out votes of examples."""
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [model.value.vote(np.array(r["terms"], np.int64), np.array(r["counts"], np.int64), r["doc_id"]) for r in batch.to_pylist()]
+            votes = pa.array([None if r is None else r[0] for r in rows], pa.float64())
+            yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index("toxic")), votes], ["toxic", "vote"])
+
+    return of
+
+
+def fitted(docs: DataFrame, labels: DataFrame, toxic_examples: int = TOXIC_EXAMPLES, clean_examples: int = CLEAN_EXAMPLES) -> Model:
+    """The model from labelled rows that aren't held out, and from the document frequencies of all rows."""
+    spark = docs.sparkSession
+    label = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
+    known = label.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic")).where(~held_out())
     n, toxic = known.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
     order = (F.xxhash64("doc_id"), "doc_id")
-    chosen = known.where("toxic = 1").orderBy(*order).limit(TOXIC_EXAMPLES).unionByName(known.where("toxic = 0").orderBy(*order).limit(CLEAN_EXAMPLES))
-    sample = written(documents(docs).join(F.broadcast(written(chosen)), "doc_id"))
-    sizes = {r[0]: r[1] for r in sample.groupBy("toxic").count().collect()}
-    n_toxic, n_clean = max(sizes.get(1, 0), 1), max(sizes.get(0, 0), 1)
-    counts = sample.mapInArrow(_count, "term string, toxic long, clean long").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
-    rate, base = F.col("toxic") / n_toxic, (F.col("clean") + 0.5) / n_clean
-    best = counts.where(F.col("toxic") >= IN_EXAMPLES).where(rate / (rate + base) >= PURITY).withColumn("gain", F.sqrt(rate) - F.sqrt(base)).orderBy(F.desc("gain"), "term").limit(TERMS)
-    vocabulary = Vocabulary([(r["term"], float(np.log1p((n_toxic + n_clean) / (1.0 + r["toxic"] + r["clean"])))) for r in best.orderBy("term").collect()])
-    vectors = sample.orderBy("doc_id").select("doc_id", "toxic", "text").toLocalIterator()
-    return Model(vocabulary, [(r[0], r[1], (r[2] or "").encode()) for r in vectors], (toxic or 0) / max(n or 0, 1))
+    few = lambda y, most: known.where(F.col("toxic") == y).orderBy(*order).limit(most)
+    chosen = F.broadcast(written(few(1, toxic_examples).unionByName(few(0, clean_examples))))
+    sample = written(documents(docs).join(chosen, "doc_id").mapInArrow(_example_terms, "doc_id long, toxic int, terms array<long>, counts array<long>"))
+
+    each = sample.select(F.explode("terms").alias("term"), "toxic").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.count("*").alias("n"))
+    table = each.toArrow().sort_by("term")
+    terms, with_toxic, with_any = (table.column(c).to_numpy().astype(np.int64) for c in ("term", "toxic", "n"))
+    sent = spark.sparkContext.broadcast(terms)
+    counted = documents(docs).mapInArrow(_frequencies(sent), "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
+    table = counted.toArrow().sort_by("term")
+    frequency = np.zeros(len(terms), dtype=np.int64)
+    frequency[_place(terms, table.column("term").to_numpy())[1]] = table.column("n").to_numpy()
+    sent.unpersist()
+
+    rows = sample.toArrow().to_pylist()
+    n_toxic = sum(r["toxic"] for r in rows)
+    weights = term_weights(docs.count(), frequency, with_toxic, with_any - with_toxic, n_toxic, len(rows) - n_toxic)
+    examples = sorted(((r["doc_id"], r["toxic"], np.array(r["terms"], np.int64), np.array(r["counts"], np.int64)) for r in rows), key=lambda e: (e[0], e[1], len(e[2])))
+    model = Model(terms, weights, examples, (toxic or 0) / max(n or 0, 1))
+    sent = spark.sparkContext.broadcast(model)
+    tasks = max(1, min(spark.sparkContext.defaultParallelism, len(rows)))
+    votes = sample.repartition(tasks).mapInArrow(_votes(sent), "toxic int, vote double").where("vote is not null").toArrow()
+    sent.unpersist()
+    dropped(sample)
+    if votes.num_rows:
+        y = votes.column("toxic").to_numpy().astype(np.int64)
+        model.curve = isotonic(votes.column("vote").to_numpy(), y.astype(float), model.by_label[y])
+    return model
 
 
 def _score(model: Broadcast):
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             got = [model.value.score(x) for x in column_bytes(batch, "text")]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([g[0] for g in got], pa.float64()), pa.array([g[1] for g in got], pa.list_(pa.int64()))], ["doc_id", "score", "evidence"])
+            arrays = [batch.column(0), pa.array([g[0] for g in got], pa.float64()), pa.array([g[1] for g in got], pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "score", "evidence"])
 
-    return of
+    return lambda batches: released(of(batches))
 
 
 def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score, predicted and evidence (ids of the toxic examples among the nearest) of each document.
 
-    Null, empty and other texts without a term of the vocabulary get the share of toxic ones among such examples. Without
-    toxic labels all scores are 0. Equal rows get equal results; held_out is null for a null id.
+    Null, empty and other texts without a word of the examples get the share of toxic ones among such examples. Whole
+    texts count, however long. Without toxic labels all scores are 0. Equal rows get equal results; held_out is null for a
+    null id. Of examples at the same distance the first in the index's order are nearest. An empty table gives no rows.
     """
     model = docs.sparkSession.sparkContext.broadcast(fitted(docs, labels))
     out = documents(docs).mapInArrow(_score(model), "doc_id long, score double, evidence array<long>")
