@@ -248,6 +248,31 @@ def test_quality(docs, rows, labels):
     assert sum(r.kept for r in good) >= 0.95 * sum(not r.base_failed for r in good)
 
 
+def test_quality_verdict(spark):
+    """The verdict against a plain walk of each tree, and what it does to good and bad documents."""
+    sf = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    forest, most = quality.fitted(docs, labels)
+
+    def path(tree, row):
+        node = 0
+        while (f := forest.feature[tree, node]) >= 0:
+            node = 2 * node + (2 if row[f] >= forest.cut[tree, node] else 1)
+        return forest.path[tree, node]
+
+    got = {r.doc_id: r for r in quality.judged(docs, labels).collect()}
+    for r in docs.orderBy("doc_id").limit(150).collect():
+        counts, stats = quality.measured((r.text or "").encode())
+        score = 2.0 ** (-np.mean([path(t, stats) for t in range(quality.TREES)]) / forest.norm)
+        failed = counts[0] < 50 or 100 * counts[4] > 50 * counts[0]
+        assert abs(got[r.doc_id].anomaly - score) < 1e-9 and got[r.doc_id].kept == (not failed and score <= most)
+    label = {r.doc_id: r.quality for r in labels.collect()}
+    kept = lambda y: [got[i].kept for i, q in label.items() if q == y and not got[i].base_failed]
+    assert np.mean(kept(1)) > 0.97 and np.mean(kept(0)) < 0.2
+    good, bad = np.array([0.1, 0.2, 0.3, 0.6]), np.array([0.5, 0.7, 0.8])
+    assert (quality.threshold(good, bad, 1), quality.threshold(good, bad, 20), quality.threshold(bad, good, 20), quality.threshold(good, bad[:0])) == (0.3, 0.6, 1.0, 1.0)
+
+
 def test_quality_without_labels(docs, labels):
     assert quality.judged(docs, labels.limit(0)).where("kept = base_failed").count() == 0
 

@@ -4,7 +4,8 @@ All words of the labelled examples are terms. A term's weight in a text is its d
 frequency, counted over all documents, times how much its presence tells the labels apart (a floor for words that tell
 nothing, so that no word is dropped). The index keeps postings by term and block of examples, with the largest weight of
 each term in each block; a query visits blocks in order of their bounds and stops when no block can hold a nearer example,
-so that the nearest ones are exact. They vote with weights that fall with distance, and an isotonic curve, fitted on the
+so that the nearest ones are exact. The few terms that very many examples hold are kept as columns instead: their part of
+the cosines comes from a matrix product for many texts at once, and is part of the bounds. The nearest examples vote with weights that fall with distance, and an isotonic curve, fitted on the
 examples' own leave-one-out votes, makes the votes probabilities.
 
 Vectors, document frequencies and votes are made in tasks. The driver holds the examples' terms (as 64-bit hashes) and
@@ -32,8 +33,13 @@ BLOCK = 64
 THRESHOLD = 0.7
 #: Factor of the weight of words that tell nothing about the labels.
 FLOOR = 0.05
-#: Blocks that are visited at once, at first; their number doubles.
-AT_ONCE = 8
+#: Blocks that are visited at once, at first; then four times as many each time.
+AT_ONCE = 16
+#: Terms kept as columns are in more than a COMMON-th of the examples; there are COLUMNS at most.
+COMMON = 32
+COLUMNS = 512
+#: Texts whose parts of cosines by columns are held at once.
+TOGETHER = 128
 
 _TABLE = bytes(b + 32 if 0x41 <= b <= 0x5A else b if 0x61 <= b <= 0x7A or 0x30 <= b <= 0x39 or b >= 0x80 else 0x20 for b in range(256))
 
@@ -90,10 +96,21 @@ class BlockMaxIndex:
         self.blocks = -(-self.n // block)
         none = np.zeros(0, dtype=np.int64)
         term = np.concatenate([none, *(t for t, _ in vectors)])
+        weight = np.concatenate([none.astype(float), *(w for _, w in vectors)])
         example = np.repeat(np.arange(self.n), [len(t) for t, _ in vectors])
+        in_examples = np.bincount(term, minlength=n_terms)
+        common = np.argsort(-in_examples, kind="stable")[:COLUMNS]
+        common = common[in_examples[common] * COMMON > self.n]
+        #: The column of each common term, else -1; and the columns.
+        self.column = np.full(n_terms, -1, dtype=np.int32)
+        self.column[common] = np.arange(len(common))
+        self.columns = np.zeros((len(common), self.n))
+        at = self.column[term]
+        self.columns[at[at >= 0], example[at >= 0]] = weight[at >= 0]
+        term, weight, example = term[at < 0], weight[at < 0], example[at < 0]
         order = np.lexsort((example, term))
         self.example = example[order].astype(np.int32)
-        self.weight = np.concatenate([none.astype(float), *(w for _, w in vectors)])[order]
+        self.weight = weight[order]
         term = term[order]
         of = self.example // block
         head = np.flatnonzero(np.append(True, (term[1:] != term[:-1]) | (of[1:] != of[:-1]))) if len(term) else none
@@ -103,6 +120,14 @@ class BlockMaxIndex:
         self.start = np.append(head, len(term))
         self.entries = np.searchsorted(term[head], np.arange(n_terms + 1))
 
+    def by_columns(self, queries: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        """The common terms' part of the cosines of each query (terms, weights) with all examples."""
+        q = np.zeros((len(queries), len(self.columns)))
+        for row, (terms, weights) in zip(q, queries, strict=True):
+            at = self.column[terms]
+            row[at[at >= 0]] = weights[at >= 0]
+        return q @ self.columns
+
     @staticmethod
     def _spread(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All numbers of the ranges, and the range of each."""
@@ -110,32 +135,45 @@ class BlockMaxIndex:
         of = np.repeat(np.arange(len(sizes)), sizes)
         return np.arange(len(of)) - np.repeat(np.cumsum(sizes) - sizes - starts, sizes), of
 
-    def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int, without: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """The k examples of largest positive cosine (of equal ones, the first) and the cosines; those without are left out."""
+    def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int, without: np.ndarray | None = None, part: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """The k examples of largest positive cosine (of equal ones, the first) and the cosines; those without are left out.
+
+        part: the query's row of by_columns, where known.
+        """
         ids, sims = np.zeros(0, dtype=np.int64), np.zeros(0)
         if not len(terms) or not self.n:
             return ids, sims
+        part = self.by_columns([(terms, weights)])[0] if part is None else part
+        rare = self.column[terms] < 0
+        terms, weights = terms[rare], weights[rare]
         entry, of = self._spread(self.entries[terms], self.entries[terms + 1])
         weight, block = weights[of], self.of_block[entry]
         bounds = np.bincount(block, weights=self.top[entry] * weight, minlength=self.blocks)
+        bounds = bounds + np.maximum.reduceat(part, np.arange(0, self.n, self.block))
         order = np.argsort(-bounds, kind="stable")
         at, step = 0, AT_ONCE
         while at < len(order):
             bound = bounds[order[at]]
             if bound <= 0 or len(ids) == k and bound < sims[-1] - 1e-9:
                 break
+            blocks = np.sort(order[at : at + step])
             chosen = np.zeros(self.blocks, dtype=bool)
-            chosen[order[at : at + step]] = True
+            chosen[blocks] = True
             own = np.flatnonzero(chosen[block])
             posting, of = self._spread(self.start[entry[own]], self.start[entry[own] + 1])
-            dots = np.bincount(self.example[posting], weights=self.weight[posting] * weight[own][of], minlength=self.n)
+            dots = np.bincount(self.example[posting], weights=self.weight[posting] * weight[own][of], minlength=self.n) + part
             if without is not None:
                 dots[without] = 0
-            some = np.flatnonzero(dots > (max(sims[-1] - 1e-9, 0) if len(ids) == k else 0))
+            inside = (blocks[:, None] * self.block + np.arange(self.block)).ravel()
+            inside = inside[: np.searchsorted(inside, self.n)]
+            near, least = dots[inside], max(sims[-1] - 1e-9, 0) if len(ids) == k else 0
+            if len(near) > 4 * k:
+                least = max(least, np.partition(near, len(near) - k)[len(near) - k] - 1e-9)
+            some = inside[near > least]
             ids, sims = np.concatenate([ids, some]), np.concatenate([sims, dots[some]])
             best = np.lexsort((ids, -np.round(sims, 12)))[:k]
             ids, sims = ids[best], sims[best]
-            at, step = at + step, 2 * step
+            at, step = at + step, 4 * step
         return ids, sims
 
 
@@ -181,21 +219,31 @@ class Model:
         weights = (1 + np.log(counts[hit])) * self.weights[at]
         return at, weights / np.linalg.norm(weights) if len(at) else weights
 
-    def vote(self, terms: np.ndarray, counts: np.ndarray, without: int | None = None) -> tuple[float, np.ndarray] | None:
-        """The vote of the nearest examples and these, nearest first; None for a text without a term. without: an id."""
-        at, weights = self.vector(terms, counts)
-        if not len(at):
-            return None
-        ids, sims = self.index.nearest(at, weights, self.k, None if without is None else np.flatnonzero(self.ids == without))
-        w = self.by_label[self.labels[ids]] / (1.0 - sims + 0.05)
-        return float((w * self.labels[ids]).sum() / w.sum()) if len(ids) else 0.0, ids
+    def votes(self, texts: list[tuple[np.ndarray, np.ndarray]], without: list[int] | None = None) -> Iterator[tuple[float, np.ndarray] | None]:
+        """For each text (terms and counts) the vote of its nearest examples and these, nearest first; None without a term.
 
-    def score(self, data: bytes) -> tuple[float, list[int]]:
-        """Probability of label 1, and the examples that spoke for it (nearest first)."""
-        found = self.vote(*terms_of(data))
-        if found is None:
-            return self.bare, []
-        return float(np.interp(found[0], *self.curve)), self.ids[found[1][self.labels[found[1]] == 1]].tolist()
+        without: for each text, the id of the example that has no vote.
+        """
+        for at in range(0, len(texts), TOGETHER):
+            vectors = [self.vector(*x) for x in texts[at : at + TOGETHER]]
+            parts = self.index.by_columns(vectors)
+            for i, ((terms, weights), part) in enumerate(zip(vectors, parts, strict=True)):
+                if not len(terms):
+                    yield None
+                    continue
+                out = None if without is None else np.flatnonzero(self.ids == without[at + i])
+                ids, sims = self.index.nearest(terms, weights, self.k, out, part)
+                w = self.by_label[self.labels[ids]] / (1.0 - sims + 0.05)
+                yield float((w * self.labels[ids]).sum() / w.sum()) if len(ids) else 0.0, ids
+
+    def scores(self, texts: list[bytes]) -> Iterator[tuple[float, list[int]]]:
+        """Probability of label 1 of each text, and the examples that spoke for it (nearest first)."""
+        for found in self.votes([terms_of(x) for x in texts]):
+            if found is None:
+                yield self.bare, []
+            else:
+                ids = found[1]
+                yield float(np.interp(found[0], *self.curve)), self.ids[ids[self.labels[ids] == 1]].tolist()
 
 
 def held_out() -> F.Column:
@@ -213,8 +261,10 @@ def _votes(model: Broadcast):
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [model.value.vote(np.array(r["terms"], np.int64), np.array(r["counts"], np.int64), r["doc_id"]) for r in batch.to_pylist()]
-            votes = pa.array([None if r is None else r[0] for r in rows], pa.float64())
+            rows = batch.to_pylist()
+            texts = [(np.array(r["terms"], np.int64), np.array(r["counts"], np.int64)) for r in rows]
+            got = model.value.votes(texts, [r["doc_id"] for r in rows])
+            votes = pa.array([None if r is None else r[0] for r in got], pa.float64())
             yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index("toxic")), votes], ["toxic", "vote"])
 
     return of
@@ -260,7 +310,7 @@ def fitted(docs: DataFrame, labels: DataFrame, toxic_examples: int = TOXIC_EXAMP
 def _score(model: Broadcast):
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            got = [model.value.score(x) for x in column_bytes(batch, "text")]
+            got = list(model.value.scores(column_bytes(batch, "text")))
             arrays = [batch.column(0), pa.array([g[0] for g in got], pa.float64()), pa.array([g[1] for g in got], pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "score", "evidence"])
 
