@@ -443,6 +443,27 @@ def test_toxicity_held_out(spark):
     assert got.score[got.toxic == 0].ge(0.7).mean() < 0.01 and got.score[got.toxic == 1].ge(0.7).mean() > 0.8
 
 
+def test_spans_do_not_depend_on_blocks(spark):
+    """The share of hit words is judged over the whole benchmark, as many blocks as it may have."""
+    rng = random.Random(8)
+    items = [" ".join(f"i{n}w{rng.randrange(999)}" for _ in range(15)) for n in range(3)]
+    filler = lambda n, k: " ".join(f"f{n}x{j}" for j in range(k))
+    texts = [f"{items[0]} {filler(0, 200)}, {items[1]}! {filler(1, 200)}", f"{items[2]} {filler(2, 400)}", f"{items[0]} {items[1]} {filler(3, 700)}", "", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("starts", F.lit(1))
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    out = [sorted((r.doc_id, r.text) for r in decontaminate.remove_spans(df, bench, block_bytes=b).collect()) for b in (1 << 24, 100)]
+    assert out[0] == out[1] == [(1, f" {filler(2, 400)}"), (2, f" {filler(3, 700)}"), (3, ""), (4, "")]
+
+
+def test_index_size():
+    """Some 16 bytes a word beside the distinct words."""
+    rng = random.Random(9)
+    chunks = [(str(i), " ".join(f"w{rng.randrange(5000)}" for _ in range(4000)).encode()) for i in range(50)]
+    index = decontaminate.WindowIndex(chunks, 13)
+    size = index.words.nbytes + index.ends.nbytes + sum(a.nbytes + b.nbytes for a, b in index.tables.values())
+    assert size < 17 * 50 * 4000
+
+
 @pytest.mark.parametrize("block_bytes", [1 << 24, 40])
 def test_contamination_by_items_without_id(spark, bench, block_bytes):
     words = [f"word{i}" for i in range(40)]

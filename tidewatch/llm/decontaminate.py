@@ -1,8 +1,8 @@
 """Benchmark decontamination: a broadcast hash set of the test items' word n-grams, scanned over training texts.
 
-The items' windows are broadcast in blocks of at most ``block_bytes`` bytes of item text. A larger benchmark gives more
-blocks, each scanned against all documents; the blocks' hits are then merged by document. Every hit is verified word by
-word.
+The items' windows are broadcast in blocks of at most ``block_bytes`` bytes of item text. In a worker a block takes some 16
+bytes for each of its words (an id, a hash and a place), and its distinct words. A larger benchmark gives more blocks, each
+scanned against all documents; the blocks' hits are then merged by document. Every hit is verified word by word.
 """
 
 from __future__ import annotations
@@ -15,10 +15,10 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import Broadcast
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import column_bytes, column_list, documents, small_batches
+from .common import column_bytes, column_list, documents, released, small_batches
 
 WINDOW = 13
 BLOCK_BYTES = 16 << 20
@@ -55,22 +55,29 @@ def _chunks(window: int):
 
 
 class WindowIndex:
-    """Hash set of word windows, with the items of each (None: one without an id)."""
+    """Hash set of word windows: sorted hashes, and where each window lies in the items' words."""
 
     def __init__(self, chunks: list[tuple[str | None, bytes]], window: int) -> None:
+        """chunks: item (None: one without an id) and words of each piece of an item."""
         self.vocabulary: dict[bytes, int] = {}
-        self.windows: dict[int, dict[tuple, set[str | None]]] = {}
-        for item, chunk in chunks:
-            ids = [self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in chunk.split()]
-            n = min(window, len(ids))
-            table = self.windows.setdefault(n, {})
-            for i in range(len(ids) - n + 1):
-                table.setdefault(tuple(ids[i : i + n]), set()).add(item)
-        self.hashes = {n: np.unique(self._hash(np.array(list(t), dtype=np.uint64).ravel(), n)[::n]) for n, t in self.windows.items()}
+        known = self.vocabulary
+        parts = [np.array([known.setdefault(w, len(known) + 1) for w in chunk.split()], dtype=np.uint32) for _, chunk in chunks]
+        sizes = np.array([len(x) for x in parts], dtype=np.int64)
+        self.items = [item for item, _ in chunks]
+        self.words = np.concatenate([np.zeros(0, np.uint32), *parts])
+        self.ends = np.cumsum(sizes)
+        self.tables: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        for n in sorted({min(window, int(x)) for x in sizes if x}):
+            own = np.flatnonzero(np.minimum(sizes, window) == n)
+            starts = [np.arange(e - k, e - n + 1) for e, k in zip(self.ends[own], sizes[own], strict=True)]
+            at = np.concatenate(starts)
+            h = self._hash(self.words, n)[at]
+            order = np.argsort(h, kind="stable")
+            self.tables[n] = (h[order], at[order].astype(np.uint32))
 
     @staticmethod
     def _hash(ids: np.ndarray, n: int) -> np.ndarray:
-        size = len(ids) - n + 1
+        size = max(len(ids) - n + 1, 0)
         h = np.zeros(size, dtype=np.uint64)
         for j in range(n):
             h = h * _MUL + ids[j : j + size]
@@ -78,21 +85,22 @@ class WindowIndex:
 
     def hits(self, words: list[bytes]) -> tuple[list[int], list[int], set[str]]:
         """Merged [start, end) word ranges of hit words, and the items that have an id."""
-        if not self.windows:
-            return [], [], set()
         ids = np.array(list(map(self.vocabulary.get, words, repeat(0))), dtype=np.uint64)
         edges = np.flatnonzero(np.diff(np.concatenate(([0], (ids > 0).astype(np.int8), [0]))))
         begins, stops = edges[::2], edges[1::2]
         spans, items = [], set()
-        for n, table in self.windows.items():
+        for n, (known, at) in self.tables.items():
             for a, b in zip(*(x[stops - begins >= n] for x in (begins, stops)), strict=True):
                 run = ids[a:b]
-                h, known = self._hash(run, n), self.hashes[n]
-                at = np.minimum(np.searchsorted(known, h), len(known) - 1)
-                for i in np.flatnonzero(known[at] == h):
-                    if found := table.get(tuple(run[i : i + n].tolist())):
+                h = self._hash(run, n)
+                first, last = (np.searchsorted(known, h, side) for side in ("left", "right"))
+                for i in np.flatnonzero(last > first).tolist():
+                    places = at[first[i] : last[i]].astype(np.int64)
+                    same = (self.words[places[:, None] + np.arange(n)] == run[i : i + n]).all(1)
+                    if same.any():
                         spans.append((int(a + i), int(a + i + n)))
-                        items |= found
+                        owners = np.unique(np.searchsorted(self.ends, places[same], "right"))
+                        items.update(self.items[o] for o in owners.tolist())
         starts, ends = merge(spans)
         return starts, ends, items - {None}
 
@@ -180,45 +188,81 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, s
     return out.withColumn("contaminated", (F.col("n_hit") > 0) & (share * F.col("n_hit") >= F.col("n_words")))
 
 
+_WORDS = re.compile(rb"[0-9A-Za-z\x80-\xff]+")
+
+
+def _cut(data: bytes, starts: list[int], ends: list[int]) -> bytes:
+    """data without the words of each range, from the first to the last and all between them."""
+    if not starts:
+        return data
+    at = [m.span() for m in _WORDS.finditer(data)]
+    cuts = [0, *(x for s, e in zip(starts, ends, strict=True) for x in (at[s][0], at[e - 1][1])), len(data)]
+    return b"".join(data[a:b] for a, b in zip(cuts[::2], cuts[1::2], strict=True))
+
+
+def _with_text(batch: pa.RecordBatch, texts: list[bytes]) -> pa.RecordBatch:
+    place = batch.schema.get_field_index("text")
+    made = pa.array([x.decode("utf-8", "replace") for x in texts], pa.string()).cast(batch.schema.field(place).type)
+    return batch.set_column(place, batch.schema.field(place), made)
+
+
 def _strip(index: Broadcast, share: int, spans: bool):
-    """Drops contaminated documents; with spans, also cuts each hit range, from its first to its last word, from the others."""
-    word = re.compile(rb"[0-9A-Za-z\x80-\xff]+")
+    """Drops contaminated documents; with spans, also cuts the hit ranges from the others."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep, texts, place = [], [], batch.schema.get_field_index("text")
+            keep, texts = [], []
             for data in column_bytes(batch, "text"):
                 words = words_of(data)
                 starts, ends, _ = index.value.hits(words)
                 n = sum(ends) - sum(starts)
                 keep.append(not (n and share * n >= len(words)))
-                if spans and starts:
-                    at = [m.span() for m in word.finditer(data)]
-                    cuts = [0, *(x for s, e in zip(starts, ends, strict=True) for x in (at[s][0], at[e - 1][1])), len(data)]
-                    data = b"".join(data[a:b] for a, b in zip(cuts[::2], cuts[1::2], strict=True))
-                texts.append(data.decode("utf-8", "replace"))
-            if spans:
-                batch = batch.set_column(place, batch.schema.field(place), pa.array(texts, pa.string()).cast(batch.schema.field(place).type))
-            yield batch.filter(pa.array(keep, pa.bool_()))
+                texts.append(_cut(data, starts, ends) if spans and keep[-1] else data)
+            yield (_with_text(batch, texts) if spans else batch).filter(pa.array(keep, pa.bool_()))
 
-    return of
+    return lambda batches: released(of(batches))
+
+
+def _cut_listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Cuts the ranges of the last two columns, and drops these columns."""
+    for batch in batches:
+        starts, ends = (batch.column(batch.num_columns - k).to_pylist() for k in (2, 1))
+        texts = [_cut(x, s or [], e or []) for x, s, e in zip(column_bytes(batch, "text"), starts, ends, strict=True)]
+        yield _with_text(batch.select(list(range(batch.num_columns - 2))), texts)
+
+
+def _row_key() -> Column:
+    return F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string"))
 
 
 def remove_spans(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, share: int = 20, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """docs (all columns) without contaminated documents and without hit passages in the others, one block after the other."""
-    for index in indexes(benchmark, window, block_bytes):
-        docs = small_batches(docs).mapInArrow(_strip(index, share, True), docs.schema)
-    return docs
+    """docs (all columns) without contaminated documents and without hit passages in the others.
+
+    The share of hit words is that of the whole benchmark and of the whole text, however many blocks the benchmark has. A
+    null text becomes empty; repeated rows get equal results; an empty table stays empty.
+    """
+    found = indexes(benchmark, window, block_bytes)
+    if len(found) == 1:
+        return small_batches(docs).mapInArrow(_strip(found[0], share, True), docs.schema)
+    hit = F.aggregate(F.zip_with("ends", "starts", lambda e, s: e - s), F.lit(0).cast("long"), lambda a, x: a + x)
+    ranges = scan(docs, benchmark, window, block_bytes).where(F.size("starts") > 0)
+    ranges = ranges.select(F.col("row_key").alias("__key"), F.col("starts").alias("__starts"), F.col("ends").alias("__ends"), (share * hit >= F.col("n_words")).alias("__bad"))
+    ranges = ranges.dropDuplicates(["__key"])
+    keyed = docs.withColumn("__own", _row_key())
+    joined = keyed.join(ranges, F.col("__own") == F.col("__key"), "left").where(~F.coalesce("__bad", F.lit(False)))
+    return small_batches(joined).select(*docs.columns, "__starts", "__ends").mapInArrow(_cut_listed, docs.schema)
 
 
 def remove_documents(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, share: int = 20, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """docs (all columns) without contaminated documents; the others stay as they are."""
+    """docs (all columns) without contaminated documents; the others stay as they are.
+
+    Null and empty texts have no words and stay; repeated rows share their fate; an empty table stays empty.
+    """
     found = indexes(benchmark, window, block_bytes)
     if len(found) == 1:
         return small_batches(docs).mapInArrow(_strip(found[0], share, False), docs.schema)
-    bad = contamination(docs, benchmark, window, share, block_bytes).where("contaminated").select("row_key").distinct()
-    keyed = docs.withColumn("__row_key", F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string")))
-    return keyed.join(bad, F.col("__row_key") == bad["row_key"], "left_anti").drop("__row_key")
+    bad = contamination(docs, benchmark, window, share, block_bytes).where("contaminated").select(F.col("row_key").alias("__key")).distinct()
+    return docs.withColumn("__own", _row_key()).join(bad, F.col("__own") == F.col("__key"), "left_anti").drop("__own")
 
 
 def sql(window: int = WINDOW, share: int = 20) -> str:
