@@ -280,14 +280,14 @@ def _possible(pairs: DataFrame, bits: DataFrame, percent: int) -> DataFrame:
 
 def verified(pairs: DataFrame, rows: DataFrame, width: int, percent: int) -> DataFrame:
     """Of written pairs (a, b), those whose sets are similar. A set goes to the other side of each of its pairs."""
-    ids = written(pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct())
+    ids = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
     sets = written(_chosen(rows, ids).mapInArrow(_sets(width), "doc_id long, hashes array<long>"))
     left = pairs.join(sets.select(F.col("doc_id").alias("b"), F.col("hashes").alias("y")), "b")
     both = spread_join(left, sets.select(F.col("doc_id").alias("a"), F.col("hashes").alias("x")), "a", counted=pairs)
     common = F.size(F.array_intersect("x", "y"))
     similar = 100 * common >= percent * (F.size("x") + F.size("y") - common)
     out = written(both.where(similar).select("a", "b").distinct())
-    dropped(ids, sets)
+    dropped(sets)
     return out
 
 
@@ -306,12 +306,9 @@ def _copies(rows: DataFrame) -> DataFrame:
     Digests are counted and their smallest ids found before they are shuffled; documents of a hot digest find theirs by a
     broadcast of at most HOT_KEYS digests.
     """
-    texts = written(rows.where("text <> ''").select("doc_id", F.md5("text").alias("digest")))
+    texts = rows.where("text <> ''").select("doc_id", F.md5("text").alias("digest"))
     found = texts.groupBy("digest").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1")
-    found = written(found.select("digest", "first"))
-    out = written(spread_join(texts, found, "digest").where("doc_id <> first").select("doc_id", "first").distinct())
-    dropped(texts, found)
-    return out
+    return written(spread_join(texts, found.select("digest", "first"), "digest").where("doc_id <> first").select("doc_id", "first").distinct())
 
 
 def _close_pairs(rest: DataFrame, bits: DataFrame, percent: int) -> DataFrame:
@@ -365,17 +362,25 @@ def grouped(docs: DataFrame, width: int = 3, percent: int = 90) -> DataFrame:
     sizes, lists = _lists(rows, width, percent, copies)
 
     asked = lists.select(F.col("pivot").alias("doc_id")).unionByName(lists.select(F.col("doc").alias("doc_id"))).distinct()
-    ids = written(asked)
-    bits = written(_chosen(rows, ids).mapInArrow(_bits(width, percent), "doc_id long, n long, bits array<long>"))
+    bits = written(_chosen(rows, asked).mapInArrow(_bits(width, percent), "doc_id long, n long, bits array<long>"))
     fit = 100 * F.least("n", "pn") >= percent * F.greatest("n", "pn")
     pairs = written(lists.where(fit).select(F.col("pivot").alias("a"), F.col("doc").alias("b")).distinct())
     first = written(_possible(pairs, bits, percent))
     links = verified(first, rows, width, percent)
-    found = written(components(links))
-    # Where a list has local pivots, its own pivot hasn't met the sets behind them, and is one of the sets to compare.
-    tops = lists.groupBy("key").agg(F.max("local").alias("local"), F.min("top").alias("doc")).where("local").select("key", "doc")
-    tops = _first_of(copies, tops, "doc")
-    tops = tops.join(bits.select(F.col("doc_id").alias("doc"), F.col("n").cast("int").alias("n")), "doc")
+    found = components(links)
+    # Where a list has local pivots, its own pivot hasn't met the sets behind them: it meets those of other components now.
+    tops = lists.groupBy("key").agg(F.max("local").alias("local"), F.min("top").alias("top")).where("local").select("key", "top")
+    tops = written(_first_of(copies, tops, "top"))
+    behind = spread_join(lists.where("local").select("key", "doc").distinct(), tops, "key").select("top", "doc").distinct()
+    of = lambda c, name: found.select(F.col("node").alias(c), F.col("component").alias(name))
+    behind = written(behind.where("top <> doc").join(of("doc", "own"), "doc", "left"))
+    behind = spread_join(behind, of("top", "other"), "top", "left")
+    apart = F.coalesce("own", "doc") != F.coalesce("other", "top")
+    behind = written(behind.where(apart).select(F.least("top", "doc").alias("a"), F.greatest("top", "doc").alias("b")).distinct())
+    near = written(_possible(behind, bits, percent))
+    links = links.unionByName(verified(near, rows, width, percent))
+    found = components(links)
+    tops = tops.withColumnRenamed("top", "doc").join(bits.select(F.col("doc_id").alias("doc"), F.col("n").cast("int").alias("n")), "doc")
     placed = lists.select("key", "doc", "n").unionByName(tops.select("key", "doc", "n"))
     placed = placed.join(found.withColumnRenamed("node", "doc"), "doc", "left")
     placed = written(placed.select("key", "doc", "n", F.coalesce("component", "doc").alias("component")).distinct())
@@ -387,8 +392,8 @@ def grouped(docs: DataFrame, width: int = 3, percent: int = 90) -> DataFrame:
     rest = written(spread_join(placed, mixed, "key"))
     more = verified(written(_close_pairs(rest, bits, percent)), rows, width, percent)
     if not more.isEmpty():
-        found = written(components(links.unionByName(more)))
-    dropped(ids, pairs, first, placed, rest, lists, bits)
+        found = components(links.unionByName(more))
+    dropped(pairs, first, behind, near, placed, rest, lists, bits)
 
     out = written(_first_of(copies, sizes.withColumn("component_id", F.col("doc_id")), "component_id"))
     out = spread_join(out, found.withColumnRenamed("node", "component_id"), "component_id", "left")
