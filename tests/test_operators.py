@@ -1,6 +1,7 @@
 """Operators on small cases with known results, and edge cases."""
 
 import datetime as dt
+import math
 import random
 
 import pytest
@@ -9,8 +10,11 @@ from pyspark.sql import functions as F
 from tidewatch.functions import scalars as S
 from tidewatch.operators import alerts as A
 from tidewatch.operators import evaluation as E
+from tidewatch.operators import detector as X
 from tidewatch.operators import joins as J
+from tidewatch.operators import ml as M
 from tidewatch.operators import trades as T
+from tidewatch.operators import wallets as W
 from tidewatch.sources import log
 
 DAY = dt.datetime(2026, 4, 20)
@@ -37,7 +41,7 @@ def test_scalars(spark):
     assert one(spark, S.is_present(F.lit(" "))) is False and one(spark, S.is_present(F.lit(None))) is False
     assert one(spark, S.direction(F.lit(0.0))) == "NO" and one(spark, S.direction(F.lit(None).cast("double"))) is None
     assert one(spark, S.in_probability_band(F.lit(None).cast("double"))) is True
-    assert one(spark, S.json_doubles(F.lit('["0.5", "x"]'))) == [0.5, None]
+    assert one(spark, S.json_doubles(F.lit('["0.5", 2]'))) == [0.5, 2.0] and math.isnan(one(spark, S.json_doubles(F.lit('["x"]')))[0])
     assert one(spark, S.json_strings(F.lit('["a", "", null]'))) == ["a"] and one(spark, S.json_strings(F.lit("x"))) == []
     assert one(spark, S.yes_probability(F.array(F.lit("No"), F.lit("Yes")), F.array(F.lit(0.2)))) is None
 
@@ -117,3 +121,103 @@ def test_log(spark, tmp_path):
     assert [r.envelope_id for r in got.collect()] == ["e1"]
     p = log.points(log.read(spark, root)).collect()
     assert [(r.kind, r.wallet, r.side, r.notional, r.ts) for r in p] == [("trade", "0xab", "BUY", 5.0, dt.datetime(2026, 4, 20, 6))]
+
+
+def test_small_amounts(spark):
+    """Positions of tiny sizes stay, and sums keep their decimals."""
+    rows = [("w", "m", "YES", "BUY", 0.5, 0.004, 0.002), ("w", "n", "YES", "BUY", 0.5, 0.123456, 0.061728), ("w", "n", "YES", "SELL", 0.5, 0.000001, 0.0000005), ("w", "o", "NO", "BUY", 0.5, 1e-6, 5e-7)]
+    df = spark.createDataFrame(rows, "wallet string, market_id string, outcome_side string, side string, price double, size double, notional double")
+    got = {r.market_id: (r.net_size, r.net_notional) for r in W.positions(df).collect()}
+    assert got == {"m": (0.004, 0.002), "n": (0.123455, 0.0617275), "o": (1e-6, 5e-7)}
+
+
+def test_null_keys_and_bounds_match_nothing(spark):
+    left = spark.createDataFrame([(1, None, at(9)), (2, "a", at(9)), (3, "b", at(9))], "id long, k string, ts timestamp")
+    right = spark.createDataFrame([(None, at(1), 1), ("a", at(1), 2)], "k string, ts timestamp, v long")
+    got = {r.id: r.m and r.m.v for r in J.as_of(left, right, "k", "m").collect()}
+    assert got == {1: None, 2: 2, 3: None}
+    ranges = spark.createDataFrame([(1, "a", at(0), at(400000)), (2, "a", None, at(9)), (3, "a", at(9), at(0)), (4, None, at(0), at(9))], "id long, k string, t0 timestamp, t1 timestamp")
+    assert [(r.id, r.v) for r in J.in_range(ranges, right, "k", "t0", "t1", 86400).collect()] == [(1, 2)]
+
+
+def test_content_hash(spark):
+    rows = spark.range(1000).select("id", F.col("id").cast("string").alias("s"))
+    a, b, c, d = (M.content_hash(x, "id", "s").first() for x in (rows, rows.repartition(7), rows.where("id < 999"), rows.limit(0)))
+    assert a == b and a != c and a.n == 1000 and d.n == 0 and d["hash"] == 0
+    wide = spark.range(2).select(F.lit(2**62).cast("long").alias("h")).agg(F.sum(F.col("h").cast("decimal(28,0)"))).first()[0]
+    assert wide == 2**63
+
+
+def test_cooldown_against_a_loop(spark):
+    rng = random.Random(5)
+    rows, now = [], {"m": 0, "n": 0}
+    for i in range(300):
+        m = rng.choice("mmmn")
+        now[m] += rng.choice([0, 10, 300, 600, 900, 1500])
+        rows.append((i, m, at(now[m]), rng.choice([1.0, 1.2, 1.6]), rng.sample(["a", "b", "c"], rng.randrange(1, 3)), i % 7))
+    state, want = {}, {}
+    for seq, m, ts, severity, rules, _ in rows:
+        last = state.get(m)
+        held = last and (ts - last[0]).total_seconds() < 900 and set(rules) & set(last[2]) and severity < 1.25 * last[1]
+        want[seq] = not held
+        if not held:
+            state[m] = (ts, severity, rules)
+    df = spark.createDataFrame(rows, "seq long, market_id string, ts timestamp, severity double, rules array<string>, other long")
+    got = X.cooled(df)
+    assert got.columns == [*df.columns, "emitted"] and {r.seq: (r.emitted, r.other) for r in got.collect()} == {s: (e, s % 7) for s, e in want.items()}
+
+
+def test_delivery_against_a_loop(spark):
+    rng = random.Random(6)
+    rows, t = [], 0
+    for i in range(300):
+        t += rng.choice([0, 20, 70, 400, 4000])
+        rows.append((i, at(t), rng.choice("xy"), rng.random() < 0.8))
+    sent, passes, want = {"x": [], "y": []}, set(), {}
+    for i, ts, channel, eligible in rows:
+        s = (ts - DAY).total_seconds()
+        key = (channel, int(ts.timestamp() if ts.tzinfo else s // 60))
+        ok = False
+        if eligible and key not in passes:
+            passes.add(key)
+            ok = sum(x > s - 3600 for x in sent[channel]) < 6
+        if ok:
+            sent[channel].append(s)
+        want[i] = ok
+    df = spark.createDataFrame(rows, "id long, ts timestamp, channel string, eligible boolean")
+    assert {r.id: r.delivered for r in A.delivered(df, 60).collect()} == want
+
+
+def test_position_limits_against_a_loop(spark):
+    rng = random.Random(7)
+    rows = sorted((rng.randrange(5000), i) for i in range(200))
+    rows = [(i, at(t), None if rng.random() < 0.1 else at(t + rng.choice([0, 50, 900])), f"f{rng.randrange(9)}") for t, i in rows]
+    open_, want = [], {}
+    for i, start, end, family in sorted(rows, key=lambda r: (r[1], r[0])):
+        open_ = [(e, f) for e, f in open_ if e > start]
+        want[i] = len(open_) < 5 and sum(f == family for _, f in open_) < 1
+        if want[i]:
+            open_.append((end or start, family))
+    df = spark.createDataFrame(rows, "id long, entry_ts timestamp, exit_ts timestamp, family string")
+    assert {r.id: r.taken for r in E.limited(df, "family").collect()} == want
+
+
+def test_lifecycle(spark):
+    cases = [
+        ((False, True, None, 1, "r", None, False, True), "filtered_domain"), ((True, False, None, 1, "r", None, False, True), "filtered_probability"),
+        ((True, True, 0, 1, "r", "r", False, True), "updated_resend"), ((True, True, 1, 1, "r", "q", False, False), "updated_resend_silent"),
+        ((True, True, 1, 1, "r", "r", True, True), "updated"), ((True, True, None, 1, "r", None, True, True), "suppressed"),
+        ((True, True, None, 1, "r", None, False, True), "created"), ((True, True, None, 1, None, None, False, False), "created_silent"),
+    ]
+    schema = "domain_ok boolean, probability_ok boolean, existing_rank int, rank int, reason string, existing_reason string, suppressed boolean, delivered boolean"
+    df = spark.createDataFrame([c for c, _ in cases], schema)
+    assert [r.status for r in A.lifecycle(df).collect()] == [s for _, s in cases]
+
+
+def test_assessment(spark):
+    cases = [
+        ((0, 0, 0, None, None, None, None), "no_rows_in_window"), ((5, 1, 0, 1.0, 1.0, 0.1, 0.1), "coverage_limited"), ((5, 1, 2, 1.0, 0.5, 0.7, 0.7), "promising"),
+        ((5, 0, 2, 1.0, 0.5, 0.75, 0.1), "mixed"), ((5, 0, 2, 0.0, 0.5, 0.1, 0.1), "mixed"), ((5, 0, 2, 0.0, 0.4, 0.1, 0.1), "not_yet_defendable"), ((5, 0, 0, None, None, None, None), "not_yet_defendable"),
+    ]
+    df = spark.createDataFrame([c for c, _ in cases], "n_rows long, n_insufficient long, fills long, median_pnl double, usefulness double, category_share double, family_share double")
+    assert [r.x for r in df.select(E.assessment().alias("x")).collect()] == [s for _, s in cases]

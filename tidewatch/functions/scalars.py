@@ -25,8 +25,8 @@ def safe_ratio(n: Column, d: Column) -> Column:
 
 
 def money(c: Column) -> Column:
-    """A sum of amounts with two decimals, free of rounding order."""
-    return F.sum(c.cast("decimal(18,2)")).cast("double")
+    """A sum of amounts, exact to ten decimals and free of rounding order."""
+    return F.sum(c.cast("decimal(28,10)")).cast("double")
 
 
 _DIGITS = r"^[+-]?[0-9]+(\.[0-9]*)?$"
@@ -71,8 +71,8 @@ def json_strings(c: Column) -> Column:
 
 
 def json_doubles(c: Column) -> Column:
-    """A JSON list of numbers or numeric strings; what isn't one is null."""
-    return F.transform(F.from_json(c, "array<string>"), lambda x: x.try_cast("double"))
+    """A JSON list of numbers or numeric strings; what isn't one is NaN. Anything else than a list is null."""
+    return F.transform(F.from_json(c, "array<string>"), lambda x: F.coalesce(x.try_cast("double"), F.lit(float("nan"))))
 
 
 def yes_probability(outcomes: Column, prices: Column) -> Column:

@@ -99,17 +99,19 @@ def cooled(found: DataFrame, c: Detector = Detector()) -> DataFrame:
     w = Window.partitionBy("market_id").orderBy("seq")
     gap = F.unix_micros("ts") - F.unix_micros(F.lag("ts").over(w)) >= c.cooldown_s * 1_000_000
     runs = found.withColumn("__run", F.sum(F.when(gap, 1).otherwise(0)).over(w))
-    item = F.struct("seq", "ts", "severity", "rules")
+    item = F.struct("seq", *(c for c in found.columns if c != "seq"))
     grouped = runs.groupBy("market_id", "__run").agg(F.array_sort(F.collect_list(item)).alias("items"))
-    start = F.struct(F.lit(None).cast("timestamp").alias("ts"), F.lit(0.0).alias("severity"), F.array().cast("array<string>").alias("rules"), F.array().cast("array<bigint>").alias("out"))
+    start = F.struct(F.lit(None).cast("timestamp").alias("ts"), F.lit(0.0).alias("severity"), F.array().cast("array<string>").alias("rules"), F.array().cast("array<boolean>").alias("out"))
 
     def step(acc: Column, x: Column) -> Column:
         near = acc["ts"].isNotNull() & (F.unix_micros(x["ts"]) - F.unix_micros(acc["ts"]) < c.cooldown_s * 1_000_000)
         held = F.coalesce(near & F.arrays_overlap(acc["rules"], x["rules"]) & (x["severity"] < c.escalation * acc["severity"]), F.lit(False))
-        return F.when(held, acc).otherwise(F.struct(x["ts"].alias("ts"), x["severity"].alias("severity"), x["rules"].alias("rules"), F.concat(acc["out"], F.array(x["seq"])).alias("out")))
+        last = lambda c: F.when(held, acc[c]).otherwise(x[c]).alias(c)
+        return F.struct(last("ts"), last("severity"), last("rules"), F.concat(acc["out"], F.array(~held)).alias("out"))
 
-    sent = grouped.select(F.explode(F.aggregate("items", start, step)["out"]).alias("seq")).withColumn("emitted", F.lit(True))
-    return found.join(sent, "seq", "left").withColumn("emitted", F.coalesce("emitted", F.lit(False)))
+    # The fold gives a flag for each row of the run, so that found isn't computed again to be joined with it.
+    flagged = grouped.select(F.explode(F.arrays_zip("items", F.aggregate("items", start, step)["out"].alias("emitted"))).alias("x"))
+    return flagged.select(*(F.col(f"x.items.{c}").alias(c) for c in found.columns), F.col("x.emitted").alias("emitted"))
 
 
 def melted(found: DataFrame, names: tuple[str, ...] = ("fresh_count", "fresh_share", "imbalance", "concentration", "velocity", "acceleration", "volume_acceleration")) -> DataFrame:

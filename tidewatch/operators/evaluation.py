@@ -126,3 +126,30 @@ def signature_differences(left: DataFrame, right: DataFrame) -> DataFrame:
     own = lambda df: df.select("market_id", "ts", F.array_join(F.array_sort("rules"), ",").alias("rules")).distinct()
     a, b = own(left), own(right)
     return a.exceptAll(b).withColumn("only_in", F.lit("left")).unionByName(b.exceptAll(a).withColumn("only_in", F.lit("right")))
+
+
+def assessment(share: float = 0.75, useful: float = 0.5) -> Column:
+    """Status of a report from its columns n_rows, n_insufficient, fills, median_pnl, usefulness, category_share and
+    family_share; the first that holds. Null metrics count as not reached.
+    """
+    over = lambda c, x, strict=False: F.coalesce(F.col(c) > x if strict else F.col(c) >= x, F.lit(False))
+    gains, helps = over("median_pnl", 0, True), over("usefulness", useful)
+    spread = F.coalesce((F.col("category_share") < share) & (F.col("family_share") < share), F.lit(False))
+    return (
+        F.when(F.col("n_rows") == 0, "no_rows_in_window").when((F.col("n_insufficient") > 0) & (F.col("fills") == 0), "coverage_limited")
+        .when(gains & helps & spread, "promising").when(gains | helps, "mixed").otherwise("not_yet_defendable")
+    )
+
+
+def alert_metrics(rows: DataFrame, *keys: str) -> DataFrame:
+    """Metrics of alerts by key: how many, how many with a label and with feedback, and the shares of useful ones among both.
+
+    rows: label (1 useful, 0 not, null unknown), useful (boolean or null: feedback), delivered. Ratios without a
+    denominator are 0.
+    """
+    ratio = lambda n, d: F.round(S.safe_ratio(n, d), 6)
+    known, told = F.count("label"), F.count("useful")
+    return rows.groupBy(*keys).agg(
+        F.count("*").alias("n_alerts"), known.alias("labelled"), told.alias("with_feedback"), F.count_if("delivered").alias("delivered"),
+        ratio(F.count_if(F.col("label") == 1), known).alias("label_precision"), ratio(F.count_if("useful"), told).alias("usefulness_precision"),
+        ratio(known, F.count("*")).alias("label_coverage"))

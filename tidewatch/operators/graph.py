@@ -1,7 +1,6 @@
 """Features of the graph of wallets and markets, as of each decision.
 
-Edges are summed to one row for each wallet, market and day first, so that hot wallets and markets carry few rows into
-the expansions.
+Both hops join the edges of the lookback as they are; their number bounds what a hot wallet or market brings in.
 """
 
 from __future__ import annotations
@@ -39,7 +38,7 @@ def features(decisions: DataFrame, edges: DataFrame, c: Graph = Graph()) -> Data
     near = hop1.select("id", "home", "home_event", "at", "market_id", "event_id").distinct()
     markets = near.groupBy("id").agg(F.countDistinct("market_id").alias("c"), F.round(F.coalesce(F.countDistinct(F.when(F.col("event_id") == F.col("home_event"), F.col("market_id"))) / F.countDistinct("market_id"), F.lit(0.0)), 6).alias("same_event_market_share"))
     hop2 = near.select("id", "home", "at", "market_id").distinct().alias("n").join(edges.alias("e"), (F.col("n.market_id") == F.col("e.market_id")) & F.col("e.ts").between(F.col("n.at") - back, F.col("n.at")))
-    pairs = hop2.groupBy("n.id", "n.home", "n.market_id", "e.wallet").agg(F.sum(F.greatest(F.lit(0.0), "e.notional").cast("decimal(18,2)")).alias("notional"))
+    pairs = hop2.groupBy("n.id", "n.home", "n.market_id", "e.wallet").agg(F.sum(F.greatest(F.lit(0.0), "e.notional").cast("decimal(28,10)")).alias("notional"))
     around = pairs.groupBy("id").agg(F.countDistinct("wallet").alias("cluster_wallet_count"), F.count("*").alias("pairs"), F.round(S.safe_ratio(F.sum(F.when(F.col("market_id") == F.col("home"), F.col("notional")).otherwise(0)).cast("double"), F.sum("notional").cast("double")), 6).alias("cluster_notional_share"))
     out = decisions.select("id").join(wallets, "id", "left").join(markets, "id", "left").join(around, "id", "left").na.fill(0)
     density = F.round(S.safe_ratio(F.col("pairs"), F.col("cluster_wallet_count") * F.col("c")), 6)

@@ -10,13 +10,16 @@ def as_of(left: DataFrame, right: DataFrame, key: str, value: str, forward: bool
     """left with the latest row of right at or before its ts (forward: the first at or after), as a struct named value.
 
     Both sides are put in one order by key and time and the last right row is carried along, so that a hot key costs its
-    own rows, not pairs. within_s bounds the distance in time. tie orders right rows of one ts.
+    own rows, not pairs. within_s bounds the distance in time. tie orders right rows of one ts. Null keys match nothing;
+    left rows with one, or without a match, have a null value.
     """
+    right = right.where(F.col(key).isNotNull())
     extra = F.col(tie).cast("long") if tie else F.lit(0).cast("long")
     own = left.select(F.col(key).alias("__k"), F.col("ts").alias("__t"), F.lit(0 if forward else 1).alias("__side"), F.lit(0).cast("long").alias("__tie"), F.struct(*left.columns).alias("__row"), F.lit(None).cast(right.select(F.struct(*right.columns).alias("s")).schema["s"].dataType).alias("__v"))
     other = right.select(F.col(key).alias("__k"), F.col("ts").alias("__t"), F.lit(1 if forward else 0).alias("__side"), extra.alias("__tie"), F.lit(None).cast(own.schema["__row"].dataType).alias("__row"), F.struct(*right.columns).alias("__v"))
     order = [F.col(c).desc() if forward else F.col(c) for c in ("__t", "__side")] + [F.col("__tie").desc() if forward else F.col("__tie")]
-    w = Window.partitionBy("__k").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    alone = F.when(F.col("__k").isNull(), F.xxhash64("__row"))  # rows without a key need no company
+    w = Window.partitionBy("__k", alone).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     out = own.unionByName(other).withColumn(value, F.last("__v", ignorenulls=True).over(w)).where("__row is not null")
     if within_s is not None:
         far = F.abs(F.unix_micros("__t") - F.unix_micros(f"{value}.ts")) > within_s * 1_000_000
@@ -24,16 +27,18 @@ def as_of(left: DataFrame, right: DataFrame, key: str, value: str, forward: bool
     return out.select("__row.*", value)
 
 
-def in_range(left: DataFrame, right: DataFrame, key: str, start: str, end: str, bucket_s: int, how: str = "inner") -> DataFrame:
+def in_range(left: DataFrame, right: DataFrame, key: str, start: str, end: str, bucket_s: int) -> DataFrame:
     """Pairs with equal key where right.ts is in [start, end] of left, met in time buckets of bucket_s seconds.
 
-    bucket_s should be about the usual length of the ranges: a left row goes to each bucket that its range touches.
+    bucket_s should be about the usual length of the ranges: a left row goes to each bucket that its range touches. Rows
+    with a null key or bound, and empty ranges, have no pairs.
     """
     number = lambda c: F.floor(F.unix_micros(c) / (bucket_s * 1_000_000)).cast("long")
-    own = left.withColumn("__b", F.explode(F.sequence(number(start), F.greatest(number(start), number(end)))))
+    ranges = left.where(F.col(start) <= F.col(end))
+    own = ranges.withColumn("__b", F.explode(F.sequence(number(start), number(end))))
     other = right.withColumnRenamed(key, "__k").withColumn("__b2", number("ts"))
     on = (F.col(key) == F.col("__k")) & (F.col("__b") == F.col("__b2")) & F.col("ts").between(F.col(start), F.col(end))
-    return own.join(other, on, how).drop("__k", "__b", "__b2")
+    return own.join(other, on).drop("__k", "__b", "__b2")
 
 
 def latest(rows: DataFrame, keys: list[str], *order: str) -> DataFrame:

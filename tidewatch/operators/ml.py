@@ -75,5 +75,9 @@ def diagnostics(rows: DataFrame, features: list[str]) -> DataFrame:
 
 
 def content_hash(rows: DataFrame, *columns: str) -> DataFrame:
-    """A number that is the same for the same rows in any order."""
-    return rows.agg(F.count("*").alias("n"), F.sum(F.pmod(F.xxhash64(*columns), F.lit(1 << 40))).alias("hash"))
+    """Number of rows and two numbers that are the same for the same rows (repeats count) in any order.
+
+    Sums of two independent 64-bit hashes, as decimals of 38 digits: far from overflow for any number of rows.
+    """
+    wide = lambda h: F.coalesce(F.sum(h.cast("decimal(28,0)")), F.lit(0).cast("decimal(38,0)")).cast("decimal(38,0)")
+    return rows.agg(F.count("*").alias("n"), wide(F.xxhash64(*columns)).alias("hash"), wide(F.xxhash64(F.lit(1), *columns)).alias("check"))

@@ -219,7 +219,7 @@ _EDGES = f"""{_CANDIDATES}, {_QUOTES}, {D.MARKETS}, d AS (SELECT c.id, c.market_
  bw AS (SELECT id, wallet, count(DISTINCT market_id) AS m, count(DISTINCT event_id) AS ev, count(DISTINCT day) AS days, bool_or(coalesce(market_id <> home AND event_id = he, false)) AS same FROM h GROUP BY 1, 2),
  ws AS (SELECT id, count(*) AS deg, round(avg(CAST(m > 1 AS INTEGER)), 6) AS rep, round(avg(CAST(ev > 1 AS INTEGER)), 6) AS crs, round(avg(CAST(same AS INTEGER)), 6) AS same, round(avg(days), 6) AS pers, round(avg(CAST(days >= 2 AS INTEGER)), 6) AS pshare FROM bw GROUP BY 1),
  n AS (SELECT DISTINCT id, home, he, decided, market_id, event_id FROM h), ms AS (SELECT id, count(DISTINCT market_id) AS c, round(count(DISTINCT market_id) FILTER (event_id = he) / count(DISTINCT market_id), 6) AS ses FROM n GROUP BY 1),
- p AS (SELECT n.id, n.home, n.market_id, e.wallet, sum(CAST(greatest(0, e.notional) AS DECIMAL(18,2))) AS notional FROM n JOIN e ON e.market_id = n.market_id AND e.ts BETWEEN n.decided - INTERVAL 2 DAY AND n.decided GROUP BY 1, 2, 3, 4),
+ p AS (SELECT n.id, n.home, n.market_id, e.wallet, sum(greatest(0, e.notional)) AS notional FROM n JOIN e ON e.market_id = n.market_id AND e.ts BETWEEN n.decided - INTERVAL 2 DAY AND n.decided GROUP BY 1, 2, 3, 4),
  ar AS (SELECT id, count(DISTINCT wallet) AS cw, count(*) AS pairs, round(CAST(sum(CASE WHEN market_id = home THEN notional ELSE 0 END) AS DOUBLE) / CAST(sum(notional) AS DOUBLE), 6) AS ns FROM p GROUP BY 1)
  SELECT d.id, coalesce(deg, 0) AS market_wallet_degree, greatest(0, coalesce(c, 0) - 1) AS related_market_count, coalesce(cw, 0) AS cluster_wallet_count, coalesce(round(pairs / (cw * c), 6), 0) AS cluster_density_2hop, coalesce(ses, 0) AS same_event_market_share,
  coalesce(rep, 0) AS repeat_wallet_share, coalesce(crs, 0) AS cross_event_wallet_share, coalesce(same, 0) AS same_event_repeat_wallet_share, coalesce(pers, 0) AS wallet_persistence_mean_days, coalesce(pshare, 0) AS persistent_wallet_share, coalesce(ns, 0) AS cluster_notional_share

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..operators import detector as X
+from ..operators import evaluation as E
 from ..operators import ml as M
 from ..sources import driver as D
 from .catalog import query
@@ -47,7 +48,7 @@ def _(spark, sf_dir):
     return _parts(spark, sf_dir).select("p_partkey", F.array_join(S.json_strings(text), ",").alias("tags"))
 
 
-@query("p10_json_doubles", "SELECT p_partkey, p_retailprice AS a, CAST(NULL AS DOUBLE) AS b FROM part")
+@query("p10_json_doubles", "SELECT p_partkey, p_retailprice AS a, CAST('NaN' AS DOUBLE) AS b FROM part")
 def _(spark, sf_dir):
     xs = S.json_doubles(F.to_json(F.array(F.col("p_retailprice").cast("string"), F.lit("x"))))
     return _parts(spark, sf_dir).select("p_partkey", F.get(xs, F.lit(0)).alias("a"), F.get(xs, F.lit(1)).alias("b"))
@@ -141,10 +142,15 @@ def _(spark, sf_dir):
     return _parts(spark, sf_dir).select("p_partkey", F.when(t.isin("ECONOMY", "STANDARD"), "basic").when(t == "PROMO", "promo").otherwise(F.lower(t)).alias("family"))
 
 
-@query("a11_alert_metrics", "SELECT CASE WHEN value > 80 THEN 'ACTIONABLE' WHEN value > 50 THEN 'WATCH' ELSE 'INFO' END AS severity, count(*) AS n, count(DISTINCT user_id) AS users FROM events WHERE event_type = 'signup' GROUP BY 1")
+@query("a11_alert_metrics", """WITH a AS (SELECT CASE WHEN value > 80 THEN 'ACTIONABLE' WHEN value > 50 THEN 'WATCH' ELSE 'INFO' END AS severity, CASE user_id % 4 WHEN 0 THEN 1 WHEN 1 THEN 0 END AS label,
+ CASE event_id % 3 WHEN 0 THEN true WHEN 1 THEN false END AS useful, value > 40 AS delivered FROM events WHERE event_type = 'signup')
+ SELECT severity, count(*) AS n_alerts, count(label) AS labelled, count(useful) AS with_feedback, count(*) FILTER (delivered) AS delivered, round(coalesce(sum(label) / nullif(count(label), 0), 0), 6) AS label_precision,
+ round(coalesce(count(*) FILTER (useful) / nullif(count(useful), 0), 0), 6) AS usefulness_precision, round(count(label) / count(*), 6) AS label_coverage FROM a GROUP BY 1""")
 def _(spark, sf_dir):
     name = F.when(F.col("value") > 80, "ACTIONABLE").when(F.col("value") > 50, "WATCH").otherwise("INFO")
-    return _events(spark, sf_dir).where("event_type = 'signup'").groupBy(name.alias("severity")).agg(F.count("*").alias("n"), F.countDistinct("user_id").alias("users"))
+    label, useful = (F.when(F.col("user_id") % 4 == 0, 1).when(F.col("user_id") % 4 == 1, 0), F.when(F.col("event_id") % 3 < 2, F.col("event_id") % 3 == 0))
+    rows = _events(spark, sf_dir).where("event_type = 'signup'").select(name.alias("severity"), label.alias("label"), useful.alias("useful"), (F.col("value") > 40).alias("delivered"))
+    return E.alert_metrics(rows, "severity")
 
 
 @query("a24_provider_summary", "SELECT 'p' || (event_id % 4) AS provider, event_type, count(*) AS n, max(value) AS largest FROM events GROUP BY 1, 2")
@@ -200,10 +206,18 @@ def _(spark, sf_dir):
     return M.precision_threshold(rows, 0.8, "scope", "key")
 
 
-@query("m11_assessment", f"WITH {D.SCORED} SELECT category, CASE WHEN count(*) < 5 THEN 'insufficient' WHEN avg(label) >= 0.9 THEN 'promising' WHEN avg(label) >= 0.5 THEN 'mixed' ELSE 'weak' END AS assessment FROM scored GROUP BY 1")
+@query("m11_assessment", f"""WITH {D.SCORED}, t AS (SELECT category, split, count(*) AS k FROM scored GROUP BY 1, 2), s AS (SELECT category, max(k) / sum(k) AS split_share FROM t GROUP BY 1),
+ g AS (SELECT category, count(*) AS n_rows, count(*) FILTER (label = 0) AS n_insufficient, count(*) FILTER (score > 0.8) AS fills, median(score) - 0.6 AS median_pnl, avg(label) AS usefulness FROM scored GROUP BY 1)
+ SELECT category, CASE WHEN n_insufficient > 0 AND fills = 0 THEN 'coverage_limited' WHEN median_pnl > 0 AND usefulness >= 0.85 AND split_share < 0.75 THEN 'promising'
+ WHEN median_pnl > 0 OR usefulness >= 0.85 THEN 'mixed' ELSE 'not_yet_defendable' END AS assessment FROM g JOIN s USING (category)""")
 def _(spark, sf_dir):
-    p = F.avg("label")
-    return D.scored(spark, sf_dir).groupBy("category").agg(F.when(F.count("*") < 5, "insufficient").when(p >= 0.9, "promising").when(p >= 0.5, "mixed").otherwise("weak").alias("assessment"))
+    rows = D.scored(spark, sf_dir)
+    by_split = rows.groupBy("category", "split").agg(F.count("*").alias("k")).groupBy("category").agg((F.max("k") / F.sum("k")).alias("category_share"))
+    metrics = rows.groupBy("category").agg(
+        F.count("*").alias("n_rows"), F.count_if(F.col("label") == 0).alias("n_insufficient"), F.count_if(F.col("score") > 0.8).alias("fills"),
+        (F.median("score") - 0.6).alias("median_pnl"), F.avg("label").alias("usefulness"))
+    metrics = metrics.join(by_split, "category").withColumn("family_share", F.col("category_share"))
+    return metrics.select("category", E.assessment(useful=0.85).alias("assessment"))
 
 
 @query("st14_replay")

@@ -13,7 +13,8 @@ _KEY = """coalesce(lower(nullif(trim(tx_hash), '')), coalesce(condition_id, '')
  printf('%.12f', price) || '|' || printf('%.12f', size) || '|' || strftime(ts, '%Y-%m-%dT%H:%M:%S'))"""
 KEYED = f"{D.TRADES}, keyed AS (SELECT *, {_KEY} AS dedupe_key FROM trades)"
 CANONICAL = f"""{KEYED}, canonical AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY coalesce(nullif(dedupe_key, ''), trade_id) ORDER BY priority DESC, ts DESC, trade_id DESC) AS rn FROM keyed) WHERE rn = 1)"""
-_SUM = "CAST(sum(CAST({} AS DECIMAL(18,2))) AS DOUBLE)"
+#: Amounts in the tables have two decimals, so that a rounded sum of doubles is an independent way to the exact sum.
+_SUM = "round(sum({}), 2)"
 LOW = "lower(nullif(trim(wallet), ''))"
 ACTIVITY = f"""activity AS (SELECT {LOW} AS w, count(*) AS n_trades, count(*) FILTER (side = 'BUY') AS n_buy, count(*) FILTER (side = 'SELL') AS n_sell, {_SUM.format('notional')} AS notional,
  coalesce({_SUM.format("CASE WHEN ts >= now_ts - INTERVAL 1 DAY THEN notional END")}, 0) AS notional_1d, coalesce({_SUM.format("CASE WHEN ts >= now_ts - INTERVAL 7 DAY THEN notional END")}, 0) AS notional_7d,

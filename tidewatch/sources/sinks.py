@@ -42,11 +42,21 @@ def sample(df: DataFrame, path: str, n: int, *order: F.Column) -> None:
 
 
 def deliver(channels: dict[str, Callable[[DataFrame, int], None]]) -> Callable[[DataFrame, int], None]:
-    """For foreachBatch: hands each channel its rows of a batch."""
+    """For foreachBatch: hands each channel its rows of a batch, which is computed once.
+
+    Rows of a channel that isn't known (or null) are an error before anything is sent.
+    """
 
     def batch(df: DataFrame, number: int) -> None:
-        for name, send in channels.items():
-            send(df.where(F.col("channel") == name), number)
+        df = df.persist()
+        try:
+            lost = df.where(~F.coalesce(F.col("channel").isin(list(channels)), F.lit(False))).select("channel").first()
+            if lost is not None:
+                raise ValueError(f"no channel {lost[0]!r} for a row of batch {number}")
+            for name, send in channels.items():
+                send(df.where(F.col("channel") == name), number)
+        finally:
+            df.unpersist()
 
     return batch
 
