@@ -115,10 +115,10 @@ class BlockMaxIndex:
         of = self.example // block
         head = np.flatnonzero(np.append(True, (term[1:] != term[:-1]) | (of[1:] != of[:-1]))) if len(term) else none
         #: An entry is a term in a block: its block, largest weight and postings.
-        self.of_block = of[head]
+        self.of_block = of[head].astype(np.int32)
         self.top = np.maximum.reduceat(self.weight, head) if len(head) else self.weight
-        self.start = np.append(head, len(term))
-        self.entries = np.searchsorted(term[head], np.arange(n_terms + 1))
+        self.start = np.append(head, len(term)).astype(np.int32)
+        self.entries = np.searchsorted(term[head], np.arange(n_terms + 1)).astype(np.int32)
 
     def by_columns(self, queries: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
         """The common terms' part of the cosines of each query (terms, weights) with all examples."""
@@ -289,7 +289,7 @@ def fitted(docs: DataFrame, labels: DataFrame, toxic_examples: int = TOXIC_EXAMP
     table = counted.toArrow().sort_by("term")
     frequency = np.zeros(len(terms), dtype=np.int64)
     frequency[_place(terms, table.column("term").to_numpy())[1]] = table.column("n").to_numpy()
-    sent.unpersist()
+    sent.destroy()
 
     rows = sample.toArrow().to_pylist()
     n_toxic = sum(r["toxic"] for r in rows)
@@ -299,7 +299,7 @@ def fitted(docs: DataFrame, labels: DataFrame, toxic_examples: int = TOXIC_EXAMP
     sent = spark.sparkContext.broadcast(model)
     tasks = max(1, min(spark.sparkContext.defaultParallelism, len(rows)))
     votes = sample.repartition(tasks).mapInArrow(_votes(sent), "toxic int, vote double").where("vote is not null").toArrow()
-    sent.unpersist()
+    sent.destroy()
     dropped(sample)
     if votes.num_rows:
         y = votes.column("toxic").to_numpy().astype(np.int64)
