@@ -42,6 +42,6 @@ def in_range(left: DataFrame, right: DataFrame, key: str, start: str, end: str,
 
 
 def latest(rows: DataFrame, keys: list[str], *order: str) -> DataFrame:
-    """The row of each key that is largest by order; combines before the shuffle."""
+    """The row of each key that is largest by order; tasks sort and combine their own rows before the shuffle."""
     rest = [c for c in rows.columns if c not in order and c not in keys]
     return rows.groupBy(*keys).agg(F.max(F.struct(*order, *rest)).alias("b")).select(*keys, "b.*")

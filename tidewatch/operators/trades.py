@@ -21,7 +21,8 @@ def keyed(trades: DataFrame) -> DataFrame:
 def canonical(trades: DataFrame) -> DataFrame:
     """One trade for each dedupe key (or id): of the highest priority, then the latest, then of the largest id.
 
-    A grouped maximum of rows instead of a window: it combines before the shuffle, so that a hot key costs no sort.
+    A grouped maximum of rows: tasks sort and combine their own rows before the shuffle, so that a hot key sends a row from
+    each task. As rows hold texts, Spark sorts on both sides of the shuffle instead of hashing.
     """
     key = F.coalesce(F.nullif("dedupe_key", F.lit("")), "trade_id")
     rest = [c for c in trades.columns if c not in ("priority", "ts", "trade_id")]
