@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -153,3 +155,27 @@ def alert_metrics(rows: DataFrame, *keys: str) -> DataFrame:
         F.count("*").alias("n_alerts"), known.alias("labelled"), told.alias("with_feedback"), F.count_if("delivered").alias("delivered"),
         ratio(F.count_if(F.col("label") == 1), known).alias("label_precision"), ratio(F.count_if("useful"), told).alias("usefulness_precision"),
         ratio(known, F.count("*")).alias("label_coverage"))
+
+
+def holdout_metrics(families: dict[str, tuple[DataFrame, Callable[..., DataFrame]]], regimes: dict[str, str]) -> DataFrame:
+    """Metrics of each family of rows by holdout regime and its key, in long form: family, regime, key, metric, value.
+
+    families: rows and a function of rows and key columns that gives numeric metrics (``alert_metrics``, ``trade_metrics``,
+    ...). regimes: name and key column. Rows go to their key of every regime in one pass; a null key is a key of its own.
+    """
+    pairs = F.array(*(F.struct(F.lit(r).alias("regime"), F.col(k).cast("string").alias("key")) for r, k in regimes.items()))
+    out = None
+    for name, (rows, metrics) in families.items():
+        each = metrics(rows.withColumn("__p", F.explode(pairs)).select("*", "__p.*").drop("__p"), "regime", "key")
+        values = [c for c in each.columns if c not in ("regime", "key")]
+        wide = each.select("regime", "key", *(F.col(c).cast("double") for c in values))
+        long = wide.unpivot(["regime", "key"], values, "metric", "value").select(F.lit(name).alias("family"), "*")
+        out = long if out is None else out.unionByName(long)
+    return out
+
+
+def extreme_categories(rows: DataFrame, category: str, value: str, n: int = 3) -> DataFrame:
+    """The n categories of largest and of smallest mean value, each with its place; n is the size of the report."""
+    means = rows.groupBy(category).agg(F.round(F.avg(value), 6).alias("mean"))
+    places = lambda end, *order: means.orderBy(*order, category).limit(n).withColumn("place", F.row_number().over(Window.orderBy(*order, category))).withColumn("end", F.lit(end))
+    return places("strongest", F.desc("mean")).unionByName(places("weakest", F.asc("mean")))

@@ -45,3 +45,14 @@ def latest(rows: DataFrame, keys: list[str], *order: str) -> DataFrame:
     """The row of each key that is largest by order; tasks sort and combine their own rows before the shuffle."""
     rest = [c for c in rows.columns if c not in order and c not in keys]
     return rows.groupBy(*keys).agg(F.max(F.struct(*order, *rest)).alias("b")).select(*keys, "b.*")
+
+
+def window_pair(rows: DataFrame, key: str, value: str, seconds: int) -> DataFrame:
+    """rows with ``trailing``, the sum of value of the key's rows in the last seconds up to ts, and ``preceding``, of those before.
+
+    The first window is closed on both sides, the second ends just before it. Rows without a key or a time are left out.
+    """
+    w, micros = Window.partitionBy(key).orderBy("__t"), seconds * 1_000_000
+    total = lambda a, b: F.round(F.coalesce(F.sum(value).over(w.rangeBetween(a, b)), F.lit(0.0)), 6)
+    timed = rows.where(F.col(key).isNotNull() & F.col("ts").isNotNull()).withColumn("__t", F.unix_micros("ts"))
+    return timed.withColumn("trailing", total(-micros, 0)).withColumn("preceding", total(-2 * micros, -micros - 1)).drop("__t")

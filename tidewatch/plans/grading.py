@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..config import Evaluation
 from ..functions import scalars as S
 from ..operators import evaluation as E
+from ..operators import joins as J
 from ..operators import ml as M
 from ..sources import driver as D
 from .catalog import query
@@ -144,3 +145,50 @@ def _(spark, sf_dir):
 @query("a19_strongest_categories", f"WITH {D.SCORED} SELECT category, round(avg(label), 6) AS precision FROM scored GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 3")
 def _(spark, sf_dir):
     return D.scored(spark, sf_dir).groupBy("category").agg(F.round(F.avg("label"), 6).alias("precision")).orderBy(F.desc("precision"), "category").limit(3)
+
+
+_HOLDOUT = """e AS (SELECT event_id AS id, event_type AS category, strftime(ts, '%Y-%m-%d') AS block, 'fold' || (user_id % 5) AS fold, CASE user_id % 4 WHEN 0 THEN 1 WHEN 1 THEN 0 END AS label,
+ CASE event_id % 3 WHEN 0 THEN true WHEN 1 THEN false END AS useful, value > 40 AS delivered, CASE WHEN event_id % 7 <> 0 THEN round(value - 20, 2) END AS pnl FROM events),
+x AS (SELECT 'time' AS regime, block AS key, * FROM e UNION ALL SELECT 'category', category, * FROM e UNION ALL SELECT 'family', fold, * FROM e),
+r AS (SELECT *, row_number() OVER (PARTITION BY regime, key ORDER BY pnl, id) AS rn, count(pnl) OVER (PARTITION BY regime, key) AS k FROM x),
+a AS (SELECT regime, key, count(*) AS n_alerts, count(label) AS labelled, count(useful) AS with_feedback, count(*) FILTER (delivered) AS delivered, coalesce(round(sum(label) / nullif(count(label), 0), 6), 0) AS label_precision,
+ coalesce(round(count(*) FILTER (useful) / nullif(count(useful), 0), 6), 0) AS usefulness_precision, round(count(label) / count(*), 6) AS label_coverage FROM x GROUP BY 1, 2),
+t AS (SELECT regime, key, count(*) AS n, count(pnl) AS filled, round(avg(pnl), 6) AS mean_pnl, round(median(pnl), 6) AS median_pnl, round(count(*) FILTER (pnl > 0) / nullif(count(pnl), 0), 6) AS hit_rate,
+ round(avg(pnl) FILTER (pnl IS NOT NULL AND rn <= greatest(1, floor(k / 10))), 6) AS worst_tenth FROM r GROUP BY 1, 2)"""
+
+
+def _long(family: str, table: str, names: str) -> str:
+    return " UNION ALL ".join(f"SELECT '{family}' AS family, regime, key, '{n}' AS metric, CAST({n} AS DOUBLE) AS value FROM {table}" for n in names.split())
+
+
+@query("a16_holdout_metrics", f"WITH {_HOLDOUT} {_long('alerts', 'a', 'n_alerts labelled with_feedback delivered label_precision usefulness_precision label_coverage')} UNION ALL {_long('trades', 't', 'n filled mean_pnl median_pnl hit_rate worst_tenth')}")
+def _(spark, sf_dir):
+    e, when = D.table(spark, sf_dir, "events"), F.col("user_id") % 4
+    rows = e.select(
+        F.col("event_id").alias("id"), F.col("event_type").alias("category"), F.date_format("ts", "yyyy-MM-dd").alias("block"), F.concat(F.lit("fold"), F.col("user_id") % 5).alias("fold"),
+        F.when(when == 0, 1).when(when == 1, 0).alias("label"), F.when(F.col("event_id") % 3 < 2, F.col("event_id") % 3 == 0).alias("useful"),
+        (F.col("value") > 40).alias("delivered"), F.when(F.col("event_id") % 7 != 0, F.round(F.col("value") - 20, 2)).alias("pnl"))
+    families = {"alerts": (rows, E.alert_metrics), "trades": (rows, E.trade_metrics)}
+    return E.holdout_metrics(families, {"time": "block", "category": "category", "family": "fold"})
+
+
+@query("a19_extreme_categories", f"""WITH {D.SCORED}, m AS (SELECT category, round(avg(score), 6) AS mean FROM scored GROUP BY 1), r AS (SELECT *, row_number() OVER (ORDER BY mean DESC, category) AS s, row_number() OVER (ORDER BY mean, category) AS w FROM m)
+ SELECT category, mean, CAST(s AS INTEGER) AS place, 'strongest' AS "end" FROM r WHERE s <= 3 UNION ALL SELECT category, mean, CAST(w AS INTEGER), 'weakest' FROM r WHERE w <= 3""")
+def _(spark, sf_dir):
+    return E.extreme_categories(D.scored(spark, sf_dir), "category", "score")
+
+
+@query("m5_auc_report", f"""WITH {D.SCORED}, u AS (SELECT split, label, unnest(['score', 'length']) AS name, unnest([score, CAST(length(category) AS DOUBLE)]) AS s FROM scored),
+ k AS (SELECT split, name, label, (rank() OVER w + count(*) OVER (PARTITION BY split, name, s) / 2 - 0.5) AS r FROM u WINDOW w AS (PARTITION BY split, name ORDER BY s)),
+ g AS (SELECT split, name, count(*) FILTER (label = 1) AS p, count(*) FILTER (label <> 1) AS n, sum(r) FILTER (label = 1) AS x FROM k WHERE label IS NOT NULL GROUP BY 1, 2)
+ SELECT split, name, p AS positives, n AS negatives, CASE WHEN p * n > 0 THEN round((x - p * (p + 1) / 2) / (p * n), 6) END AS auc FROM g""")
+def _(spark, sf_dir):
+    long = D.scored(spark, sf_dir).select("split", "label", "score", F.length("category").cast("double").alias("length")).unpivot(["split", "label"], ["score", "length"], "name", "s")
+    return M.auc(long, "split", "name", score="s")
+
+
+@query("w4_window_pair", """WITH e AS (SELECT event_id, json_extract_string(props, '$.k') AS market_id, ts, value FROM events)
+ SELECT a.event_id, round(coalesce(sum(b.value) FILTER (b.ts >= a.ts - INTERVAL 1 HOUR), 0), 6) AS trailing, round(coalesce(sum(b.value) FILTER (b.ts < a.ts - INTERVAL 1 HOUR), 0), 6) AS preceding
+ FROM e a JOIN e b ON a.market_id = b.market_id AND b.ts <= a.ts AND b.ts >= a.ts - INTERVAL 2 HOUR GROUP BY 1""")
+def _(spark, sf_dir):
+    return J.window_pair(D.table(spark, sf_dir, "events").select("event_id", F.get_json_object("props", "$.k").alias("market_id"), F.col("ts").cast("timestamp").alias("ts"), "value"), "market_id", "value", 3600).select("event_id", "trailing", "preceding")
