@@ -1,6 +1,7 @@
 """Operators on small cases with known results, and edge cases."""
 
 import datetime as dt
+import json
 import math
 import random
 
@@ -123,6 +124,23 @@ def test_log(spark, tmp_path):
     assert [(r.kind, r.wallet, r.side, r.notional, r.ts) for r in p] == [("trade", "0xab", "BUY", 5.0, dt.datetime(2026, 4, 20, 6))]
 
 
+def test_pushed_frames(spark):
+    """Trades and prices of pushed frames in order; NO sides, unknown events and those without a market have no points."""
+    events = [
+        {"event_type": "last_trade_price", "captured_at": "2026-04-20T06:00:00Z", "trade": {"market_id": "m", "proxy_wallet": "0xAB", "side": "sell", "outcome_side": "no", "usdc_notional": "7.5", "trade_time": "1776664801"}},
+        {"event_type": "price_change", "captured_at": "2026-04-20T06:00:02Z", "price_changes": [{"market_id": "m", "price": "0.4", "outcome_side": "NO"}, {"market_id": "n", "price": "0.6", "outcome_side": "YES"}]},
+        {"event_type": "best_bid_ask", "market_id": "m", "outcome_side": "YES", "captured_at": "2026-04-20T06:00:03Z", "best_bid_ask": {"best_bid": 0.3, "best_ask": 0.5}},
+        {"event_type": "book", "market_id": None, "outcome_side": "YES", "captured_at": "2026-04-20T06:00:04Z", "book": {"best_bid": 0.3}},
+        {"event_type": "book", "market_id": "m", "outcome_side": "YES", "captured_at": "2026-04-20T06:00:05Z", "book": {"best_bid": 0.35}},
+        {"event_type": "other", "market_id": "m"},
+    ]
+    rows = [("e1", "ws_frame::market", "2026-04-20T06:00:00Z", "k1", json.dumps({"events": events})), ("e2", "events_page", "2026-04-20T06:00:00Z", "k2", "{}"), ("e3", "ws_frame::x", "2026-04-20T06:00:00Z", "k3", "junk")]
+    df = spark.createDataFrame(rows, "envelope_id string, entity_type string, captured_at string, ordering_key string, payload string")
+    got = [(r.kind, r.market_id, (r.ts - DAY).total_seconds() - 21600, r.wallet, r.side, r.notional, r.price) for r in log.points(df).orderBy("order_key", "pos").collect()]
+    assert got == [("trade", "m", 1, "0xab", "SELL", 7.5, None), ("quote", "n", 2, None, None, None, 0.6), ("quote", "m", 3, None, None, None, 0.3), ("quote", "m", 5, None, None, None, 0.35)]
+    assert [tuple(r) for r in log.ignored(df).collect()] == [("events_page", 1)]
+
+
 def test_small_amounts(spark):
     """Positions of tiny sizes stay, and sums keep their decimals."""
     rows = [("w", "m", "YES", "BUY", 0.5, 0.004, 0.002), ("w", "n", "YES", "BUY", 0.5, 0.123456, 0.061728), ("w", "n", "YES", "SELL", 0.5, 0.000001, 0.0000005), ("w", "o", "NO", "BUY", 0.5, 1e-6, 5e-7)]

@@ -48,9 +48,9 @@ def _key() -> Column:
 
 
 def points(envelopes: DataFrame) -> DataFrame:
-    """Trades and quotes of the detector, from pages of trades and batches of prices; other envelopes have none.
+    """Trades and quotes of the detector, from pages of trades, batches of prices and pushed frames; other envelopes have none.
 
-    order_key sorts them as they are to be processed.
+    order_key, then pos, sorts them as they are to be processed.
     """
     trades = envelopes.where(F.col("entity_type").isin("recent_trades_page", "historical_trades_page"))
     t = trades.select(_key().alias("order_key"), F.posexplode(F.from_json(F.get_json_object("payload", "$.trades"), f"array<{TRADE}>")).alias("pos", "t"))
@@ -64,4 +64,48 @@ def points(envelopes: DataFrame) -> DataFrame:
     q = q.select(
         "order_key", "pos", F.lit("quote").alias("kind"), F.col("q.market_id").alias("market_id"), S.detector_timestamp(F.col("q.captured_at")).alias("ts"), none.cast("string").alias("wallet"), none.cast("string").alias("side"),
         none.cast("string").alias("outcome_side"), none.cast("double").alias("notional"), F.coalesce("q.yes_price", "q.mid_price", "q.best_bid").alias("price"))
-    return t.unionByName(q)
+    return t.unionByName(q).unionByName(_frames(envelopes))
+
+
+_PAGES = ("recent_trades_page", "historical_trades_page", "prices_batch", "books_batch")
+_LEVEL = "struct<best_bid:double,best_ask:double,spread:double>"
+_CHANGE = "struct<market_id:string,price:string,outcome_side:string>"
+FRAME = f"struct<event_type:string,market_id:string,captured_at:string,outcome_side:string,trade:{TRADE},price_changes:array<{_CHANGE}>,best_bid_ask:{_LEVEL},book:{_LEVEL}>"
+
+
+def _is_frame() -> Column:
+    return F.col("entity_type").startswith("ws_frame::")
+
+
+def _frames(envelopes: DataFrame) -> DataFrame:
+    """Points of pushed frames: trades, and of price changes and best bids those of the YES side, which sets the price.
+
+    Events without a market or a time, and of other types, have no points.
+    """
+    kind = "array<struct<kind:string,market_id:string,ts:timestamp,wallet:string,side:string,outcome_side:string,notional:double,price:double>>"
+    e, none = F.col("e"), F.lit(None)
+
+    def quote(market: Column, side: Column, price: Column) -> Column:
+        point = F.struct(F.lit("quote"), market, S.detector_timestamp(e["captured_at"]), none, none, none, none, price.try_cast("double"))
+        return F.when(side == "YES", point)
+
+    number = lambda c: e["trade"][c].try_cast("double")
+    trade = F.struct(
+        F.lit("trade"), e["trade"]["market_id"], S.trade_timestamp(F.coalesce(e["trade"]["trade_time"], e["captured_at"])), F.lower(S.blank_to_null(e["trade"]["proxy_wallet"])),
+        F.upper(e["trade"]["side"]), F.upper(e["trade"]["outcome_side"]), F.coalesce(number("usdc_notional"), number("price") * number("size")), none)
+    changes = F.transform(e["price_changes"], lambda c: quote(c["market_id"], c["outcome_side"], c["price"]))
+    level = lambda c: F.array(quote(e["market_id"], e["outcome_side"], e[c]["best_bid"]))
+    cast = lambda c: c.cast(kind)
+    made = (
+        F.when(e["event_type"] == "last_trade_price", F.when(e["trade"].isNotNull(), cast(F.array(trade)))).when(e["event_type"] == "price_change", cast(changes))
+        .when(e["event_type"] == "best_bid_ask", cast(level("best_bid_ask"))).when(e["event_type"] == "book", cast(level("book")))
+    )
+    events = envelopes.where(_is_frame()).select(_key().alias("order_key"), F.posexplode(F.from_json(F.get_json_object("payload", "$.events"), f"array<{FRAME}>")).alias("at", "e"))
+    each = events.select("order_key", "at", F.posexplode(made).alias("n", "p")).where(S.is_present(F.col("p.market_id")) & F.col("p.ts").isNotNull())
+    each = each.where("p.kind = 'trade' or p.price is not null")
+    return each.select("order_key", (F.col("at") * 65536 + F.col("n")).alias("pos"), "p.*")
+
+
+def ignored(envelopes: DataFrame) -> DataFrame:
+    """Number of envelopes that have no points, by their entity type."""
+    return envelopes.where(~(F.col("entity_type").isin(*_PAGES) | _is_frame()) | F.col("entity_type").isNull()).groupBy("entity_type").agg(F.count("*").alias("n"))
