@@ -17,27 +17,43 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents without words or without a probable language."""
+    """Drops documents without words (null and empty texts, too) or without a probable language.
+
+    Whole texts count, however long. Rows that agree in doc_id and text share their fate; null lang or source is no
+    evidence; of equally probable languages the first in alphabetical order wins. Where no row has a lang, all with words stay.
+    """
     return languages.accepted(docs)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the smallest doc_id of each group linked by five-word shingles at a similarity of 0.8 or more."""
+    """Keeps the smallest doc_id of each group linked by five-word shingles at a similarity of 0.8 or more.
+
+    Of repeated rows of one id, and of rows without an id with the same text, one stays. Texts without words are in no group.
+    """
     return similarity.deduplicated(docs, width=5, percent=80)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents of which a twentieth or more is benchmark windows."""
+    """Drops documents of which a twentieth or more is benchmark windows.
+
+    Null and empty texts have no words and stay; repeated rows share their fate; items without an id count.
+    """
     return decontaminate.remove_documents(docs, read(spark, sf_dir, "benchmark"))
 
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Masks personal data; n_chars follows."""
+    """Masks personal data; n_chars follows.
+
+    A null text stays null; of spans that overlap one mask stays; equal rows get equal results.
+    """
     return pii.with_sizes(pii.redacted(docs))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of token sequences."""
+    """Pieces of token sequences.
+
+    Null and empty texts are the end id alone; repeated rows are packed each for itself, and a null id stays null.
+    """
     return packing.packed(docs)
 
 
