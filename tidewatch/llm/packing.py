@@ -129,8 +129,9 @@ def _merge(length: int):
 def packed(docs: DataFrame, tokenizer: str | None = None, length: int = LENGTH, open_windows: int = OPEN, merge: int = MERGE) -> DataFrame:
     """The pieces of each document: where each starts there, its sequence and its offset in that.
 
-    Null and empty texts are the end id alone; an empty table has no pieces. Each id lies in exactly one piece. Ids of
-    sequences are unique, not consecutive.
+    Null and empty texts are the end id alone; an empty table has no pieces. Each id lies in exactly one piece, however long
+    its text. Repeated rows are packed each for itself, and a null doc_id stays null. Ids of sequences are unique, not
+    consecutive.
     """
     made = documents(docs).mapInArrow(_pack(tokenizer or default_tokenizer(), length, open_windows), f"{PIECE}, part long, ids binary")
     made = written(made)  # else both branches below would tokenize
