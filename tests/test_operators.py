@@ -166,7 +166,8 @@ def test_content_hash(spark):
     assert wide == 2**63
 
 
-def test_cooldown_against_a_loop(spark):
+@pytest.mark.parametrize("block_rows", [17, 1000])
+def test_cooldown_against_a_loop(spark, block_rows):
     rng = random.Random(5)
     rows, now = [], {"m": 0, "n": 0}
     for i in range(300):
@@ -181,11 +182,12 @@ def test_cooldown_against_a_loop(spark):
         if not held:
             state[m] = (ts, severity, rules)
     df = spark.createDataFrame(rows, "seq long, market_id string, ts timestamp, severity double, rules array<string>, other long")
-    got = X.cooled(df)
+    got = X.cooled(df, block_rows=block_rows)
     assert got.columns == [*df.columns, "emitted"] and {r.seq: (r.emitted, r.other) for r in got.collect()} == {s: (e, s % 7) for s, e in want.items()}
 
 
-def test_delivery_against_a_loop(spark):
+@pytest.mark.parametrize("block_rows", [17, 1000])
+def test_delivery_against_a_loop(spark, block_rows):
     rng = random.Random(6)
     rows, t = [], 0
     for i in range(300):
@@ -203,10 +205,11 @@ def test_delivery_against_a_loop(spark):
             sent[channel].append(s)
         want[i] = ok
     df = spark.createDataFrame(rows, "id long, ts timestamp, channel string, eligible boolean")
-    assert {r.id: r.delivered for r in A.delivered(df, 60).collect()} == want
+    assert {r.id: r.delivered for r in A.delivered(df, 60, block_rows=block_rows).collect()} == want
 
 
-def test_position_limits_against_a_loop(spark):
+@pytest.mark.parametrize("block_rows", [17, 1000])
+def test_position_limits_against_a_loop(spark, block_rows):
     rng = random.Random(7)
     rows = sorted((rng.randrange(5000), i) for i in range(200))
     rows = [(i, at(t), None if rng.random() < 0.1 else at(t + rng.choice([0, 50, 900])), f"f{rng.randrange(9)}") for t, i in rows]
@@ -217,7 +220,33 @@ def test_position_limits_against_a_loop(spark):
         if want[i]:
             open_.append((end or start, family))
     df = spark.createDataFrame(rows, "id long, entry_ts timestamp, exit_ts timestamp, family string")
-    assert {r.id: r.taken for r in E.limited(df, "family").collect()} == want
+    assert {r.id: r.taken for r in E.limited(df, "family", block_rows=block_rows).collect()} == want
+
+
+@pytest.mark.parametrize("block_rows", [9, 1000])
+def test_precision_threshold_against_a_loop(spark, block_rows):
+    rng = random.Random(8)
+    rows = [(i, rng.choice("abb") if i % 9 else None, rng.choice([None, *(x / 8 for x in range(9))]), rng.choice([0, 0, 1, None])) for i in range(150)]
+    df = spark.createDataFrame(rows, "doc_id long, k string, score double, label int")
+    for target in (0.3, 0.5, 0.9):
+        want = {}
+        for k in ("a", "b", None):
+            own = sorted((r for r in rows if r[1] == k and r[3] is not None), key=lambda r: (r[2] is None, -(r[2] or 0), r[0]))
+            hits = [r[2] for i, r in enumerate(own, 1) if sum(x[3] for x in own[:i]) / i >= target]
+            known = sorted(r[2] for r in own if r[2] is not None)
+            place = (len(known) - 1) * (1 - target)
+            low, high = known[math.floor(place)], known[math.ceil(place)]
+            want[k] = (round(hits[0] if hits and hits[0] is not None else low + (high - low) * (place - math.floor(place)), 6), len(own))
+        assert {r.k: (r.threshold, r.n) for r in M.precision_threshold(df, target, "k", block_rows=block_rows).collect()} == want
+
+
+def test_folds_of_empty_tables_and_of_null_keys(spark):
+    df = spark.createDataFrame([], "id long, entry_ts timestamp, exit_ts timestamp, family string")
+    assert E.limited(df, "family").collect() == []
+    rows = [(i, None if i % 2 else "m", at(i * 10), 1.0, ["r"]) for i in range(40)]
+    df = spark.createDataFrame(rows, "seq long, market_id string, ts timestamp, severity double, rules array<string>")
+    got = {r.seq for r in X.cooled(df, block_rows=4).collect() if r.emitted}
+    assert got == {0, 1}  # one of each market: the cooldown is longer than all of it
 
 
 def test_lifecycle(spark):

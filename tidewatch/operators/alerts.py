@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import Alerts
+from .folds import BLOCK_ROWS, folded
 
 
 def suppressed(alerts: DataFrame, c: Alerts = Alerts()) -> DataFrame:
@@ -27,27 +28,26 @@ def movers(candidates: DataFrame, group: str, c: Alerts = Alerts()) -> DataFrame
     return out.where((F.col("__n") <= c.rank_above) | (F.col("__r") <= c.keep_top)).drop("__n", "__r")
 
 
-def delivered(alerts: DataFrame, pass_s: int = 60, c: Alerts = Alerts()) -> DataFrame:
+def delivered(alerts: DataFrame, pass_s: int = 60, c: Alerts = Alerts(), block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Marks delivered alerts: per_pass in each pass of pass_s seconds, per_hour in any trailing hour, by channel.
 
-    alerts: id, ts, channel, eligible. Passes more than an hour after all others start afresh, so a channel's passes are
-    folded in runs between such gaps.
+    alerts: id, ts, channel, eligible. The state of a channel is the last hour's deliveries, per_hour at most; channels are
+    folded in blocks of time (``folds.folded``). Alerts without a time aren't delivered.
     """
-    passed = alerts.where("eligible").withColumn("__pass", F.floor(F.unix_micros("ts") / (pass_s * 1_000_000)).cast("long"))
-    first = passed.withColumn("__r", F.row_number().over(Window.partitionBy("channel", "__pass").orderBy("ts", "id"))).where(F.col("__r") <= c.per_pass)
-    w = Window.partitionBy("channel").orderBy("ts", "id")
-    gap = F.unix_micros("ts") - F.unix_micros(F.lag("ts").over(w)) > 3600 * 1_000_000
-    runs = first.withColumn("__run", F.sum(F.when(gap, 1).otherwise(0)).over(w))
-    items = runs.groupBy("channel", "__run").agg(F.array_sort(F.collect_list(F.struct(F.unix_micros("ts").alias("t"), "id"))).alias("items"))
-    start = F.struct(F.array().cast("array<bigint>").alias("hour"), F.array().cast("array<bigint>").alias("out"))
-
-    def step(acc: Column, x: Column) -> Column:
-        hour = F.filter(acc["hour"], lambda t: t > x["t"] - 3600 * 1_000_000)
-        room = F.size(hour) < c.per_hour
-        return F.struct(F.when(room, F.concat(hour, F.array(x["t"]))).otherwise(hour).alias("hour"), F.when(room, F.concat(acc["out"], F.array(x["id"]))).otherwise(acc["out"]).alias("out"))
-
-    sent = items.select(F.explode(F.aggregate("items", start, step)["out"]).alias("id")).withColumn("delivered", F.lit(True))
-    return alerts.join(sent, "id", "left").withColumn("delivered", F.coalesce("delivered", F.lit(False)))
+    hour, most = 3600 * 1_000_000, c.per_hour
+    turn = F.floor(F.unix_micros("ts") / (pass_s * 1_000_000)).cast("long")
+    place = F.row_number().over(Window.partitionBy("channel", "__may", "__turn").orderBy("ts", "id"))
+    may = F.coalesce("eligible", F.lit(False)) & F.col("ts").isNotNull()
+    first = alerts.withColumn("__may", may).withColumn("__turn", turn).withColumn("__may", F.col("__may") & (place <= c.per_pass)).drop("__turn")
+
+    def step(state, x):
+        if not x["may"]:
+            return state, False
+        last = [t for t in state or [] if t > x["t"] - hour]
+        room = len(last) < most
+        return (last + [x["t"]] if room else last), room
+
+    return folded(first, ("channel",), ("ts", "id"), {"t": F.unix_micros("ts"), "may": F.col("__may")}, step, "delivered", block_rows).drop("__may")
 
 
 def lifecycle(rows: DataFrame) -> DataFrame:

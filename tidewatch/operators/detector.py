@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..config import Detector
 from ..functions import scalars as S
+from .folds import BLOCK_ROWS, folded
 
 
 def _total(xs: Column) -> Column:
@@ -89,29 +90,23 @@ def candidates(trades: DataFrame, c: Detector = Detector()) -> DataFrame:
     return judged.withColumn("rules", rules(c)).where(F.size("rules") > 0)
 
 
-def cooled(found: DataFrame, c: Detector = Detector()) -> DataFrame:
+def cooled(found: DataFrame, c: Detector = Detector(), block_rows: int = BLOCK_ROWS) -> DataFrame:
     """found with ``emitted``: false within the cooldown of the last emitted one of the market, if the rules overlap and the
     severity hasn't grown enough.
 
-    A gap of at least the cooldown starts afresh whatever went before; so markets are folded in runs between such gaps,
-    which keeps the folded lists short.
+    The state of a market is its last emitted candidate; markets are folded in blocks of time (``folds.folded``). Without a
+    time or a severity on either side, nothing is held back.
     """
-    w = Window.partitionBy("market_id").orderBy("seq")
-    gap = F.unix_micros("ts") - F.unix_micros(F.lag("ts").over(w)) >= c.cooldown_s * 1_000_000
-    runs = found.withColumn("__run", F.sum(F.when(gap, 1).otherwise(0)).over(w))
-    item = F.struct("seq", *(c for c in found.columns if c != "seq"))
-    grouped = runs.groupBy("market_id", "__run").agg(F.array_sort(F.collect_list(item)).alias("items"))
-    start = F.struct(F.lit(None).cast("timestamp").alias("ts"), F.lit(0.0).alias("severity"), F.array().cast("array<string>").alias("rules"), F.array().cast("array<boolean>").alias("out"))
-
-    def step(acc: Column, x: Column) -> Column:
-        near = acc["ts"].isNotNull() & (F.unix_micros(x["ts"]) - F.unix_micros(acc["ts"]) < c.cooldown_s * 1_000_000)
-        held = F.coalesce(near & F.arrays_overlap(acc["rules"], x["rules"]) & (x["severity"] < c.escalation * acc["severity"]), F.lit(False))
-        last = lambda c: F.when(held, acc[c]).otherwise(x[c]).alias(c)
-        return F.struct(last("ts"), last("severity"), last("rules"), F.concat(acc["out"], F.array(~held)).alias("out"))
-
-    # The fold gives a flag for each row of the run, so that found isn't computed again to be joined with it.
-    flagged = grouped.select(F.explode(F.arrays_zip("items", F.aggregate("items", start, step)["out"].alias("emitted"))).alias("x"))
-    return flagged.select(*(F.col(f"x.items.{c}").alias(c) for c in found.columns), F.col("x.emitted").alias("emitted"))
+    reach, growth = c.cooldown_s * 1_000_000, c.escalation
+
+    def step(last, x):
+        known = last is not None and None not in (last["ts"], x["ts"], last["severity"], x["severity"])
+        near = known and x["ts"] - last["ts"] < reach and x["severity"] < growth * last["severity"]
+        held = near and any(r is not None and r in (last["rules"] or ()) for r in x["rules"] or ())
+        return (last, False) if held else (x, True)
+
+    needs = {"ts": F.unix_micros("ts"), "severity": F.col("severity").cast("double"), "rules": F.col("rules")}
+    return folded(found, ("market_id",), ("seq",), needs, step, "emitted", block_rows)
 
 
 def melted(found: DataFrame, names: tuple[str, ...] = ("fresh_count", "fresh_share", "imbalance", "concentration", "velocity", "acceleration", "volume_acceleration")) -> DataFrame:

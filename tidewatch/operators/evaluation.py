@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..config import Evaluation
 from ..functions import scalars as S
+from .folds import BLOCK_ROWS, folded
 from .joins import in_range
 
 
@@ -56,29 +57,24 @@ def paper_trades(alerts: DataFrame, quotes: DataFrame, c: Evaluation = Evaluatio
     return done.select("id", "market_id", "direction", "entry_ts", F.round("entry", 6).alias("entry"), exit_ts.alias("exit_ts"), F.round(exit_price, 6).alias("exit"), why.alias("reason"), F.round(quantity * (exit_price - F.col("entry")) - fee, 6).alias("pnl"))
 
 
-def limited(trades: DataFrame, family: str, c: Evaluation = Evaluation()) -> DataFrame:
+def limited(trades: DataFrame, family: str, c: Evaluation = Evaluation(), block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Adds ``taken``: trades in order of entry that find room among the open positions, in all and of their family.
 
-    Taking depends on what was taken before, so this is one ordered fold over the (few) simulated trades; a time at which
-    no trade of any kind is open starts afresh and bounds the folded runs.
+    Taking depends on what was taken before; the state is the few open positions, and the trades are folded in blocks of
+    time (``folds.folded``). Trades without an entry aren't taken; without an exit they close as they are entered.
     """
-    rows = trades.where("entry_ts is not null").withColumn("__end", F.coalesce(F.unix_micros("exit_ts"), F.unix_micros("entry_ts")))
-    w = Window.orderBy("entry_ts", "id")
-    reach = F.max("__end").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    runs = rows.withColumn("__run", F.sum(F.when(F.unix_micros("entry_ts") > reach, 1).otherwise(0)).over(w))
-    item = F.struct(F.unix_micros("entry_ts").alias("t"), "id", F.col("__end").alias("end"), F.col(family).alias("family"))
-    items = runs.groupBy("__run").agg(F.array_sort(F.collect_list(item)).alias("items"))
-    start = F.struct(F.array().cast("array<struct<end:bigint,family:string>>").alias("open"), F.array().cast("array<bigint>").alias("out"))
-
-    def step(acc: Column, x: Column) -> Column:
-        still = F.filter(acc["open"], lambda p: p["end"] > x["t"])
-        own = F.size(F.filter(still, lambda p: p["family"].eqNullSafe(x["family"])))
-        room = (F.size(still) < c.open_positions) & (own < c.per_family)
-        more = F.concat(still, F.array(F.struct(x["end"].alias("end"), x["family"].cast("string").alias("family"))))
-        return F.struct(F.when(room, more).otherwise(still).alias("open"), F.when(room, F.concat(acc["out"], F.array(x["id"]))).otherwise(acc["out"]).alias("out"))
-
-    taken = items.select(F.explode(F.aggregate("items", start, step)["out"]).alias("id")).withColumn("taken", F.lit(True))
-    return trades.join(taken, "id", "left").withColumn("taken", F.coalesce("taken", F.lit(False)))
+    most, each = c.open_positions, c.per_family
+
+    def step(state, x):
+        if x["t"] is None:
+            return state, False
+        still = [p for p in state or [] if p[0] > x["t"]]
+        room = len(still) < most and sum(p[1] == x["family"] for p in still) < each
+        return (still + [(x["end"], x["family"])] if room else still), room
+
+    start = F.unix_micros("entry_ts")
+    needs = {"t": start, "end": F.coalesce(F.unix_micros("exit_ts"), start), "family": F.col(family).cast("string")}
+    return folded(trades, (), ("entry_ts", "id"), needs, step, "taken", block_rows)
 
 
 def lead_times(rows: DataFrame, lead: str, *keys: str, c: Evaluation = Evaluation()) -> DataFrame:

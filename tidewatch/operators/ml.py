@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from ..session import written
+from .folds import BLOCK_ROWS, blocks, key
 
 
 def fit_linear(rows: DataFrame, features: list[str], label: str = "label") -> DataFrame:
@@ -54,16 +56,30 @@ def precision_at(rows: DataFrame, ks: tuple[int, ...], *keys: str, score: str =
     return ranked.groupBy(*keys).agg(*(F.round(F.avg(F.when(F.col("__r") <= k, F.col(label).cast("double"))), 6).alias(f"p_at_{k}") for k in ks))
 
 
-def precision_threshold(rows: DataFrame, target: float, *keys: str, score: str = "score", label: str = "label", tie: str = "doc_id") -> DataFrame:
+def precision_threshold(rows: DataFrame, target: float, *keys: str, score: str = "score", label: str = "label", tie: str = "doc_id", block_rows: int = BLOCK_ROWS) -> DataFrame:
     """The first score, from the top, at which the running precision reaches target among the rows down to it.
 
-    Where none does, the (1 - target) quantile of the scores.
+    Where none does, the (1 - target) quantile of the scores. Running sums are taken within blocks of the order, on top of
+    the sums of the blocks before, so that a key of any size is shared by many tasks.
     """
-    w = (Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))).orderBy(F.desc(score), tie)
-    run = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ranked = rows.where(F.col(label).isNotNull()).withColumn("__r", F.row_number().over(w)).withColumn("__p", F.sum(label).over(run) / F.col("__r"))
-    first = F.min_by(score, F.when(F.col("__p") >= target, F.col("__r")))
-    return ranked.groupBy(*keys).agg(F.round(F.coalesce(first, F.percentile(score, 1 - target)), 6).alias("threshold"), F.count("*").alias("n"))
+    labelled = rows.where(F.col(label).isNotNull()).select(key(*keys).alias("__key"), F.col(score).alias("__s"), F.col(label).alias("__l"), F.col(tie).alias("__t"))
+    placed = blocks(written(labelled), "__key", F.desc("__s"), "__t", block_rows=block_rows)
+    totals = placed.groupBy("__key", "__block").agg(F.count("*").alias("n"), F.sum("__l").alias("l"), F.count("__s").alias("s"))
+    whole = Window.partitionBy("__key")
+    before = whole.orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
+    offset = lambda c: F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"__{c}0")
+    offsets = totals.select("__key", "__block", offset("n"), offset("l"), F.sum("s").over(whole).alias("__m"))
+    w = Window.partitionBy("__key", "__block").orderBy("__place")
+    run = F.sum("__l").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    ranked = placed.join(offsets, ["__key", "__block"]).withColumn("__r", F.col("__n0") + F.row_number().over(w)).withColumn("__p", (F.col("__l0") + run) / F.col("__r"))
+    first = F.min_by("__s", F.when(F.col("__p") >= target, F.col("__r")))
+    # The quantile lies between two ranks, counted from the smallest score; scores that are null rank last.
+    at = (F.col("__m") - 1) * F.lit(1 - target)
+    value = lambda place: F.max(F.when(F.col("__r") == F.col("__m") - place, F.col("__s")))
+    share = F.max(at - F.floor(at))
+    quantile = value(F.floor(at)) * (1 - share) + value(F.ceil(at)) * share
+    out = ranked.groupBy(*(["__key"] if keys else [])).agg(F.round(F.coalesce(first, quantile), 6).alias("threshold"), F.count("*").alias("n"))
+    return out.select(*(F.col("__key")[k].alias(k) for k in keys), "threshold", "n")
 
 
 def diagnostics(rows: DataFrame, features: list[str]) -> DataFrame:
