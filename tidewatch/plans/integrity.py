@@ -140,10 +140,10 @@ def _(spark, sf_dir):
     return Q.ratio_by(D.trades(spark, sf_dir), F.coalesce(F.col("side") == "SELL", F.lit(False)), "outcome_side")
 
 
-@query("a64_table_counts", " UNION ALL ".join(f"SELECT '{t}' AS name, count(*) AS n FROM {t}" for t in ("region", "nation", "supplier", "part")))
+@query("a64_table_counts", " UNION ALL ".join(f"SELECT '{t}' AS name, count(*) AS n FROM {t}" for t in D.TABLES))
 def _(spark, sf_dir):
     out = None
-    for t in ("region", "nation", "supplier", "part"):
+    for t in D.TABLES:
         own = D.table(spark, sf_dir, t).agg(F.lit(t).alias("name"), F.count("*").alias("n")).select("name", "n")
         out = own if out is None else out.unionByName(own)
     return out

@@ -36,9 +36,9 @@ def canonical(spark, sf_dir):  # noqa: ANN001, ANN201
     return T.canonical(T.keyed(D.trades(spark, sf_dir)))
 
 
-@query("p18_dedupe_key", f"WITH {KEYED} SELECT trade_id, dedupe_key FROM keyed WHERE tx_hash IS NOT NULL")
+@query("p18_dedupe_key", f"WITH {KEYED} SELECT trade_id, dedupe_key FROM keyed")
 def _(spark, sf_dir):
-    return T.keyed(D.trades(spark, sf_dir)).where("tx_hash is not null").select("trade_id", "dedupe_key")
+    return T.keyed(D.trades(spark, sf_dir)).select("trade_id", "dedupe_key")
 
 
 @query("w1_canonical_dedupe", f"WITH {CANONICAL} SELECT trade_id, dedupe_key, priority, source, notional FROM canonical")
