@@ -19,4 +19,4 @@ def test_query(spark, connection, name):
     if name in SQL:
         assert differences(spark, connection, QUERIES[name], SQL[name], SF) == ""
     else:
-        assert QUERIES[name](spark, SF).count() >= 0
+        assert QUERIES[name](spark, SF).count() > 0  # what they rest on is tested in test_operators.py
