@@ -68,13 +68,14 @@ HOT_ROWS = 2000
 HOT_KEYS = 100_000
 
 
-def hot_keys(rows: DataFrame, key: str, most: int | None = None) -> DataFrame | None:
+def hot_keys(rows: DataFrame, key: str, most: int | None = None, counts: DataFrame | None = None) -> DataFrame | None:
     """The hot keys of rows with the number of parts (``__parts``) that their rows are dealt to; None if there are none.
 
-    At most HOT_KEYS keys, fit to be broadcast. Counts combine before they are shuffled.
+    At most HOT_KEYS keys, fit to be broadcast. Counts combine before they are shuffled; those that are known already can be
+    given (key, ``__n``).
     """
     limit = most or HOT_ROWS
-    counts = rows.groupBy(key).agg(F.count("*").alias("__n")).where(F.col("__n") > limit)
+    counts = (counts if counts is not None else rows.groupBy(key).agg(F.count("*").alias("__n"))).where(F.col("__n") > limit)
     hot = written(counts)
     while (n := hot.count()) > HOT_KEYS:
         limit *= 2
@@ -82,12 +83,12 @@ def hot_keys(rows: DataFrame, key: str, most: int | None = None) -> DataFrame |
     return hot.select(key, F.ceil(F.col("__n") / limit).cast("int").alias("__parts")) if n else None
 
 
-def spread_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner", counted: DataFrame | None = None) -> DataFrame:
+def spread_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner", counted: DataFrame | None = None, counts: DataFrame | None = None) -> DataFrame:
     """left joined with right, which has a row for each key at most: rows of a hot key of left go to several tasks.
 
-    counted: a written table with the keys of left, where left is dearer to read.
+    counted: a written table with the keys of left, where left is dearer to read; counts: see ``hot_keys``.
     """
-    hot = hot_keys(left if counted is None else counted, key)
+    hot = hot_keys(left if counted is None else counted, key, counts=counts)
     if hot is None:
         return left.join(right, key, how)
     parts = F.coalesce("__parts", F.lit(1))

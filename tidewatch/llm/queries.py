@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, languages, licenses, packing, pii, quality, similarity, substrings, tokens, toxicity
+from . import centroids, decontaminate, languages, licenses, middle, ngram_model, packing, pii, quality, similarity, substrings, tokens, toxicity
 from .common import read
 
 
@@ -50,6 +50,18 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(read(spark, sf_dir, "documents"))
 
 
+def op11_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_model.report(read(spark, sf_dir, "documents"))
+
+
+def op12_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.report(read(spark, sf_dir, "embeddings"))
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return middle.digests(read(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -57,9 +69,11 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    every = (op1_toxicity, op2_suffix_dedup, op3_token_files, op4_ngram_jaccard, op5_quality_rules, op6_pii, op7_language_id, op8_license_scan, op9_decontamination, op10_packing, pipeline)
+    every = (
+        op1_toxicity, op2_suffix_dedup, op3_token_files, op4_ngram_jaccard, op5_quality_rules, op6_pii, op7_language_id, op8_license_scan,
+        op9_decontamination, op10_packing, op11_lm_scoring, op12_centroid_clustering, op13_fill_in_middle, pipeline)
     return {f.__name__: f for f in every}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_ngram_jaccard": similarity.sql(3, 90), "op8_license_scan": licenses.sql(), "op9_decontamination": decontaminate.sql()}
+    return {"op4_ngram_jaccard": similarity.sql(3, 90), "op8_license_scan": licenses.sql(), "op9_decontamination": decontaminate.sql(), "op12_centroid_clustering": centroids.sql(), "op13_fill_in_middle": middle.sql()}
