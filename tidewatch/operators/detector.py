@@ -1,112 +1,168 @@
-"""The detector over trades, as a batch: window features, severity, rules, cooldown.
+"""The detector over trades, as a batch: window features, severity, rules, probability filter, cooldown.
 
-The features of a trade look back over its market: the current window and the one before. Range frames are exact where a
-market's trades arrive in order of time with different times; the streaming form handles any order of arrival.
+The features of a trade look back over its market: the current window and the one before, as of its arrival. A market's
+order of arrival is cut into epochs, a window's length of the newest time so far each. What an epoch's trades can see
+arrived in it or in the few epochs that the history reaches back to, so points are sent to these epochs too, and an epoch,
+not a market, is a task's unit: it takes the points in order of arrival, as the stream does (``windows.MarketWindow``).
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import Detector
 from ..functions import scalars as S
-from .folds import BLOCK_ROWS, folded
+from .folds import BLOCK_ROWS, Step, blocks, folded
+from .windows import MarketWindow
+
+_COUNTS = ("fresh_count", "n_wallets", "n_trades", "n_prices")
+_TIMES = ("episode_start", "episode_end")
+FEATURES = {
+    "fresh_count": "int", "fresh_share": "double", "imbalance": "double", "concentration": "double", "velocity": "double", "acceleration": "double",
+    "volume_acceleration": "double", "notional": "double", "previous_notional": "double", "buy_notional": "double", "sell_notional": "double",
+    "yes_notional": "double", "no_notional": "double", "active_side": "string", "active_notional": "double", "n_wallets": "int", "n_trades": "int",
+    "n_prices": "int", "episode_start": "timestamp", "episode_end": "timestamp",
+}
+_ROUNDED = tuple(n for n, kind in FEATURES.items() if kind == "double")
+_POINT = ("wallet", "side", "outcome_side", "notional", "price", "first_seen")
+
+
+def _epochs(trades: DataFrame, c: Detector, block_rows: int) -> DataFrame:
+    """The points with first_seen (of their wallet, by arrival), time in microseconds and epoch.
+
+    The newest time so far is a running maximum in the order of arrival: within blocks of the order, and over the blocks
+    before.
+    """
+    rows = trades.where("market_id is not null and ts is not null").select("seq", "market_id", F.unix_micros("ts").alias("__t"), *_POINT[:-1])
+    placed = blocks(rows, "market_id", "seq", block_rows=block_rows)
+    inside = F.max("__t").over(Window.partitionBy("__block", "market_id").orderBy("__place"))
+    tops = placed.groupBy("market_id", "__block").agg(F.max("__t").alias("top"))
+    before = F.max("top").over(Window.partitionBy("market_id").orderBy("__block").rowsBetween(Window.unboundedPreceding, -1))
+    carried = tops.select("market_id", "__block", before.alias("__before")).where("__before is not null")
+    first = placed.where("wallet is not null and notional is not null").groupBy("wallet").agg(F.min_by("__t", "seq").alias("first_seen"))
+    rows = placed.withColumn("__inside", inside).join(carried, ["market_id", "__block"], "left").join(first, "wallet", "left")
+    newest = F.greatest("__inside", F.coalesce("__before", "__inside"))
+    return rows.withColumn("__epoch", F.floor(newest / F.lit(c.window_s * 1_000_000)))
+
+
+def _judged(c: Detector):
+    """Features at the trades of an epoch; points are grouped by market and epoch, and in order of arrival within."""
+    schema = pa.schema([("seq", pa.int64()), ("market_id", pa.string()), ("ts", pa.int64())] + [(n, pa.int64() if k in ("int", "timestamp") else pa.string() if k == "string" else pa.float64()) for n, k in FEATURES.items()])
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, window = None, MarketWindow(c)
+        for batch in batches:
+            out: list[dict] = []
+            columns = batch.to_pydict()
+            for market, group, epoch, seq, t, *point in zip(*(columns[n] for n in ("market_id", "__group", "__epoch", "seq", "__t", *_POINT)), strict=True):
+                if (market, group) != key:
+                    key, window = (market, group), MarketWindow(c)
+                wallet, side, outcome, notional, price, first_seen = point
+                if notional is None:
+                    window.quote(t, price)
+                    continue
+                window.trade(t, wallet, side, outcome, notional, price, first_seen)
+                if epoch == group and (found := window.features(t)):
+                    out.append({"seq": seq, "market_id": market, "ts": t} | found)
+            yield pa.RecordBatch.from_pylist(out, schema)
+
+    return of
+
+
+def _raw_features(trades: DataFrame, c: Detector, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """A row of window features, not rounded, for each trade whose window holds enough notional.
 
+    trades: seq (order of arrival), market_id, ts, wallet, side, outcome_side, notional, price. Times may be equal or out of
+    order: a trade is judged at its own time against all points that arrived before and are still held. Fresh wallets have
+    their first trade of all in the window. Quotes may be among the rows: they have a price and no notional; trades without
+    a price leave the price as it is. Rows without a market or a time are left out; an empty table gives no rows.
+    """
+    reach = -(-max(c.history_s, 2 * c.window_s) // c.window_s)
+    rows = _epochs(trades, c, block_rows)
+    sent = rows.select("*", F.explode(F.sequence(F.col("__epoch"), F.col("__epoch") + reach)).alias("__group"))
+    sent = sent.select("market_id", "__group", "__epoch", "seq", "__t", *_POINT).repartition("market_id", "__group").sortWithinPartitions("market_id", "__group", "seq")
+    kinds = ", ".join(f"{n} {'long' if k in ('int', 'timestamp') else k}" for n, k in FEATURES.items())
+    out = sent.mapInArrow(_judged(c), f"seq long, market_id string, ts long, {kinds}")
+    casts = {n: F.col(n).cast("int") for n in _COUNTS} | {n: F.timestamp_micros(n) for n in ("ts", *_TIMES)}
+    return out.withColumns(casts)
 
-def _total(xs: Column) -> Column:
-    return F.aggregate(xs, F.lit(0.0), lambda a, x: a + x)
 
+def features(trades: DataFrame, c: Detector = Detector(), block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """The window features of each trade (see ``FEATURES``), rounded to six places."""
+    return _raw_features(trades, c, block_rows).withColumns({n: F.round(n, 6) for n in _ROUNDED})
 
-def _by_wallet(items: Column) -> Column:
-    """Largest sum of one wallet."""
-    wallets = F.array_distinct(F.transform(items, lambda x: x["wallet"]))
-    return F.array_max(F.transform(wallets, lambda w: F.round(_total(F.transform(F.filter(items, lambda x: x["wallet"] == w), lambda x: x["notional"])), 9)))
 
+#: The least threshold that a feature is divided by.
+_LEAST = {"fresh_count": 1, "fresh_share": 0.01, "imbalance": 0.01, "concentration": 0.01, "velocity": 1e-4, "acceleration": 1e-4, "volume_acceleration": 0.01}
 
-def _raw_features(trades: DataFrame, c: Detector) -> DataFrame:
-    """A row of window features, not rounded, for each trade whose window holds enough notional.
 
-    trades: seq, market_id, ts, wallet, side, outcome_side, notional, price. Fresh wallets have their first trade of all
-    in the window. Quotes may be among the rows: they have a price and no notional; trades without a price leave the price
-    as it is.
-    """
-    seen = F.first_value("ts").over(Window.partitionBy("wallet").orderBy("seq"))
-    rows = trades.where("market_id is not null and ts is not null").withColumn("first_seen", F.when(F.col("wallet").isNotNull(), seen)).withColumn("__t", F.unix_micros("ts"))
-    w, second = Window.partitionBy("market_id").orderBy("__t"), 1_000_000
-    now = w.rangeBetween(-c.window_s * second, Window.currentRow)
-    past = w.rangeBetween(-2 * c.window_s * second, -c.window_s * second - 1)
-    item = F.struct("wallet", "notional", "side", "outcome_side", "price", "first_seen", "ts")
-    rows = rows.withColumn("cur", F.filter(F.collect_list(item).over(now), lambda x: x["notional"].isNotNull())).withColumn("n_prev", F.count("notional").over(past)).withColumn("prev_notional", F.round(F.coalesce(F.sum("notional").over(past), F.lit(0.0)), 9))
-    priced = F.when(F.col("price").isNotNull(), F.col("__t"))
-    for name, frame in (("cur", now), ("prev", past)):
-        rows = rows.withColumn(f"{name}_first", F.first("price", ignorenulls=True).over(frame)).withColumn(f"{name}_last", F.last("price", ignorenulls=True).over(frame)).withColumn(f"{name}_minutes", (F.max(priced).over(frame) - F.min(priced).over(frame)) / 60e6)
-    # Amounts have few decimals: rounding sums makes them independent of the order of addition.
-    pick = lambda f: F.round(_total(F.transform(F.filter("cur", f), lambda x: x["notional"])), 9)
-    start = F.col("ts") - F.make_interval(secs=F.lit(c.window_s))
-    fresh = lambda x: x["wallet"].isNotNull() & (x["first_seen"] >= start)
-    rows = rows.withColumn("total", pick(lambda x: F.lit(True))).where(F.col("notional").isNotNull() & (F.col("total") >= c.min_notional))
-    velocity = lambda n: F.coalesce(S.safe_ratio(F.col(f"{n}_last") - F.col(f"{n}_first"), F.col(f"{n}_minutes")), F.lit(0.0))
-    yes, no = (pick(lambda x: x["outcome_side"] == "YES"), pick(lambda x: x["outcome_side"] == "NO"))
-    return rows.select(
-        "seq", "market_id", "ts", F.size("cur").alias("n_trades"), F.col("total").alias("notional"),
-        F.size(F.array_distinct(F.transform(F.filter("cur", fresh), lambda x: x["wallet"]))).alias("fresh_count"), S.safe_ratio(pick(fresh), F.col("total")).alias("fresh_share"),
-        S.safe_ratio(F.abs(pick(lambda x: x["side"] == "BUY") - pick(lambda x: x["side"] == "SELL")), F.col("total")).alias("imbalance"),
-        S.safe_ratio(F.coalesce(_by_wallet(F.filter("cur", lambda x: x["wallet"].isNotNull())), F.lit(0.0)), F.col("total")).alias("concentration"),
-        velocity("cur").alias("velocity"), (velocity("cur") - velocity("prev")).alias("acceleration"),
-        F.when(F.col("n_prev") > 0, S.safe_ratio(F.col("total"), F.col("prev_notional"))).otherwise(2.0).alias("volume_acceleration"),
-        F.when(yes >= no, "YES").otherwise("NO").alias("active_side"))
-
-
-_ROUNDED = ("notional", "fresh_share", "imbalance", "concentration", "velocity", "acceleration", "volume_acceleration")
-
-
-def features(trades: DataFrame, c: Detector = Detector()) -> DataFrame:
-    """The window features of each trade, rounded to six places."""
-    return _raw_features(trades, c).withColumns({n: F.round(n, 6) for n in _ROUNDED})
+def limits(c: Detector) -> dict[str, float]:
+    """What each feature is divided by in the severity."""
+    own = {"fresh_count": c.fresh_wallets, "fresh_share": c.fresh_share, "imbalance": c.imbalance, "concentration": c.concentration}
+    own |= {"velocity": c.velocity, "acceleration": c.acceleration, "volume_acceleration": c.volume_acceleration}
+    return {n: float(max(x, _LEAST[n])) for n, x in own.items()}
 
 
 def severity(c: Detector = Detector()) -> Column:
     """Sum of the features' ratios to their thresholds."""
-    parts = ((F.col("fresh_count"), c.fresh_wallets), (F.col("fresh_share"), c.fresh_share), (F.col("imbalance"), c.imbalance), (F.col("concentration"), c.concentration), (F.abs("velocity"), c.velocity), (F.abs("acceleration"), c.acceleration), (F.col("volume_acceleration"), c.volume_acceleration))
     out = F.lit(0.0)
-    for x, limit in parts:
-        out = out + x / F.lit(float(limit))
+    for name, limit in limits(c).items():
+        out = out + F.abs(F.col(name)) / F.lit(limit)
     return out
 
 
 def rules(c: Detector = Detector()) -> Column:
-    """Names of the rule families that fire."""
-    fresh = (F.col("fresh_count") >= c.fresh_wallets) & (F.col("fresh_share") >= c.fresh_share)
+    """Names of the rule families that fire. Fresh wallets count while the price moves."""
+    fresh = (F.col("fresh_count") >= c.fresh_wallets) & (F.col("fresh_share") >= c.fresh_share) & (F.abs("velocity") >= c.velocity)
     flow = (F.col("concentration") >= c.concentration) & (F.col("imbalance") >= c.imbalance)
     moving = (F.abs("velocity") >= c.velocity) & (F.abs("acceleration") >= c.acceleration) & (F.col("volume_acceleration") >= c.volume_acceleration)
     support = (F.col("fresh_count") > 0) | (F.col("concentration") >= c.concentration)
     return F.array_compact(F.array(F.when(fresh, "fresh_wallet_burst"), F.when(flow, "concentrated_directional_flow"), F.when(moving & support, "fast_repricing_with_wallet_support")))
 
 
-def candidates(trades: DataFrame, c: Detector = Detector()) -> DataFrame:
-    """Trades at which a rule fires, with features, severity (of features as they are) and rules (of rounded ones)."""
-    judged = _raw_features(trades, c).withColumn("severity", F.round(severity(c), 6)).withColumns({n: F.round(n, 6) for n in _ROUNDED})
-    return judged.withColumn("rules", rules(c)).where(F.size("rules") > 0)
+def candidates(trades: DataFrame, c: Detector = Detector(), probabilities: DataFrame | None = None, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """Trades at which a rule fires, with features, severity (of features as they are) and rules (of rounded ones).
 
+    probabilities: market_id and yes_probability, a row for each market. Candidates of markets outside the band go, those of
+    markets without a probability stay; what goes neither cools down nor suppresses.
+    """
+    judged = _raw_features(trades, c, block_rows).withColumn("severity", F.round(severity(c), 6)).withColumns({n: F.round(n, 6) for n in _ROUNDED})
+    found = judged.withColumn("rules", rules(c)).where(F.size("rules") > 0)
+    if probabilities is None:
+        return found
+    known = probabilities.select("market_id", F.col("yes_probability").alias("__p"))
+    return found.join(known, "market_id", "left").where(S.in_probability_band(F.col("__p"), c.band_low, c.band_high)).drop("__p")
 
-def cooled(found: DataFrame, c: Detector = Detector(), block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """found with ``emitted``: false within the cooldown of the last emitted one of the market, if the rules overlap and the
-    severity hasn't grown enough.
 
-    The state of a market is its last emitted candidate; markets are folded in blocks of time (``folds.folded``). Without a
-    time or a severity on either side, nothing is held back.
+def cooldown(c: Detector = Detector()) -> Step:
+    """Takes a market's last emitted candidate and the next one; the one that is remembered, and whether the next goes out.
+
+    A candidate has ts (microseconds), severity and rules.
     """
     reach, growth = c.cooldown_s * 1_000_000, c.escalation
 
-    def step(last, x):
+    def step(last, x):  # noqa: ANN001, ANN202
         known = last is not None and None not in (last["ts"], x["ts"], last["severity"], x["severity"])
         near = known and x["ts"] - last["ts"] < reach and x["severity"] < growth * last["severity"]
         held = near and any(r is not None and r in (last["rules"] or ()) for r in x["rules"] or ())
         return (last, False) if held else (x, True)
 
+    return step
+
+
+def cooled(found: DataFrame, c: Detector = Detector(), block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """found with ``emitted``: false within the cooldown of the last emitted one of the market, if the rules overlap and the
+    severity hasn't grown enough.
+
+    The state of a market is its last emitted candidate; markets are folded in blocks of time (``folds.folded``). Without a
+    time or a severity on either side, nothing is held back.
+    """
     needs = {"ts": F.unix_micros("ts"), "severity": F.col("severity").cast("double"), "rules": F.col("rules")}
-    return folded(found, ("market_id",), ("seq",), needs, step, "emitted", block_rows)
+    return folded(found, ("market_id",), ("seq",), needs, cooldown(c), "emitted", block_rows)
 
 
 def melted(found: DataFrame, names: tuple[str, ...] = ("fresh_count", "fresh_share", "imbalance", "concentration", "velocity", "acceleration", "volume_acceleration")) -> DataFrame:

@@ -19,21 +19,21 @@ DAYS = Detector(window_s=86400, history_s=172800, cooldown_s=3 * 86400, fresh_wa
 
 _FEATURES = f"""{D.STREAM}, s AS (SELECT *, first_value(ts) OVER (PARTITION BY wallet ORDER BY seq) AS first_seen FROM stream),
 pairs AS (SELECT i.seq, i.market_id, i.ts, p.seq AS pseq, p.ts AS pts, p.wallet, p.side, p.outcome_side, p.notional, p.price, p.first_seen, p.ts >= i.ts - INTERVAL 1 DAY AS cur
- FROM s i JOIN s p ON p.market_id = i.market_id AND p.ts <= i.ts AND p.ts >= i.ts - INTERVAL 2 DAY),
+ FROM s i JOIN s p ON p.market_id = i.market_id AND p.seq <= i.seq AND p.ts >= i.ts - INTERVAL 2 DAY),
 byw AS (SELECT seq, max(x) AS biggest FROM (SELECT seq, wallet, round(sum(notional), 9) AS x FROM pairs WHERE cur GROUP BY 1, 2) GROUP BY 1),
-c AS (SELECT seq, market_id, any_value(ts) AS ts, count(*) AS n_trades, round(sum(notional), 9) AS total,
+c AS (SELECT seq, market_id, any_value(ts) AS ts, count(*) AS n_trades, round(sum(notional), 9) AS total, count(DISTINCT wallet) AS n_wallets, count(price) AS n_prices, min(pts) AS episode_start, max(pts) AS episode_end,
  count(DISTINCT wallet) FILTER (first_seen >= ts - INTERVAL 1 DAY) AS fresh_count, round(coalesce(sum(notional) FILTER (first_seen >= ts - INTERVAL 1 DAY), 0), 9) AS fresh,
- abs(round(coalesce(sum(notional) FILTER (side = 'BUY'), 0), 9) - round(coalesce(sum(notional) FILTER (side = 'SELL'), 0), 9)) AS imb,
- arg_max(price, pts) - arg_min(price, pts) AS dp, (epoch_us(max(pts)) - epoch_us(min(pts))) / 60e6 AS mins,
+ round(coalesce(sum(notional) FILTER (side = 'BUY'), 0), 9) AS buy, round(coalesce(sum(notional) FILTER (side = 'SELL'), 0), 9) AS sell,
+ arg_max(price, (pts, pseq)) - arg_min(price, (pts, pseq)) AS dp, (epoch_us(max(pts)) - epoch_us(min(pts))) / 60e6 AS mins, arg_min(outcome_side, pseq) AS first_side,
  round(coalesce(sum(notional) FILTER (outcome_side = 'YES'), 0), 9) AS yes, round(coalesce(sum(notional) FILTER (outcome_side = 'NO'), 0), 9) AS no FROM pairs WHERE cur GROUP BY 1, 2),
-q AS (SELECT seq, count(*) AS n_prev, round(sum(notional), 9) AS prev, arg_max(price, pts) - arg_min(price, pts) AS dp, (epoch_us(max(pts)) - epoch_us(min(pts))) / 60e6 AS mins FROM pairs WHERE NOT cur GROUP BY 1),
-raw AS (SELECT c.seq, market_id, ts, CAST(n_trades AS INTEGER) AS n_trades, total AS notional, CAST(fresh_count AS INTEGER) AS fresh_count, fresh / total AS fresh_share, imb / total AS imbalance,
+q AS (SELECT seq, round(sum(notional), 9) AS prev, arg_max(price, (pts, pseq)) - arg_min(price, (pts, pseq)) AS dp, (epoch_us(max(pts)) - epoch_us(min(pts))) / 60e6 AS mins FROM pairs WHERE NOT cur GROUP BY 1),
+raw AS (SELECT c.seq, market_id, ts, CAST(n_trades AS INTEGER) AS n_trades, CAST(n_wallets AS INTEGER) AS n_wallets, CAST(n_prices AS INTEGER) AS n_prices, episode_start, episode_end, total AS notional, coalesce(prev, 0) AS previous_notional,
+ buy AS buy_notional, sell AS sell_notional, yes AS yes_notional, no AS no_notional, greatest(yes, no) AS active_notional, CAST(fresh_count AS INTEGER) AS fresh_count, fresh / total AS fresh_share, abs(buy - sell) / total AS imbalance,
  biggest / total AS concentration, CASE WHEN c.mins <> 0 THEN c.dp / c.mins ELSE 0 END AS velocity,
  CASE WHEN c.mins <> 0 THEN c.dp / c.mins ELSE 0 END - coalesce(CASE WHEN q.mins <> 0 THEN q.dp / q.mins ELSE 0 END, 0) AS acceleration,
- CASE WHEN n_prev > 0 THEN total / prev ELSE 2 END AS volume_acceleration, CASE WHEN yes >= no THEN 'YES' ELSE 'NO' END AS active_side
+ CASE WHEN prev > 0 THEN total / prev ELSE 2 END AS volume_acceleration, CASE WHEN yes > no THEN 'YES' WHEN no > yes THEN 'NO' ELSE first_side END AS active_side
  FROM c LEFT JOIN q USING (seq) LEFT JOIN byw USING (seq) WHERE total >= 10),
-f AS (SELECT seq, market_id, ts, n_trades, round(notional, 6) AS notional, fresh_count, round(fresh_share, 6) AS fresh_share, round(imbalance, 6) AS imbalance, round(concentration, 6) AS concentration, round(velocity, 6) + 0.0 AS velocity,
- round(acceleration, 6) + 0.0 AS acceleration, round(volume_acceleration, 6) AS volume_acceleration, active_side FROM raw)"""
+f AS (SELECT seq, market_id, ts, n_trades, n_wallets, n_prices, episode_start, episode_end, fresh_count, active_side, {", ".join(f"round({n}, 6) + 0.0 AS {n}" for n in X.FEATURES if X.FEATURES[n] == "double")} FROM raw)"""
 
 
 @query("a1_window_features", f"WITH {_FEATURES} SELECT * FROM f")
@@ -41,8 +41,8 @@ def _(spark, sf_dir):
     return X.features(D.stream(spark, sf_dir), DAYS)
 
 
-_RULES = f"""{_FEATURES}, sev AS (SELECT *, (SELECT round(r.fresh_count / 1.0 + r.fresh_share / 0.25 + r.imbalance / 0.5 + r.concentration / 0.5 + abs(r.velocity) / 1e-5 + abs(r.acceleration) / 1e-5 + r.volume_acceleration / 1.0, 6) FROM raw r WHERE r.seq = f.seq) AS severity,
- list_filter([CASE WHEN fresh_count >= 1 AND fresh_share >= 0.25 THEN 'fresh_wallet_burst' END, CASE WHEN concentration >= 0.5 AND imbalance >= 0.5 THEN 'concentrated_directional_flow' END,
+_RULES = f"""{_FEATURES}, sev AS (SELECT *, (SELECT round(r.fresh_count / 1.0 + r.fresh_share / 0.25 + r.imbalance / 0.5 + r.concentration / 0.5 + abs(r.velocity) / 1e-4 + abs(r.acceleration) / 1e-4 + r.volume_acceleration / 1.0, 6) FROM raw r WHERE r.seq = f.seq) AS severity,
+ list_filter([CASE WHEN fresh_count >= 1 AND fresh_share >= 0.25 AND abs(velocity) >= 1e-5 THEN 'fresh_wallet_burst' END, CASE WHEN concentration >= 0.5 AND imbalance >= 0.5 THEN 'concentrated_directional_flow' END,
  CASE WHEN abs(velocity) >= 1e-5 AND abs(acceleration) >= 1e-5 AND volume_acceleration >= 1.0 AND (fresh_count > 0 OR concentration >= 0.5) THEN 'fast_repricing_with_wallet_support' END], lambda x: x IS NOT NULL) AS rules FROM f)"""
 
 
@@ -58,6 +58,17 @@ def _(spark, sf_dir):
     return rule_counts(X.candidates(D.stream(spark, sf_dir), DAYS))
 
 
+_PROBABILITIES = "p AS (SELECT CAST(p_partkey AS VARCHAR) AS market_id, p_retailprice / 2000.0 AS yes_probability FROM part)"
+
+
+@query("st10_probability_filter", f"WITH {_RULES}, {_PROBABILITIES} SELECT seq, market_id, severity FROM sev LEFT JOIN p USING (market_id) WHERE len(rules) > 0 AND coalesce(yes_probability BETWEEN 0.5 AND 0.55, true)")
+def _(spark, sf_dir):
+    from dataclasses import replace
+
+    known = D.markets(spark, sf_dir).select("market_id", (F.col("liquidity") / 2000.0).alias("yes_probability"))
+    return X.candidates(D.stream(spark, sf_dir), replace(DAYS, band_low=0.5, band_high=0.55), known).select("seq", "market_id", "severity")
+
+
 @query("w14_cooldown")
 def _(spark, sf_dir):
     return X.cooled(X.candidates(D.stream(spark, sf_dir), DAYS), DAYS).select("seq", "market_id", "severity", "emitted")

@@ -25,6 +25,16 @@ def session(app: str = "tidewatch", cores: str = "*") -> SparkSession:
     )
 
 
+#: The state store that transformWithState asks for.
+STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def streaming(spark: SparkSession) -> SparkSession:
+    """spark, with state in RocksDB: what the stateful steps over streams need."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
+    return spark
+
+
 def ship(spark: SparkSession) -> SparkSession:
     """Sends this package to the executors' Python workers, once for each application."""
     app = spark.sparkContext.applicationId

@@ -3,155 +3,158 @@
 Two stateful steps: ``with_first_seen`` is keyed by wallet (the first trade of all that is processed counts), ``detect`` by
 market. They are separate queries joined by a landing folder, so that each has one key and its own checkpoint. Within a
 micro-batch, events of a key are taken in order of ``seq``. Late events are never dropped: an event is judged at its own
-time against the points that are still held.
+time against the points that are still held, as in the batch form, which shares the windows and the cooldown.
+
+State is kept in RocksDB by ``transformWithState``: a wallet's first time as a value, a market's points as lists, its last
+candidate as a value. Points older than the history go with the next event. A market that falls silent keeps its points for
+``idle_s`` seconds of the clock, if that is given; a timer frees them then. ``session.streaming`` sets the store.
 """
 
 from __future__ import annotations
 
-import json
 from collections.abc import Iterator
+from typing import Any
 
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..config import Detector
+from ..operators.detector import FEATURES, cooldown, limits
+from ..operators.windows import MarketWindow
 
 EVENT = "seq long, kind string, market_id string, ts timestamp, wallet string, side string, outcome_side string, notional double, price double"
 SEEN = f"{EVENT}, first_seen timestamp"
-CANDIDATE = "seq long, market_id string, ts timestamp, notional double, fresh_count long, fresh_share double, imbalance double, concentration double, velocity double, acceleration double, volume_acceleration double, active_side string, severity double, rules array<string>, emitted boolean"
+CANDIDATE = "seq long, market_id string, ts timestamp, " + ", ".join(f"{n} {k}" for n, k in FEATURES.items()) + ", severity double, rules array<string>, emitted boolean"
+_NAMES = [x.split()[0] for x in CANDIDATE.split(", ")]
+_TRADE = "ts long, wallet string, side string, outcome_side string, notional double, first_seen long"
 
 
-def _first_seen(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    rows = pd.concat(list(batches)).sort_values("seq")
-    if pd.isna(key[0]) or key[0] == "":
-        yield rows.assign(first_seen=pd.NaT)
-        return
-    if state.exists:
-        first = pd.Timestamp(state.get[0])
-    else:
-        first = rows["ts"].iloc[0]
-        state.update((str(first),))
-    yield rows.assign(first_seen=first)
+def _none(x: Any) -> Any:
+    return None if pd.isna(x) else x
 
 
-def with_first_seen(events: DataFrame) -> DataFrame:
-    """Adds first_seen, the time of the wallet's first processed trade; null for quotes and trades without a wallet."""
-    return events.groupBy("wallet").applyInPandasWithState(_first_seen, SEEN, "first string", "append", GroupStateTimeout.NoTimeout)
-
-
-class Market:
-    """Points of one market that are still held, and its last candidate. Times are in seconds."""
-
-    def __init__(self, settings: Detector, saved: str | None = None) -> None:
-        self.c = settings
-        data = json.loads(saved) if saved else {"trades": [], "quotes": [], "last": None}
-        self.trades, self.quotes, self.last = data["trades"], data["quotes"], data["last"]
-
-    def saved(self) -> str:
-        return json.dumps({"trades": self.trades, "quotes": self.quotes, "last": self.last})
-
-    def _prune(self, now: float) -> None:
-        oldest = now - max(self.c.history_s, 2 * self.c.window_s)
-        self.trades = [t for t in self.trades if t["ts"] >= oldest]
-        self.quotes = [q for q in self.quotes if q[0] >= oldest]
-
-    def quote(self, ts: float, price: float | None) -> None:
-        if price is not None:
-            self.quotes.append([ts, price])
-        self._prune(ts)
-
-    def trade(self, trade: dict) -> dict | None:
-        """Adds a trade; the candidate that it makes, if any."""
-        self.trades.append(trade)
-        if trade.get("price") is not None:
-            self.quotes.append([trade["ts"], trade["price"]])
-        self._prune(trade["ts"])
-        return self._judged(trade["ts"])
-
-    def _velocity(self, low: float, high: float) -> float:
-        points = sorted((q for q in self.quotes if low <= q[0] < high), key=lambda q: q[0])
-        minutes = (points[-1][0] - points[0][0]) / 60 if points else 0
-        return (points[-1][1] - points[0][1]) / minutes if minutes else 0.0
-
-    def _judged(self, now: float) -> dict | None:
-        c, start = self.c, now - self.c.window_s
-        current = [t for t in self.trades if t["ts"] >= start]
-        before = [t for t in self.trades if start - c.window_s <= t["ts"] < start]
-        total = sum(t["notional"] for t in current)
-        if total < c.min_notional:
-            return None
-        fresh = [t for t in current if t["wallet"] and t["first_seen"] is not None and t["first_seen"] >= start]
-        wallets: dict[str, float] = {}
-        sides, outcomes = {"BUY": 0.0, "SELL": 0.0}, {"YES": 0.0, "NO": 0.0}
-        for t in current:
-            if t["wallet"]:
-                wallets[t["wallet"]] = wallets.get(t["wallet"], 0.0) + t["notional"]
-            for table, k in ((sides, t["side"]), (outcomes, t["outcome_side"])):
-                if k in table:
-                    table[k] += t["notional"]
-        velocity, previous = self._velocity(start, float("inf")), self._velocity(start - c.window_s, start)
-        earlier = sum(t["notional"] for t in before)
-        f = {
-            "fresh_count": len({t["wallet"] for t in fresh}),
-            "fresh_share": sum(t["notional"] for t in fresh) / total,
-            "imbalance": abs(sides["BUY"] - sides["SELL"]) / total,
-            "concentration": max(wallets.values(), default=0.0) / total,
-            "velocity": velocity,
-            "acceleration": velocity - previous,
-            "volume_acceleration": (total / earlier if earlier else 0.0) if before else 2.0,
-        }
-        limits = (c.fresh_wallets, c.fresh_share, c.imbalance, c.concentration, c.velocity, c.acceleration, c.volume_acceleration)
-        severity = sum(abs(x) / y for x, y in zip(f.values(), limits, strict=True))
-        f = {k: round(v, 6) for k, v in f.items()}
-        rules = []
-        if f["fresh_count"] >= c.fresh_wallets and f["fresh_share"] >= c.fresh_share:
-            rules.append("fresh_wallet_burst")
-        if f["concentration"] >= c.concentration and f["imbalance"] >= c.imbalance:
-            rules.append("concentrated_directional_flow")
-        moving = abs(f["velocity"]) >= c.velocity and abs(f["acceleration"]) >= c.acceleration and f["volume_acceleration"] >= c.volume_acceleration
-        if moving and (f["fresh_count"] > 0 or f["concentration"] >= c.concentration):
-            rules.append("fast_repricing_with_wallet_support")
-        if not rules:
-            return None
-        near = self.last is not None and now - self.last["ts"] < c.cooldown_s
-        held = bool(near and set(rules) & set(self.last["rules"]) and severity < c.escalation * self.last["severity"])
-        if not held:
-            self.last = {"ts": now, "severity": severity, "rules": rules}
-        active = "YES" if outcomes["YES"] >= outcomes["NO"] else "NO"
-        return f | {"notional": round(total, 6), "active_side": active, "severity": round(severity, 6), "rules": rules, "emitted": not held}
-
-
-def _none(x):  # noqa: ANN001, ANN202
-    return None if pd.isna(x) else x
+def _micros(x: Any) -> int | None:
+    return None if pd.isna(x) else pd.Timestamp(x).value // 1000
+
+
+class _Wallet(StatefulProcessor):
+    """The time of a wallet's first trade."""
 
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.first = handle.getValueState("first", "micros long")
 
-def _seconds(x) -> float | None:  # noqa: ANN001
-    return None if pd.isna(x) else pd.Timestamp(x).timestamp()
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
+        events = pd.concat(list(rows)).sort_values("seq")
+        if _none(key[0]) in (None, ""):
+            yield events.assign(first_seen=pd.NaT)
+            return
+        if not self.first.exists():
+            timed = events["ts"].dropna()
+            if timed.empty:
+                yield events.assign(first_seen=pd.NaT)
+                return
+            self.first.update((_micros(timed.iloc[0]),))
+        yield events.assign(first_seen=pd.Timestamp(self.first.get()[0], unit="us"))
 
+    def close(self) -> None:
+        pass
 
-def _detect(settings: Detector):
-    names = [x.split()[0] for x in CANDIDATE.split(", ")]
 
-    def of(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        market = Market(settings, state.get[0] if state.exists else None)
+def with_first_seen(events: DataFrame) -> DataFrame:
+    """Adds first_seen, the time of the wallet's first processed trade; null for quotes and trades without a wallet.
+
+    A trade without a time or a market makes no wallet known. Quotes have no wallet.
+    """
+    known = events.withColumn("wallet", F.when((F.col("kind") != "quote") & F.col("market_id").isNotNull(), F.col("wallet")))
+    return known.groupBy("wallet").transformWithStateInPandas(_Wallet(), SEEN, "Append", "None")
+
+
+def judged(features: dict[str, Any], c: Detector) -> dict[str, Any] | None:
+    """Features as they are told, with severity and rules; None if no rule fires."""
+    severity = round(sum(abs(features[n]) / limit for n, limit in limits(c).items()), 6)
+    f = {n: round(x, 6) if FEATURES[n] == "double" else x for n, x in features.items()}
+    moving = abs(f["velocity"]) >= c.velocity
+    rules = []
+    if moving and f["fresh_count"] >= c.fresh_wallets and f["fresh_share"] >= c.fresh_share:
+        rules.append("fresh_wallet_burst")
+    if f["concentration"] >= c.concentration and f["imbalance"] >= c.imbalance:
+        rules.append("concentrated_directional_flow")
+    faster = moving and abs(f["acceleration"]) >= c.acceleration and f["volume_acceleration"] >= c.volume_acceleration
+    if faster and (f["fresh_count"] > 0 or f["concentration"] >= c.concentration):
+        rules.append("fast_repricing_with_wallet_support")
+    return f | {"severity": severity, "rules": rules} if rules else None
+
+
+class _Market(StatefulProcessor):
+    """The held points of a market and its last candidate."""
+
+    def __init__(self, settings: Detector, idle_s: int | None) -> None:
+        self.c, self.idle_s = settings, idle_s
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.trades = handle.getListState("trades", _TRADE)
+        self.prices = handle.getListState("prices", "ts long, price double")
+        self.last = handle.getValueState("last", "ts long, severity double, rules array<string>")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
+        c, step = self.c, cooldown(self.c)
+        trades = [tuple(x) for x in self.trades.get()] if self.trades.exists() else []
+        prices = [tuple(x) for x in self.prices.get()] if self.prices.exists() else []
+        window = MarketWindow.restored(c, trades, prices)
+        last = dict(zip(("ts", "severity", "rules"), self.last.get(), strict=True)) if self.last.exists() else None
         out = []
-        for r in pd.concat(list(batches)).sort_values("seq").itertuples(index=False):
+        for r in pd.concat(list(rows)).sort_values("seq").itertuples(index=False):
+            ts, price = _micros(r.ts), _none(r.price)
             if r.kind == "quote":
-                market.quote(_seconds(r.ts), _none(r.price))
+                window.quote(ts, price)
                 continue
-            trade = {"ts": _seconds(r.ts), "wallet": _none(r.wallet), "side": r.side, "outcome_side": r.outcome_side}
-            trade |= {"notional": _none(r.notional) or 0.0, "price": _none(r.price), "first_seen": _seconds(r.first_seen)}
-            if found := market.trade(trade):
-                out.append({"seq": r.seq, "market_id": key[0], "ts": r.ts} | found)
-        state.update((market.saved(),))
-        if out:
-            yield pd.DataFrame(out)[names]
-
-    return of
-
-
-def detect(events: DataFrame, settings: Detector = Detector()) -> DataFrame:
-    """Candidates of a stream of events with first_seen. Events without a market or a time are left out."""
+            window.trade(ts, _none(r.wallet), _none(r.side), _none(r.outcome_side), _none(r.notional), price, _micros(r.first_seen))
+            found = window.features(ts)
+            found = judged(found, c) if found else None
+            p = _none(r.yes_probability)
+            if not found or not (p is None or c.band_low <= p <= c.band_high):
+                continue
+            last, emitted = step(last, {"ts": ts, "severity": found["severity"], "rules": found["rules"]})
+            times = {n: pd.Timestamp(found[n], unit="us") for n in ("episode_start", "episode_end")}
+            out.append({"seq": r.seq, "market_id": key[0], "ts": r.ts, "emitted": emitted} | found | times)
+        trades, prices = window.held()
+        for state, points in ((self.trades, trades), (self.prices, prices)):
+            if points:
+                state.put(points)
+            else:
+                state.clear()
+        if last is not None:
+            self.last.update((last["ts"], last["severity"], list(last["rules"])))
+        if self.idle_s is not None:
+            for timer in list(self.handle.listTimers()):
+                self.handle.deleteTimer(timer)
+            self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + 1000 * self.idle_s)
+        yield pd.DataFrame(out, columns=_NAMES)
+
+    def handleExpiredTimer(self, key: tuple, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
+        for state in (self.trades, self.prices, self.last):
+            state.clear()
+        yield pd.DataFrame([], columns=_NAMES)
+
+    def close(self) -> None:
+        pass
+
+
+def detect(events: DataFrame, settings: Detector = Detector(), probabilities: DataFrame | None = None, idle_s: int | None = None) -> DataFrame:
+    """Candidates of a stream of events with first_seen. Events without a market or a time are left out.
+
+    probabilities: market_id and yes_probability, a static table that is read anew by each micro-batch; candidates of
+    markets outside the band neither go out nor cool down. idle_s: after so many seconds of the clock without an event a
+    market's state is freed; give at least the history and the cooldown, and none at all in a replay, whose clock runs
+    otherwise than its events.
+    """
     rows = events.where("market_id is not null and ts is not null")
-    return rows.groupBy("market_id").applyInPandasWithState(_detect(settings), CANDIDATE, "saved string", "append", GroupStateTimeout.NoTimeout)
+    if probabilities is None:
+        rows = rows.withColumn("yes_probability", F.lit(None).cast("double"))
+    else:
+        rows = rows.join(probabilities.select("market_id", F.col("yes_probability").cast("double")), "market_id", "left")
+    mode = "None" if idle_s is None else "ProcessingTime"
+    return rows.groupBy("market_id").transformWithStateInPandas(_Market(settings, idle_s), CANDIDATE, "Append", mode)
