@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import scalars as S
 
 ENVELOPE = "envelope_id string, schema_version string, source_system string, entity_type string, event_type string, captured_at string, ordering_key string, payload string, _corrupt_record string"
-TRADE = "struct<trade_id:string,market_id:string,proxy_wallet:string,side:string,outcome_side:string,price:string,size:string,usdc_notional:string,trade_time:string>"
+TRADE = "struct<trade_id:string,market_id:string,proxy_wallet:string,side:string,outcome_side:string,price:string,size:string,usdc_notional:string,trade_time:string,captured_at:string>"
 QUOTE = "struct<market_id:string,captured_at:string,yes_price:double,mid_price:double,best_bid:double>"
 KEYS = ("year", "month", "day", "hour")
 
@@ -43,21 +43,41 @@ def stream(spark: SparkSession, root: str, files_per_batch: int = 1000) -> DataF
     return _parsed(spark.readStream.schema(ENVELOPE).option("maxFilesPerTrigger", files_per_batch).option("recursiveFileLookup", "true").json(root))
 
 
+def tail(spark: SparkSession, root: str, **options: str) -> DataFrame:
+    """Envelopes of the log's current and previous hours as their lines come in (see ``tail.Tail`` for the options).
+
+    Broken lines and blank ones are skipped; file and position, in bytes, order the lines of a source.
+    """
+    from .tail import Tail
+
+    spark.dataSource.register(Tail)
+    lines = spark.readStream.format(Tail.name()).options(path=root, **options).load()
+    parsed = F.from_json("value", ENVELOPE, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"})
+    rows = lines.where(F.trim("value") != "").select("file", "position", parsed.alias("e")).select("file", "position", "e.*")
+    return _parsed(rows)
+
+
 def _key() -> Column:
     return F.concat_ws("\x00", "captured_at", "ordering_key", "envelope_id")
 
 
+def _trade_time(trade: Column) -> Column:
+    """The time of a trade, or of its capture where that is blank, as the detector reads times."""
+    return S.detector_timestamp(F.coalesce(S.blank_to_null(trade["trade_time"]), trade["captured_at"]))
+
+
 def points(envelopes: DataFrame) -> DataFrame:
     """Trades and quotes of the detector, from pages of trades, batches of prices and pushed frames; other envelopes have none.
 
-    order_key, then pos, sorts them as they are to be processed.
+    order_key, then pos, sorts them as they are to be processed. A trade without an amount counts as 0; those without a market
+    or a time, which the detector leaves out, stay here with a null.
     """
     trades = envelopes.where(F.col("entity_type").isin("recent_trades_page", "historical_trades_page"))
     t = trades.select(_key().alias("order_key"), F.posexplode(F.from_json(F.get_json_object("payload", "$.trades"), f"array<{TRADE}>")).alias("pos", "t"))
     number = lambda c: F.col(c).try_cast("double")
     t = t.select(
-        "order_key", "pos", F.lit("trade").alias("kind"), F.col("t.market_id").alias("market_id"), S.trade_timestamp(F.col("t.trade_time")).alias("ts"), F.lower(S.blank_to_null(F.col("t.proxy_wallet"))).alias("wallet"),
-        F.upper("t.side").alias("side"), F.upper("t.outcome_side").alias("outcome_side"), F.coalesce(number("t.usdc_notional"), number("t.price") * number("t.size")).alias("notional"), F.lit(None).cast("double").alias("price"))
+        "order_key", "pos", F.lit("trade").alias("kind"), F.col("t.market_id").alias("market_id"), _trade_time(F.col("t")).alias("ts"), F.lower(S.blank_to_null(F.col("t.proxy_wallet"))).alias("wallet"),
+        F.upper("t.side").alias("side"), F.upper("t.outcome_side").alias("outcome_side"), F.coalesce(number("t.usdc_notional"), F.lit(0.0)).alias("notional"), F.lit(None).cast("double").alias("price"))
     quotes = envelopes.where(F.col("entity_type").isin("prices_batch", "books_batch"))
     q = quotes.select(_key().alias("order_key"), F.posexplode(F.from_json(F.get_json_object("payload", "$.market_snapshots"), f"array<{QUOTE}>")).alias("pos", "q"))
     none = F.lit(None)
@@ -91,8 +111,8 @@ def _frames(envelopes: DataFrame) -> DataFrame:
 
     number = lambda c: e["trade"][c].try_cast("double")
     trade = F.struct(
-        F.lit("trade"), e["trade"]["market_id"], S.trade_timestamp(F.coalesce(e["trade"]["trade_time"], e["captured_at"])), F.lower(S.blank_to_null(e["trade"]["proxy_wallet"])),
-        F.upper(e["trade"]["side"]), F.upper(e["trade"]["outcome_side"]), F.coalesce(number("usdc_notional"), number("price") * number("size")), none)
+        F.lit("trade"), e["trade"]["market_id"], _trade_time(e["trade"]), F.lower(S.blank_to_null(e["trade"]["proxy_wallet"])),
+        F.upper(e["trade"]["side"]), F.upper(e["trade"]["outcome_side"]), F.coalesce(number("usdc_notional"), F.lit(0.0)), none)
     changes = F.transform(e["price_changes"], lambda c: quote(c["market_id"], c["outcome_side"], c["price"]))
     level = lambda c: F.array(quote(e["market_id"], e["outcome_side"], e[c]["best_bid"]))
     cast = lambda c: c.cast(kind)
