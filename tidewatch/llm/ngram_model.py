@@ -12,13 +12,13 @@ there are more, rarer words of the texts meet their counts by a join.
 
 from __future__ import annotations
 
-import hashlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -34,6 +34,8 @@ START, END = _U(1), _U(2)
 WORDS_HELD = 200_000
 #: Grams of a task that combine before they are sent.
 GRAMS_HELD = 4_000_000
+#: Bytes of text that a worker takes at a time.
+CHUNK_BYTES = 1_500_000
 #: Grams of the training texts that a segment holds, at most (on average; grams are dealt by hash).
 SEGMENT_GRAMS = 1 << 19
 
@@ -68,13 +70,24 @@ def middles(growth: float) -> np.ndarray:
     return np.concatenate(([0.0], (least[:-1] + least[1:] - 1) / 2, least[-1:].astype(float)))
 
 
+def chunks(texts: list[bytes]) -> Iterator[slice]:
+    """The texts in runs of some CHUNK_BYTES, one text at least."""
+    start = size = 0
+    for i, x in enumerate(texts):
+        size += len(x)
+        if size >= CHUNK_BYTES:
+            yield slice(start, i + 1)
+            start, size = i + 1, 0
+    if start < len(texts):
+        yield slice(start, len(texts))
+
+
 def words_of(data: bytes) -> list[bytes]:
     """Words between ASCII white space, A to Z in lower case."""
     return data.translate(_LOWER).split()
 
 
-def word_hash(word: bytes) -> int:
-    return int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
+word_hash = xxhash.xxh3_64_intdigest
 
 
 class Hashes(dict):
@@ -132,7 +145,8 @@ def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     texts = 0
 
     def out() -> pa.RecordBatch:
-        made = [pa.array(list(counts), pa.binary()), pa.array([word_hash(w).to_bytes(8, "little") for w in counts], pa.binary()), pa.array(list(counts.values()), pa.int64())]
+        hashes = np.fromiter(map(word_hash, counts), _U, len(counts)).view(np.int64)
+        made = [pa.array(list(counts), pa.binary()), pa.array(hashes), pa.array(list(counts.values()), pa.int64())]
         return pa.RecordBatch.from_arrays(made, ["word", "hash", "n"])
 
     for batch in batches:
@@ -145,12 +159,12 @@ def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     if counts:
         yield out()
     if texts:  # ends are a token without a word
-        yield pa.RecordBatch.from_arrays([pa.array([None], pa.binary()), pa.array([b""], pa.binary()), pa.array([texts], pa.int64())], ["word", "hash", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array([None], pa.binary()), pa.array([0], pa.int64()), pa.array([texts], pa.int64())], ["word", "hash", "n"])
 
 
 def word_counts(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     """word (null: the end of a text), hash and n of the training texts, all exact. Tasks combine their own before."""
-    rows = documents(docs).where(_training(s)).mapInArrow(lambda x: released(_word_counts(x)), "word binary, hash binary, n long")
+    rows = documents(docs).where(_training(s)).mapInArrow(lambda x: released(_word_counts(x)), "word binary, hash long, n long")
     return rows.groupBy("word").agg(F.first("hash").alias("hash"), F.sum("n").alias("n"))
 
 
@@ -170,8 +184,8 @@ def _gram_counts(order: int, buckets: int):
         size, known = 0, Hashes()
         for batch in batches:
             texts = column_bytes(batch, "text")
-            for i in range(0, len(texts), 50):
-                seq, ends = sequences([words_of(x) for x in texts[i : i + 50]], order, known)
+            for part in chunks(texts):
+                seq, ends = sequences([words_of(x) for x in texts[part]], order, known)
                 for h, counts in grams(seq, ends, order):
                     held.append(h[counts])
                     size += len(held[-1])
@@ -184,11 +198,15 @@ def _gram_counts(order: int, buckets: int):
     return lambda batches: released(of(batches))
 
 
-def _positions(h: np.ndarray, level: np.ndarray | int, size: np.ndarray | int, probe: int) -> np.ndarray:
-    """Bits of one probe for grams with a level in filters of a size."""
+def _drawn(h: np.ndarray, level: np.ndarray | int) -> tuple[np.ndarray, np.ndarray]:
+    """What the probes of grams with a level start from, and their step."""
     x = mixed(h + np.asarray(level, _U) * _MUL)
-    y = x + _U(probe) * (mixed(x) | _U(1))
-    return ((y >> _U(32)) * np.asarray(size, _U) >> _U(32)).astype(np.int64)
+    return x, mixed(x) | _U(1)
+
+
+def _positions(x: np.ndarray, step: np.ndarray, size: np.ndarray | int, probe: int) -> np.ndarray:
+    """Bits of one probe in filters of a size."""
+    return ((x + _U(probe) * step >> _U(32)) * np.asarray(size, _U) >> _U(32)).astype(np.int64)
 
 
 def _segment(s: Settings):
@@ -208,8 +226,9 @@ def _segment(s: Settings):
         size = -(-max(64, s.bits * items) // 8) * 8
         bits = np.zeros(size, bool)
         many, which = np.repeat(h, levels), np.arange(items) - np.repeat(np.cumsum(levels) - levels, levels) + 1
+        x, step = _drawn(many, which)
         for probe in range(s.probes):
-            bits[_positions(many, which, size, probe)] = True
+            bits[_positions(x, step, size, probe)] = True
         kind = pa.schema([("bucket", pa.int32()), ("grams", pa.int64()), ("items", pa.int64()), ("bits", pa.binary())])
         return pa.table([table["bucket"].combine_chunks()[:1], [len(h)], [items], [np.packbits(bits, bitorder="little").tobytes()]], schema=kind)
 
@@ -219,25 +238,39 @@ def _segment(s: Settings):
 class Block:
     """Segments of the filter that lie side by side: levels of grams, 0 where another block has the gram or none."""
 
-    def __init__(self, rows: list[tuple[int, bytes]], buckets: int, probes: int) -> None:
-        """rows: bucket and bits of each segment."""
-        self.buckets, self.probes = buckets, probes
-        self.sizes = np.zeros(buckets, np.int64)
-        for bucket, bits in rows:
-            self.sizes[bucket] = 8 * len(bits)
+    def __init__(self, buckets: list[int], bits: list, all_buckets: int, probes: int) -> None:
+        """buckets and bits (anything with a buffer) of the segments, of all_buckets in the filter."""
+        self.buckets, self.probes = all_buckets, probes
+        self.sizes = np.zeros(all_buckets, np.int64)
+        self.sizes[buckets] = [8 * len(x) for x in bits]
         self.starts = np.cumsum(self.sizes) - self.sizes
-        self.data = np.frombuffer(b"".join(bits for _, bits in sorted(rows, key=lambda r: r[0])), np.uint8)
+        self.data = np.zeros(int(self.sizes.sum()) // 8, np.uint8)
+        for bucket, x in zip(buckets, bits, strict=True):
+            at = self.starts[bucket] // 8
+            self.data[at : at + len(x)] = np.frombuffer(x, np.uint8)
+
+    def _set(self, at: np.ndarray) -> np.ndarray:
+        return (self.data[at >> 3] >> (at & 7).astype(np.uint8)) & 1 > 0
 
     def levels(self, h: np.ndarray) -> np.ndarray:
         """The levels of distinct grams: probes go on with those grams that passed all before."""
-        out, alive, level = np.zeros(len(h), np.uint8), np.arange(len(h)), 0
-        size, start = (x[_bucket(h, self.buckets)] for x in (self.sizes, self.starts))
-        alive = alive[size > 0]
+        own = _bucket(h, self.buckets)
+        out, level = np.zeros(len(h), np.uint8), 0
+        alive = np.flatnonzero(self.sizes[own])
+        h, size, start = h[alive], self.sizes[own[alive]].astype(_U), self.starts[own[alive]]
         while len(alive) and level < 255:
             level += 1
-            for probe in range(self.probes):
-                at = start[alive] + _positions(h[alive], level, size[alive], probe)
-                alive = alive[(self.data[at >> 3] >> (at & 7).astype(np.uint8)) & 1 > 0]
+            x, step = _drawn(h, level)
+            kept = np.flatnonzero(self._set(start + _positions(x, step, size, 0)))
+            if self.probes > 1:
+                x, step, size, start = x[kept], step[kept], size[kept], start[kept]
+                passed = self._set(start + _positions(x, step, size, 1))
+                for probe in range(2, self.probes):
+                    passed &= self._set(start + _positions(x, step, size, probe))
+                kept, size, start = kept[passed], size[passed], start[passed]
+            else:
+                size, start = size[kept], start[kept]
+            alive, h = alive[kept], h[kept]
             out[alive] = level
         return out
 
@@ -268,11 +301,17 @@ def _head(counts: DataFrame, s: Settings) -> tuple[tuple[np.ndarray, np.ndarray]
             break
         taken, least = taken + n, g
     table = words.where(F.floor(F.log2("n")) >= least if least is not None else F.lit(False)).select("hash", "n").toArrow()
-    hashes = np.frombuffer(b"".join(table["hash"].to_pylist()), "<u8")
+    hashes = table["hash"].to_numpy().astype(np.int64).view(_U)
     order = np.argsort(hashes, kind="stable")
     return (hashes[order], table["n"].to_numpy().astype(np.int64)[order]), complete
 
 
+def _collected(segments: DataFrame, buckets: int, probes: int) -> Block:
+    """A block from its segments, which are copied once."""
+    table = segments.select("bucket", "bits").toArrow()
+    return Block(table["bucket"].to_pylist(), [x.as_buffer() for x in table["bits"]], buckets, probes)
+
+
 def trained(docs: DataFrame, s: Settings = Settings()) -> Model:
     """The model of the training texts among docs: all grams count, whatever their number.
 
@@ -295,21 +334,23 @@ def trained(docs: DataFrame, s: Settings = Settings()) -> Model:
     send = docs.sparkSession.sparkContext.broadcast
     made = []
     for own in blocks:
-        found = segments.where(F.col("bucket").between(own[0], own[-1])).select("bucket", "bits").toArrow() if own else None
-        pairs = list(zip(found["bucket"].to_pylist(), found["bits"].to_pylist(), strict=True)) if own else []
-        made.append(send(Block(pairs, buckets, s.probes)))
+        made.append(send(_collected(segments.where(F.col("bucket").between(own[0], own[-1]) if own else F.lit(False)), buckets, s.probes)))
     dropped(segments)
     head, complete = _head(counts, s)
     return Model(s, tokens, types, texts, buckets, made, send(head), counts, complete)
 
 
-def _probed(seq: np.ndarray, ends: np.ndarray, order: int, block: Block) -> np.ndarray:
-    """The levels of the grams that end at each place, a row for each order."""
+def _probed(seq: np.ndarray, ends: np.ndarray, order: int, block: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The levels of the grams that end at each place, a row for each order; distinct words, and which of them is where."""
     out = np.zeros((order, len(seq)), np.uint8)
+    words, where = np.unique(seq, return_inverse=True)
     for n, (h, counts) in enumerate(grams(seq, ends, order)):
-        distinct, back = np.unique(h[counts], return_inverse=True)
-        out[n, counts] = block.levels(distinct)[back]
-    return out
+        if n:
+            distinct, back = np.unique(h[counts], return_inverse=True)
+            out[n, counts] = block.levels(distinct)[back]
+        else:
+            out[0] = np.where(counts, block.levels(mixed(words))[where], 0)
+    return out, words, where
 
 
 def _logs(levels: np.ndarray, ends: np.ndarray, s: Settings, tokens: int, types: int) -> np.ndarray:
@@ -341,7 +382,7 @@ def _passing(block: Broadcast, order: int):
             levels = []
             for text, before in zip(column_bytes(batch, "text"), column_list(batch, "levels"), strict=True):
                 seq, ends = sequences([words_of(text)], order, known)
-                own = _probed(seq, ends, order, block.value).tobytes()
+                own = _probed(seq, ends, order, block.value)[0].tobytes()
                 levels.append(own if not before else (np.frombuffer(own, np.uint8) | np.frombuffer(before, np.uint8)).tobytes())
             place = batch.schema.get_field_index("levels")
             yield batch.set_column(place, "levels", pa.array(levels, pa.binary()))
@@ -359,20 +400,19 @@ def _scoring(block: Broadcast, head: Broadcast, s: Settings, tokens: int, types:
     def scored(texts_: list[bytes], before: list[bytes | None], known: Hashes) -> list[list]:
         words = [words_of(x) for x in texts_]
         seq, ends = sequences(words, s.order, known)
-        levels = _probed(seq, ends, s.order, block.value)
+        levels, distinct, where = _probed(seq, ends, s.order, block.value)
         if not first:
             at = np.concatenate(([0], ends))
             for i, old in enumerate(before):
                 levels[:, at[i] : at[i + 1]] |= np.frombuffer(old, np.uint8).reshape(s.order, -1)
         hashes, counts = head.value
-        distinct, back = np.unique(seq, return_inverse=True)
         n = np.zeros(len(distinct), np.int64)
         if len(hashes):
             place = np.minimum(np.searchsorted(hashes, distinct), len(hashes) - 1)
             n = np.where(hashes[place] == distinct, counts[place], 0)
         n[distinct == START] = 0
         n[distinct == END] = texts
-        n = n[back]
+        n = n[where]
         size = np.diff(ends, prepend=0) - s.order + 1
         base = _per_text(np.log10(n + 1.0), ends, s.order) - size * least
         score = _per_text(_logs(levels, ends, s, tokens, types), ends, s.order)
@@ -390,8 +430,8 @@ def _scoring(block: Broadcast, head: Broadcast, s: Settings, tokens: int, types:
         for batch in batches:
             whole, levels = column_bytes(batch, "text"), column_list(batch, "levels")
             out: list[list] = [[], [], [], [], []]
-            for i in range(0, len(whole), 100):
-                for have, new in zip(out, scored(whole[i : i + 100], levels[i : i + 100], known), strict=True):
+            for part in chunks(whole):
+                for have, new in zip(out, scored(whole[part], levels[part], known), strict=True):
                     have += new
             made = [pa.array(x, k) for x, k in zip(out, kinds, strict=True)]
             names = ["doc_id", "n_tokens", "n_known", "base", "score", "tail"]
