@@ -6,7 +6,7 @@ segments by hash, each sized by what it holds, so that it is made where the coun
 of at most ``block_bytes``. Blocks beyond the first are further passes over the texts: each fills in the levels of its own
 grams, and only the last one turns levels into probabilities.
 
-Besides, words have exact counts. Those of the most frequent words, at most ``head_words``, go to the workers as arrays; where
+Words are told apart by 64-bit hashes in a task and in the arrays. Besides, words have exact counts. Those of the most frequent words, at most ``head_words``, go to the workers as arrays; where
 there are more, rarer words of the texts meet their counts by a join.
 """
 
@@ -15,10 +15,10 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -30,8 +30,8 @@ _U = np.uint64
 _MUL, _TURN, _STEP = _U(0x9E3779B97F4A7C15), _U(0xBF58476D1CE4E5B9), _U(0x94D049BB133111EB)
 #: Stand for the start and the end of a text where words have hashes.
 START, END = _U(1), _U(2)
-#: Distinct words that a worker holds at a time, as hashes or with counts.
-WORDS_HELD = 200_000
+#: Distinct words that a task holds at a time with their counts.
+WORDS_HELD = 500_000
 #: Grams of a task that combine before they are sent.
 GRAMS_HELD = 4_000_000
 #: Bytes of text that a worker takes at a time.
@@ -42,7 +42,7 @@ SEGMENT_GRAMS = 1 << 19
 
 @dataclass(frozen=True)
 class Settings:
-    """order: words of the longest gram. strength: tokens that the lower order weighs. growth: step between levels."""
+    """bits: of the filter for each level of a gram; probes: bits that are set for it, five at most. order: words of the longest gram. strength: tokens that the lower order weighs. growth: step between levels."""
 
     order: int = 2
     strength: float = 32.0
@@ -82,24 +82,57 @@ def chunks(texts: list[bytes]) -> Iterator[slice]:
         yield slice(start, len(texts))
 
 
-def words_of(data: bytes) -> list[bytes]:
-    """Words between ASCII white space, A to Z in lower case."""
-    return data.translate(_LOWER).split()
+#: Text is hashed in pieces of so many bytes, cut between words; a longer word is a longer piece.
+PIECE_BYTES = 1 << 20
+_IS_SPACE = np.isin(np.arange(256), (0x20, *range(0x09, 0x0E)))
+#: A random odd factor, its inverse modulo 2^64, and random values for bytes.
+_BASE = _U(0xD1342543DE82EF95)
+_INVERSE = _U(pow(int(_BASE), -1, 1 << 64))
+_VALUES = np.random.default_rng(20).integers(1, 1 << 64, 256, dtype=_U)
 
 
-word_hash = xxhash.xxh3_64_intdigest
+@lru_cache(maxsize=1)
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    return tuple(np.concatenate((np.ones(1, _U), np.cumprod(np.full(n, x, _U)))) for x in (_BASE, _INVERSE))
 
 
-class Hashes(dict):
-    """Hashes of words, kept for a while."""
+@dataclass
+class Words:
+    """The words of texts between ASCII white space, A to Z in lower case: data and where words start and end in it, their
+    64-bit hashes, and the number of words of each text.
+    """
 
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= WORDS_HELD:
-            self.clear()
-        out = word_hash(word)
-        if len(word) < 64:
-            self[word] = out
-        return out
+    data: bytes
+    starts: np.ndarray
+    ends: np.ndarray
+    hashes: np.ndarray
+    counts: np.ndarray
+
+    def word(self, i: int) -> bytes:
+        return self.data[self.starts[i] : self.ends[i]]
+
+
+def words_of(texts: list[bytes]) -> Words:
+    """Found and hashed for all texts at once: a hash is a difference of running sums of byte values times powers."""
+    data = b"\n".join([*texts, b""]).translate(_LOWER)
+    seen = np.frombuffer(data, np.uint8)
+    space = _IS_SPACE[seen]
+    before = np.concatenate(([True], space[:-1]))
+    starts, ends = np.flatnonzero(~space & before), np.flatnonzero(space & ~before)
+    offsets = np.cumsum([0, *(len(x) + 1 for x in texts)])
+    counts = np.diff(np.searchsorted(starts, offsets))
+    hashes = np.zeros(len(starts), _U)
+    i = 0
+    while i < len(starts):
+        low = starts[i]
+        k = max(i + 1, int(np.searchsorted(ends, low + PIECE_BYTES, "right")))
+        high = ends[k - 1]
+        power, inverse = _powers(max(PIECE_BYTES, int(1 << int(high - low).bit_length())))
+        run = np.concatenate((np.zeros(1, _U), np.cumsum(_VALUES[seen[low:high]] * power[: high - low])))
+        a, b = starts[i:k] - low, ends[i:k] - low
+        hashes[i:k] = (run[b] - run[a]) * inverse[a]
+        i = k
+    return Words(data, starts, ends, mixed(hashes), counts)
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -108,13 +141,15 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(32))
 
 
-def sequences(texts: list[list[bytes]], order: int, known: Hashes) -> tuple[np.ndarray, np.ndarray]:
+def sequences(words: Words, order: int) -> tuple[np.ndarray, np.ndarray]:
     """The texts' words as hashes, one after the other, each text with order - 1 starts before and an end; and their ends."""
-    pad, out = [START] * (order - 1), []
-    for words in texts:
-        out += [np.array(pad, _U), np.fromiter(map(known.__getitem__, words), _U, len(words)), np.array([END], _U)]
-    sizes = np.array([order + len(w) for w in texts], np.int64)
-    return np.concatenate([np.zeros(0, _U), *out]), np.cumsum(sizes)
+    ends = np.cumsum(words.counts + order)
+    seq = np.full(ends[-1] if len(ends) else 0, START, _U)
+    if len(ends):
+        seq[ends - 1] = END
+        skipped = order * np.arange(len(ends)) + order - 1
+        seq[np.arange(len(words.hashes)) + np.repeat(skipped, words.counts)] = words.hashes
+    return seq, ends
 
 
 def grams(seq: np.ndarray, ends: np.ndarray, order: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -141,22 +176,30 @@ def _training(s: Settings) -> Column:
 
 
 def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    counts: Counter[bytes] = Counter()
-    texts = 0
+    """Words of a task with their counts, each time that it has gathered enough of them."""
+    held: list[tuple[Words, np.ndarray, np.ndarray, np.ndarray]] = []
+    size = texts = 0
 
     def out() -> pa.RecordBatch:
-        hashes = np.fromiter(map(word_hash, counts), _U, len(counts)).view(np.int64)
-        made = [pa.array(list(counts), pa.binary()), pa.array(hashes), pa.array(list(counts.values()), pa.int64())]
-        return pa.RecordBatch.from_arrays(made, ["word", "hash", "n"])
+        hashes, first, back = np.unique(np.concatenate([h for _, h, _, _ in held]), return_index=True, return_inverse=True)
+        counts = np.bincount(back, np.concatenate([n for *_, n in held])).astype(np.int64)
+        edges = np.cumsum([len(h) for _, h, _, _ in held])
+        owner = np.searchsorted(edges, first, "right")
+        words = [held[k][0].word(held[k][2][i]) for k, i in zip(owner.tolist(), (first - (edges - np.diff(edges, prepend=0))[owner]).tolist(), strict=True)]
+        return pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array(hashes.view(np.int64)), pa.array(counts)], ["word", "hash", "n"])
 
     for batch in batches:
-        for data in column_bytes(batch, "text"):
-            texts += 1
-            counts.update(words_of(data))
-            if len(counts) >= WORDS_HELD:
+        whole = column_bytes(batch, "text")
+        texts += len(whole)
+        for part in chunks(whole):
+            words = words_of(whole[part])
+            held.append((words, *np.unique(words.hashes, return_index=True, return_counts=True)))
+            size += len(held[-1][1])
+            words.hashes = words.counts = words.hashes[:0]
+            if size >= WORDS_HELD:
                 yield out()
-                counts.clear()
-    if counts:
+                held, size = [], 0
+    if size:
         yield out()
     if texts:  # ends are a token without a word
         yield pa.RecordBatch.from_arrays([pa.array([None], pa.binary()), pa.array([0], pa.int64()), pa.array([texts], pa.int64())], ["word", "hash", "n"])
@@ -181,11 +224,11 @@ def _gram_counts(order: int, buckets: int):
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
-        size, known = 0, Hashes()
+        size = 0
         for batch in batches:
             texts = column_bytes(batch, "text")
             for part in chunks(texts):
-                seq, ends = sequences([words_of(x) for x in texts[part]], order, known)
+                seq, ends = sequences(words_of(texts[part]), order)
                 for h, counts in grams(seq, ends, order):
                     held.append(h[counts])
                     size += len(held[-1])
@@ -198,15 +241,14 @@ def _gram_counts(order: int, buckets: int):
     return lambda batches: released(of(batches))
 
 
-def _drawn(h: np.ndarray, level: np.ndarray | int) -> tuple[np.ndarray, np.ndarray]:
-    """What the probes of grams with a level start from, and their step."""
+def _places(h: np.ndarray, level: np.ndarray | int, words: np.ndarray | int) -> tuple[np.ndarray, np.ndarray]:
+    """Of grams with a level the word of the filter that they are in (of so many), and a draw for the bits in it."""
     x = mixed(h + np.asarray(level, _U) * _MUL)
-    return x, mixed(x) | _U(1)
+    return ((x >> _U(32)) * np.asarray(words, _U) >> _U(32)).astype(np.int64), x
 
 
-def _positions(x: np.ndarray, step: np.ndarray, size: np.ndarray | int, probe: int) -> np.ndarray:
-    """Bits of one probe in filters of a size."""
-    return ((x + _U(probe) * step >> _U(32)) * np.asarray(size, _U) >> _U(32)).astype(np.int64)
+def _bit(x: np.ndarray, probe: int) -> np.ndarray:
+    return x >> _U(6 * probe) & _U(63)
 
 
 def _segment(s: Settings):
@@ -223,12 +265,12 @@ def _segment(s: Settings):
         h, n = h[n >= s.min_count], n[n >= s.min_count]
         levels = np.searchsorted(least, n, "right")
         items = int(levels.sum())
-        size = -(-max(64, s.bits * items) // 8) * 8
-        bits = np.zeros(size, bool)
+        words = max(1, -(-s.bits * items // 64))
+        bits = np.zeros(64 * words, bool)
         many, which = np.repeat(h, levels), np.arange(items) - np.repeat(np.cumsum(levels) - levels, levels) + 1
-        x, step = _drawn(many, which)
+        place, x = _places(many, which, words)
         for probe in range(s.probes):
-            bits[_positions(x, step, size, probe)] = True
+            bits[64 * place + _bit(x, probe).astype(np.int64)] = True
         kind = pa.schema([("bucket", pa.int32()), ("grams", pa.int64()), ("items", pa.int64()), ("bits", pa.binary())])
         return pa.table([table["bucket"].combine_chunks()[:1], [len(h)], [items], [np.packbits(bits, bitorder="little").tobytes()]], schema=kind)
 
@@ -242,35 +284,30 @@ class Block:
         """buckets and bits (anything with a buffer) of the segments, of all_buckets in the filter."""
         self.buckets, self.probes = all_buckets, probes
         self.sizes = np.zeros(all_buckets, np.int64)
-        self.sizes[buckets] = [8 * len(x) for x in bits]
+        self.sizes[buckets] = [len(x) // 8 for x in bits]
         self.starts = np.cumsum(self.sizes) - self.sizes
-        self.data = np.zeros(int(self.sizes.sum()) // 8, np.uint8)
+        self.data = np.zeros(int(self.sizes.sum()), "<u8")
         for bucket, x in zip(buckets, bits, strict=True):
-            at = self.starts[bucket] // 8
-            self.data[at : at + len(x)] = np.frombuffer(x, np.uint8)
-
-    def _set(self, at: np.ndarray) -> np.ndarray:
-        return (self.data[at >> 3] >> (at & 7).astype(np.uint8)) & 1 > 0
+            at = self.starts[bucket]
+            self.data[at : at + len(x) // 8] = np.frombuffer(x, "<u8")
 
     def levels(self, h: np.ndarray) -> np.ndarray:
-        """The levels of distinct grams: probes go on with those grams that passed all before."""
+        """The levels of distinct grams: probes go on with those grams that passed all before.
+
+        All bits of a gram and level are in one word of the filter, so that a probe is one look at memory.
+        """
         own = _bucket(h, self.buckets)
         out, level = np.zeros(len(h), np.uint8), 0
         alive = np.flatnonzero(self.sizes[own])
         h, size, start = h[alive], self.sizes[own[alive]].astype(_U), self.starts[own[alive]]
         while len(alive) and level < 255:
             level += 1
-            x, step = _drawn(h, level)
-            kept = np.flatnonzero(self._set(start + _positions(x, step, size, 0)))
-            if self.probes > 1:
-                x, step, size, start = x[kept], step[kept], size[kept], start[kept]
-                passed = self._set(start + _positions(x, step, size, 1))
-                for probe in range(2, self.probes):
-                    passed &= self._set(start + _positions(x, step, size, probe))
-                kept, size, start = kept[passed], size[passed], start[passed]
-            else:
-                size, start = size[kept], start[kept]
-            alive, h = alive[kept], h[kept]
+            place, x = _places(h, level, size)
+            mask = _U(1) << _bit(x, 0)
+            for probe in range(1, self.probes):
+                mask |= _U(1) << _bit(x, probe)
+            kept = np.flatnonzero(self.data[start + place] & mask == mask)
+            alive, h, size, start = alive[kept], h[kept], size[kept], start[kept]
             out[alive] = level
         return out
 
@@ -377,11 +414,10 @@ def _passing(block: Broadcast, order: int):
     """Fills in the levels that a block knows."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = Hashes()
         for batch in batches:
             levels = []
             for text, before in zip(column_bytes(batch, "text"), column_list(batch, "levels"), strict=True):
-                seq, ends = sequences([words_of(text)], order, known)
+                seq, ends = sequences(words_of([text]), order)
                 own = _probed(seq, ends, order, block.value)[0].tobytes()
                 levels.append(own if not before else (np.frombuffer(own, np.uint8) | np.frombuffer(before, np.uint8)).tobytes())
             place = batch.schema.get_field_index("levels")
@@ -397,9 +433,9 @@ def _scoring(block: Broadcast, head: Broadcast, s: Settings, tokens: int, types:
     """Scores of texts; words that aren't in the head are listed, unless it holds all words."""
     least = np.log10(tokens + types + 1.0)
 
-    def scored(texts_: list[bytes], before: list[bytes | None], known: Hashes) -> list[list]:
-        words = [words_of(x) for x in texts_]
-        seq, ends = sequences(words, s.order, known)
+    def scored(whole: list[bytes], before: list[bytes | None]) -> list[list]:
+        words = words_of(whole)
+        seq, ends = sequences(words, s.order)
         levels, distinct, where = _probed(seq, ends, s.order, block.value)
         if not first:
             at = np.concatenate(([0], ends))
@@ -416,22 +452,21 @@ def _scoring(block: Broadcast, head: Broadcast, s: Settings, tokens: int, types:
         size = np.diff(ends, prepend=0) - s.order + 1
         base = _per_text(np.log10(n + 1.0), ends, s.order) - size * least
         score = _per_text(_logs(levels, ends, s, tokens, types), ends, s.order)
-        tails: list[list[dict]] = [[] for _ in words]
+        tails: list[list[dict]] = [[] for _ in whole]
         if not complete:
-            first_word = np.concatenate(([0], ends[:-1])) + s.order - 1
-            for i, own in enumerate(words):
-                rare = np.flatnonzero(n[first_word[i] : first_word[i] + len(own)] == 0)
-                tails[i] = [{"word": w, "n": c} for w, c in Counter(own[j] for j in rare.tolist()).items()]
+            rare = np.flatnonzero(n[np.arange(len(words.hashes)) + np.repeat(s.order * np.arange(len(ends)) + s.order - 1, words.counts)] == 0)
+            owner = np.searchsorted(np.cumsum(words.counts), rare, "right")
+            for (text, word), times in Counter(zip(owner.tolist(), map(words.word, rare.tolist()), strict=True)).items():
+                tails[text].append({"word": word, "n": times})
         return [size.tolist(), _per_text(n > 0, ends, s.order).tolist(), base.tolist(), score.tolist(), tails]
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int32())])))
-        known = Hashes()
         for batch in batches:
             whole, levels = column_bytes(batch, "text"), column_list(batch, "levels")
             out: list[list] = [[], [], [], [], []]
             for part in chunks(whole):
-                for have, new in zip(out, scored(whole[part], levels[part], known), strict=True):
+                for have, new in zip(out, scored(whole[part], levels[part]), strict=True):
                     have += new
             made = [pa.array(x, k) for x, k in zip(out, kinds, strict=True)]
             names = ["doc_id", "n_tokens", "n_known", "base", "score", "tail"]
