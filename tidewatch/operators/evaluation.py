@@ -9,15 +9,15 @@ from pyspark.sql import functions as F
 
 from ..config import Evaluation
 from ..functions import scalars as S
-from .folds import BLOCK_ROWS, folded
+from .folds import BLOCK_ROWS, folded, ranked
 from .joins import in_range
 
 
-def family_folds(rows: DataFrame, family: str, c: Evaluation = Evaluation()) -> DataFrame:
-    """Adds the fold of each row's family: its rank among the distinct families, modulo the folds."""
-    keys = rows.select(family).distinct().withColumn("__r", F.row_number().over(Window.orderBy(family)))  # families are few
-    fold = F.format_string("fold_%d_of_%d", ((F.col("__r") - 1) % c.folds + 1).cast("int"), F.lit(c.folds))
-    return rows.join(keys.select(family, fold.alias("fold")), family)
+def family_folds(rows: DataFrame, family: str, c: Evaluation = Evaluation(), block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """Adds the fold of each row's family: its rank among the distinct families, modulo the folds; null families have none."""
+    keys = ranked(rows.where(F.col(family).isNotNull()), family, block_rows)
+    fold = F.format_string("fold_%d_of_%d", ((F.col("rank") - 1) % c.folds + 1).cast("int"), F.lit(c.folds))
+    return rows.join(keys.select(family, fold.alias("fold")), family, "left")
 
 
 def time_split(rows: DataFrame, block: str) -> DataFrame:

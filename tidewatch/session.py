@@ -49,9 +49,11 @@ def ship(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def written(df: DataFrame) -> DataFrame:
+def written(df: DataFrame, *by: str) -> DataFrame:
     """df as a table below ``spark.checkpoint.dir``: computed once, cuts the lineage, survives lost executors.
 
+    by: columns by which it lies in folders, so that reads of some values read these alone.
+
     Without that setting a local session takes the system's temporary folder; on a cluster it fails.
     """
     spark = df.sparkSession
@@ -61,5 +63,5 @@ def written(df: DataFrame) -> DataFrame:
             raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = f"file://{tempfile.gettempdir()}/tidewatch-tables"
     folder = f"{base.rstrip('/')}/{uuid.uuid4().hex}"
-    df.write.parquet(folder)
+    (df.write.partitionBy(*by) if by else df.write).parquet(folder)
     return spark.read.schema(df.schema).parquet(folder)
