@@ -51,6 +51,14 @@ class Evaluation:
     per_family: int = 1
     open_positions: int = 5
     short_lead_s: int = 3600
+    #: Least numbers of a split that counts as scored: eligible rows by unit, resolved rows, families, categories, coverage.
+    candidate_rows: int = 30
+    alert_rows: int = 20
+    trade_rows: int = 10
+    resolved_rows: int = 15
+    families: int = 5
+    categories: int = 3
+    coverage: float = 0.80
 
 
 @dataclass(frozen=True)

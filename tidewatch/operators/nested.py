@@ -136,7 +136,7 @@ def shifted(df: DataFrame, column: str, seconds: Column, keys: tuple[str, ...] =
         moved = F.timestamp_micros(F.unix_micros(S.detector_timestamp(F.when(last(path), string))) + F.col("__by"))
         return F.when(moved.isNotNull(), quoted(iso(moved))).otherwise(text)
 
-    base = df.withColumn("__by", (seconds * 1_000_000).cast("long")).withColumn("__plain", F.col(column))
+    base = df.withColumn("__by", (seconds.cast("double") * 1_000_000).cast("long")).withColumn("__plain", F.col(column))
     return changed(base, column, change, "__by").withColumn(column, F.coalesce(column, "__plain")).select(*df.columns)
 
 

@@ -49,19 +49,24 @@ def ship(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def written(df: DataFrame, *by: str) -> DataFrame:
-    """df as a table below ``spark.checkpoint.dir``: computed once, cuts the lineage, survives lost executors.
-
-    by: columns by which it lies in folders, so that reads of some values read these alone.
+def folder(spark: SparkSession) -> str:
+    """A new folder below ``spark.checkpoint.dir``, which the driver and all executors reach.
 
     Without that setting a local session takes the system's temporary folder; on a cluster it fails.
     """
-    spark = df.sparkSession
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         if not (spark.sparkContext.master or "").startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = f"file://{tempfile.gettempdir()}/tidewatch-tables"
-    folder = f"{base.rstrip('/')}/{uuid.uuid4().hex}"
-    (df.write.partitionBy(*by) if by else df.write).parquet(folder)
-    return spark.read.schema(df.schema).parquet(folder)
+    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, *by: str) -> DataFrame:
+    """df as a table in a new ``folder``: computed once, cuts the lineage, survives lost executors.
+
+    by: columns by which it lies in folders, so that reads of some values read these alone.
+    """
+    path = folder(df.sparkSession)
+    (df.write.partitionBy(*by) if by else df.write).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
