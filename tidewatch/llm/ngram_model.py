@@ -31,9 +31,9 @@ _MUL, _TURN, _STEP = _U(0x9E3779B97F4A7C15), _U(0xBF58476D1CE4E5B9), _U(0x94D049
 #: Stand for the start and the end of a text where words have hashes.
 START, END = _U(1), _U(2)
 #: Distinct words that a task holds at a time with their counts.
-WORDS_HELD = 500_000
+WORDS_HELD = 300_000
 #: Grams of a task that combine before they are sent.
-GRAMS_HELD = 4_000_000
+GRAMS_HELD = 2_000_000
 #: Bytes of text that a worker takes at a time.
 CHUNK_BYTES = 1_500_000
 #: Grams of the training texts that a segment holds, at most (on average; grams are dealt by hash).
