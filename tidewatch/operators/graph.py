@@ -1,45 +1,87 @@
 """Features of the graph of wallets and markets, as of each decision.
 
-Both hops join the edges of the lookback as they are; their number bounds what a hot wallet or market brings in.
+A lookback is whole days and two rims. Edges are summed to a row for each wallet, market and day first: whole days of a
+lookback meet these sums, in buckets of time as long as the lookback, so that a market or wallet with many edges is met by
+the part of them that lies near. Only the days at the rims, which a lookback cuts, meet the edges themselves, by their day.
+What several steps read is written once; what is met is dealt out by decision once, and all counts of a decision are taken
+where its rows then lie.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import Graph
 from ..functions import scalars as S
+from ..session import written
 
+#: Amounts are added as whole numbers and billionths, so that no order of addition shows.
+_PARTS = ("whole", "rest")
 
-def _degree(decisions: DataFrame, edges: DataFrame, c: Graph) -> DataFrame:
-    """Edges of wallets on each decision's market within the lookback."""
-    on = (F.col("d.market_id") == F.col("e.market_id")) & F.col("e.ts").between(F.col("d.ts") - F.expr(f"interval {c.lookback_days} days"), F.col("d.ts"))
-    return decisions.alias("d").join(edges.alias("e"), on).select("d.id", F.col("d.market_id").alias("home"), F.col("d.ts").alias("at"), F.col("d.event_id").alias("home_event"), F.col("e.wallet").alias("wallet"))
+
+def _day(ts: Column) -> Column:
+    return F.floor(F.unix_micros(ts) / 86_400_000_000).cast("int")
+
+
+def day_sums(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Edges with their day and amount in parts, and their sums by wallet, market, event and day."""
+    amount = F.greatest(F.lit(0.0), F.coalesce(F.col("notional").cast("double"), F.lit(0.0)))
+    parts = {"whole": F.floor(amount), "rest": F.round((amount - F.floor(amount)) * 1e9).cast("long"), "day": _day(F.col("ts"))}
+    raw = edges.where("wallet is not null and market_id is not null and ts is not null").withColumns(parts).select("wallet", "market_id", "event_id", "ts", "day", *_PARTS)
+    return raw, _summed(raw)
+
+
+def _summed(raw: DataFrame) -> DataFrame:
+    return raw.groupBy("wallet", "market_id", "event_id", "day").agg(*(F.sum(p).alias(p) for p in _PARTS))
+
+
+def lookback(left: DataFrame, key: str, other: str, raw: DataFrame, days: DataFrame, c: Graph) -> DataFrame:
+    """left (key, at, other columns) with the edges of its key in the lookback before at: ``other``, event, day and amounts."""
+    back = F.col("at") - F.expr(f"interval {c.lookback_days} days")
+    n, first, last = F.lit(c.lookback_days), _day(back), _day(F.col("at"))
+    timed = left.withColumns({"__from": first, "__to": last})
+    columns = [F.col(f"l.{x}") for x in left.columns]
+    found = [F.col(f"e.{other}").alias(f"met_{other}"), F.col("e.event_id").alias("met_event"), F.col("e.day").alias("day"), *(F.col(f"e.{p}").alias(p) for p in _PARTS)]
+    bucket = lambda day: F.floor(day / n).cast("int")
+    inner = timed.where(F.col("__to") - F.col("__from") > 1).withColumn("__b", F.explode(F.sequence(bucket(F.col("__from") + 1), bucket(F.col("__to") - 1)))).alias("l")
+    sums = days.withColumn("__b", bucket(F.col("day"))).alias("e")
+    inside = (F.col("e.day") > F.col("l.__from")) & (F.col("e.day") < F.col("l.__to"))
+    whole = inner.join(sums, (F.col(f"l.{key}") == F.col(f"e.{key}")) & (F.col("l.__b") == F.col("e.__b")) & inside).select(*columns, *found)
+    rims = timed.withColumn("__d", F.explode(F.array_distinct(F.array("__from", "__to")))).alias("l")
+    cut = F.col("e.ts").between(F.col("l.at") - F.expr(f"interval {c.lookback_days} days"), F.col("l.at"))
+    rim = rims.join(raw.alias("e"), (F.col(f"l.{key}") == F.col(f"e.{key}")) & (F.col("l.__d") == F.col("e.day")) & cut).select(*columns, *found)
+    return whole.unionByName(rim)
 
 
 def features(decisions: DataFrame, edges: DataFrame, c: Graph = Graph()) -> DataFrame:
     """A row for each decision. decisions: id, market_id, event_id, ts. edges: wallet, market_id, event_id, ts, notional.
 
     W are the wallets on the decision's market, C that market and all markets of W, CW the wallets on C. A decision
-    without wallets has zeros.
+    without wallets has zeros. Edges without a wallet, a market or a time count nowhere; missing and negative amounts are 0.
     """
-    edges = edges.where("wallet is not null and market_id is not null")
-    own = _degree(decisions, edges, c).distinct()
-    back = F.expr(f"interval {c.lookback_days} days")
-    hop1 = own.alias("w").join(edges.alias("e"), (F.col("w.wallet") == F.col("e.wallet")) & F.col("e.ts").between(F.col("w.at") - back, F.col("w.at")))
-    hop1 = hop1.select("w.id", "w.home", "w.home_event", "w.at", "w.wallet", F.col("e.market_id").alias("market_id"), F.col("e.event_id").alias("event_id"), F.to_date("e.ts").alias("day"))
-    by_wallet = hop1.groupBy("id", "home", "home_event", "wallet").agg(
-        F.countDistinct("market_id").alias("markets"), F.countDistinct("event_id").alias("events"), F.countDistinct("day").alias("days"),
-        F.bool_or(F.coalesce((F.col("market_id") != F.col("home")) & (F.col("event_id") == F.col("home_event")), F.lit(False))).alias("same_event"))
+    raw = written(day_sums(edges)[0])
+    days = written(_summed(raw))
+    home = decisions.select("id", "market_id", F.col("event_id").alias("home_event"), F.col("ts").alias("at"))
+    own = lookback(home, "market_id", "wallet", raw, days, c).select("id", F.col("market_id").alias("home"), "home_event", "at", F.col("met_wallet").alias("wallet"))
+    own = written(own.distinct())
+    hop1 = written(lookback(own, "wallet", "market_id", raw, days, c).drop(*_PARTS).repartition("id"))
+    other = F.coalesce((F.col("met_market_id") != F.col("home")) & (F.col("met_event") == F.col("home_event")), F.lit(False))
+    by_wallet = hop1.groupBy("id", "wallet").agg(
+        F.size(F.collect_set("met_market_id")).alias("markets"), F.size(F.collect_set("met_event")).alias("events"), F.size(F.collect_set("day")).alias("days"), F.bool_or(other).alias("same_event"))
+    share = lambda x: F.round(F.avg(x.cast("double")), 6)
     wallets = by_wallet.groupBy("id").agg(
-        F.count("*").alias("market_wallet_degree"), F.round(F.avg((F.col("markets") > 1).cast("double")), 6).alias("repeat_wallet_share"), F.round(F.avg((F.col("events") > 1).cast("double")), 6).alias("cross_event_wallet_share"),
-        F.round(F.avg(F.col("same_event").cast("double")), 6).alias("same_event_repeat_wallet_share"), F.round(F.avg("days"), 6).alias("wallet_persistence_mean_days"), F.round(F.avg((F.col("days") >= c.persistent_days).cast("double")), 6).alias("persistent_wallet_share"))
-    near = hop1.select("id", "home", "home_event", "at", "market_id", "event_id").distinct()
-    markets = near.groupBy("id").agg(F.countDistinct("market_id").alias("c"), F.round(F.coalesce(F.countDistinct(F.when(F.col("event_id") == F.col("home_event"), F.col("market_id"))) / F.countDistinct("market_id"), F.lit(0.0)), 6).alias("same_event_market_share"))
-    hop2 = near.select("id", "home", "at", "market_id").distinct().alias("n").join(edges.alias("e"), (F.col("n.market_id") == F.col("e.market_id")) & F.col("e.ts").between(F.col("n.at") - back, F.col("n.at")))
-    pairs = hop2.groupBy("n.id", "n.home", "n.market_id", "e.wallet").agg(F.sum(F.greatest(F.lit(0.0), "e.notional").cast("decimal(28,10)")).alias("notional"))
-    around = pairs.groupBy("id").agg(F.countDistinct("wallet").alias("cluster_wallet_count"), F.count("*").alias("pairs"), F.round(S.safe_ratio(F.sum(F.when(F.col("market_id") == F.col("home"), F.col("notional")).otherwise(0)).cast("double"), F.sum("notional").cast("double")), 6).alias("cluster_notional_share"))
+        F.count("*").alias("market_wallet_degree"), share(F.col("markets") > 1).alias("repeat_wallet_share"), share(F.col("events") > 1).alias("cross_event_wallet_share"),
+        share(F.col("same_event")).alias("same_event_repeat_wallet_share"), share(F.col("days")).alias("wallet_persistence_mean_days"), share(F.col("days") >= c.persistent_days).alias("persistent_wallet_share"))
+    near = hop1.groupBy("id", "home", "at", F.col("met_market_id").alias("market_id")).agg(F.bool_or(F.coalesce(F.col("met_event") == F.col("home_event"), F.lit(False))).alias("same"))
+    near = written(near)
+    markets = near.groupBy("id").agg(F.count("*").alias("c"), share(F.col("same")).alias("same_event_market_share"))
+    hop2 = lookback(near.select("id", "home", "at", "market_id"), "market_id", "wallet", raw, days, c).drop("met_event", "day", "at").repartition("id")
+    pairs = hop2.groupBy("id", "home", "market_id", "met_wallet").agg(*(F.sum(p).alias(p) for p in _PARTS))
+    cluster = pairs.groupBy("id", "met_wallet").agg(
+        F.count("*").alias("pairs"), *(F.sum(p).alias(p) for p in _PARTS), *(F.sum(F.when(F.col("market_id") == F.col("home"), F.col(p)).otherwise(0)).alias(f"home_{p}") for p in _PARTS))
+    amount = lambda prefix: F.sum(f"{prefix}whole").cast("double") + F.sum(f"{prefix}rest") / 1e9
+    around = cluster.groupBy("id").agg(F.count("*").alias("cluster_wallet_count"), F.sum("pairs").alias("pairs"), F.round(S.safe_ratio(amount("home_"), amount("")), 6).alias("cluster_notional_share"))
     out = decisions.select("id").join(wallets, "id", "left").join(markets, "id", "left").join(around, "id", "left").na.fill(0)
     density = F.round(S.safe_ratio(F.col("pairs"), F.col("cluster_wallet_count") * F.col("c")), 6)
     return out.select(
