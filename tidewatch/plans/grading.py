@@ -192,3 +192,17 @@ def _(spark, sf_dir):
  FROM e a JOIN e b ON a.market_id = b.market_id AND b.ts <= a.ts AND b.ts >= a.ts - INTERVAL 2 HOUR GROUP BY 1""")
 def _(spark, sf_dir):
     return J.window_pair(D.table(spark, sf_dir, "events").select("event_id", F.get_json_object("props", "$.k").alias("market_id"), F.col("ts").cast("timestamp").alias("ts"), "value"), "market_id", "value", 3600).select("event_id", "trailing", "preceding")
+
+
+@query("m4_boosted_report")
+def _(spark, sf_dir):
+    """Boosted trees against the linear ranker: quality of documents from plain statistics, fitted on two thirds of them."""
+    from ..operators import boosted
+
+    text = F.col("text")
+    words = F.split(F.trim(text), r"\s+")
+    rows = D.table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label")).join(D.table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
+    rows = rows.select(
+        "doc_id", "label", F.length(text).alias("n_chars"), F.size(words).alias("n_words"), (F.size(F.array_distinct(words)) / F.size(words)).alias("distinct_share"),
+        (F.length(F.regexp_replace(text, "[^#*$%&|<>]", "")) / F.length(text)).alias("symbol_share"), F.when(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1, "test").otherwise("train").alias("split"))
+    return boosted.compared(rows, ["n_chars", "n_words", "distinct_share", "symbol_share"], "split", "train")
