@@ -48,8 +48,17 @@ def digest(x):
     return hashlib.sha256(x.encode()).hexdigest()
 
 
+_plain = {}
+
+
 def plain_scores(rows, s):
-    """The scores with exact levels of counts, and no filter."""
+    """The scores with exact levels of counts, and no filter; computed once for each order."""
+    if s.order not in _plain:
+        _plain[s.order] = _plain_scores(rows, s)
+    return _plain[s.order]
+
+
+def _plain_scores(rows, s):
     def held(i):
         return zlib.crc32(("" if i is None else str(i)).encode()) % s.modulus == s.held_out
 
@@ -139,13 +148,14 @@ def test_scores_in_blocks(docs, rows, monkeypatch):
     """Many blocks of the filter, and words beyond the head, give what one block and the whole vocabulary give."""
     monkeypatch.setattr(ngram_model, "SEGMENT_GRAMS", 4096)
     s = replace(ngram_model.Settings(), bits=600, probes=5)
-    small = replace(s, block_bytes=4_000_000, head_words=50)
+    small = replace(s, block_bytes=4_000_000, most_blocks=1000, head_words=50)
     model = ngram_model.trained(docs, small)
-    assert len(model.blocks) > 3 and not model.complete and 0 < len(model.head.value[0]) <= 50
+    assert len(model.blocks) > 3 and not model.facts.complete and 0 < len(model.head.value[0]) <= 50 * 8
     compared(ngram_model.scored(docs, model).collect(), plain_scores(rows, s), 1e-9)
-    none = ngram_model.trained(docs, replace(s, head_words=0))
-    assert not len(none.head.value[0])
-    compared(ngram_model.scored(docs, none).collect(), plain_scores(rows, s), 1e-9)
+    far = ngram_model.trained(docs, replace(small, most_blocks=3, head_words=0))
+    assert not far.blocks and far.segments is not None and not len(far.head.value[0])
+    compared(ngram_model.scored(docs, far).collect(), plain_scores(rows, s), 1e-9)
+    assert ngram_model.scored(docs.where("false"), far).count() == 0
 
 
 def test_scores_without_training(spark):

@@ -4,7 +4,8 @@ Counts are quantised to levels: small counts exactly, larger ones by steps of a
 q times, once with each number up to q; a count is read by probing 1, 2, ... until a probe fails. The filter is cut into
 segments by hash, each sized by what it holds, so that it is made where the counts meet; segments are broadcast in blocks
 of at most ``block_bytes``. Blocks beyond the first are further passes over the texts: each fills in the levels of its own
-grams, and only the last one turns levels into probabilities.
+grams, and only the last one turns levels into probabilities. A filter of more than ``most_blocks`` isn't broadcast: the
+distinct grams of a few texts at a time go to the segments by a shuffle, and their levels come back by another.
 
 Words are told apart by 64-bit hashes in a task and in the arrays. Besides, words have exact counts. Those of the most frequent words, at most ``head_words``, go to the workers as arrays; where
 there are more, rarer words of the texts meet their counts by a join.
@@ -53,6 +54,7 @@ class Settings:
     modulus: int = 7
     held_out: int = 2
     block_bytes: int = 128 << 20
+    most_blocks: int = 4
     head_words: int = 2_000_000
 
 
@@ -286,10 +288,15 @@ class Block:
         self.sizes = np.zeros(all_buckets, np.int64)
         self.sizes[buckets] = [len(x) // 8 for x in bits]
         self.starts = np.cumsum(self.sizes) - self.sizes
-        self.data = np.zeros(int(self.sizes.sum()), "<u8")
+        self.raw = bytearray(8 * int(self.sizes.sum()))
         for bucket, x in zip(buckets, bits, strict=True):
-            at = self.starts[bucket]
-            self.data[at : at + len(x) // 8] = np.frombuffer(x, "<u8")
+            at = 8 * int(self.starts[bucket])
+            self.raw[at : at + len(x)] = x
+
+    @property
+    def data(self) -> np.ndarray:
+        """The filter's words: a view of plain bytes, which a worker takes from a broadcast without a second copy."""
+        return np.frombuffer(self.raw, "<u8")
 
     def levels(self, h: np.ndarray) -> np.ndarray:
         """The levels of distinct grams: probes go on with those grams that passed all before.
@@ -297,7 +304,7 @@ class Block:
         All bits of a gram and level are in one word of the filter, so that a probe is one look at memory.
         """
         own = _bucket(h, self.buckets)
-        out, level = np.zeros(len(h), np.uint8), 0
+        data, out, level = self.data, np.zeros(len(h), np.uint8), 0
         alive = np.flatnonzero(self.sizes[own])
         h, size, start = h[alive], self.sizes[own[alive]].astype(_U), self.starts[own[alive]]
         while len(alive) and level < 255:
@@ -306,29 +313,37 @@ class Block:
             mask = _U(1) << _bit(x, 0)
             for probe in range(1, self.probes):
                 mask |= _U(1) << _bit(x, probe)
-            kept = np.flatnonzero(self.data[start + place] & mask == mask)
+            kept = np.flatnonzero(data[start + place] & mask == mask)
             alive, h, size, start = alive[kept], h[kept], size[kept], start[kept]
             out[alive] = level
         return out
 
 
-@dataclass
-class Model:
-    """tokens, types and texts that it was trained on; blocks of the filter; exact counts of words."""
+@dataclass(frozen=True)
+class Facts:
+    """tokens, types and texts that a model was trained on, buckets of its filter, and whether the head holds all words."""
 
     settings: Settings
     tokens: int
     types: int
     texts: int
     buckets: int
+    complete: bool
+
+
+@dataclass
+class Model:
+    """facts; blocks of the filter, or else its segments as a table; exact counts of words."""
+
+    facts: Facts
     blocks: list[Broadcast]
+    segments: DataFrame | None
     head: Broadcast
     counts: DataFrame
-    complete: bool
 
 
-def _head(counts: DataFrame, s: Settings) -> tuple[tuple[np.ndarray, np.ndarray], bool]:
-    """Hashes (ascending) and counts of the most frequent words, at most head_words; whether these are all."""
+def _head(counts: DataFrame, s: Settings) -> tuple[tuple[bytes, bytes], bool]:
+    """Hashes (ascending) and counts of the most frequent words, at most head_words, as bytes; whether these are all."""
     words = counts.where("word is not null")
     by = sorted(((r[0], r[1]) for r in words.groupBy(F.floor(F.log2("n")).alias("g")).count().collect()), reverse=True)
     taken, least, complete = 0, None, True
@@ -340,7 +355,7 @@ def _head(counts: DataFrame, s: Settings) -> tuple[tuple[np.ndarray, np.ndarray]
     table = words.where(F.floor(F.log2("n")) >= least if least is not None else F.lit(False)).select("hash", "n").toArrow()
     hashes = table["hash"].to_numpy().astype(np.int64).view(_U)
     order = np.argsort(hashes, kind="stable")
-    return (hashes[order], table["n"].to_numpy().astype(np.int64)[order]), complete
+    return (hashes[order].tobytes(), table["n"].to_numpy().astype(np.int64)[order].tobytes()), complete
 
 
 def _collected(segments: DataFrame, buckets: int, probes: int) -> Block:
@@ -370,14 +385,15 @@ def trained(docs: DataFrame, s: Settings = Settings()) -> Model:
         size += n
     send = docs.sparkSession.sparkContext.broadcast
     made = []
-    for own in blocks:
-        made.append(send(_collected(segments.where(F.col("bucket").between(own[0], own[-1]) if own else F.lit(False)), buckets, s.probes)))
-    dropped(segments)
+    if len(blocks) <= s.most_blocks:
+        for own in blocks:
+            made.append(send(_collected(segments.where(F.col("bucket").between(own[0], own[-1]) if own else F.lit(False)), buckets, s.probes)))
+        dropped(segments)
     head, complete = _head(counts, s)
-    return Model(s, tokens, types, texts, buckets, made, send(head), counts, complete)
+    return Model(Facts(s, tokens, types, texts, buckets, complete), made, None if made else segments, send(head), counts)
 
 
-def _probed(seq: np.ndarray, ends: np.ndarray, order: int, block: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _probed(seq: np.ndarray, ends: np.ndarray, order: int, block: Block | Answers) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The levels of the grams that end at each place, a row for each order; distinct words, and which of them is where."""
     out = np.zeros((order, len(seq)), np.uint8)
     words, where = np.unique(seq, return_inverse=True)
@@ -429,52 +445,119 @@ def _passing(block: Broadcast, order: int):
 _SCORE = "doc_id long, n_tokens long, n_known long, base double, score double, tail array<struct<word: binary, n: int>>"
 
 
-def _scoring(block: Broadcast, head: Broadcast, s: Settings, tokens: int, types: int, texts: int, complete: bool, first: bool):
-    """Scores of texts; words that aren't in the head are listed, unless it holds all words."""
-    least = np.log10(tokens + types + 1.0)
-
-    def scored(whole: list[bytes], before: list[bytes | None]) -> list[list]:
-        words = words_of(whole)
-        seq, ends = sequences(words, s.order)
-        levels, distinct, where = _probed(seq, ends, s.order, block.value)
-        if not first:
-            at = np.concatenate(([0], ends))
-            for i, old in enumerate(before):
-                levels[:, at[i] : at[i + 1]] |= np.frombuffer(old, np.uint8).reshape(s.order, -1)
-        hashes, counts = head.value
-        n = np.zeros(len(distinct), np.int64)
-        if len(hashes):
-            place = np.minimum(np.searchsorted(hashes, distinct), len(hashes) - 1)
-            n = np.where(hashes[place] == distinct, counts[place], 0)
-        n[distinct == START] = 0
-        n[distinct == END] = texts
-        n = n[where]
-        size = np.diff(ends, prepend=0) - s.order + 1
-        base = _per_text(np.log10(n + 1.0), ends, s.order) - size * least
-        score = _per_text(_logs(levels, ends, s, tokens, types), ends, s.order)
-        tails: list[list[dict]] = [[] for _ in whole]
-        if not complete:
-            rare = np.flatnonzero(n[np.arange(len(words.hashes)) + np.repeat(s.order * np.arange(len(ends)) + s.order - 1, words.counts)] == 0)
-            owner = np.searchsorted(np.cumsum(words.counts), rare, "right")
-            for (text, word), times in Counter(zip(owner.tolist(), map(words.word, rare.tolist()), strict=True)).items():
-                tails[text].append({"word": word, "n": times})
-        return [size.tolist(), _per_text(n > 0, ends, s.order).tolist(), base.tolist(), score.tolist(), tails]
+def _scores(whole: list[bytes], before: list[bytes | None], source: Block | Answers, head: tuple[bytes, bytes], facts: Facts) -> list[list]:
+    """Numbers of tokens, of known ones, base and score of texts, and their words that aren't in the head, if it lacks any.
+
+    before: levels that other blocks knew (None: there are none).
+    """
+    s = facts.settings
+    words = words_of(whole)
+    seq, ends = sequences(words, s.order)
+    levels, distinct, where = _probed(seq, ends, s.order, source)
+    at = np.concatenate(([0], ends))
+    for i, old in enumerate(before):
+        if old is not None:
+            levels[:, at[i] : at[i + 1]] |= np.frombuffer(old, np.uint8).reshape(s.order, -1)
+    hashes, counts = np.frombuffer(head[0], _U), np.frombuffer(head[1], np.int64)
+    n = np.zeros(len(distinct), np.int64)
+    if len(hashes):
+        place = np.minimum(np.searchsorted(hashes, distinct), len(hashes) - 1)
+        n = np.where(hashes[place] == distinct, counts[place], 0)
+    n[distinct == START] = 0
+    n[distinct == END] = facts.texts
+    n = n[where]
+    size = np.diff(ends, prepend=0) - s.order + 1
+    base = _per_text(np.log10(n + 1.0), ends, s.order) - size * np.log10(facts.tokens + facts.types + 1.0)
+    score = _per_text(_logs(levels, ends, s, facts.tokens, facts.types), ends, s.order)
+    tails: list[list[dict]] = [[] for _ in whole]
+    if not facts.complete:
+        rare = np.flatnonzero(n[np.arange(len(words.hashes)) + np.repeat(s.order * np.arange(len(ends)) + s.order - 1, words.counts)] == 0)
+        owner = np.searchsorted(np.cumsum(words.counts), rare, "right")
+        for (text, word), times in Counter(zip(owner.tolist(), map(words.word, rare.tolist()), strict=True)).items():
+            tails[text].append({"word": word, "n": times})
+    return [size.tolist(), _per_text(n > 0, ends, s.order).tolist(), base.tolist(), score.tolist(), tails]
+
+
+_KINDS = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int32())])))
+_SCORED = ["doc_id", "n_tokens", "n_known", "base", "score", "tail"]
+
+
+def _scoring(block: Broadcast, head: Broadcast, facts: Facts):
+    """Scores of texts by the last block of the filter."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int32())])))
         for batch in batches:
             whole, levels = column_bytes(batch, "text"), column_list(batch, "levels")
             out: list[list] = [[], [], [], [], []]
             for part in chunks(whole):
-                for have, new in zip(out, scored(whole[part], levels[part]), strict=True):
+                for have, new in zip(out, _scores(whole[part], levels[part], block.value, head.value, facts), strict=True):
                     have += new
-            made = [pa.array(x, k) for x, k in zip(out, kinds, strict=True)]
-            names = ["doc_id", "n_tokens", "n_known", "base", "score", "tail"]
-            yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index("doc_id")), *made], names)
+            made = [pa.array(x, k) for x, k in zip(out, _KINDS, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index("doc_id")), *made], _SCORED)
 
     return lambda batches: released(of(batches))
 
 
+#: Rows whose grams are looked up together are 2 to this power.
+GROUP_BITS = 6
+
+
+class Answers:
+    """Levels of grams that were looked up."""
+
+    def __init__(self, hashes: np.ndarray, levels: np.ndarray) -> None:
+        self.hashes, self.known = hashes, levels
+
+    def levels(self, h: np.ndarray) -> np.ndarray:
+        return self.known[np.searchsorted(self.hashes, h)]
+
+
+def _distinct_grams(texts: list[bytes], order: int) -> np.ndarray:
+    seq, ends = sequences(words_of(texts), order)
+    return np.unique(np.concatenate([h[counts] for h, counts in grams(seq, ends, order)]))
+
+
+def _texts_of(table: pa.Table) -> list[bytes]:
+    return [x or b"" for x in table["text"].cast(pa.binary()).to_pylist()]
+
+
+def _looked_up(docs: DataFrame, segments: DataFrame, head: Broadcast, facts: Facts) -> DataFrame:
+    """Scores of texts whose grams meet the segments by their buckets: no part of the filter is broadcast.
+
+    What a bucket is asked is as much as its own grams, on average; a group of rows asks for each distinct gram once.
+    """
+    s, buckets = facts.settings, facts.buckets
+    asking = pa.schema([("group", pa.int64()), ("bucket", pa.int32()), ("hashes", pa.binary())])
+    telling = pa.schema([("group", pa.int64()), ("bucket", pa.int32()), ("levels", pa.binary())])
+
+    def asked(table: pa.Table) -> pa.Table:
+        h = _distinct_grams(_texts_of(table), s.order)
+        own = _bucket(h, buckets)
+        at = np.flatnonzero(np.diff(own, prepend=-1))
+        blobs = [x.astype("<u8").tobytes() for x in np.split(h, at[1:])]
+        return pa.table([[table["group"][0].as_py()] * len(at), own[at], blobs], schema=asking)
+
+    def told(requests: pa.Table, own: pa.Table) -> pa.Table:
+        if not len(requests):
+            return telling.empty_table()
+        block = Block(own["bucket"].to_pylist(), [x.as_buffer() for x in own["bits"]], buckets, s.probes)
+        blobs = [block.levels(np.frombuffer(x, "<u8")).tobytes() for x in requests["hashes"].to_pylist()]
+        return pa.table([requests["group"], requests["bucket"], pa.array(blobs, pa.binary())], schema=telling)
+
+    def answered(texts: pa.Table, answers: pa.Table) -> pa.Table:
+        whole = _texts_of(texts)
+        parts = sorted(zip(answers["bucket"].to_pylist(), answers["levels"].to_pylist(), strict=True))
+        source = Answers(_distinct_grams(whole, s.order), np.frombuffer(b"".join(x for _, x in parts), np.uint8))
+        out = _scores(whole, [], source, head.value, facts)
+        return pa.table([texts["doc_id"], *(pa.array(x, k) for x, k in zip(out, _KINDS, strict=True))], names=_SCORED)
+
+    rows = written(documents(docs).withColumn("__row", F.monotonically_increasing_id()))
+    grouped = rows.select("doc_id", "text", F.shiftright("__row", GROUP_BITS).alias("group"))
+    requests = grouped.groupBy("group").applyInArrow(asked, "group long, bucket int, hashes binary")
+    replies = requests.groupBy("bucket").cogroup(segments.select("bucket", "bits").groupBy("bucket")).applyInArrow(told, "group long, bucket int, levels binary")
+    return grouped.groupBy("group").cogroup(replies.groupBy("group")).applyInArrow(answered, _SCORE)
+
+
 def scored(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score (log10 probabilities), by row.
 
@@ -483,17 +566,19 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
     null id isn't held out; other columns are dropped. Of a model without texts every probability is that of its order: 1
     for the base. An empty table stays empty.
     """
-    s = model.settings
-    rows = documents(docs).withColumn("levels", F.lit(None).cast("binary"))
-    last: DataFrame | None = None
-    for block in model.blocks[:-1]:
-        rows = written(rows.mapInArrow(_passing(block, s.order), "doc_id long, text string, levels binary"))
-        if last is not None:
-            dropped(last)
-        last = rows
-    step = _scoring(model.blocks[-1], model.head, s, model.tokens, model.types, model.texts, model.complete, len(model.blocks) == 1)
-    out = rows.mapInArrow(step, _SCORE)
-    if not model.complete:
+    facts, s = model.facts, model.facts.settings
+    if model.segments is not None:
+        out = _looked_up(docs, model.segments, model.head, facts)
+    else:
+        rows = documents(docs).withColumn("levels", F.lit(None).cast("binary"))
+        last: DataFrame | None = None
+        for block in model.blocks[:-1]:
+            rows = written(rows.mapInArrow(_passing(block, s.order), "doc_id long, text string, levels binary"))
+            if last is not None:
+                dropped(last)
+            last = rows
+        out = rows.mapInArrow(_scoring(model.blocks[-1], model.head, facts), _SCORE)
+    if not facts.complete:
         out = written(out.withColumn("__row", F.monotonically_increasing_id()))
         rare = out.select("__row", F.explode("tail").alias("t")).select("__row", "t.word", F.col("t.n").alias("times"))
         met = spread_join(rare, model.counts.where("word is not null").select("word", F.col("n").alias("c")), "word")
@@ -501,7 +586,7 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
         out = out.join(more, "__row", "left")
         out = out.withColumn("base", F.col("base") + F.coalesce("__base", F.lit(0.0))).withColumn("n_known", F.col("n_known") + F.coalesce("__known", F.lit(0)))
     held = ~_training(s)
-    return out.select("doc_id", held.alias("held_out"), "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), F.col("base").alias("base_score"), "score")
+    return out.select("doc_id", held.alias("held_out"), "n_tokens", "n_known", F.lit(facts.tokens).cast("long").alias("train_tokens"), F.col("base").alias("base_score"), "score")
 
 
 def report(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
