@@ -121,7 +121,7 @@ def test_log(spark, tmp_path):
     got = log.read(spark, root, "2026-04-20 05:30:00", "2026-04-20 07:00:00")
     assert [r.envelope_id for r in got.collect()] == ["e1"]
     p = log.points(log.read(spark, root)).collect()
-    assert [(r.kind, r.wallet, r.side, r.notional, r.ts) for r in p] == [("trade", "0xab", "BUY", 5.0, dt.datetime(2026, 4, 20, 6))]
+    assert [(r.kind, r.wallet, r.side, r.notional, r.ts) for r in p] == [("trade", "0xab", "BUY", 0.0, dt.datetime(2026, 4, 20, 6))]  # no amount is none
 
 
 def test_pushed_frames(spark):

@@ -209,9 +209,10 @@ def _(spark, sf_dir):
 def _(spark, sf_dir):
     rows = A.suppressed(_ranked(spark, sf_dir))
     sent = A.delivered(rows.select("id", "ts", F.lit("chat").alias("channel"), (~F.col("suppressed") & (F.col("rank") >= 1)).alias("eligible")), 600).select("id", "delivered")
-    before = F.lag("rank").over(Window.partitionBy("market_id").orderBy("ts", "id"))
-    rows = rows.withColumn("existing_rank", before).join(sent, "id")
-    rows = rows.select("id", (F.col("value") > 1).alias("domain_ok"), S.in_probability_band(F.col("value") / 100).alias("probability_ok"), "existing_rank", "rank", F.lit("r").alias("reason"), F.lit("r").alias("existing_reason"), "suppressed", "delivered")
+    own = Window.partitionBy("market_id").orderBy("ts", "id")
+    rows = rows.withColumn("reason", F.when(F.col("value") > 60, "jump").when(F.col("value") > 10, "drift"))
+    rows = rows.withColumns({"existing_rank": F.lag("rank").over(own), "existing_reason": F.lag("reason").over(own)}).join(sent, "id")
+    rows = rows.select("id", (F.col("value") > 1).alias("domain_ok"), S.in_probability_band(F.col("value") / 100).alias("probability_ok"), "existing_rank", "rank", "reason", "existing_reason", "suppressed", "delivered")
     return A.lifecycle(rows).select("id", "status")
 
 
