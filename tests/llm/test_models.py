@@ -184,7 +184,8 @@ def test_filter():
     h, n = rng.integers(1 << 63, size=20_000, dtype=np.uint64), rng.integers(1, 50, size=20_000, dtype=np.uint32)
     table = pa.table({"bucket": pa.array([0, 0], pa.int32()), "hashes": [h[:15_000].tobytes(), h[10_000:].tobytes()], "counts": [n[:15_000].tobytes(), n[10_000:].tobytes()]})
     made = ngram_model._segment(s)(table)
-    block = ngram_model.Block([0], [made["bits"][0].as_py()], 1, s.probes)
+    bits = made["bits"][0].as_py()
+    block = ngram_model.Block([0], [len(bits)], 1, s.probes).filled([0], [bits])
     n[10_000:15_000] *= 2  # in both parts
     want = np.searchsorted(ngram_model.thresholds(s.growth), n, "right")
     got = block.levels(h)

@@ -282,16 +282,20 @@ def _segment(s: Settings):
 class Block:
     """Segments of the filter that lie side by side: levels of grams, 0 where another block has the gram or none."""
 
-    def __init__(self, buckets: list[int], bits: list, all_buckets: int, probes: int) -> None:
-        """buckets and bits (anything with a buffer) of the segments, of all_buckets in the filter."""
+    def __init__(self, buckets: list[int], sizes: list[int], all_buckets: int, probes: int) -> None:
+        """buckets and sizes (in bytes) of the segments, of all_buckets in the filter."""
         self.buckets, self.probes = all_buckets, probes
         self.sizes = np.zeros(all_buckets, np.int64)
-        self.sizes[buckets] = [len(x) // 8 for x in bits]
+        self.sizes[buckets] = np.array(sizes, np.int64) // 8
         self.starts = np.cumsum(self.sizes) - self.sizes
         self.raw = bytearray(8 * int(self.sizes.sum()))
+
+    def filled(self, buckets: list[int], bits: list) -> Block:
+        """Takes over segments (anything with a buffer)."""
         for bucket, x in zip(buckets, bits, strict=True):
             at = 8 * int(self.starts[bucket])
             self.raw[at : at + len(x)] = x
+        return self
 
     @property
     def data(self) -> np.ndarray:
@@ -358,10 +362,32 @@ def _head(counts: DataFrame, s: Settings) -> tuple[tuple[bytes, bytes], bool]:
     return (hashes[order].tobytes(), table["n"].to_numpy().astype(np.int64)[order].tobytes()), complete
 
 
-def _collected(segments: DataFrame, buckets: int, probes: int) -> Block:
-    """A block from its segments, which are copied once."""
-    table = segments.select("bucket", "bits").toArrow()
-    return Block(table["bucket"].to_pylist(), [x.as_buffer() for x in table["bits"]], buckets, probes)
+#: Bytes of segments that come to the driver at a time.
+SLICE_BYTES = 16 << 20
+
+
+def _collected(segments: DataFrame, sizes: list[tuple[int, int]], buckets: int, probes: int) -> Block:
+    """A block from its segments, which come in slices and are copied once."""
+    block = Block([b for b, _ in sizes], [n for _, n in sizes], buckets, probes)
+    for part in _runs(sizes, SLICE_BYTES):
+        table = segments.where(F.col("bucket").between(part[0][0], part[-1][0])).select("bucket", "bits").toArrow()
+        block.filled(table["bucket"].to_pylist(), [x.as_buffer() for x in table["bits"]])
+        del table
+        pa.default_memory_pool().release_unused()
+    return block
+
+
+def _runs(sizes: list[tuple[int, int]], most: int) -> list[list[tuple[int, int]]]:
+    """Buckets and sizes in runs of at most so many bytes, or of a single bucket."""
+    out: list[list[tuple[int, int]]] = []
+    held = 0
+    for bucket, n in sizes:
+        if not out or held + n > most:
+            out.append([])
+            held = 0
+        out[-1].append((bucket, n))
+        held += n
+    return out
 
 
 def trained(docs: DataFrame, s: Settings = Settings()) -> Model:
@@ -375,19 +401,13 @@ def trained(docs: DataFrame, s: Settings = Settings()) -> Model:
     buckets = max(1, -(-s.order * tokens // SEGMENT_GRAMS))
     rows = documents(docs).where(_training(s)).mapInArrow(_gram_counts(s.order, buckets), "bucket int, hashes binary, counts binary")
     segments = written(rows.groupBy("bucket").applyInArrow(_segment(s), "bucket int, grams long, items long, bits binary"))
-    blocks: list[list[int]] = [[]]
-    size = 0
-    for bucket, n in sorted((r[0], r[1]) for r in segments.select("bucket", F.length("bits")).collect()):
-        if blocks[-1] and size + n > s.block_bytes:
-            blocks.append([])
-            size = 0
-        blocks[-1].append(bucket)
-        size += n
+    sizes = sorted((r[0], r[1]) for r in segments.select("bucket", F.length("bits")).collect())
+    blocks = _runs(sizes, s.block_bytes) or [[]]
     send = docs.sparkSession.sparkContext.broadcast
     made = []
     if len(blocks) <= s.most_blocks:
         for own in blocks:
-            made.append(send(_collected(segments.where(F.col("bucket").between(own[0], own[-1]) if own else F.lit(False)), buckets, s.probes)))
+            made.append(send(_collected(segments, own, buckets, s.probes)))
         dropped(segments)
     head, complete = _head(counts, s)
     return Model(Facts(s, tokens, types, texts, buckets, complete), made, None if made else segments, send(head), counts)
@@ -540,7 +560,8 @@ def _looked_up(docs: DataFrame, segments: DataFrame, head: Broadcast, facts: Fac
     def told(requests: pa.Table, own: pa.Table) -> pa.Table:
         if not len(requests):
             return telling.empty_table()
-        block = Block(own["bucket"].to_pylist(), [x.as_buffer() for x in own["bits"]], buckets, s.probes)
+        bits = [x.as_buffer() for x in own["bits"]]
+        block = Block(own["bucket"].to_pylist(), [len(x) for x in bits], buckets, s.probes).filled(own["bucket"].to_pylist(), bits)
         blobs = [block.levels(np.frombuffer(x, "<u8")).tobytes() for x in requests["hashes"].to_pylist()]
         return pa.table([requests["group"], requests["bucket"], pa.array(blobs, pa.binary())], schema=telling)
 
