@@ -81,6 +81,12 @@ def yes_probability(outcomes: Column, prices: Column) -> Column:
     return F.get(prices, (F.greatest(F.coalesce(at, F.lit(0)), F.lit(1)) - 1).cast("int"))
 
 
+def outcome_probability(outcomes: Column, prices: Column, side: Column) -> Column:
+    """The price at the first outcome of that name, whatever its case (the first price if there is none); null where there is none."""
+    at = F.array_position(F.transform(outcomes, lambda x: F.lower(F.trim(x))), F.lower(F.trim(side)))
+    return F.get(prices, (F.greatest(F.coalesce(at, F.lit(0)), F.lit(1)) - 1).cast("int")).try_cast("double")
+
+
 def in_probability_band(p: Column, low: float = 0.10, high: float = 0.95) -> Column:
     """Null passes."""
     return F.coalesce((p >= low) & (p <= high), F.lit(True))
@@ -145,6 +151,18 @@ def redacted(c: Column) -> Column:
     return F.regexp_replace(c, "0x[0-9a-fA-F]{8,}", "[redacted]")
 
 
+def eastern(ts: Column) -> Column:
+    """A time as people in New York read it, summer time included, like Jul 4, 2024 9:05 AM ET; '' for null."""
+    return F.coalesce(F.concat(F.date_format(F.from_utc_timestamp(ts, "America/New_York"), "MMM d, yyyy h:mm a"), F.lit(" ET")), F.lit(""))
+
+
+def slug_url(base: str, slug: Column) -> Column:
+    """base and the slug, without slashes around it, in percent encoding (letters, digits and -._~ stay); null where it is empty."""
+    bare = F.regexp_replace(F.trim(slug), "^/+|/+$", "")
+    coded = F.replace(F.replace(F.replace(F.url_encode(bare), F.lit("+"), F.lit("%20")), F.lit("*"), F.lit("%2A")), F.lit("%7E"), F.lit("~"))
+    return F.when(bare != "", F.concat(F.lit(f"{base}/"), coded))
+
+
 def direction(velocity: Column) -> Column:
     return F.when(velocity > 0, "YES").when(velocity.isNotNull(), "NO")
 

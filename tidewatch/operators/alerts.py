@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import Alerts
+from ..functions import scalars as S
+from . import nested
 from .folds import BLOCK_ROWS, folded
 
 
@@ -75,3 +77,54 @@ def gated(requests: DataFrame, day_cap: int, month_cap: int) -> DataFrame:
     daily = need.withColumn("__d", F.row_number().over(Window.partitionBy("provider", day).orderBy("ts", "id"))).where(F.col("__d") <= day_cap)
     called = daily.withColumn("__m", F.row_number().over(Window.partitionBy("provider", month).orderBy("ts", "id"))).where(F.col("__m") <= month_cap).select("id").withColumn("called", F.lit(True))
     return requests.join(called, "id", "left").withColumn("called", F.coalesce("called", F.lit(False)))
+
+
+#: The last lines of a payload that are the same for all alerts.
+INVALIDATES = "Material contrary public evidence or a weaker replay-reconciled interpretation."
+
+
+def _json(text: str) -> Column:
+    """A JSON text as a variant; a text that is none as its string; null as an empty object."""
+    return F.coalesce(F.try_parse_json(text), F.try_parse_json(nested.quoted(F.col(text))), F.parse_json(F.lit("{}")))
+
+
+def _listed(names: Column) -> Column:
+    inside = F.array_join(names, "', '")
+    return F.when(F.size(names) > 0, F.concat(F.lit("['"), inside, F.lit("']"))).when(names.isNotNull(), "[]")
+
+
+def active_side(features: str) -> Column:
+    """The side that a candidate's features (JSON) name, else NO if the probability falls, else YES."""
+    at = lambda k: F.get_json_object(features, f"$.{k}")
+    told = F.upper(at("active_outcome_side"))
+    return F.when(told.isin("YES", "NO"), told).when(at("probability_velocity").try_cast("double") < 0, "NO").otherwise("YES")
+
+
+def rendered(rows: DataFrame, base_url: str) -> DataFrame:
+    """candidate_id and ``payload``: the alert as JSON with keys in order, wallets redacted at any depth, condition ids kept.
+
+    rows: candidate_id, market_id, event_id, condition_id, event_title, question, event_slug, market_slug, trigger_time, rules,
+    severity, severity_score, features and provider_summary (JSON), outcomes, outcome_prices, evidence_state,
+    model_version, score_label, score_value, scored_at (all null if the shadow model has no score), detector_version,
+    feature_schema_version. candidate_id tells the rows apart.
+
+    Features that are no JSON are shown as text. Of rows with a score, a value that is no number is null. Nulls are kept.
+    """
+    side, scored = active_side("features"), F.coalesce(*(F.col(c).cast("string") for c in ("model_version", "score_label", "score_value", "scored_at"))).isNotNull()
+    filled = lambda c: F.nullif(c, F.lit(""))
+    event, market, shown = S.slug_url(base_url, F.col("event_slug")), S.slug_url(base_url, F.col("market_slug")), S.eastern(F.col("trigger_time"))
+    links = (F.coalesce(event, market).alias("market_url"), event.alias("event_url"), market.alias("market_slug_url"), "market_slug", "event_slug", "condition_id")
+    score = F.struct(
+        F.when(scored, "scored").otherwise("pending").alias("state"), "model_version", "score_label",
+        F.round(F.col("score_value").try_cast("double"), 6).alias("score_value"), "scored_at")
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("None"))
+    payload = F.struct(
+        F.coalesce(filled("event_title"), filled("question"), filled("event_slug"), F.concat(F.lit("Market "), text("market_id"))).alias("title"),
+        "severity", shown.alias("trigger_time_display"),
+        F.concat(F.lit("Candidate "), text("candidate_id"), F.lit(" triggered at "), shown).alias("what_changed"),
+        F.concat(F.lit("Rules="), F.coalesce(_listed(F.col("rules")), F.lit("None")), F.lit(" severity_score="), text("severity_score")).alias("why_it_looks_informed"),
+        F.struct("market_id", "event_id", *links, _json("features").alias("feature_snapshot")).alias("market_evidence"), *links,
+        side.alias("active_outcome_side"), S.outcome_probability(F.col("outcomes"), F.col("outcome_prices"), side).alias("active_outcome_probability"),
+        F.coalesce(filled("evidence_state"), F.lit("pending_evidence")).alias("public_evidence_state"), _json("provider_summary").alias("provider_summary"),
+        score.alias("ml_shadow_score"), F.lit(INVALIDATES).alias("invalidates_it"), "detector_version", "feature_schema_version")
+    return nested.redacted(rows.select("candidate_id", F.to_json(payload, {"ignoreNullFields": "false"}).alias("payload")), "payload")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..config import Evaluation
 from ..functions import scalars as S
+from ..session import written
 from .folds import BLOCK_ROWS, folded, ranked
 from .joins import in_range
 
@@ -119,6 +120,25 @@ def rule_counts(found: DataFrame) -> DataFrame:
     return found.select(F.explode("rules").alias("rule")).groupBy("rule").agg(F.count("*").alias("n"))
 
 
+def candidate_report(found: DataFrame, top: int = 10) -> DataFrame:
+    """A report of candidates: section, key, n and largest severity, for hours, rules, the top markets, and totals.
+
+    found: market_id, ts, severity, rules. Totals are total_candidates and unique_markets. Markets are listed by number of
+    candidates, then severity, then id. Counted in one pass (a row for each hour, market and rule leaves a task), and the
+    counts written: the sections are read from them.
+    """
+    pair = lambda section, k: F.struct(F.lit(section).alias("section"), k.cast("string").alias("key"))
+    fixed = F.array(pair("hour", F.date_format("ts", "yyyy-MM-dd'T'HH:00:00")), pair("market", F.col("market_id")))
+    rules = F.coalesce(F.transform("rules", lambda r: pair("rule", r)), F.slice(fixed, 1, 0))
+    counted = written(found.select(F.explode(F.concat(fixed, rules)).alias("p"), "severity").groupBy("p.section", "p.key").agg(F.count("*").alias("n"), F.max("severity").alias("severity")))
+    markets = counted.where("section = 'market'")
+    first = markets.where("key is not null").orderBy(F.desc("n"), F.desc("severity"), "key").limit(top)
+    sums = markets.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total_candidates"), F.count("key").alias("unique_markets"), F.max("severity").alias("severity"))
+    each = F.explode(F.array(*(F.struct(F.lit(k).alias("key"), F.col(k).alias("n")) for k in ("total_candidates", "unique_markets")))).alias("t")
+    totals = sums.select(each, "severity").select(F.lit("total").alias("section"), "t.key", "t.n", "severity")
+    return counted.where("section <> 'market'").unionByName(first).unionByName(totals)
+
+
 def signature_differences(left: DataFrame, right: DataFrame) -> DataFrame:
     """Signatures (market, end, sorted rules) that only one of two runs has."""
     own = lambda df: df.select("market_id", "ts", F.array_join(F.array_sort("rules"), ",").alias("rules")).distinct()

@@ -56,11 +56,12 @@ def precision_at(rows: DataFrame, ks: tuple[int, ...], *keys: str, score: str =
     return ranked.groupBy(*keys).agg(*(F.round(F.avg(F.when(F.col("__r") <= k, F.col(label).cast("double"))), 6).alias(f"p_at_{k}") for k in ks))
 
 
-def precision_threshold(rows: DataFrame, target: float, *keys: str, score: str = "score", label: str = "label", tie: str = "doc_id", block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """The first score, from the top, at which the running precision reaches target among the rows down to it.
+def precision_thresholds(rows: DataFrame, targets: dict[str, float], *keys: str, score: str = "score", label: str = "label", tie: str = "doc_id", block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """For each target, by its name, the first score, from the top, at which the running precision reaches it among the rows
+    down to it; and n, the labelled rows, their positive_rate and mean_score.
 
     Where none does, the (1 - target) quantile of the scores. Running sums are taken within blocks of the order, on top of
-    the sums of the blocks before, so that a key of any size is shared by many tasks.
+    the sums of the blocks before, so that a key of any size is shared by many tasks; one pass serves all targets.
     """
     labelled = rows.where(F.col(label).isNotNull()).select(key(*keys).alias("__key"), F.col(score).alias("__s"), F.col(label).alias("__l"), F.col(tie).alias("__t"))
     placed = blocks(written(labelled), "__key", F.desc("__s"), "__t", block_rows=block_rows)
@@ -72,14 +73,44 @@ def precision_threshold(rows: DataFrame, target: float, *keys: str, score: str =
     w = Window.partitionBy("__key", "__block").orderBy("__place")
     run = F.sum("__l").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
     ranked = placed.join(offsets, ["__key", "__block"]).withColumn("__r", F.col("__n0") + F.row_number().over(w)).withColumn("__p", (F.col("__l0") + run) / F.col("__r"))
-    first = F.min_by("__s", F.when(F.col("__p") >= target, F.col("__r")))
-    # The quantile lies between two ranks, counted from the smallest score; scores that are null rank last.
-    at = (F.col("__m") - 1) * F.lit(1 - target)
-    value = lambda place: F.max(F.when(F.col("__r") == F.col("__m") - place, F.col("__s")))
-    share = F.max(at - F.floor(at))
-    quantile = value(F.floor(at)) * (1 - share) + value(F.ceil(at)) * share
-    out = ranked.groupBy(*(["__key"] if keys else [])).agg(F.round(F.coalesce(first, quantile), 6).alias("threshold"), F.count("*").alias("n"))
-    return out.select(*(F.col("__key")[k].alias(k) for k in keys), "threshold", "n")
+
+    def threshold(target: float) -> Column:
+        first = F.min_by("__s", F.when(F.col("__p") >= target, F.col("__r")))
+        # The quantile lies between two ranks, counted from the smallest score; scores that are null rank last.
+        at = (F.col("__m") - 1) * F.lit(1 - target)
+        value = lambda place: F.max(F.when(F.col("__r") == F.col("__m") - place, F.col("__s")))
+        share = F.max(at - F.floor(at))
+        return F.round(F.coalesce(first, value(F.floor(at)) * (1 - share) + value(F.ceil(at)) * share), 6)
+
+    out = ranked.groupBy(*(["__key"] if keys else [])).agg(
+        *(threshold(t).alias(name) for name, t in targets.items()), F.count("*").alias("n"), F.round(F.avg("__l"), 6).alias("positive_rate"), F.round(F.avg("__s"), 6).alias("mean_score"))
+    return out.select(*(F.col("__key")[k].alias(k) for k in keys), *targets, "n", "positive_rate", "mean_score")
+
+
+def precision_threshold(rows: DataFrame, target: float, *keys: str, score: str = "score", label: str = "label", tie: str = "doc_id", block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """``precision_thresholds`` for one target: threshold and n."""
+    return precision_thresholds(rows, {"threshold": target}, *keys, score=score, label=label, tie=tie, block_rows=block_rows).select(*keys, "threshold", "n")
+
+
+#: The precision that each severity's threshold must reach.
+PRECISIONS = {"watch_threshold": 0.55, "actionable_threshold": 0.65, "critical_threshold": 0.80}
+
+
+def calibration_profiles(rows: DataFrame, targets: dict[str, float] | None = None, tie: str = "doc_id", block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """Thresholds, positive rate and mean score overall, by liquidity and by category: scope, key and ``precision_thresholds``.
+
+    rows: score, label, dataset_partition, liquidity_bucket, category and tie. The labelled rows of the validation part
+    count, or all labelled rows where that part has none; scopes without labelled rows have no profile. Null buckets and
+    categories are a key of their own.
+    """
+    labelled = rows.where("label is not null")
+    is_validation = F.coalesce(F.col("dataset_partition") == "validation", F.lit(False))
+    seen = labelled.agg(F.coalesce(F.bool_or(is_validation), F.lit(False)).alias("__any"))
+    used = labelled.crossJoin(F.broadcast(seen)).where(is_validation | ~F.col("__any"))  # one row
+    pairs = (("global", F.lit("global")), ("liquidity_bucket", F.col("liquidity_bucket")), ("category", F.col("category")))
+    scopes = F.explode(F.array(*(F.struct(F.lit(s).alias("scope"), k.cast("string").alias("key")) for s, k in pairs))).alias("p")
+    each = used.select(scopes, "score", "label", F.col(tie).alias("doc_id")).select("p.*", "score", "label", "doc_id")
+    return precision_thresholds(each, targets or PRECISIONS, "scope", "key", block_rows=block_rows)
 
 
 def diagnostics(rows: DataFrame, features: list[str]) -> DataFrame:

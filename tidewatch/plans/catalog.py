@@ -31,7 +31,7 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def _load() -> None:
-    from . import detection, frames, grading, integrity, normalizing, reporting, scalars, trading  # noqa: F401
+    from . import detection, frames, grading, integrity, normalizing, reporting, scalars, trading, watching  # noqa: F401
 
 
 def queries() -> dict[str, Query]:
