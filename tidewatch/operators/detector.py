@@ -169,3 +169,21 @@ def melted(found: DataFrame, names: tuple[str, ...] = ("fresh_count", "fresh_sha
     """A row for each numeric feature."""
     wide = found.select("seq", *(F.col(n).cast("double") for n in names))
     return wide.unpivot("seq", list(names), "feature_name", "feature_value")
+
+
+def recorded(found: DataFrame, version: str, known: DataFrame | None = None) -> DataFrame:
+    """Candidates that aren't known yet, one for each detector version, market and time, with candidate_id and episode_id.
+
+    Of several with the same natural key the first to arrive (smallest seq) counts. known: detector_version, market_id and
+    ts of candidates already stored. Null markets and times are keys like others. Ids are digests of the key, so a run
+    repeated gives the same rows, and none once they are stored.
+    """
+    keys = ("detector_version", "market_id", "ts")
+    rest = [c for c in found.columns if c not in keys and c != "seq"]
+    rows = found.withColumn("detector_version", F.lit(version))
+    rows = rows.groupBy(*keys).agg(F.min_by(F.struct("seq", *rest), "seq").alias("__c")).select(*keys, "__c.*")
+    if known is not None:
+        same = [F.col(f"r.{k}").eqNullSafe(F.col(f"k.{k}")) for k in keys]
+        rows = rows.alias("r").join(known.select(*keys).alias("k"), same, "left_anti")
+    text = F.concat_ws("|", *(F.coalesce(c.cast("string"), F.lit("")) for c in (F.col("detector_version"), F.col("market_id"), F.unix_micros("ts"))))
+    return rows.withColumns({"candidate_id": F.substring(F.sha1(text), 1, 16), "episode_id": F.substring(F.sha1(F.concat(F.lit("episode|"), text)), 1, 16)})

@@ -43,6 +43,19 @@ def ranked(keys: DataFrame, column: str, block_rows: int = BLOCK_ROWS) -> DataFr
     return placed.join(offsets, "__block").select(column, (own + F.col("__before")).alias("rank"))
 
 
+def numbered(rows: DataFrame, *order: Column | str, name: str = "seq", block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """rows with their place in the order, from 1, over the whole table: places in blocks on top of the blocks before.
+
+    The order must tell all rows apart for numbers that are the same in every run. rows are computed once, as a table.
+    """
+    placed = blocks(written(rows), *order, block_rows=block_rows)
+    sizes = placed.groupBy("__block").agg(F.count("*").alias("n"))
+    before = F.sum("n").over(Window.orderBy("__block").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = sizes.select("__block", F.coalesce(before, F.lit(0)).alias("__before"))  # a row for each block
+    own = F.col("__place").bitwiseAND(F.lit((1 << 33) - 1)) + 1
+    return placed.join(F.broadcast(offsets), "__block").select(*rows.columns, (own + F.col("__before")).alias(name))
+
+
 def key(*columns: str) -> Column:
     """The columns as one value; nulls are equal to each other, and no columns are one key of all rows."""
     return F.struct(F.lit(0).alias("all"), *columns)

@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
-from ..operators import alerts, evaluation, ml, review, universe
+from ..operators import alerts, evaluation, health, ml, review, universe, wallets
 from ..operators import detector as X
 from ..sources import driver as D
+from ..sources import log
 from .catalog import query
 from .detection import _RULES, DAYS
-from .trading import _SUM
+from .trading import _SUM, CANONICAL, canonical
 
 
 def _events(spark, sf_dir):  # noqa: ANN001, ANN202
@@ -193,3 +194,103 @@ SELECT 'hour' AS section, strftime(date_trunc('hour', ts), '%Y-%m-%dT%H:00:00')
 UNION ALL SELECT 'market', * FROM (SELECT * FROM m ORDER BY n DESC, severity DESC, key LIMIT 10) UNION ALL SELECT 'total', 'total_candidates', count(*), max(severity) FROM hits UNION ALL SELECT 'total', 'unique_markets', count(DISTINCT market_id), max(severity) FROM hits""")
 def _(spark, sf_dir):
     return evaluation.candidate_report(X.candidates(D.stream(spark, sf_dir), DAYS))
+
+
+_LOW = "lower(nullif(trim(wallet), ''))"
+
+
+@query("a4_netted_positions", f"""WITH {CANONICAL}, t AS (SELECT {_LOW} AS wallet, market_id, outcome_side, nullif(trim(condition_id), '') AS condition_id, trade_id, ts, coalesce(side = 'SELL', false) AS sell, size,
+  CASE WHEN priority = 2 THEN CAST(price * size AS DECIMAL(28,10)) ELSE CAST(notional AS DECIMAL(28,10)) END AS amount, price FROM canonical WHERE {_LOW} IS NOT NULL),
+g AS (SELECT wallet, market_id, outcome_side, sum(CASE WHEN sell THEN 0 ELSE size END) AS buy_size, sum(CASE WHEN sell THEN size ELSE 0 END) AS sell_size, CAST(coalesce(sum(amount) FILTER (NOT sell), 0) AS DOUBLE) AS buy_amount, CAST(coalesce(sum(amount) FILTER (sell), 0) AS DOUBLE) AS sell_amount,
+ count(*) AS n_trades, count(*) FILTER (NOT sell) AS n_buy, count(*) FILTER (sell) AS n_sell, min(price) FILTER (price > 0) AS low, max(price) FILTER (price > 0) AS high, min(ts) AS first_ts, max(ts) AS last_ts, list(trade_id ORDER BY ts, trade_id)[1:5] AS ids FROM t GROUP BY 1, 2, 3),
+m AS (SELECT wallet, market_id, outcome_side, condition_id FROM (SELECT wallet, market_id, outcome_side, condition_id, count(*) AS n FROM t WHERE condition_id IS NOT NULL GROUP BY 1, 2, 3, 4) QUALIFY row_number() OVER (PARTITION BY wallet, market_id, outcome_side ORDER BY n DESC, condition_id) = 1)
+SELECT g.* EXCLUDE (ids), m.condition_id, buy_size - sell_size AS net_size, round(buy_amount - sell_amount, 6) AS net_notional, buy_amount / nullif(buy_size, 0) AS avg_buy_price, sell_amount / nullif(sell_size, 0) AS avg_sell_price, array_to_string(ids, ',') AS first_trades
+FROM g LEFT JOIN m USING (wallet, market_id, outcome_side) WHERE abs(buy_size - sell_size) > 1e-9""")
+def _(spark, sf_dir):
+    t = canonical(spark, sf_dir).withColumn("notional", F.when(F.col("priority") != 2, F.col("notional")))
+    return wallets.netted(t).withColumn("net_notional", F.round("net_notional", 6))
+
+
+_ID = "substr(sha1({}'v1|' || market_id || '|' || epoch_us(ts)), 1, 16)"
+
+
+@query("sk6_recorded_candidates", f"""WITH {_RULES}, found AS (SELECT sev.market_id, date_trunc('hour', stream.ts) AS ts, sev.seq, severity FROM sev JOIN stream USING (seq) WHERE len(rules) > 0), once AS (SELECT market_id, ts, min(seq) AS seq, arg_min(severity, seq) AS severity FROM found GROUP BY 1, 2)
+SELECT 'v1' AS detector_version, market_id, ts, seq, severity, {_ID.format('')} AS candidate_id, {_ID.format("'episode|' || ")} AS episode_id FROM once WHERE ts >= TIMESTAMP '2024-01-10' OR seq % 2 = 0""")
+def _(spark, sf_dir):
+    found = X.candidates(D.stream(spark, sf_dir), DAYS).select("market_id", F.date_trunc("hour", "ts").alias("ts"), "seq", "severity")
+    stored = X.recorded(found, "v1").where("ts < timestamp '2024-01-10' and seq % 2 = 1")
+    return X.recorded(found, "v1", stored)
+
+
+def _envelopes(spark, sf_dir):  # noqa: ANN001, ANN202
+    e, id = _events(spark, sf_dir), F.col("event_id").cast("string")
+    return e.select(
+        F.concat(F.lit("n"), id).alias("envelope_id"), F.lit("1").alias("schema_version"), F.col("event_type").alias("source_system"), F.lit("page").alias("entity_type"), F.when(F.col("user_id") % 2 == 0, "push").alias("event_type"),
+        F.date_format("ts", "yyyy-MM-dd'T'HH").alias("captured_at"), F.when(F.col("user_id") % 3 != 0, F.concat(F.lit("k"), F.col("user_id"))).alias("ordering_key"), F.col("props").alias("payload"), "ts", "event_id")
+
+
+_SCAN = "FROM events WHERE event_type IN ('click', 'view') AND ts >= TIMESTAMP '2024-01-05' AND ts < TIMESTAMP '2024-01-20'"
+_SEQ = "row_number() OVER (ORDER BY strftime(ts, '%Y-%m-%dT%H'), CASE WHEN user_id % 3 <> 0 THEN 'k' || user_id ELSE '' END, 'n' || event_id)"
+
+
+@query("sc3_ordered_scan", f"SELECT event_id, {_SEQ} AS seq {_SCAN}")
+def _(spark, sf_dir):
+    rows = _envelopes(spark, sf_dir).where("source_system in ('click', 'view') and ts >= timestamp '2024-01-05' and ts < timestamp '2024-01-20'")
+    return log.ordered(rows).select("event_id", "seq")
+
+
+@query("sc3_limited_scan", f"SELECT event_id, {_SEQ} AS seq {_SCAN} QUALIFY seq <= 150")
+def _(spark, sf_dir):
+    rows = _envelopes(spark, sf_dir).where("source_system in ('click', 'view') and ts >= timestamp '2024-01-05' and ts < timestamp '2024-01-20'")
+    return log.ordered(rows, 150).select("event_id", "seq")
+
+
+_UTC = "strftime(date_trunc('second', ts), '%Y-%m-%dT%H:%M:%S') || CASE WHEN epoch_us(ts) % 1000000 > 0 THEN strftime(ts, '.%f') ELSE '' END || '+00:00'"
+
+
+@query("st15_republished", f"""SELECT 'run' AS replay_run_id, {_UTC} AS captured_at, '2024-02-01T00:00:00+00:00' AS replayed_at, event_type AS source_system, 'replay_raw_event' AS entity_type, {_UTC} || '::n' || event_id AS ordering_key,
+ strftime(ts, 'year=%Y/month=%m/day=%d/hour=%H/source=') || event_type AS raw_partition, 'n' || event_id AS original_envelope_id, CASE WHEN user_id % 2 = 0 THEN 'push' END AS original_event_type, '1' AS original_schema_version,
+ '{{"envelope_id":"n' || event_id || '","schema_version":"1","source_system":"' || event_type || '","entity_type":"page","event_type":' || CASE WHEN user_id % 2 = 0 THEN '"push"' ELSE 'null' END || ',"captured_at":"' || strftime(ts, '%Y-%m-%dT%H')
+ || '","ordering_key":' || CASE WHEN user_id % 3 <> 0 THEN '"k' || user_id || '"' ELSE 'null' END || ',"payload":' || CAST(to_json(props) AS VARCHAR) || '}}' AS payload {_SCAN}""")
+def _(spark, sf_dir):
+    rows = _envelopes(spark, sf_dir).where("source_system in ('click', 'view') and ts >= timestamp '2024-01-05' and ts < timestamp '2024-01-20'")
+    return log.republished(rows, "run", F.lit("2024-02-01").cast("timestamp"))
+
+
+def _decisions(spark, sf_dir):  # noqa: ANN001, ANN202
+    e, id = _events(spark, sf_dir), F.col("event_id")
+    names = F.array(*map(F.lit, ("keep", "compact_candidate", "cold_archive_candidate", "compact_and_cold_archive")))
+    return e.select(F.concat(F.lit("p"), id).alias("path"), F.when(F.col("user_id") % 10 != 0, F.concat(F.lit("s"), F.col("user_id") % 10)).alias("source"), F.floor(F.col("value") * 100).cast("long").alias("n_bytes"), (id % 50 != 0).alias("exists"), F.get(names, (id % 4).cast("int")).alias("action"),
+                    F.when(id % 7 != 0, S.storage_tier(F.col("value") * 2)).alias("tier"))
+
+
+_AUDIT = """d AS (SELECT 'p' || event_id AS path, CASE WHEN user_id % 10 <> 0 THEN 's' || (user_id % 10) ELSE 'unknown' END AS source, CAST(floor(value * 100) AS BIGINT) AS n_bytes, event_id % 50 = 0 AS gone, ['keep', 'compact_candidate', 'cold_archive_candidate', 'compact_and_cold_archive'][event_id % 4 + 1] AS action,
+ CASE WHEN event_id % 7 = 0 THEN 'unknown' WHEN value * 2 <= 30 THEN 'hot' WHEN value * 2 <= 120 THEN 'warm' WHEN value * 2 <= 365 THEN 'cold' ELSE 'archive_only' END AS tier FROM events)"""
+_ROLL = "count(*) AS partitions, CAST(sum(n_bytes) AS BIGINT) AS bytes, count(*) FILTER (gone) AS missing, count(*) FILTER (action LIKE 'compact%') AS compact, count(*) FILTER (action LIKE '%cold_archive%') AS cold"
+
+
+@query("a32_integrity_summary", f"""WITH {_AUDIT}, s AS (SELECT source, {_ROLL} FROM d GROUP BY 1) SELECT source, CAST(row_number() OVER (ORDER BY missing DESC, bytes DESC, source) AS INTEGER) AS place, partitions, bytes, missing, compact, cold, NULL AS status FROM s
+UNION ALL SELECT NULL, (SELECT count(*) FROM s), *, CASE WHEN missing > 0 THEN 'missing_partitions_detected' ELSE 'ready' END FROM (SELECT {_ROLL} FROM d)""")
+def _(spark, sf_dir):
+    return health.integrity_summary(_decisions(spark, sf_dir))
+
+
+@query("a33_dashboard", f"""WITH {_AUDIT}, r AS (SELECT x.s AS section, x.k AS key, count(*) AS n, CAST(sum(n_bytes) AS BIGINT) AS bytes, count(*) FILTER (gone) AS missing FROM (SELECT unnest([{{'s': 'source', 'k': source}}, {{'s': 'action', 'k': action}}, {{'s': 'tier', 'k': tier}}]) AS x, n_bytes, gone FROM d) GROUP BY 1, 2)
+SELECT * FROM (SELECT * FROM r WHERE section = 'source' ORDER BY bytes DESC, key LIMIT 5) UNION ALL SELECT * FROM r WHERE section <> 'source' UNION ALL SELECT * FROM (SELECT 'partition', path, 1, n_bytes, CAST(gone AS BIGINT) FROM d ORDER BY n_bytes DESC, path LIMIT 5)""")
+def _(spark, sf_dir):
+    return health.dashboard(_decisions(spark, sf_dir), 5)
+
+
+@query("m12_status_ladders", """WITH now AS (SELECT max(ts) + INTERVAL 10 HOUR AS t FROM events), a AS (SELECT event_id, ts, CAST(floor(value) AS BIGINT) % 3 AS missing FROM events WHERE event_type = 'error' ORDER BY ts DESC, event_id DESC LIMIT 1),
+m AS (SELECT 'm' || user_id AS model FROM events WHERE event_type = 'purchase' AND user_id % 2 = 0 ORDER BY ts DESC, 'm' || user_id DESC LIMIT 1), x AS (SELECT 'a' || event_id AS audit_id, (epoch_us(t) - epoch_us(ts)) / 3600000000 AS age, missing, (SELECT count(*) FROM events, now WHERE event_type = 'signup' AND ts >= t - INTERVAL 24 HOUR) AS recent_alerts,
+ (SELECT count(*) FROM events, now WHERE event_type = 'click' AND ts >= t - INTERVAL 24 HOUR) AS recent_scores, (SELECT model FROM m) AS active_model FROM a, now),
+y AS (SELECT *, concat_ws(',', CASE WHEN age > 48 THEN 'storage_audit_is_stale' END, CASE WHEN missing > 0 THEN 'missing_archive_files_detected' END, CASE WHEN recent_scores = 0 THEN 'no_recent_shadow_scores' END, CASE WHEN active_model IS NULL THEN 'no_active_shadow_model' END) AS blockers FROM x)
+SELECT audit_id, round(age, 3) AS age_hours, missing, recent_alerts, recent_scores, active_model, CASE WHEN missing > 0 THEN 'missing_archive_files' WHEN age > 48 THEN 'stale_storage_audit' ELSE 'ok' END AS health, blockers, CASE WHEN blockers = '' THEN 'ready_for_redundancy_design' ELSE 'not_ready_for_redundancy_design' END AS redundancy FROM y""")
+def _(spark, sf_dir):
+    e = _events(spark, sf_dir)
+    of = lambda kind: e.where(F.col("event_type") == kind)
+    end = e.agg((F.max("ts") + F.expr("interval 10 hours")).alias("now"))
+    audits = of("error").select(F.concat(F.lit("a"), "event_id").alias("audit_id"), "ts", (F.floor("value") % 3).alias("missing"))
+    models = of("purchase").select(F.concat(F.lit("m"), "user_id").alias("model"), F.when(F.col("user_id") % 2 == 0, "active").otherwise("retired").alias("status"), F.col("ts").alias("activated_ts"))
+    now = F.lit(end.first()[0])
+    return health.ladders(audits, health.runtime(of("signup"), of("click"), models, now), now).withColumn("blockers", F.array_join("blockers", ","))

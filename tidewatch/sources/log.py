@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from ..operators.folds import numbered
+from ..operators.nested import iso
 
 ENVELOPE = "envelope_id string, schema_version string, source_system string, entity_type string, event_type string, captured_at string, ordering_key string, payload string, _corrupt_record string"
 TRADE = "struct<trade_id:string,market_id:string,proxy_wallet:string,side:string,outcome_side:string,price:string,size:string,usdc_notional:string,trade_time:string,captured_at:string>"
@@ -38,6 +40,42 @@ def read(spark: SparkSession, root: str, start: str | None = None, end: str | No
     return out.where(F.col("ts") < F.lit(end).cast("timestamp")) if end else out
 
 
+ORDER = ("captured_at", "ordering_key", "envelope_id")
+
+
+def ordered(envelopes: DataFrame, limit: int | None = None) -> DataFrame:
+    """envelopes with ``seq``, from 1, in the order in which the detector takes them: time, key and id, as texts, null as ''.
+
+    limit: only the first ones, of all sources together (a top-k: tasks keep as many rows each).
+    """
+    keys = [F.coalesce(c, F.lit("")) for c in ORDER]
+    if limit is not None:
+        envelopes = envelopes.orderBy(*keys).limit(limit)
+    return numbered(envelopes, *keys)
+
+
+def scan(spark: SparkSession, root: str, sources: tuple[str, ...], start: str, end: str, limit: int | None = None) -> DataFrame:
+    """What the sources captured in [start, end), ``ordered``. Only the folders of these sources and hours are read."""
+    folders = [S.source_name(F.lit(s)) for s in sources]
+    return ordered(read(spark, root, start, end).where(F.col("source").isin(*folders)), limit)
+
+
+def republished(envelopes: DataFrame, run: str, at: Column) -> DataFrame:
+    """envelopes wrapped once more for a replay: key, origin, and the whole envelope as the payload.
+
+    The key, captured_at::envelope_id, orders a replay by the time of capture. Envelopes without such a time are left out.
+    The hour's folder is named in raw_partition.
+    """
+    shown = iso(F.col("ts"))
+    own = [c for c in ("envelope_id", "schema_version", "source_system", "entity_type", "event_type", "captured_at", "ordering_key", "payload") if c in envelopes.columns]
+    return envelopes.where("ts is not null").select(
+        F.lit(run).alias("replay_run_id"), shown.alias("captured_at"), iso(at).alias("replayed_at"), "source_system", F.lit("replay_raw_event").alias("entity_type"),
+        F.concat(shown, F.lit("::"), F.coalesce("envelope_id", F.lit(""))).alias("ordering_key"),
+        F.concat(F.date_format("ts", "'year='yyyy'/month='MM'/day='dd'/hour='HH"), F.lit("/source="), S.source_name(F.col("source_system"))).alias("raw_partition"),
+        F.col("envelope_id").alias("original_envelope_id"), F.col("event_type").alias("original_event_type"), F.col("schema_version").alias("original_schema_version"),
+        F.to_json(F.struct(*own), {"ignoreNullFields": "false"}).alias("payload"))
+
+
 def stream(spark: SparkSession, root: str, files_per_batch: int = 1000) -> DataFrame:
     """The same as a stream of new files."""
     return _parsed(spark.readStream.schema(ENVELOPE).option("maxFilesPerTrigger", files_per_batch).option("recursiveFileLookup", "true").json(root))
