@@ -277,6 +277,29 @@ def test_quality_without_labels(docs, labels):
     assert quality.judged(docs, labels.limit(0)).where("kept = base_failed").count() == 0
 
 
+def test_quality_fitted_on_all(spark):
+    """Leaves and threshold are counted over all labelled rows, more than the former limit of 4,096, however they lie."""
+    rng = random.Random(5)
+    words = ["".join(rng.choices("abcdefgh", k=rng.randint(2, 9))) for _ in range(300)]
+    text = lambda bad: " ".join(rng.choices(words[:25] if bad else words, k=rng.randint(50, 70))) + "#" * (rng.randint(0, 9) if bad else rng.random() < 0.1)
+    bad = [rng.random() < 0.1 for _ in range(6000)]
+    docs = spark.createDataFrame([(i, text(b)) for i, b in enumerate(bad)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1 - b) for i, b in enumerate(bad)], "doc_id long, quality int")
+    forest, most = quality.fitted(docs, labels, cost=2.0)
+    again = quality.fitted(docs.repartition(3), labels.repartition(2), cost=2.0)
+    assert (forest.path == again[0].path).all() and (forest.cut == again[0].cut).all() and most == again[1]
+    got = [r for r in quality.judged(docs, labels, cost=2.0).collect() if not r.base_failed]
+    score = [np.array([r.anomaly for r in got if bad[r.doc_id] == b]) for b in (False, True)]
+    assert len(got) > 5500 and 0 < most < 1 and most == quality.threshold(*score, 2.0)
+    stats = np.array([r.stats for r in quality.statistics(docs).where(~quality.base_failed()).orderBy("doc_id").collect()])
+    ids = sorted(r.doc_id for r in got)
+    weight = np.array([min(1.0, quality.BAD_SHARE * len(score[0]) / len(score[1])) if bad[i] else 1.0 for i in ids])
+    mass = np.array([np.bincount(x, weight, forest.cut.shape[1]) for x in forest.leaves(stats)])
+    path = forest.path.copy()
+    forest.weigh(mass)
+    assert forest.cut.shape[0] == quality.TREES and np.abs(path - forest.path).max() < 1e-6
+
+
 PII = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
 
 
