@@ -8,6 +8,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -230,6 +231,17 @@ def brute(texts, width, percent):
     return dict(enumerate(comp))
 
 
+def test_encoder_cost():
+    """Random words, spelled with letters of one to three bytes: whole ids, with places of 32 bits."""
+    rng = random.Random(3)
+    texts = [" ".join("".join(rng.choices("abcdeéüñøßжщ漢字", k=rng.randint(1, 12))) + rng.choice(["", "", ",", "!?"]) for _ in range(400)) for _ in range(20)]
+    coder, t = tokens.Encoder(tokens.default_tokenizer()), Tokenizer.from_file(tokens.default_tokenizer())
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(tokens.np, "repeat", lambda a, n, f=np.repeat: f(a, n) if a.dtype != np.int64 else 1 / 0)
+        got = list(coder.documents(pa.array([*texts, None])))
+    assert np.concatenate([g[0] for g in got]).tolist() == [i for x in [*texts, ""] for i in [*t.encode(x, add_special_tokens=False).ids, 0]]
+
+
 def test_quality(docs, rows, labels):
     got = {r.doc_id: r for r in quality.judged(docs, labels).collect()}
     for i, x in rows:

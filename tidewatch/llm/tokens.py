@@ -10,6 +10,8 @@ from __future__ import annotations
 import os
 import uuid
 import zlib
+from array import array
+from codecs import charmap_decode
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,7 +40,8 @@ _MARKS = ".,;:!?*%$#&|"
 #: A byte-level vocabulary shows each byte as a character: printable ones as they are, the others from 256 on.
 _SPACE = "\u0120"
 _PLAIN = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
-_SHOWN = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _PLAIN)}
+_ELSE = iter(range(256, 512))
+_SHOWN = "".join(chr(b if b in _PLAIN else next(_ELSE)) for b in range(256))
 #: First bytes of control characters and of white space beyond ASCII, fixed values.
 _ODD = np.isin(np.arange(256), [*range(0x21), 0x7F, 0xC2, 0xE1, 0xE2, 0xE3, 0xEF])
 
@@ -51,6 +54,10 @@ def _odd(pieces: pa.Array) -> np.ndarray:
     return empty | _ODD[np.append(data, 0)[np.where(empty, len(data), offsets[:-1])]]
 
 
+def _strings(texts: pa.Array) -> list[str]:
+    return texts.to_numpy(zero_copy_only=False).tolist()
+
+
 MANIFEST = "file_no long, tokens_path string, docs_path string, n_docs long, n_tokens long"
 
 
@@ -122,8 +129,8 @@ class Encoder:
 
     def _word(self, word: str) -> bytes:
         """Ids of a space and letters: one token of the pre-tokenizer, so that the model alone can encode it."""
-        shown = word if word.isascii() else word.encode().decode("latin-1").translate(_SHOWN)
-        return np.array([t.id for t in self.model.tokenize(_SPACE + shown)], dtype=self.dtype).tobytes()
+        shown = word if word.isascii() else charmap_decode(word.encode(), "strict", _SHOWN)[0]
+        return array(self.dtype.char, [t.id for t in self.model.tokenize(_SPACE + shown)]).tobytes()
 
     def _tail(self, marks: str) -> bytes:
         if marks not in self.tails:
@@ -143,7 +150,7 @@ class Encoder:
         split = pc.split_pattern(texts, " ")
         offsets = split.offsets.to_numpy().astype(np.int64)
         coded = split.flatten().dictionary_encode()
-        codes, pieces = coded.indices.to_numpy().astype(np.int64), coded.dictionary
+        codes, pieces = coded.indices.to_numpy(), coded.dictionary
         heads, n, count = offsets[:-1], len(pieces), len(texts)
         is_head = np.zeros(len(codes), dtype=bool)
         is_head[heads] = True
@@ -153,11 +160,11 @@ class Encoder:
         inner = ~is_head & ~np.repeat(in_odd, np.diff(offsets))
         used = np.zeros(n, dtype=bool)
         used[codes[inner]] = True
-        ids = self._pieces(pieces.take(pa.array(np.flatnonzero(used))).to_pylist())
+        ids = self._pieces(_strings(pieces.take(pa.array(np.flatnonzero(used)))))
         # After the pieces' codes: each text's head (an odd text as a whole), the end id, and nothing.
-        codes = np.where(inner, (np.cumsum(used) - 1)[codes], len(ids) + count + 1)
-        first = texts.take(pa.array(np.flatnonzero(in_odd))).to_pylist()
-        plain = split.flatten().take(pa.array(heads[~in_odd])).to_pylist()
+        codes = np.where(inner, (np.cumsum(used, dtype=np.int32) - 1)[codes], np.int32(len(ids) + count + 1))
+        first = _strings(texts.take(pa.array(np.flatnonzero(in_odd))))
+        plain = _strings(split.flatten().take(pa.array(heads[~in_odd])))
         whole = iter(self._whole(first)), iter(self._whole(plain))
         codes[heads] = len(ids) + np.arange(count)
         codes = np.insert(codes, offsets[1:], len(ids) + count)
@@ -168,8 +175,9 @@ class Encoder:
         size = sizes[codes]
         ends = np.cumsum(size)
         flat = np.frombuffer(b"".join(ids), dtype=self.dtype)
-        place = np.repeat(starts[codes] - (ends - size), size)
-        place += np.arange(len(place))
+        kind = np.int32 if max(int(ends[-1]), len(flat)) < 1 << 31 else np.int64
+        place = np.repeat((starts[codes] - (ends - size)).astype(kind), size)
+        place += np.arange(len(place), dtype=kind)
         return flat[place], np.add.reduceat(size, heads + np.arange(count))
 
     def documents(self, texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
