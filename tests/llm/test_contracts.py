@@ -242,6 +242,22 @@ def test_encoder_cost():
     assert np.concatenate([g[0] for g in got]).tolist() == [i for x in [*texts, ""] for i in [*t.encode(x, add_special_tokens=False).ids, 0]]
 
 
+def test_substring_answers_together(monkeypatch):
+    """The answers of a bucket's contexts are coded together: array steps don't grow with the contexts."""
+    rng = random.Random(9)
+    texts = ["".join(rng.choices("ab", k=60)) for _ in range(300)]
+    contexts = [t.encode() for t in texts] + [t[:55].encode() for t in texts[:100]]
+    marks = [*range(300), *range(100)]
+    row = {"bucket": 0, "block": 0, "sizes": np.array([len(c) for c in contexts], "<u4").tobytes(), "bytes": b"".join(contexts), "least": np.array(range(400, 0, -1), "<i8").tobytes(), "marks": np.array(marks, "<u4").tobytes()}
+    calls = []
+    monkeypatch.setattr(substrings.np, "diff", lambda *a, f=np.diff, **k: calls.append(1) or f(*a, **k))
+    (got,) = substrings._find(50)((pa.scalar(0),), pa.Table.from_pylist([row], schema=substrings._CONTEXTS)).to_pylist()
+    counts, lengths, least = (np.frombuffer(got[c], k) for c, k in (("counts", "<u4"), ("lengths", "<u4"), ("least", "<i8")))
+    want = [[min(400 - j for j, d in enumerate(contexts) if c[s : s + 50] in d) for s in range(len(c) - 49)] for c in contexts]
+    assert np.repeat(least, lengths).tolist() == list(itertools.chain(*want))
+    assert counts.tolist() == [1 + sum(a != b for a, b in itertools.pairwise(w)) for w in want] and len(calls) < 20
+
+
 def test_quality(docs, rows, labels):
     got = {r.doc_id: r for r in quality.judged(docs, labels).collect()}
     for i, x in rows:

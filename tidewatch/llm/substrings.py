@@ -232,26 +232,37 @@ def _find(length: int):
             asked.append(own)
         _, group, count = np.unique(np.array(marks), return_inverse=True, return_counts=True)
         alone, mins = count[group] == 1, np.array(least, dtype=np.int64)
-        sorted_ones = iter(smallest([c for c, a in zip(place, alone.tolist(), strict=True) if not a], mins[~alone], length))
-        found = [np.full(len(c) - length + 1, m) if a else next(sorted_ones) for c, a, m in zip(place, alone.tolist(), least, strict=True)]
-        coded = []
-        for x in found:
-            heads = np.flatnonzero(np.diff(x, prepend=-1 if x[0] != -1 else -2))
-            coded.append((len(heads), np.diff(heads, append=len(x)).astype("<u4"), x[heads]))
+        # Runs of equal answers, of all distinct contexts end to end.
+        n_starts = np.array([len(c) for c in place], dtype=np.int64) - length + 1
+        parts = smallest([c for c, a in zip(place, alone.tolist(), strict=True) if not a], mins[~alone], length)
+        answers = np.concatenate([np.zeros(0, dtype=np.int64), *parts])
+        del parts
+        begins = np.cumsum(n_starts[~alone]) - n_starts[~alone]
+        new = np.ones(len(answers), dtype=bool)
+        new[1:] = answers[1:] != answers[:-1]
+        new[begins] = True
+        heads = np.flatnonzero(new)
+        counts = np.ones(len(place), dtype=np.int64)
+        counts[~alone] = np.diff(np.searchsorted(heads, begins), append=len(heads))
+        of_alone = np.repeat(alone, counts)
+        lengths, values = np.empty(len(of_alone), "<u4"), np.empty(len(of_alone), "<i8")
+        lengths[of_alone], values[of_alone] = n_starts[alone], mins[alone]
+        lengths[~of_alone], values[~of_alone] = np.diff(heads, append=len(answers)), answers[heads]
+        firsts = np.cumsum(counts) - counts
         out = []
         for r, own in zip(rows, asked, strict=True):
-            parts = [coded[i] for i in own]
-            out.append({"block": r["block"], "bucket": key[0].as_py(), "counts": np.array([p[0] for p in parts], "<u4").tobytes(), "lengths": np.concatenate([p[1] for p in parts]).tobytes(), "least": np.concatenate([p[2] for p in parts]).astype("<i8").tobytes()})
+            own = np.array(own, dtype=np.int64)
+            n = counts[own]
+            at = np.repeat(firsts[own] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            out.append({"block": r["block"], "bucket": key[0].as_py(), "counts": n.astype("<u4").tobytes(), "lengths": lengths[at].tobytes(), "least": values[at].tobytes()})
         return pa.Table.from_pylist(out, schema=_FOUND)
 
     return of
 
 
-def covered(size: int, starts: np.ndarray, length: int) -> np.ndarray:
-    """Marks the length bytes from each start."""
-    step = np.zeros(size + 1, dtype=np.int32)
-    np.add.at(step, starts, 1)
-    np.add.at(step, starts + length, -1)
+def covered(size: int, starts: list[int], stops: list[int]) -> np.ndarray:
+    """Marks the bytes from each start to its stop."""
+    step = np.bincount(starts, minlength=size + 1) - np.bincount(stops, minlength=size + 1)
     return np.cumsum(step[:-1]) > 0
 
 
@@ -266,23 +277,25 @@ def _remove(buckets: int, length: int, gram: int, with_text: bool):
                 shared.append({"hashes": r["hashes"], "bucket": r["bucket"]})
             else:
                 counts = np.frombuffer(r["counts"], "<u4")
-                answers[r["bucket"]] = (np.concatenate(([0], np.cumsum(counts))).astype(np.int64), np.frombuffer(r["lengths"], "<u4").astype(np.int64), np.frombuffer(r["least"], "<i8"))
+                heads = np.concatenate(([0], np.cumsum(counts))).astype(np.int64)
+                answers[r["bucket"]] = (memoryview(heads), memoryview(r["lengths"]).cast("I"), memoryview(r["least"]).cast("q"))
         ids, texts, where = _texts(left)
         marks: list[np.ndarray | None] = [None] * len(texts)
         if answers:
             known = _known(pa.Table.from_pylist(shared, schema=pa.schema([("hashes", pa.binary()), ("bucket", pa.int64())])))
             *_, places = _distinct_contexts(ids, texts, known, buckets, length, gram)
             for j, (doc, own) in enumerate(zip(ids, places, strict=True)):
-                starts = []
+                starts, stops = [], []
                 for b, i, s in own:
                     heads, lengths, least = answers[b]
                     at = s
                     for q in range(heads[i], heads[i + 1]):
                         if least[q] < doc:
-                            starts.append(np.arange(at, at + lengths[q]))
+                            starts.append(at)
+                            stops.append(at + lengths[q] - 1 + length)
                         at += lengths[q]
                 if starts:
-                    marks[j] = covered(len(texts[j]), np.concatenate(starts), length)
+                    marks[j] = covered(len(texts[j]), starts, stops)
         out = []
         for doc, data in zip(left.column("doc_id").to_pylist(), left.column("text").cast(pa.binary()).to_pylist(), strict=True):
             data = data or b""
