@@ -242,6 +242,20 @@ def test_encoder_cost():
     assert np.concatenate([g[0] for g in got]).tolist() == [i for x in [*texts, ""] for i in [*t.encode(x, add_special_tokens=False).ids, 0]]
 
 
+def test_memory_given_back():
+    """A task's free memory goes back to the system: idle workers don't hold it beside those at work."""
+    held = lambda: sum(map(int, re.findall(r"\n(?:Rss):\s+(\d+)", open("/proc/self/smaps_rollup").read()))) >> 10
+    values = (x for x in [1])
+    small = [bytes(60_000) for _ in range(4000)]  # 240 MB in pieces below the size that is mapped on its own
+    last = [bytes(60_000) for _ in range(2)]
+    before = held()
+    del small
+    freed = held()
+    assert list(common.released(values)) == [1]
+    assert packing.TEXT_BYTES < tokens.TEXT_BYTES
+    assert last and held() < before - 150 and (freed > before - 150 or held() <= freed)
+
+
 def test_substring_answers_together(monkeypatch):
     """The answers of a bucket's contexts are coded together: array steps don't grow with the contexts."""
     rng = random.Random(9)

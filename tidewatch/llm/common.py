@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import uuid
@@ -99,11 +100,19 @@ def spread_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner",
 
 
 def released(values: Iterable) -> Iterable:
-    """Hands values on; at the end of the task, memory that Arrow keeps for later goes back to the system."""
+    """Hands values on; at the end of the task, memory that is kept for later goes back to the system."""
     try:
         yield from values
     finally:
-        pa.default_memory_pool().release_unused()
+        give_back()
+
+
+def give_back() -> None:
+    """Free memory of Arrow's pool and of the C library, which idle workers would keep beside those at work."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc
+    if trim is not None:
+        trim(0)
 
 
 def column_bytes(batch: pa.RecordBatch, name: str) -> list[bytes]:

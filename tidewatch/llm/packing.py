@@ -25,6 +25,8 @@ OPEN = 32
 MERGE = 64
 #: A gap smaller than this is padded, not topped up with a piece.
 LEAST = 16
+#: Bytes of text that are encoded at a time: fewer than for the files, for memory.
+TEXT_BYTES = 1 << 20
 
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 _NAMES = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
@@ -97,7 +99,7 @@ def _pack(path: str, length: int, open_windows: int):
         packer = Packer(part << 32, length, open_windows)
         for batch in batches:
             doc_ids = iter(batch.column(0).to_pylist())
-            for ids, sizes in coder.documents(batch.column(1)):
+            for ids, sizes in coder.documents(batch.column(1), TEXT_BYTES):
                 for own in np.split(ids, np.cumsum(sizes)[:-1]):
                     packer.add(next(doc_ids), own)
                 if len(packer.out) >= 5000:

@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import documents, released, shared_dir, written
+from .common import documents, give_back, released, shared_dir, written
 
 TOKENIZER = "byte_bpe_50k.json"
 END = 0
@@ -95,6 +95,7 @@ class Encoder:
 
     def __exit__(self, *_: object) -> None:
         self.forget()
+        give_back()
 
     def forget(self) -> None:
         """Drops what is kept of texts; done at the end of each task, as idle workers stay alive."""
@@ -180,14 +181,14 @@ class Encoder:
         place += np.arange(len(place), dtype=kind)
         return flat[place], np.add.reduceat(size, heads + np.arange(count))
 
-    def documents(self, texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Ids of the texts (null: empty), an end id after each, and their numbers, a few megabytes of text at a time."""
+    def documents(self, texts: pa.Array, text_bytes: int = TEXT_BYTES) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Ids of the texts (null: empty), an end id after each, and their numbers, text_bytes of text at a time."""
         texts = texts.cast(pa.large_string()).fill_null("")
         ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False))
         at = 0
         while at < len(texts):
             before = ends[at - 1] if at else 0
-            to = max(at + 1, int(np.searchsorted(ends, before + TEXT_BYTES, "right")))
+            to = max(at + 1, int(np.searchsorted(ends, before + text_bytes, "right")))
             yield self._some(texts.slice(at, to - at))
             at = to
 
