@@ -158,6 +158,16 @@ def test_scores_in_blocks(docs, rows, monkeypatch):
     assert ngram_model.scored(docs.where("false"), far).count() == 0
 
 
+def test_groups_of_a_lookup_are_of_bytes(spark):
+    """Requests are groups times buckets: short texts share a group by the thousand, long ones have few companions."""
+    short = [(i, "a b", None, None, None, None) for i in range(3000)]
+    long = [(i, "word " * 200_000, None, None, None, None) for i in range(9)]
+    for rows, groups in ((short, 1), (long, 2)):
+        docs = ngram_model.documents(spark.createDataFrame(rows, SCHEMA).coalesce(1))
+        got = docs.mapInArrow(ngram_model._grouped, "doc_id long, text string, group long")
+        assert (got.count(), got.select("group").distinct().count()) == (len(rows), groups)
+
+
 def test_scores_without_training(spark):
     empty = spark.createDataFrame([], SCHEMA)
     assert ngram_model.report(empty).count() == 0

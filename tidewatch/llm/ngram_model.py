@@ -20,7 +20,8 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark import Broadcast
+import pyarrow.compute as pc
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -452,10 +453,13 @@ def _passing(block: Broadcast, order: int):
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             levels = []
-            for text, before in zip(column_bytes(batch, "text"), column_list(batch, "levels"), strict=True):
-                seq, ends = sequences(words_of([text]), order)
-                own = _probed(seq, ends, order, block.value)[0].tobytes()
-                levels.append(own if not before else (np.frombuffer(own, np.uint8) | np.frombuffer(before, np.uint8)).tobytes())
+            whole, known = column_bytes(batch, "text"), column_list(batch, "levels")
+            for part in chunks(whole):
+                seq, ends = sequences(words_of(whole[part]), order)
+                found = _probed(seq, ends, order, block.value)[0]
+                for a, b, before in zip(np.concatenate(([0], ends[:-1])).tolist(), ends.tolist(), known[part], strict=True):
+                    own = found[:, a:b].tobytes()
+                    levels.append(own if not before else (np.frombuffer(own, np.uint8) | np.frombuffer(before, np.uint8)).tobytes())
             place = batch.schema.get_field_index("levels")
             yield batch.set_column(place, "levels", pa.array(levels, pa.binary()))
 
@@ -518,8 +522,9 @@ def _scoring(block: Broadcast, head: Broadcast, facts: Facts):
     return lambda batches: released(of(batches))
 
 
-#: Rows whose grams are looked up together are 2 to this power.
-GROUP_BITS = 6
+#: Bytes of text whose grams are looked up together; a row counts as ROW_BYTES more. Each group asks nearly each bucket, so
+#: that requests are as many as groups times buckets: small groups make as many requests as there are grams.
+GROUP_BYTES, ROW_BYTES = 4 << 20, 64
 
 
 class Answers:
@@ -533,8 +538,21 @@ class Answers:
 
 
 def _distinct_grams(texts: list[bytes], order: int) -> np.ndarray:
-    seq, ends = sequences(words_of(texts), order)
-    return np.unique(np.concatenate([h[counts] for h, counts in grams(seq, ends, order)]))
+    held = []
+    for part in chunks(texts):
+        seq, ends = sequences(words_of(texts[part]), order)
+        held.append(np.unique(np.concatenate([h[counts] for h, counts in grams(seq, ends, order)])))
+    return np.unique(np.concatenate(held)) if len(held) > 1 else held[0]
+
+
+def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows with the number of their group: runs of a task's rows of some GROUP_BYTES."""
+    task, before = TaskContext.get().partitionId() << 33, 0
+    for batch in batches:
+        sizes = pc.fill_null(pc.binary_length(batch.column(batch.schema.get_field_index("text"))), 0).to_numpy(zero_copy_only=False).astype(np.int64) + ROW_BYTES
+        ends = before + np.cumsum(sizes)
+        before = int(ends[-1]) if len(ends) else before
+        yield batch.append_column("group", pa.array(task + (ends - sizes) // GROUP_BYTES, pa.int64()))
 
 
 def _texts_of(table: pa.Table) -> list[bytes]:
@@ -544,7 +562,8 @@ def _texts_of(table: pa.Table) -> list[bytes]:
 def _looked_up(docs: DataFrame, segments: DataFrame, head: Broadcast, facts: Facts) -> DataFrame:
     """Scores of texts whose grams meet the segments by their buckets: no part of the filter is broadcast.
 
-    What a bucket is asked is as much as its own grams, on average; a group of rows asks for each distinct gram once.
+    What a bucket is asked is as much as its own grams, on average; a group of rows asks for each distinct gram once, and
+    each bucket at most once.
     """
     s, buckets = facts.settings, facts.buckets
     asking = pa.schema([("group", pa.int64()), ("bucket", pa.int32()), ("hashes", pa.binary())])
@@ -562,18 +581,23 @@ def _looked_up(docs: DataFrame, segments: DataFrame, head: Broadcast, facts: Fac
             return telling.empty_table()
         bits = [x.as_buffer() for x in own["bits"]]
         block = Block(own["bucket"].to_pylist(), [len(x) for x in bits], buckets, s.probes).filled(own["bucket"].to_pylist(), bits)
-        blobs = [block.levels(np.frombuffer(x, "<u8")).tobytes() for x in requests["hashes"].to_pylist()]
+        asked_for = [x.as_buffer() for x in requests["hashes"]]
+        ends = np.cumsum([len(x) // 8 for x in asked_for])
+        found = block.levels(np.concatenate([np.frombuffer(x, "<u8") for x in asked_for]))
+        blobs = [found[a:b].tobytes() for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
         return pa.table([requests["group"], requests["bucket"], pa.array(blobs, pa.binary())], schema=telling)
 
     def answered(texts: pa.Table, answers: pa.Table) -> pa.Table:
         whole = _texts_of(texts)
         parts = sorted(zip(answers["bucket"].to_pylist(), answers["levels"].to_pylist(), strict=True))
         source = Answers(_distinct_grams(whole, s.order), np.frombuffer(b"".join(x for _, x in parts), np.uint8))
-        out = _scores(whole, [], source, head.value, facts)
+        out: list[list] = [[], [], [], [], []]
+        for part in chunks(whole):
+            for have, new in zip(out, _scores(whole[part], [], source, head.value, facts), strict=True):
+                have += new
         return pa.table([texts["doc_id"], *(pa.array(x, k) for x, k in zip(out, _KINDS, strict=True))], names=_SCORED)
 
-    rows = written(documents(docs).withColumn("__row", F.monotonically_increasing_id()))
-    grouped = rows.select("doc_id", "text", F.shiftright("__row", GROUP_BITS).alias("group"))
+    grouped = written(documents(docs).select("doc_id", "text").mapInArrow(_grouped, "doc_id long, text string, group long"))
     requests = grouped.groupBy("group").applyInArrow(asked, "group long, bucket int, hashes binary")
     replies = requests.groupBy("bucket").cogroup(segments.select("bucket", "bits").groupBy("bucket")).applyInArrow(told, "group long, bucket int, levels binary")
     return grouped.groupBy("group").cogroup(replies.groupBy("group")).applyInArrow(answered, _SCORE)
