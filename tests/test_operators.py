@@ -5,6 +5,7 @@ import json
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -106,6 +107,45 @@ def test_paper_trades(spark):
     assert (c.entry, c.reason, c.pnl) == (None, "no_entry", None)
 
 
+def plain_trade(alert, quotes, hold=dt.timedelta(hours=24)):
+    i, m, ts, direction, resolved, resolution = alert
+    until = max(ts + hold, resolved or ts)
+    seen = sorted((q, y if direction == "YES" else 1.0 - y) for k, q, y in quotes if k == m and m and y is not None and ts <= q <= until and (resolved is None or q < resolved))
+    if not seen:
+        return None, None, None, "no_entry"
+    at_, entry = seen[0][0], min(1.0, max(0.0, seen[0][1] + 0.01))
+    for q, price in seen:
+        if q > at_ and (price <= entry * 0.8 or q >= at_ + hold):
+            return at_, round(entry, 6), (q, round(max(0.0, price - 0.01), 6)), "risk_stop" if price <= entry * 0.8 else "time_stop"
+    if resolved:
+        return at_, round(entry, 6), (resolved, 1.0 if direction == resolution else 0.0), "resolution_exit"
+    return at_, round(entry, 6), None, "expired_unexitable"
+
+
+@pytest.mark.parametrize("step", [600, 20_000])
+def test_paper_trades_against_a_loop(spark, step):
+    """Equal times, sparse and dense quotes over many slices, resolutions and keys that are missing; and no join makes pairs."""
+    rng = random.Random(step)
+    draw = lambda: at(rng.randrange(120) * step)
+    ends = {m: rng.choice((None, draw(), at(200 * step))) for m in "abcd"}
+    alerts = [(i, m := rng.choice((None, *"abcde")), draw(), rng.choice(("YES", "NO")), ends.get(m), rng.choice(("YES", "NO"))) for i in range(150)]
+    quotes = [(rng.choice((None, *"aabcd")), draw(), rng.choice((None, 0.005, *(0.5 + rng.random() / 3 for _ in range(6))))) for _ in range(300)]
+    df = E.paper_trades(spark.createDataFrame(alerts, "id long, market_id string, ts timestamp, direction string, resolved_ts timestamp, resolution string"), spark.createDataFrame(quotes, "market_id string, ts timestamp, yes double"))
+    assert "Join" not in df._jdf.queryExecution().executedPlan().toString()
+    got = {r.id: (r.entry_ts, r.entry, r.exit_ts and (r.exit_ts, r.exit), r.reason) for r in df.collect()}
+    want = {a[0]: plain_trade(a, quotes) for a in alerts}
+    assert got == want and len({w[3] for w in want.values()}) >= 4
+
+
+def test_first_at_most():
+    rng = random.Random(5)
+    for n in (0, 1, 2, 3, 7, 8, 9, 64, 100):
+        values = np.array([rng.choice((math.nan, *range(9))) for _ in range(n)], float)
+        start, most = np.arange(n + 1), np.array([rng.randrange(-1, 9) for _ in range(n + 1)], float)
+        want = [next((i for i in range(s, n) if values[i] <= m), n) for s, m in zip(start, most, strict=True)]
+        assert E.first_at_most(values, start, most).tolist() == want
+
+
 def test_position_limits(spark):
     rows = [(i, at(i), at(i + 100), f"f{i % 3}") for i in range(6)] + [(9, at(500), at(501), "f0")]
     got = E.limited(spark.createDataFrame(rows, "id long, entry_ts timestamp, exit_ts timestamp, family string"), "family")

@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,7 +14,7 @@ from ..config import Evaluation
 from ..functions import scalars as S
 from ..session import written
 from .folds import BLOCK_ROWS, folded, ranked
-from .joins import in_range
+from .joins import as_of
 
 
 def family_folds(rows: DataFrame, family: str, c: Evaluation = Evaluation(), block_rows: int = BLOCK_ROWS) -> DataFrame:
@@ -32,32 +35,109 @@ def time_split(rows: DataFrame, block: str) -> DataFrame:
 def paper_trades(alerts: DataFrame, quotes: DataFrame, c: Evaluation = Evaluation()) -> DataFrame:
     """One simulated trade for each alert.
 
-    alerts: id, market_id, ts, direction, resolved_ts, resolution. quotes: market_id, ts, yes. Entry is the first usable
-    quote after the alert, a tick worse; exit the first quote that loses the stop share, else the resolution if it comes
-    before the time stop, else the first quote after the time stop, else none. Each alert is simulated on its own.
+    alerts: id (tells them apart; without one there is no entry), market_id, ts, direction, resolved_ts, resolution. quotes:
+    market_id, ts, yes. Entry is the first usable quote after the alert, a tick worse; exit the first quote that loses the
+    stop share, else the resolution if it comes before the time stop, else the first quote after the time stop, else none.
+    Each alert is simulated on its own.
+
+    No pairs of alerts and quotes are made. Quotes of one time are a row with the lowest price of either side. Entries are an
+    as-of join. An exit lies in the two slices of time, a hold long each, from the entry's on, or is the first quote after
+    these: a market's entries of a slice are a task's unit, and look for their exits in a tree of lowest prices.
     """
-    horizon = F.greatest(F.col("ts") + F.expr(f"interval {c.hold_hours} hours"), F.coalesce("resolved_ts", F.col("ts")))
-    asked = alerts.select("id", "market_id", F.col("ts").alias("alert_ts"), "direction", "resolved_ts", "resolution", horizon.alias("until"))
-    price = F.when(F.col("direction") == "YES", F.col("yes")).otherwise(1.0 - F.col("yes"))
-    seen = in_range(asked, quotes.where("yes is not null"), "market_id", "alert_ts", "until", c.hold_hours * 3600).withColumn("price", price)
-    before = F.col("resolved_ts").isNull() | (F.col("ts") < F.col("resolved_ts"))
-    seen = seen.where(before)
-    entry = seen.groupBy("id").agg(F.min(F.struct("ts", "price")).alias("e"))
-    entry = entry.select("id", F.col("e.ts").alias("entry_ts"), S.clamped(F.col("e.price") + c.tick).alias("entry"))
-    later = seen.join(entry, "id").where(F.col("ts") > F.col("entry_ts"))
-    out_price = F.greatest(F.lit(0.0), F.col("price") - c.tick)
-    stopped = F.col("price") <= F.col("entry") * (1 - c.stop)
-    late = F.col("ts") >= F.col("entry_ts") + F.expr(f"interval {c.hold_hours} hours")
-    hit = later.withColumn("why", F.when(stopped, "risk_stop").when(late, "time_stop")).where("why is not null").groupBy("id").agg(F.min(F.struct("ts", out_price.alias("exit"), "why")).alias("x"))
-    done = alerts.join(entry, "id", "left").join(hit, "id", "left")
+    hold = c.hold_hours * 3600 * 1_000_000
+    number = F.floor(F.unix_micros("ts") / hold).cast("long")
+    usable = quotes.where("market_id is not null and ts is not null and yes is not null")
+    prices = (F.min("yes").alias("yes"), F.min(1.0 - F.col("yes")).alias("no"))
+    ticks = written(usable.groupBy("market_id", "ts").agg(*prices))
+    asked = alerts.select("id", "market_id", "ts", "direction", "resolved_ts", "resolution")
+    until = F.greatest(F.col("ts") + F.expr(f"interval {c.hold_hours} hours"), F.coalesce("resolved_ts", F.col("ts")))
+    met = as_of(asked, ticks, "market_id", "q", forward=True).withColumn("until", until)
+    usable = F.col("id").isNotNull() & F.col("q.ts").between(F.col("ts"), F.col("until")) & (F.col("resolved_ts").isNull() | (F.col("q.ts") < F.col("resolved_ts")))
+    price = F.when(F.col("direction") == "YES", F.col("q.yes")).otherwise(F.col("q.no"))
+    met = written(met.select(
+        "id", "market_id", "direction", "resolved_ts", "resolution", "until", F.when(usable, F.col("q.ts")).alias("entry_ts"), F.when(usable, S.clamped(price + c.tick)).alias("entry")))
+    own = met.where("entry_ts is not null").select(
+        "*", F.unix_micros("entry_ts").alias("from_us"), F.unix_micros("until").alias("until_us"), F.unix_micros("resolved_ts").alias("resolved_us"), F.floor(F.unix_micros("entry_ts") / hold).cast("long").alias("slice"))
+    placed = ticks.select("market_id", F.unix_micros("ts").alias("us"), "yes", "no", number.alias("slice"))
+    near = placed.withColumn("slice", F.explode(F.array(F.col("slice"), F.col("slice") - 1)))
+    first = placed.groupBy("market_id", "slice").agg(F.min(F.struct("us", "yes", "no")).alias("f"))  # a row for each slice
+    w = Window.partitionBy("market_id").orderBy("slice")
+    far = F.when(F.lead("slice").over(w) == F.col("slice") + 1, F.lead("f", 2).over(w)).otherwise(F.lead("f").over(w))
+    far = first.select("market_id", "slice", far.alias("f")).where("f is not null").select("market_id", "f.*", "slice")
+    kind = f"{', '.join(f'{f.name} {f.dataType.simpleString()}' for f in met.schema)}, exit_us long, exit double, why string"
+    keys = ("market_id", "slice")
+    out = own.groupBy(*keys).cogroup(near.unionByName(far).groupBy(*keys)).applyInArrow(_exits(met.columns, hold, c), kind)
+    none = [F.lit(None).cast(k).alias(n) for n, k in (("exit_us", "long"), ("exit", "double"), ("why", "string"))]
+    done = out.unionByName(met.where("entry_ts is null").select("*", *none))
     won = F.when(F.col("direction") == F.col("resolution"), 1.0).otherwise(0.0)
-    why = F.when(F.col("entry").isNull(), "no_entry").when(F.col("x").isNotNull(), F.col("x.why")).when(F.col("resolved_ts").isNotNull(), "resolution_exit").otherwise("expired_unexitable")
-    exit_price = F.when(why.isin("risk_stop", "time_stop"), F.col("x.exit")).when(why == "resolution_exit", won)
+    why = F.when(F.col("entry").isNull(), "no_entry").when(F.col("why").isNotNull(), F.col("why")).when(F.col("resolved_ts").isNotNull(), "resolution_exit").otherwise("expired_unexitable")
+    exit_price = F.when(why.isin("risk_stop", "time_stop"), F.col("exit")).when(why == "resolution_exit", won)
     quantity, fee = F.lit(c.notional) / F.col("entry"), F.lit(c.notional * c.fee * 2)
-    exit_ts = F.when(F.col("x").isNotNull(), F.col("x.ts")).when(why == "resolution_exit", F.col("resolved_ts"))
+    exit_ts = F.when(F.col("why").isNotNull(), F.timestamp_micros("exit_us")).when(why == "resolution_exit", F.col("resolved_ts"))
     return done.select("id", "market_id", "direction", "entry_ts", F.round("entry", 6).alias("entry"), exit_ts.alias("exit_ts"), F.round(exit_price, 6).alias("exit"), why.alias("reason"), F.round(quantity * (exit_price - F.col("entry")) - fee, 6).alias("pnl"))
 
 
+def first_at_most(values: np.ndarray, start: np.ndarray, most: np.ndarray) -> np.ndarray:
+    """For each start, the first place from it on whose value is at most ``most``; len(values) where there is none.
+
+    By a tree of the smallest values of blocks of 2, 4, 8, ..., all searches a level at a time. NaN is never at most anything.
+    """
+    levels = [np.asarray(values, float)]
+    while len(levels[-1]) > 1:
+        low = levels[-1]
+        low = np.append(low, np.inf) if len(low) % 2 else low
+        levels.append(np.fmin(low[::2], low[1::2]))
+
+    def has(level: int, block: np.ndarray, of: np.ndarray) -> np.ndarray:
+        tree = levels[level]
+        inside = block < len(tree)
+        return inside & (tree[np.minimum(block, len(tree) - 1)] <= most[of])
+
+    place, found = np.array(start, np.int64), np.full(len(start), -1)
+    if not len(levels[0]):
+        return place
+    alive = np.arange(len(place))
+    for level in range(len(levels)):  # up: blocks that begin where a search stands, each twice as long if it can be
+        block = place[alive] >> level
+        turn = (block % 2 == 1) | (level == len(levels) - 1)
+        hit = turn & has(level, block, alive)
+        found[alive[hit]] = level
+        missed = alive[turn & ~hit]
+        place[missed] = (block[turn & ~hit] + 1) << level
+        alive = alive[~hit]
+    for level in range(len(levels) - 1, 0, -1):  # down, into the first half that has one
+        of = np.flatnonzero(found >= level)
+        half = place[of] >> (level - 1)
+        place[of] += np.where(has(level - 1, half, of), 0, 1 << (level - 1))
+    return np.where(found >= 0, place, len(levels[0]))
+
+
+def _exits(columns: list[str], hold: int, c: Evaluation) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    """Exits of a market's entries of a slice; ticks: those of this slice and the next, and the first one after."""
+
+    def of(own: pa.Table, ticks: pa.Table) -> pa.Table:
+        us = ticks["us"].to_numpy()
+        order = np.argsort(us)
+        us, side = us[order], {True: ticks["yes"].to_numpy()[order], False: ticks["no"].to_numpy()[order]}
+        start, last = own["from_us"].to_numpy(), own["until_us"].to_numpy()
+        before = pc.fill_null(own["resolved_us"], np.iinfo(np.int64).max).to_numpy()
+        bound = own["entry"].to_numpy() * (1 - c.stop)
+        yes = pc.fill_null(pc.equal(own["direction"], "YES"), False).to_numpy().astype(bool)
+        at, price = np.zeros(len(yes), np.int64), np.zeros(len(yes))
+        for kind, values in side.items():
+            of = np.flatnonzero(yes == kind)
+            hit = first_at_most(values, np.searchsorted(us, start[of], "right"), bound[of])
+            at[of] = np.minimum(hit, np.searchsorted(us, start[of] + hold))
+            price[of] = np.append(values, np.nan)[at[of]]
+        when = np.append(us, 0)[at]
+        none = (at == len(us)) | (when > last) | (when >= before)
+        why = np.where(price <= bound, "risk_stop", "time_stop").astype(object)
+        made = [pa.array(when, pa.int64(), mask=none), pa.array(np.maximum(0.0, price - c.tick), pa.float64(), mask=none), pa.array(why, pa.string(), mask=none)]
+        return pa.table([*(own[n] for n in columns), *made], names=[*columns, "exit_us", "exit", "why"])
+
+    return of
+
+
 def limited(trades: DataFrame, family: str, c: Evaluation = Evaluation(), block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Adds ``taken``: trades in order of entry that find room among the open positions, in all and of their family.
 
