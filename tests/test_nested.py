@@ -8,7 +8,7 @@ import re
 
 from pyspark.sql import functions as F
 
-from tidewatch.operators import nested
+from tidewatch.operators import alerts, nested
 
 KEYS = ("a", "b", "condition_id", "captured_at", "é \"q\"", "0x123456789abc")
 TIMES = ("2026-04-20T06:00:00Z", "2026-04-20T06:00:00.250000+02:00", "no time", "")
@@ -74,3 +74,19 @@ def test_nested_empty(spark):
 def test_walk_does_not_shuffle(spark):
     df = spark.createDataFrame([(1, '{"a": [1, {"b": 2}]}')], "id long, doc string")
     assert "Exchange" not in nested.leaves(df, "doc", "id")._jdf.queryExecution().toString()
+
+
+def test_texts_without_wallets_are_not_taken_apart(spark):
+    """They come out as if they were; and of an alert only what is free JSON is looked into."""
+    texts = ['{"b": [1, 2.50, {"z": null, "a": true}], "a": "x/y", "condition_id": "0xabcdef0123"}', '{"k": "0xABCDEF0123 \\n0xabcdef0123", "0xabcdef0123": 1}', '{"a": 1, "a": 2}', "no 0xabcdef0123", "[]", '{"b": {}, "a": [[]]}', '"\u00e9 1e40"', "1e40", '{"x": 123456789012345678901234567890.5, "\u00e9": 0}', '{"a": "\\u0030xabcdef0123"}', " 7 ", None, ""]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, t string")
+    got = {r.id: r.t for r in nested.redacted(df, "t").collect()}
+    walked = {r.id: r.t for r in nested.changed(df, "t", lambda path, string, text: text).collect()}
+    for i in (4, 5, 6, 7, 8, 10):
+        assert got[i] == walked[i] is not None, texts[i]
+    assert got[0] == walked[0] and got[1] == '{"0xabcdef0123":1,"k":"[wallet_redacted] \\n[wallet_redacted]"}' and got[9] == '{"a":"[wallet_redacted]"}'
+    assert (got[2], got[3], got[11], got[12]) == ('{"a": 1, "a": 2}', "no [wallet_redacted]", None, "")
+    columns = "candidate_id string, market_id string, event_id string, condition_id string, event_title string, question string, event_slug string, market_slug string, trigger_time timestamp, rules array<string>, severity string, severity_score double, features string, provider_summary string, outcomes array<string>, outcome_prices array<string>, evidence_state string, model_version string, score_label string, score_value string, scored_at string, detector_version string, feature_schema_version string"
+    out = alerts.rendered(spark.createDataFrame([("1", "m 0xabcdef0123", *[None] * 10, '{"a": [1]}', *[None] * 10)], columns), "https://h")
+    assert "Generate" not in out._jdf.queryExecution().executedPlan().toString()
+    assert '"market_id":"m [wallet_redacted]"' in out.first().payload

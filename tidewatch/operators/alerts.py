@@ -109,22 +109,25 @@ def rendered(rows: DataFrame, base_url: str) -> DataFrame:
     feature_schema_version. candidate_id tells the rows apart.
 
     Features that are no JSON are shown as text. Of rows with a score, a value that is no number is null. Nulls are kept.
+    What is a column is redacted as one; only features and provider_summary are walked.
     """
     side, scored = active_side("features"), F.coalesce(*(F.col(c).cast("string") for c in ("model_version", "score_label", "score_value", "scored_at"))).isNotNull()
     filled = lambda c: F.nullif(c, F.lit(""))
+    named = lambda **fields: F.struct(*(x.alias(k) for k, x in sorted(fields.items())))
+    said = lambda **fields: {k: nested.plainly_redacted(F.col(x) if isinstance(x, str) else x) for k, x in fields.items()}
     event, market, shown = S.slug_url(base_url, F.col("event_slug")), S.slug_url(base_url, F.col("market_slug")), S.eastern(F.col("trigger_time"))
-    links = (F.coalesce(event, market).alias("market_url"), event.alias("event_url"), market.alias("market_slug_url"), "market_slug", "event_slug", "condition_id")
-    score = F.struct(
-        F.when(scored, "scored").otherwise("pending").alias("state"), "model_version", "score_label",
-        F.round(F.col("score_value").try_cast("double"), 6).alias("score_value"), "scored_at")
+    links = said(market_url=F.coalesce(event, market), event_url=event, market_slug_url=market, market_slug="market_slug", event_slug="event_slug") | {"condition_id": F.col("condition_id")}
+    score = named(**said(state=F.when(scored, "scored").otherwise("pending"), model_version="model_version", score_label="score_label", scored_at="scored_at"), score_value=nested.number(F.round(F.col("score_value").try_cast("double"), 6)))
     text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("None"))
-    payload = F.struct(
-        F.coalesce(filled("event_title"), filled("question"), filled("event_slug"), F.concat(F.lit("Market "), text("market_id"))).alias("title"),
-        "severity", shown.alias("trigger_time_display"),
-        F.concat(F.lit("Candidate "), text("candidate_id"), F.lit(" triggered at "), shown).alias("what_changed"),
-        F.concat(F.lit("Rules="), F.coalesce(_listed(F.col("rules")), F.lit("None")), F.lit(" severity_score="), text("severity_score")).alias("why_it_looks_informed"),
-        F.struct("market_id", "event_id", *links, _json("features").alias("feature_snapshot")).alias("market_evidence"), *links,
-        side.alias("active_outcome_side"), S.outcome_probability(F.col("outcomes"), F.col("outcome_prices"), side).alias("active_outcome_probability"),
-        F.coalesce(filled("evidence_state"), F.lit("pending_evidence")).alias("public_evidence_state"), _json("provider_summary").alias("provider_summary"),
-        score.alias("ml_shadow_score"), F.lit(INVALIDATES).alias("invalidates_it"), "detector_version", "feature_schema_version")
-    return nested.redacted(rows.select("candidate_id", F.to_json(payload, {"ignoreNullFields": "false"}).alias("payload")), "payload")
+    free = lambda k: F.expr(f"variant_get(__free, '$.{k}', 'variant')")
+    payload = named(
+        **said(
+            title=F.coalesce(filled("event_title"), filled("question"), filled("event_slug"), F.concat(F.lit("Market "), text("market_id"))), severity="severity", trigger_time_display=shown,
+            what_changed=F.concat(F.lit("Candidate "), text("candidate_id"), F.lit(" triggered at "), shown),
+            why_it_looks_informed=F.concat(F.lit("Rules="), F.coalesce(_listed(F.col("rules")), F.lit("None")), F.lit(" severity_score="), text("severity_score")),
+            active_outcome_side=side, public_evidence_state=F.coalesce(filled("evidence_state"), F.lit("pending_evidence")), invalidates_it=F.lit(INVALIDATES), detector_version="detector_version", feature_schema_version="feature_schema_version"),
+        **links, market_evidence=named(**said(market_id="market_id", event_id="event_id"), **links, feature_snapshot=free("feature_snapshot")),
+        active_outcome_probability=nested.number(S.outcome_probability(F.col("outcomes"), F.col("outcome_prices"), side)), provider_summary=free("provider_summary"), ml_shadow_score=score)
+    both = F.to_json(F.struct(_json("features").alias("feature_snapshot"), _json("provider_summary").alias("provider_summary")))
+    known = nested.redacted(rows.withColumn("__free", both), "__free").withColumn("__free", F.parse_json("__free"))
+    return known.select("candidate_id", F.to_json(payload, {"ignoreNullFields": "false"}).alias("payload"))

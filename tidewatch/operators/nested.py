@@ -40,10 +40,21 @@ def quoted(text: Column) -> Column:
     return F.substr(whole, F.lit(6), F.length(whole) - 6)
 
 
+def number(x: Column) -> Column:
+    """A number as the variant that its JSON text gives."""
+    return F.when(x.isNotNull(), F.try_parse_json(quoted(x)))
+
+
 #: Long hexadecimal numbers, the keys whose values are public ones, and those of times.
 HEX = r"\b0x[a-fA-F0-9]{8,}\b"
 PUBLIC_KEYS = ("condition_id",)
 TIME_KEYS = ("captured_at", "trade_time")
+MARK = "[wallet_redacted]"
+
+
+def plainly_redacted(text: Column, mark: str = MARK) -> Column:
+    """A text that isn't looked into, without its long hexadecimal numbers."""
+    return F.regexp_replace(text.cast("string"), HEX, mark)
 
 
 def leaves(df: DataFrame, column: str, *keep: str) -> DataFrame:
@@ -90,20 +101,26 @@ def assembled(rows: DataFrame, row: str) -> DataFrame:
     return every.select(row, text.alias("json"))
 
 
-def changed(df: DataFrame, column: str, change: Change, *beside: str) -> DataFrame:
+def changed(df: DataFrame, column: str, change: Change, *beside: str, spare: Column | None = None) -> DataFrame:
     """df with the JSON texts of a column rewritten leaf by leaf; null where a text is no JSON or has a key twice.
 
     beside: columns of the row that change looks at. Keys are put in order, white space between values goes, and numbers are
-    written as Spark writes them (2.50 is 2.5).
+    written as Spark writes them (2.50 is 2.5). spare: texts none of whose leaves changes; those without a backslash and
+    beyond ASCII aren't taken apart, as a variant writes itself in the same way. Others meet their row by a sorted join:
+    what Spark knows of their size, from files of texts that are much alike, is too small to broadcast by.
     """
     base = written(df.withColumn("__row", F.monotonically_increasing_id()))
+    whole = F.lit(False) if spare is None else F.coalesce(spare & ~F.col(column).rlike(r"[^\x00-\x5B\x5D-\x7F]"), F.lit(False))
+    kept = None if spare is None else base.where(whole).withColumn(column, F.to_json(F.try_parse_json(column))).select(*df.columns)
+    base = base.where(~whole)
     each = leaves(base.where(F.try_parse_json(column).isNotNull()), column, "__row", *beside)
     string = F.when(F.schema_of_variant("value") == "STRING", F.expr("try_variant_get(value, '$', 'string')"))
     json = assembled(each.select("__row", "path", change(F.col("path"), string, F.to_json("value")).alias("text")), "__row")
-    return base.drop(column).join(json.withColumnRenamed("json", column), "__row", "left").select(*df.columns)
+    out = base.drop(column).join(json.withColumnRenamed("json", column).hint("merge"), "__row", "left").select(*df.columns)
+    return out if kept is None else kept.unionByName(out)
 
 
-def redacted(df: DataFrame, column: str, exempt: tuple[str, ...] = PUBLIC_KEYS, mark: str = "[wallet_redacted]") -> DataFrame:
+def redacted(df: DataFrame, column: str, exempt: tuple[str, ...] = PUBLIC_KEYS, mark: str = MARK) -> DataFrame:
     """df with long hexadecimal numbers in the JSON's strings replaced, except below an exempt key.
 
     A text that is no JSON is redacted as it is: nothing leaves unredacted because it couldn't be read.
@@ -113,8 +130,8 @@ def redacted(df: DataFrame, column: str, exempt: tuple[str, ...] = PUBLIC_KEYS,
         spared = F.exists(path, lambda e: F.coalesce(e["name"].isin(*exempt), F.lit(False)))
         return F.when(string.isNull() | spared, text).otherwise(quoted(F.regexp_replace(string, HEX, mark)))
 
-    plain = F.regexp_replace(F.col(column), HEX, mark)
-    out = changed(df.withColumn("__plain", plain), column, change)
+    plain = plainly_redacted(F.col(column), mark)
+    out = changed(df.withColumn("__plain", plain), column, change, spare=~F.contains(F.col(column), F.lit("0x")))
     return out.withColumn(column, F.coalesce(column, "__plain")).drop("__plain")
 
 
