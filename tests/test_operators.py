@@ -84,6 +84,27 @@ def test_range_join_buckets(spark):
     assert sorted((r.id, r.rid) for r in got.collect()) == sorted((i, j) for i, _, a, b in left for j, _, t in right if a <= t <= b)
 
 
+@pytest.mark.parametrize("span", [60, 3000])
+def test_met_counts_against_a_loop(spark, span):
+    """Equal times, ends of the reach, gaps of many reaches, missing keys and values, rows that come twice; and no pairs."""
+    rng = random.Random(span)
+    left = [(i, rng.choice((None, *"aab")), at(rng.randrange(span)) if i % 30 else None) for i in range(120)]
+    left += left[5:20]
+    right = [(rng.choice((None, *"aabc")), at(rng.randrange(span)), rng.choice((None, *"uvwxyz"))) for _ in range(150)]
+    right += right[:30] + [("b", at(-10_000), "u")]
+    df = J.met_counts(spark.createDataFrame(left, "id long, k string, ts timestamp"), spark.createDataFrame(right, "k string, ts timestamp, w string"), "k", "w", 20)
+    assert "Join" not in df._jdf.queryExecution().executedPlan().toString()
+    want = {}
+    for i, k, t in left:
+        near = [(r, w) for m, r, w in right if k and t and m == k and t - dt.timedelta(seconds=20) <= r <= t]
+        if near:
+            want[i] = (want.get(i, (0, 0))[0] + len(near), len({w for _, w in near} - {None}))
+    assert {r.id: (r.n, r.distinct) for r in df.collect()} == want
+    none = spark.createDataFrame([], "k string, ts timestamp, w string")
+    assert J.met_counts(spark.createDataFrame(left, "id long, k string, ts timestamp"), none, "k", "w", 20).count() == 0
+    assert J.met_counts(spark.createDataFrame([], "id long, k string, ts timestamp"), none, "k", "w", 20).count() == 0
+
+
 def test_suppression_counts_suppressed(spark):
     rows = [(1, at(0), "event:e", 1), (2, at(3000), "event:e", 1), (3, at(6000), "event:e", 1), (4, at(6001), "event:e", 2), (5, at(20000), "event:e", 0)]
     df = spark.createDataFrame(rows, "id long, ts timestamp, suppression_key string, rank int")

@@ -119,8 +119,8 @@ def _(spark, sf_dir):
 
 @query("j17_interval_containment", f"""WITH {_ALERTS}, {_QUOTES} SELECT a.id, count(DISTINCT q.wallet) AS wallets, count(q.id) AS n FROM alerts a JOIN quotes q ON a.market_id = q.market_id AND q.ts BETWEEN a.ts - INTERVAL 1 DAY AND a.ts GROUP BY 1""")
 def _(spark, sf_dir):
-    a = D.kind(spark, sf_dir, "signup").select("id", "market_id", (F.col("ts") - F.expr("interval 1 day")).alias("t0"), F.col("ts").alias("t1"))
-    return J.in_range(a, D.kind(spark, sf_dir, "click").select(F.col("id").alias("quote_id"), "market_id", "ts", "wallet"), "market_id", "t0", "t1", 86400).groupBy("id").agg(F.countDistinct("wallet").alias("wallets"), F.count("*").alias("n"))
+    met = J.met_counts(D.kind(spark, sf_dir, "signup").select("id", "market_id", "ts"), D.kind(spark, sf_dir, "click").select("market_id", "ts", "wallet"), "market_id", "wallet", 86400)
+    return met.select("id", F.col("distinct").alias("wallets"), "n")
 
 
 @query("j4_latest_per_key", f"WITH {_RESOLUTIONS} SELECT market_id, arg_max(id, (ts, id)) AS id, max(ts) AS ts FROM resolutions GROUP BY 1")
