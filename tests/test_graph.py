@@ -60,3 +60,26 @@ def test_whole_days_meet_sums(spark):
     left = spark.createDataFrame([(1, "a", dt.datetime(2026, 1, 8))], "id long, market_id string, at timestamp")
     met = graph.lookback(left, "market_id", "wallet", raw, sums, Graph(lookback_days=5)).collect()
     assert [(r.met_wallet, r.whole) for r in met] == [("p", 1000)]
+
+
+@pytest.mark.parametrize("days", [1, 2, 5])
+def test_slices_and_joins(spark, days, monkeypatch):
+    """Both ways give what loops give; events differ among a market's edges and decisions; slices make no joins."""
+    rng = random.Random(days)
+    at = lambda: dt.datetime(2026, 1, 1) + dt.timedelta(minutes=30 * rng.randrange(24 * 12))
+    edges = [(rng.choice("pqrstuvw"), rng.choice("aabcdef"), rng.choice(("x", "y", None)), at(), rng.choice((None, 2.5, 1e9))) for _ in range(250)]
+    decisions = [(i, rng.choice((*"aabcfz", None)), rng.choice(("x", "y", "z", None)), at()) for i in range(80)]
+    decisions += decisions[:5]
+    e = spark.createDataFrame(edges, "wallet string, market_id string, event_id string, ts timestamp, notional double")
+    d = spark.createDataFrame(decisions, "id long, market_id string, event_id string, ts timestamp")
+    want = plainly(decisions, edges, days)
+    sliced = graph.features(d, e, Graph(lookback_days=days))
+    assert "Join" not in sliced._jdf.queryExecution().executedPlan().toString() and sliced.count() == len(decisions)
+    joined = graph.features(d.distinct(), e, Graph(lookback_days=days), slice_rows=10)
+    assert "Join" in joined._jdf.queryExecution().executedPlan().toString()
+    for out in (sliced, joined):
+        got = {r.id: tuple(r)[1:] for r in out.collect()}
+        assert set(got) == set(want)
+        for i, x in want.items():
+            assert got[i] == pytest.approx(x, abs=1.1e-6), i
+    assert graph.features(d.limit(0), e).count() == 0 and graph.features(d, e.limit(0)).count() == len(decisions)
