@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from tidewatch.operators import detector, folds, health, wallets
+from tidewatch.operators import detector, folds, health, trades, wallets
 from tidewatch.sources import log
 
 T = dt.datetime(2026, 4, 20, 6)
@@ -43,6 +43,20 @@ def test_netted_against_a_loop(spark):
     assert wallets.netted(df.limit(0)).count() == 0
 
 
+def test_netted_moves_trades_once(spark):
+    """One shuffle and no join, whatever the conditions and first trades; a dedupe before takes what it is asked for along."""
+    schema = "wallet string, market_id string, outcome_side string, condition_id string, trade_id string, ts timestamp, side string, size double, notional double, price double, priority int, dedupe_key string, more string"
+    rows = [(f"w{i % 3}", "m", "YES", f"c{i % 7}", f"t{i:03}" if i % 9 else None, T, "BUY", 1.0, 2.0, 0.5, 1, f"k{i}", "x") for i in range(200)]
+    df = spark.createDataFrame(rows, schema)
+    plan = wallets.netted(df)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan
+    kept = trades.canonical(df, "wallet", "market_id")
+    assert kept.columns == ["priority", "ts", "trade_id", "wallet", "market_id"] and kept.count() == 200
+    got = {r.wallet: r for r in wallets.netted(trades.canonical(df)).collect()}
+    assert got["w1"].first_trades == "t001,t004,t007,t010,t013" and got["w1"].n_trades == 67 and got["w1"].condition_id == "c0"
+    assert got["w0"].first_trades == "t003,t006,t012,t015,t021"
+
+
 def test_recorded_once(spark):
     rows = [(5, "m", T, 1.0), (3, "m", T, 2.0), (4, None, T, 3.0), (6, None, T, 4.0), (7, "n", None, 5.0)]
     found = spark.createDataFrame(rows, "seq long, market_id string, ts timestamp, severity double")

@@ -18,14 +18,16 @@ def keyed(trades: DataFrame) -> DataFrame:
     return trades.withColumn("dedupe_key", key)
 
 
-def canonical(trades: DataFrame) -> DataFrame:
+def canonical(trades: DataFrame, *keep: str) -> DataFrame:
     """One trade for each dedupe key (or id): of the highest priority, then the latest, then of the largest id.
 
+    keep: the columns that are wanted besides these three; all without it. Others aren't moved.
+
     A grouped maximum of rows: tasks sort and combine their own rows before the shuffle, so that a hot key sends a row from
     each task. As rows hold texts, Spark sorts on both sides of the shuffle instead of hashing.
     """
     key = F.coalesce(F.nullif("dedupe_key", F.lit("")), "trade_id")
-    rest = [c for c in trades.columns if c not in ("priority", "ts", "trade_id")]
+    rest = [c for c in keep or trades.columns if c not in ("priority", "ts", "trade_id")]
     best = F.max(F.struct("priority", "ts", "trade_id", F.struct(*rest).alias("rest")))
     return trades.groupBy(key.alias("__key")).agg(best.alias("b")).select("b.priority", "b.ts", "b.trade_id", "b.rest.*")
 

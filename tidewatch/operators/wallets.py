@@ -50,33 +50,35 @@ def netted(trades: DataFrame, samples: int = 5) -> DataFrame:
     number. Any side but SELL, in any case, nets as BUY; where the amount is missing or not above 0, price times size counts.
     Null sizes, prices and amounts are 0, blank conditions aren't counted, trades without a wallet are left out.
 
-    Rows are summed by condition first, and these sums again, so that a position with many conditions is no single task's
-    list. The first trades are cut to samples rows in each task before they are shuffled.
+    The trades are dealt out by position once; their places in it, the sums by condition and the sums of these are taken where
+    they lie, so that nothing is computed or moved twice. No lists are made: a position with many trades or conditions is
+    sorted in one task, which may spill.
     """
     keys = ("wallet", "market_id", "outcome_side")
     zero = lambda c: F.coalesce(F.col(c).cast("double"), F.lit(0.0))
     amount = F.when((zero("notional") <= 0) & (zero("price") > 0), zero("price") * zero("size")).otherwise(zero("notional"))
     rows = trades.select(
         _wallet().alias("wallet"), "market_id", "outcome_side", S.blank_to_null(F.col("condition_id")).alias("condition_id"), S.blank_to_null(F.col("trade_id")).alias("trade_id"), "ts", F.coalesce(F.upper(F.trim("side")) == "SELL", F.lit(False)).alias("sell"),
-        zero("size").cast("decimal(28,10)").alias("size"), amount.cast("decimal(28,10)").alias("amount"), F.when(F.col("price") > 0, F.col("price")).alias("price"))
+        "size", "notional", "price")
     rows = rows.where("wallet is not null")
     total = lambda c, when: F.coalesce(F.sum(F.when(when, F.col(c))), F.lit(0)).cast("decimal(38,10)")
     sums = {f"{side}_{c}": total(c, when) for side, when in (("buy", ~F.col("sell")), ("sell", F.col("sell"))) for c in ("size", "amount")}
+    w = Window.partitionBy(*keys).orderBy(F.col("trade_id").isNull(), F.col("ts").asc_nulls_last(), "trade_id")
+    rows = rows.withColumn("r", F.row_number().over(w)).withColumns(  # decimals after the shuffle: numbers move as they came
+        {"size": zero("size").cast("decimal(28,10)"), "amount": amount.cast("decimal(28,10)"), "price": F.when(F.col("price") > 0, F.col("price"))})
+    first = [f"first_{i}" for i in range(1, samples + 1)]
     by = rows.groupBy(*keys, "condition_id").agg(
-        *(x.alias(n) for n, x in sums.items()), F.count("*").alias("n"), F.count_if("sell").alias("n_sell"), F.min("price").alias("low"), F.max("price").alias("high"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
+        *(x.alias(n) for n, x in sums.items()), F.count("*").alias("n"), F.count_if("sell").alias("n_sell"), F.min("price").alias("low"), F.max("price").alias("high"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"),
+        *(F.max(F.when(F.col("r") == i, F.col("trade_id"))).alias(n) for i, n in enumerate(first, 1)))
     out = by.groupBy(*keys).agg(
         *(F.sum(n).alias(n) for n in sums), F.sum("n").alias("n_trades"), F.sum("n_sell").alias("n_sell"), F.min("low").alias("low"), F.max("high").alias("high"), F.min("first_ts").alias("first_ts"), F.max("last_ts").alias("last_ts"),
-        F.min(F.when(F.col("condition_id").isNotNull(), F.struct((-F.col("n")).alias("n"), "condition_id")))["condition_id"].alias("condition_id"))
+        F.min(F.when(F.col("condition_id").isNotNull(), F.struct((-F.col("n")).alias("n"), "condition_id")))["condition_id"].alias("condition_id"), *(F.max(n).alias(n) for n in first))
     out = out.where(F.abs(F.col("buy_size") - F.col("sell_size")) > 1e-9)
-    w = Window.partitionBy(*keys).orderBy(F.col("ts").asc_nulls_last(), "trade_id")
-    first = rows.where("trade_id is not null").select(*keys, "ts", "trade_id").withColumn("r", F.row_number().over(w)).where(F.col("r") <= samples)
-    named = first.groupBy(*keys).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("r", "trade_id"))), lambda x: x["trade_id"]), ",").alias("first_trades"))
     number = lambda x: x.cast("double")
     price = lambda side: F.when(F.col(f"{side}_size") != 0, number(F.col(f"{side}_amount")) / number(F.col(f"{side}_size"))).alias(f"avg_{side}_price")
-    same = [F.col(f"p.{k}").eqNullSafe(F.col(f"f.{k}")) for k in keys]
-    return out.alias("p").join(named.alias("f"), same, "left").select(
-        *(F.col(f"p.{k}") for k in keys), "condition_id", number(F.col("buy_size") - F.col("sell_size")).alias("net_size"), number(F.col("buy_amount") - F.col("sell_amount")).alias("net_notional"),
-        *(number(F.col(n)).alias(n) for n in sums), "n_trades", (F.col("n_trades") - F.col("n_sell")).alias("n_buy"), "n_sell", price("buy"), price("sell"), "low", "high", "first_ts", "last_ts", F.coalesce("first_trades", F.lit("")).alias("first_trades"))
+    return out.select(
+        *keys, "condition_id", number(F.col("buy_size") - F.col("sell_size")).alias("net_size"), number(F.col("buy_amount") - F.col("sell_amount")).alias("net_notional"),
+        *(number(F.col(n)).alias(n) for n in sums), "n_trades", (F.col("n_trades") - F.col("n_sell")).alias("n_buy"), "n_sell", price("buy"), price("sell"), "low", "high", "first_ts", "last_ts", F.concat_ws(",", *first).alias("first_trades"))
 
 
 def position_summary(positions: DataFrame) -> DataFrame:

@@ -32,8 +32,8 @@ clusters AS (SELECT substr(sha1(condition_id), 1, 12) AS cluster_id, condition_i
  round(least(1.0, 0.5 + least(0.4, CASE WHEN total <> 0 THEN notional / total ELSE 0 END * 0.4) + CASE WHEN n_trades > 1 THEN 0.1 ELSE 0.0 END), 6) AS confidence FROM members JOIN whole USING (condition_id))"""
 
 
-def canonical(spark, sf_dir):  # noqa: ANN001, ANN201
-    return T.canonical(T.keyed(D.trades(spark, sf_dir)))
+def canonical(spark, sf_dir, *keep):  # noqa: ANN001, ANN201
+    return T.canonical(T.keyed(D.trades(spark, sf_dir)), *keep)
 
 
 @query("p18_dedupe_key", f"WITH {KEYED} SELECT trade_id, dedupe_key FROM keyed")

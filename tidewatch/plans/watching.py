@@ -207,7 +207,7 @@ m AS (SELECT wallet, market_id, outcome_side, condition_id FROM (SELECT wallet,
 SELECT g.* EXCLUDE (ids), m.condition_id, buy_size - sell_size AS net_size, round(buy_amount - sell_amount, 6) AS net_notional, buy_amount / nullif(buy_size, 0) AS avg_buy_price, sell_amount / nullif(sell_size, 0) AS avg_sell_price, array_to_string(ids, ',') AS first_trades
 FROM g LEFT JOIN m USING (wallet, market_id, outcome_side) WHERE abs(buy_size - sell_size) > 1e-9""")
 def _(spark, sf_dir):
-    t = canonical(spark, sf_dir).withColumn("notional", F.when(F.col("priority") != 2, F.col("notional")))
+    t = canonical(spark, sf_dir, "wallet", "market_id", "outcome_side", "condition_id", "side", "price", "size", "notional").withColumn("notional", F.when(F.col("priority") != 2, F.col("notional")))
     return wallets.netted(t).withColumn("net_notional", F.round("net_notional", 6))
 
 
